@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, tokencount, urlfilter, warc
+from . import decontam, mixing, sharding, substring, tokencount, urlfilter, warc
 from .. import ship
 from .common import shared_dir
 
@@ -41,6 +41,22 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(_table(spark, sf_dir, "documents"), size=20)
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, s, sha256(array_to_string(list_slice(ws, s, s + 19), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)),
+f AS (SELECT h, min({'d': doc_id, 's': s}) AS lead FROM v GROUP BY h HAVING count(*) > 1),
+r AS (SELECT v.doc_id, list(v.s) AS starts FROM v JOIN f ON v.h = f.h WHERE {'d': v.doc_id, 's': v.s} > f.lead GROUP BY v.doc_id),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM (SELECT doc_id, unnest(starts) AS s FROM r)) GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS m, CASE WHEN gone IS NULL THEN ws ELSE
+  (SELECT coalesce(list(ws[i] ORDER BY i), []) FROM (SELECT unnest(range(1, len(ws) + 1)) AS i) WHERE NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,5 +90,9 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >=
 """
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op3_token_counts": op3_token_counts, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op6_shards": op6_shards}
-ORACLES = {"op1_url_filters": OP1_SQL, "op9_warc": OP9_SQL}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op6_shards": op6_shards}
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL}
