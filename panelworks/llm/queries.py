@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash, substring, tokencount, urlfilter, warc
+from . import ann, decontam, mixing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
 from .. import ship
 from .common import shared_dir
 
@@ -77,6 +77,15 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
@@ -98,5 +107,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op7_quality": op7_quality, "op8_nearest": op8_nearest, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards}
 ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL}

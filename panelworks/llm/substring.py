@@ -15,15 +15,15 @@ and ``right`` words ahead of its start is chosen, ties by name, then the first.
 window's words alone, so equal windows choose equal anchors at equal offsets, and neighbouring windows
 mostly share one: about one anchor in six words.
 
-1. Anchor names are counted; only names that occur twice can belong to a repeated window.
-2. For the occurrences of those names, all words that their windows cover are hashed (name and stretch
-   hash together make 128 bits).  Equal stretches form a class.  In all but its first occurrence every
-   window repeats; nothing else of them is looked at, so a passage of a thousand copies costs a
-   thousand rows, not its windows a thousand times over.
-3. Windows of first occurrences whose name has several classes are compared one by one by 128-bit hashes.
+1. All words that an anchor's windows cover are hashed (its name and this stretch hash together make 128
+   bits).  Equal stretches form a class.  In all but its first occurrence every window repeats; nothing
+   else of them is looked at, so a passage of a thousand copies costs a thousand rows, not its windows
+   a thousand times over.  A name that occurs in one class only is done with.
+2. Windows of first occurrences whose name has several classes (the rims of repeats) are compared one by
+   one by 128-bit hashes.
 
-Every step is an aggregation that combines before it shuffles, or an equi-join that adaptive execution
-may split; nothing is broadcast or collected.
+Both steps bring rows together by key after tasks have combined their own: of equal keys a task sends on one,
+so no key is hot.  Nothing is broadcast or collected; texts go through one exchange.
 
 Defined results: null text has no words; a null id comes after all ids (rows with null ids count as one
 document); rows that repeat an id count as one document, told apart by their texts, and identical rows are
@@ -39,7 +39,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, WordHashes, hashed, materialize, mix, slices, utf8
@@ -178,50 +178,80 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"), "doc_id", "text")
 
 
+class _Combiner:
+    """Rows (two keys, document, version, first window, windows) on their way to an exchange by key.  Of rows with equal keys
+    in a task only the first place goes there; the others are known to repeat and carry a scattered key instead, so
+    a passage of very many copies is spread evenly."""
+
+    names = ["key", "key2", "doc", "version", "first", "count", "repeats"]
+    kinds = "key bigint, key2 bigint, doc bigint, version bigint, first int, count tinyint, repeats boolean"
+
+    def __init__(self, limit: int = 1 << 19):
+        self.limit, self.parts, self.held = limit, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        key, key2, doc, version, first, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts, self.held = [], 0
+        order = np.lexsort((first, doc, key2, key))
+        key, key2, doc, version, first, count = (c[order] for c in (key, key2, doc, version, first, count))
+        head = np.ones(len(key), bool)
+        head[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+        repeats = (doc != doc[lead]) | (first != first[lead])
+        key = np.where(repeats, mix(doc.view(_U) * _M1 + first.astype(_U)), key)
+        key2 = np.where(repeats, _U(0), key2)
+        for i in range(0, len(key), 1 << 17):
+            s = slice(i, i + (1 << 17))
+            yield pa.record_batch([_signed(key[s]), _signed(key2[s]), pa.array(doc[s]), pa.array(version[s]), pa.array(first[s].astype(np.int32)), pa.array(count[s].astype(np.int8)), pa.array(repeats[s])], names=self.names)
+
+
+def _resolve(rows: DataFrame) -> DataFrame:
+    """rows of a combiner, brought together by key, with ``repeats`` settled over all tasks."""
+    lead = F.min(F.struct("doc", "first")).over(Window.partitionBy("key", "key2", "repeats"))
+    rows = rows.repartition("key").withColumn("lead", lead)
+    return rows.withColumn("settled", F.col("repeats") | (F.struct("doc", "first") > F.col("lead"))).drop("lead")
+
+
 def deduplicate(docs: DataFrame, size: int = 20, text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``, the words left, if ``text``) of every row of docs."""
+    if not 12 <= size <= 60:
+        raise ValueError("windows of 12 to 60 words")
     rows = _named(docs)
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, powers = WordHashes(), _Powers()
-        for batch in batches:
-            for _, _, codes, sizes in _texts(batch, memo):
-                if (found := anchors(codes, sizes, powers, size)) is not None:
-                    yield pa.record_batch([_signed(found[1])], names=["name"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, powers = WordHashes(), _Powers()
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, powers, out = WordHashes(), _Powers(), _Combiner()
         for batch in batches:
+            doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
             for span, _, codes, sizes in _texts(batch, memo):
                 if (found := anchors(codes, sizes, powers, size)) is not None:
-                    number, name, at, first, count, _, base = found
-                    row = pa.array(number + span.start)
-                    # One column: the first window, and the number of windows, of which there are under 64.
-                    packed = (first - base[number]) * 4096 + (at - first) * 64 + count
-                    yield pa.record_batch([batch.column("doc").take(row), batch.column("version").take(row), _signed(name), pa.array(packed)], names=["doc", "version", "name", "packed"])
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, powers = WordHashes(), _Powers()
+                    number, name, _, first, count, stretch, base = found
+                    row = number + span.start
+                    yield from out.add(name, stretch, doc[row], version[row], first - base[number], count)
+        yield from out.flush()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, powers, out = WordHashes(), _Powers(), _Combiner()
         for batch in batches:
+            doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
             for span, _, codes, sizes in _texts(batch, memo):
-                base = np.cumsum(sizes) - sizes
-                s = Stretches(codes, powers)
                 listed = batch.column("found").slice(span.start, len(span))
-                number = np.repeat(np.arange(len(span)), np.array(listed.value_lengths().to_numpy(zero_copy_only=False), np.int64))
-                flat = listed.flatten()
-                name = flat.field("name").to_numpy(zero_copy_only=False).view(_U)
-                packed = flat.field("packed").to_numpy(zero_copy_only=False).astype(np.int64)
-                first, offset, count = packed // 4096, packed // 64 % 64, packed % 64
-                start = base[number] + first
-                stretch = mix(s.hash(start, start + count - 1 + size) + (offset * 64 + count).astype(_U))
-                # Windows of each stretch, for the comparison one by one.
-                each = np.repeat(np.arange(len(start)), count)
-                w = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-                offsets = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, _signed(s.hash(w, w + size, lane))) for lane in (0, 1)]
-                row = pa.array(number + span.start)
-                yield pa.record_batch([batch.column("doc").take(row), batch.column("version").take(row), _signed(name), _signed(stretch), pa.array(first), pa.array(count.astype(np.int32)), *lists],
-                                      names=["doc", "version", "name", "stretch", "first", "count", "h1", "h2"])
+                number = np.repeat(np.arange(len(span)), listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                first, count = (listed.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "count"))
+                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                number = np.repeat(number, count)
+                start = at + (np.cumsum(sizes) - sizes)[number]
+                s = Stretches(codes, powers)
+                row = number + span.start
+                yield from out.add(s.hash(start, start + size), s.hash(start, start + size, 1), doc[row], version[row], at, np.ones(len(at), np.int64))
+        yield from out.flush()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,29 +274,16 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False) -> DataFram
             yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] if text else [])],
                                   names=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if text else [])])
 
-    repeated = rows.select("text").mapInArrow(names, "name bigint").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    occurrences = rows.select("doc", "version", "text").mapInArrow(places, "doc bigint, version bigint, name bigint, packed bigint").join(repeated, "name", "left_semi")
-    per_text = occurrences.groupBy("doc", "version").agg(F.collect_set(F.struct("name", "packed")).alias("found"))
+    of_name = Window.partitionBy("key", "repeats")
+    found = _resolve(rows.select("doc", "version", "text").mapInArrow(anchored, _Combiner.kinds))
+    found = found.withColumn("several", ~F.col("settled") & (F.min("key2").over(of_name) != F.max("key2").over(of_name)))
+    found = materialize(found.where("settled OR several").select("doc", "version", "first", "count", "settled"), "substring-stretches")
+    span = F.struct("first", "count")
     # Both joins below read one and the same exchange of the texts.
     by_text = rows.repartition("doc", "version")
-    kinds = "doc bigint, version bigint, name bigint, stretch bigint, first bigint, count int, h1 array<bigint>, h2 array<bigint>"
-    stretched = by_text.join(per_text, ["doc", "version"]).select("doc", "version", "text", "found").mapInArrow(stretches, kinds)
-
-
-    stretched = materialize(stretched, "substring-stretches")
-    place = F.struct("doc", "first")
-    classes = stretched.groupBy("name", "stretch").agg(F.min(place).alias("lead"))
-    member = stretched.select("doc", "version", "name", "stretch", "first", "count").join(classes, ["name", "stretch"])
-    copies = member.where(F.struct("doc", "first") > F.col("lead")).select("doc", "version", "first", "count")
-    several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    leads = classes.join(several, "name", "left_semi").select("name", "stretch", F.col("lead.doc").alias("doc"), F.col("lead.first").alias("first"))
-    windows = (
-        stretched.join(leads, ["name", "stretch", "doc", "first"], "left_semi")
-        .select("doc", "version", "first", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"))
-        .select("doc", "version", (F.col("first") + F.col("i")).alias("first"), F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
-    )
-    earliest = windows.groupBy("h1", "h2").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    singles = windows.join(earliest, ["h1", "h2"]).where(F.struct("doc", "first") > F.col("lead")).select("doc", "version", "first", F.lit(1).alias("count"))
-    spans = copies.unionByName(singles).groupBy("doc", "version").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
+    leads = found.where("NOT settled").groupBy("doc", "version").agg(F.collect_set(span).alias("found"))
+    compared = _resolve(by_text.join(leads, ["doc", "version"]).select("doc", "version", "text", "found").mapInArrow(windows, _Combiner.kinds))
+    repeated = found.where("settled").drop("settled").unionByName(compared.where("settled").select("doc", "version", "first", "count"))
+    spans = repeated.groupBy("doc", "version").agg(F.collect_set(span).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_text.join(spans, ["doc", "version"], "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if text else ""))
