@@ -13,9 +13,9 @@ Only built-in functions are used.  Text is read once: sizes are written to the s
 The source table (a row per source) is the only thing that passes through one task.
 
 Defined results: null text has size 0; null source is a source of its own, ordered last; a source
-without words has target 0; repeated rows count each by themselves (equal ids and sizes are told apart
-by nothing, so ties at the cut go by row order within equal keys and the sums are unaffected); an empty
-table gives an empty table; further columns are left out of the plan.
+without words has target 0; rows that repeat an id share its place in the order, and at the cut share what
+is taken there; a null id is placed last among equal hashes; an empty table gives an empty table; further
+columns are kept by ``repeat_documents`` and left out by ``mix_sources``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import LAST_ID, materialize, word_count
 
 #: Sources up to this many are joined by broadcast (a row of some 60 bytes each); more are shuffled.
 BROADCAST_SOURCES = 100_000
@@ -56,45 +56,59 @@ def water_fill(sizes: DataFrame, weights: Sequence[int], share: float, max_epoch
     )
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, bins: int = 1 << 14) -> DataFrame:
-    """One row per row of docs: ``doc_id, source, size, source_size, target, passes, part, taken, u``.
+def _key(seed: int):
+    """The place of a document in the seeded order of its source."""
+    return F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 64 - BITS).alias("u"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc"))
 
-    ``passes`` whole repetitions and ``part`` words of a further one; ``taken`` counts both.
-    """
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 64 - BITS)
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("u")), "mix-sizes")
-    width = BITS - (bins.bit_length() - 1)
-    sized = sized.withColumn("bin", F.shiftright("u", width))
+
+def plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, bins: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, source, size, key`` per row; per source ``source_size, target, passes, cut, cut_share``).
+
+    Each document is taken ``passes`` times, once more if its key is before ``cut``, and by the share
+    ``cut_share`` of its words if its key is at the cut."""
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key")), "mix-sizes")
+    sized = sized.withColumn("bin", F.shiftright("key.u", BITS - (bins.bit_length() - 1)))
     histogram = materialize(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
     targets = water_fill(histogram.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, max_epochs)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     targets = targets.withColumn("passes", passes)
     targets = targets.withColumn("rest", F.rint(F.col("target")).cast("bigint") - F.col("passes") * F.col("source_size"))
-    in_source = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    below = histogram.withColumn("below", F.coalesce(F.sum("bin_size").over(in_source), F.lit(0)))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    cut = below.alias("h").join(targets.alias("t"), same(_Named("h"), _Named("t"))).where("h.below < t.rest AND t.rest <= h.below + h.bin_size").select(
-        F.col("h.source").alias("source"), F.col("h.bin").alias("cut_bin"), (F.col("t.rest") - F.col("h.below")).alias("cut_rest"))
-    info = targets.alias("t").join(cut.alias("c"), same(_Named("t"), _Named("c")), "left").select("t.*", "c.cut_bin", "c.cut_rest")
-    info = materialize(info, "mix-targets")
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    before = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    # At most ``bins`` rows per source pass here.
+    below = histogram.withColumn("below", F.coalesce(F.sum("bin_size").over(before.orderBy("bin")), F.lit(0)))
+    cut_bin = below.alias("h").join(targets.alias("t"), same("h", "t")).where("h.below < t.rest AND t.rest <= h.below + h.bin_size").select("h.source", "h.bin", (F.col("t.rest") - F.col("h.below")).alias("wanted"))
+    # And here the documents of one bin per source.
+    inside = sized.alias("d").join(cut_bin.alias("c"), same("d", "c") & (F.col("d.bin") == F.col("c.bin"))).groupBy("d.source", "d.key").agg(F.sum("d.size").alias("size"), F.max("c.wanted").alias("wanted"))
+    inside = inside.withColumn("below", F.coalesce(F.sum("size").over(before.orderBy("key")), F.lit(0)))
+    cut = inside.where("below < wanted AND wanted <= below + size").select("source", F.col("key").alias("cut"), ((F.col("wanted") - F.col("below")) / F.col("size")).alias("cut_share"))
+    info = targets.alias("t").join(cut.alias("c"), same("t", "c"), "left").select("t.source", "t.source_size", "t.target", "t.passes", "c.cut", "c.cut_share")
+    return sized.drop("bin"), materialize(info, "mix-targets")
+
+
+def _joined(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """rows with the columns of their source's plan; rows stay where they are unless there are very many sources."""
+    info = info.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "passes", "cut", "cut_share")])
     if info.count() <= BROADCAST_SOURCES:
         info = F.broadcast(info)
-    d = sized.alias("d").join(info.alias("i"), same(_Named("d"), _Named("i")), "left").select(
-        "d.doc_id", "d.source", "d.size", "d.u", "d.bin", "i.source_size", "i.target", "i.passes", "i.rest", "i.cut_bin", "i.cut_rest")
-    # Documents in a cut bin: a running sum inside that bin.  All others lie wholly before or behind it.
-    at_cut = d.where(F.col("bin") == F.col("cut_bin"))
-    running = Window.partitionBy("source", "bin").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = at_cut.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut_rest") - F.coalesce(F.sum("size").over(running), F.lit(0)))))
-    others = d.where(~F.coalesce(F.col("bin") == F.col("cut_bin"), F.lit(False)))
-    others = others.withColumn("part", F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(F.lit(0).cast("bigint")))
-    return others.unionByName(at_cut).select("doc_id", "source", "size", "source_size", "target", "passes", F.col("part").cast("bigint").alias("part"), (F.col("passes") * F.col("size") + F.col("part")).cast("bigint").alias("taken"), "u")
+    return rows.join(info, F.col("source").eqNullSafe(F.col("_source")), "left")
+
 
+def mix_sources(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """One row per row of docs: ``doc_id, source, size, source_size, target, passes, part, taken``.
 
-class _Named:
-    """Columns of an aliased frame by name."""
+    ``passes`` whole repetitions and ``part`` words of a further one; ``taken`` counts both."""
+    sized, info = plan(docs, seed=seed, **options)
+    part = F.when(F.col("key") < F.col("_cut"), F.col("size")).when(F.col("key") == F.col("_cut"), F.rint(F.col("_cut_share") * F.col("size"))).otherwise(F.lit(0)).cast("bigint")
+    return _joined(sized, info).withColumn("part", part).select(
+        "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_passes").alias("passes"), "part",
+        (F.col("_passes") * F.col("size") + F.col("part")).cast("bigint").alias("taken"))
 
-    def __init__(self, alias: str):
-        self.alias = alias
 
-    def __getitem__(self, name: str):
-        return F.col(f"{self.alias}.{name}")
+def repeat_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, as often as they are taken; the document at a cut is
+    taken whole or not, whichever is nearer.  Texts are not shuffled."""
+    _, info = plan(docs, seed=seed, **options)
+    more = (F.col("_key") < F.col("_cut")) | ((F.col("_key") == F.col("_cut")) & (F.col("_cut_share") >= 0.5))
+    joined = _joined(docs.withColumn("_key", _key(seed)), info).withColumn("_times", F.col("_passes") + F.coalesce(more, F.lit(False)).cast("int"))
+    return joined.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

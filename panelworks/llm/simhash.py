@@ -235,3 +235,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     of_print = rooted.select("print", "root").join(least, "root").select("print", "component_id")
     named = prints.join(of_print, "print", "left")
     return named.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of their component; of rows that are
+    alike in id and text one stays.  Rows without an id stay where no row of their component has one."""
+    stay = near_duplicates(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
