@@ -1,6 +1,537 @@
-"""Registry of the engine's queries and of the SQL that states the same result."""
+"""The engine's queries over the standard tables, each with the SQL that states the same result.
+
+The tables hold no surveys, so operators run on what is alike: events as activity, conversations as threads, orders as responses
+of customers, and so on.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import ship
+from ..functions import answers as A
+from ..functions import recode as R
+from ..functions import text as X
+from ..functions import vocab
+from ..operators import activity, budget, history, interactions, personas, redact, sampling, session, survey, threads, tiers, validate, weights
+from ..sources import readers
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# --- Activity ------------------------------------------------------------------------------------------------------
+
+def _counts(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("subreddit"))
+    return activity.activity_counts(e)
+
+
+_COUNTS = "SELECT CAST(user_id AS VARCHAR) AS author, lower(trim(event_type)) AS subreddit, count(*) AS total FROM events WHERE event_type IS NOT NULL AND trim(event_type) <> '' GROUP BY 1, 2"
+
+
+@query(_COUNTS)
+def activity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir)
+
+
+@query(f"SELECT author, string_agg(subreddit || '=' || total, ';' ORDER BY subreddit) AS entries FROM ({_COUNTS}) GROUP BY author")
+def activity_map(spark, sf_dir):
+    entries = F.transform(F.map_entries("subreddit_activity"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["total"].cast("string")))
+    return activity.activity_map(_counts(spark, sf_dir)).select("author", F.array_join(F.array_sort(entries), ";").alias("entries"))
+
+
+_TOP = """
+SELECT author, subreddit, total, n_groups, n_top > 1 AS tied FROM (SELECT *, count(*) FILTER (WHERE total = top) OVER (PARTITION BY author) AS n_top FROM (
+  SELECT *, row_number() OVER (PARTITION BY author ORDER BY total DESC, subreddit) AS rn, count(*) OVER (PARTITION BY author) AS n_groups, max(total) OVER (PARTITION BY author) AS top FROM ({}))) WHERE rn = 1
+"""
+
+
+@query(_TOP.format(_COUNTS))
+def top_group_per_author(spark, sf_dir):
+    return activity.top_group(_counts(spark, sf_dir), "author", "subreddit")
+
+
+@query("""
+WITH m AS (SELECT 'user_' || (s_suppkey % 150) AS author, s_nationkey % 3 AS st, count(*) AS total FROM supplier GROUP BY 1, 2),
+l AS (SELECT * FROM (VALUES (0, 'texas'), (1, 'alaska'), (2, 'ohio')) v(st, state)),
+r AS (SELECT author, state, total, row_number() OVER (PARTITION BY author ORDER BY total DESC, state) AS rn, count(*) OVER (PARTITION BY author) AS n, max(total) OVER (PARTITION BY author) AS top FROM m JOIN l USING (st)),
+t AS (SELECT *, count(*) FILTER (WHERE total = top) OVER (PARTITION BY author) AS nt FROM r)
+SELECT author, state AS assigned_state, CAST(total AS BIGINT) AS state_post_count, n AS n_states_matched, nt > 1 AS tied FROM t WHERE rn = 1
+""")
+def state_assignment(spark, sf_dir):
+    # Sub3 leads to two states and so to none; Sub0..Sub2 to one each.
+    states = spark.createDataFrame([("Texas", "r/Sub0"), ("Alaska", "sub1"), ("Ohio", "r/sub2"), ("Ohio", "sub3"), ("Texas", "sub3")], "state string, subreddit string")
+    c = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("user_"), (F.col("s_suppkey") % 150).cast("string")).alias("author"), F.concat(F.lit("r/Sub"), (F.col("s_nationkey") % 3).cast("string")).alias("subreddit")).agg(F.count(F.lit(1)).alias("total"))
+    return activity.assign_state(c, states)
+
+
+@query("""
+SELECT c.c_custkey AS key, coalesce(CAST(s.n AS VARCHAR), c.c_mktsegment, '') AS filled FROM customer c
+LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey < 12 GROUP BY 1) s ON c.c_nationkey = s.s_nationkey
+""")
+def state_backfill(spark, sf_dir):
+    fresh = table(spark, sf_dir, "supplier").where("s_nationkey < 12").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).cast("string").alias("filled"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("filled"))
+    return activity.backfill(rows, fresh, "nation", "filled").select("key", "filled")
+
+
+@query("SELECT p_brand, min(p_type) AS p_type FROM part WHERE p_size > 40 GROUP BY p_brand HAVING count(DISTINCT p_type) = 1")
+def ambiguous_lookup(spark, sf_dir):
+    return activity.unambiguous(table(spark, sf_dir, "part").where("p_size > 40"), "p_brand", "p_type")
+
+
+@query("""
+SELECT o_custkey, round(sum(l_quantity * CASE WHEN p_size > 5 THEN p_size END) / nullif(sum(CASE WHEN p_size > 5 THEN l_quantity END), 0), 6) AS size_score,
+  round(sum(l_quantity * p_retailprice) / nullif(sum(CASE WHEN p_retailprice IS NOT NULL THEN l_quantity END), 0), 6) AS price_score, count(*) AS n_total, count(p_partkey) AS n_scored
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey GROUP BY o_custkey
+""")
+def weighted_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_partkey").alias("k"), "l_quantity")
+    scores = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(F.lit("nan").cast("double")).alias("size"), F.col("p_retailprice").alias("price"))
+    return activity.weighted_scores(rows, scores, "k", "o_custkey", "l_quantity", ["size", "price"]).select("o_custkey", _r("size_score").alias("size_score"), _r("price_score").alias("price_score"), "n_total", "n_scored")
+
+
+# --- Weighted microdata and recodes --------------------------------------------------------------------------------
+
+@query("""
+WITH c AS (SELECT c_mktsegment, CASE WHEN c_nationkey < 20 THEN CAST(c_nationkey AS VARCHAR) END AS nation, c_acctbal AS w FROM customer WHERE c_acctbal > 0),
+l AS (SELECT 'c_mktsegment' AS variable, c_mktsegment AS category, w FROM c UNION ALL SELECT 'nation', nation, w FROM c),
+s AS (SELECT variable, category, sum(w) AS s FROM l WHERE category IS NOT NULL GROUP BY 1, 2)
+SELECT variable, category, round(s / sum(s) OVER (PARTITION BY variable), 9) AS weighted_share FROM s
+""")
+def weighted_marginals(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_mktsegment", F.when(F.col("c_nationkey") < 20, F.col("c_nationkey").cast("string")).alias("nation"), "c_acctbal")
+    return weights.weighted_marginals(c, ["c_mktsegment", "nation"], "c_acctbal").withColumn("weighted_share", _r("weighted_share", 9))
+
+
+@query("WITH s AS (SELECT c_mktsegment, c_nationkey, sum(c_acctbal) AS s FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2) SELECT c_mktsegment, c_nationkey, round(s / sum(s) OVER (), 9) AS weighted_share FROM s")
+def weighted_crosstab(spark, sf_dir):
+    return weights.weighted_crosstab(table(spark, sf_dir, "customer").where("c_acctbal > 0"), ["c_mktsegment", "c_nationkey"], "c_acctbal").withColumn("weighted_share", _r("weighted_share", 9))
+
+
+@query("WITH s AS (SELECT c_mktsegment, c_nationkey, sum(c_acctbal) AS s FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2), t AS (SELECT s / sum(s) OVER () AS w FROM s) SELECT count(*) FILTER (WHERE w < 0.008) AS sparse, count(*) AS cells FROM t")
+def sparse_cells(spark, sf_dir):
+    return weights.sparse_cells(weights.weighted_crosstab(table(spark, sf_dir, "customer").where("c_acctbal > 0"), ["c_mktsegment", "c_nationkey"], "c_acctbal"), 0.008)
+
+
+@query("WITH v AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '(other/blank)' END AS value FROM events), c AS (SELECT value, count(*) AS n FROM v GROUP BY 1) SELECT value, n, round(n / sum(n) OVER (), 9) AS share FROM c")
+def value_counts(spark, sf_dir):
+    return weights.value_counts(table(spark, sf_dir, "events"), "event_type", ["click", "view"]).withColumn("share", _r("share", 9))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size * 2 < 18 THEN NULL WHEN p_size * 2 <= 29 THEN '18-29' WHEN p_size * 2 <= 44 THEN '30-44' WHEN p_size * 2 <= 59 THEN '45-59' ELSE '60+' END AS age_band,
+  CASE p_size % 4 WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' ELSE 'Other' END AS gender,
+  CASE WHEN p_size % 5 <> 1 THEN 'Hispanic / Latino' WHEN p_size % 9 + 1 = 1 THEN 'White / Caucasian' WHEN p_size % 9 + 1 = 2 THEN 'Black / African American' WHEN p_size % 9 + 1 = 6 THEN 'Asian / Asian American' ELSE 'Other' END AS race,
+  CASE WHEN p_size <= 15 THEN 'Less than high school' WHEN p_size IN (16, 17) THEN 'High school diploma / GED' WHEN p_size IN (18, 19, 20) THEN 'Some college or Associate''s degree' WHEN p_size = 21 THEN 'Bachelor''s degree'
+    WHEN p_size IN (22, 23) THEN 'Master''s degree / Professional degree' WHEN p_size = 24 THEN 'Doctorate degree / Ph.D.' END AS education FROM part
+""")
+def recode_bands(spark, sf_dir):
+    s = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", R.age_band(s * 2).alias("age_band"), R.gender(s % 4).alias("gender"), R.race(s % 5, s % 9 + 1).alias("race"), R.education(s).alias("education"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal * 20 < 30000 THEN 'Less than $30,000' WHEN c_acctbal * 20 < 56000 THEN '$30,000 to $55,999' WHEN c_acctbal * 20 < 100000 THEN '$56,000 to $99,999'
+  WHEN c_acctbal * 20 < 168000 THEN '$100,000 to $167,999' ELSE '$168,000 or more' END AS income,
+  CASE c_nationkey % 6 WHEN 1 THEN 'Democrat' WHEN 2 THEN 'Republican' WHEN 3 THEN 'Independent' WHEN 4 THEN 'Other' WHEN 5 THEN 'Other' END AS party FROM customer
+""")
+def recode_income_party(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", R.income(F.col("c_acctbal") * 20).alias("income"), R.party(F.col("c_nationkey") % 6).alias("party"))
+
+
+@query("SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 1950 + c_nationkey WHEN 1 THEN 2026 - (18 + c_nationkey) ELSE 1960 + c_nationkey END AS year FROM customer")
+def birth_years(spark, sf_dir):
+    n = F.col("c_nationkey")
+    said = F.when(n % 3 == 0, F.concat(F.lit("in "), (1950 + n).cast("string"), F.lit("."))).when(n % 3 == 1, (18 + n).cast("string")).otherwise(F.concat(F.lit("born in "), (1960 + n).cast("string"), F.lit(", moved 1999")))
+    return table(spark, sf_dir, "customer").select("c_custkey", R.birth_year(said).alias("year"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'Texas' WHEN 1 THEN 'Washington, D.C.' WHEN 2 THEN 'Maine' END AS state, CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END AS state_case FROM nation")
+def normalized_states(spark, sf_dir):
+    raw = F.element_at(F.array(*[F.lit(x) for x in (" tx", "district of columbia", "r/Maine", "nowhere")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", R.state(raw).alias("state"), R.state_case(raw).alias("state_case"))
+
+
+# --- Rows: first, latest, prefixes, top n ----------------------------------------------------------------------------
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1")
+def dedup_first(spark, sf_dir):
+    return history.dedup_first(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def _threads(spark, sf_dir):
+    """Conversations as posts: turn 0 is a submission, turn 1 answers it, later turns answer the turn before; every fifth
+    conversation lacks its second turn."""
+    t = F.col("turn")
+    rows = table(spark, sf_dir, "conversations").where(~((F.col("conv_id") % 5 == 0) & (t == 1)))
+    cid = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit("_"), n.cast("string"))
+    parent = F.when(t == 0, "").when(t == 1, F.concat(F.lit("t3_"), cid(F.lit(0)))).otherwise(F.concat(F.lit("t1_"), cid(t - 1)))
+    return rows.select(
+        F.when(t == 0, "submission").otherwise("comment").alias("post_type"), cid(t).alias("id"), F.col("role").alias("author"), F.lit("").alias("author_created_utc"), F.lit("talk").alias("subreddit"),
+        (F.lit(1_700_000_000) + t * 60).cast("string").alias("created_utc"), F.lit("").alias("title"), X.blank("text").alias("body"), F.lit("").alias("score"), F.lit("").alias("link_id"), parent.alias("parent_id"))
+
+
+_THREADS = """
+WITH h AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn = 1)),
+k AS (SELECT h.*, p.body AS pbody, p.role AS prole, p.turn AS pturn FROM h LEFT JOIN h p ON h.turn >= 2 AND p.conv_id = h.conv_id AND p.turn = h.turn - 1 AND p.turn > 0),
+s AS (SELECT *, conv_id || '_' || turn AS id, CASE WHEN turn = 0 THEN 'submission' WHEN turn = 1 THEN 'first_level_comment' WHEN pturn = 1 THEN 'reply_depth2' WHEN pturn IS NOT NULL THEN 'reply_deeper' ELSE 'unresolved' END AS structure_kind FROM k)
+"""
+
+
+@query(_THREADS + "SELECT id FROM s WHERE turn <= 1")
+def inference_pool(spark, sf_dir):
+    return history.inference_pool(_threads(spark, sf_dir)).select("id")
+
+
+@query(_THREADS + "SELECT id, structure_kind, coalesce(prole, '') AS parent_author, coalesce(sha256(pbody), sha256('')) AS parent_sha FROM s")
+def thread_structure(spark, sf_dir):
+    return threads.classify(_threads(spark, sf_dir)).select("id", "structure_kind", "parent_author", F.sha2("parent_body", 256).alias("parent_sha"))
+
+
+@query(_THREADS + "SELECT DISTINCT conv_id || '_' || (turn - 1) AS id FROM s WHERE structure_kind = 'unresolved'")
+def missing_parents(spark, sf_dir):
+    return threads.missing_parents(threads.classify(_threads(spark, sf_dir)))
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x1c-\x1f\x{85}\p{Z}]+'), lambda w: w <> ''))"
+_BUDGET = "SELECT conv_id, turn, n, used FROM (SELECT *, row_number() OVER w AS n, CAST(sum(cost) OVER w AS BIGINT) AS used FROM (SELECT conv_id, turn, {} AS cost FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE n = 1 OR used <= {}"
+
+
+@query(_BUDGET.format(f"CAST(floor({_WORDS} * 1.3) AS BIGINT)", 200))
+def token_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.token_estimate("text").alias("cost"))
+    return budget.budget_prefix(rows, ["conv_id"], [F.desc("turn")], "cost", 200).select("conv_id", "turn", F.col("position").alias("n"), "used")
+
+
+@query(_BUDGET.format("length(coalesce(text, ''))", 1500).replace("WHERE n = 1 OR used <= 1500", "WHERE (n = 1 OR used <= 1500) AND n <= 3"))
+def char_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(X.blank("text")).alias("cost"))
+    return budget.budget_prefix(rows, ["conv_id"], [F.desc("turn")], "cost", 1500, 3).select("conv_id", "turn", F.col("position").alias("n"), "used")
+
+
+@query("WITH c AS (SELECT lang, source, count(*) AS total, min(doc_id) AS first FROM documents GROUP BY 1, 2) SELECT lang, source, total FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY total DESC, first) AS rn FROM c) WHERE rn <= 5")
+def top_n_sources(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("total"), F.min("doc_id").alias("first"))
+    return budget.top_n(c, ["lang"], [F.desc("total"), "first"], 5).select("lang", "source", "total")
+
+
+_RANK = "CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT o_custkey, o_orderkey, o_orderstatus, first_seen FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_RANK} DESC, o_orderkey DESC) AS rn, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first_seen FROM orders) WHERE rn = 1")
+def latest_best(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "partial").otherwise("failed"))
+    return budget.latest_best(o, ["o_custkey"], budget.status_rank(), "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus", "first_seen")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
+def anti_resume(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return budget.not_done(table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey")
+
+
+# --- Sampling --------------------------------------------------------------------------------------------------------
+
+_APPORTION = """
+WITH w AS (SELECT c_mktsegment, c_nationkey, count(*) AS w FROM customer GROUP BY 1, 2), e AS (SELECT *, CAST(w AS DOUBLE) * 1000 / sum(w) OVER (PARTITION BY c_mktsegment) AS x FROM w),
+f AS (SELECT *, floor(x) AS fl, row_number() OVER (PARTITION BY c_mktsegment ORDER BY x - floor(x) DESC, c_nationkey) AS rn FROM e)
+SELECT c_mktsegment, c_nationkey, CAST(fl + CASE WHEN rn <= 1000 - sum(fl) OVER (PARTITION BY c_mktsegment) THEN 1 ELSE 0 END AS BIGINT) AS seats FROM f
+"""
+
+
+@query(_APPORTION)
+def apportion(spark, sf_dir):
+    w = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return sampling.apportion(w, ["c_mktsegment"], "w", F.lit(1000), ["c_nationkey"]).select("c_mktsegment", "c_nationkey", "seats")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_TARGETS = f"""
+WITH a AS (SELECT age, g, n, ao FROM (VALUES {_values([(a, g, n, vocab.MODERATORS['age_band'].index(a)) for (a, g), n in vocab.AGE_GENDER_COUNTS.items()])}) v(age, g, n, ao)),
+r AS (SELECT race, g, n, ro FROM (VALUES {_values([(a, g, n, vocab.MODERATORS['race'].index(a)) for (a, g), n in vocab.RACE_GENDER_COUNTS.items()])}) v(race, g, n, ro)),
+aa AS (SELECT g, sum(n) AS t FROM a GROUP BY g), rt AS (SELECT g, sum(n) AS t FROM r GROUP BY g),
+gw AS (SELECT aa.g, (aa.t + rt.t) / 2.0 AS w FROM aa JOIN rt USING (g)),
+ge AS (SELECT g, CAST(w AS DOUBLE) * 1000 / (SELECT sum(CAST(w AS DOUBLE)) FROM gw) AS x FROM gw),
+gs AS (SELECT g, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, g DESC) <= 1000 - (SELECT sum(floor(x)) FROM ge) THEN 1 ELSE 0 END AS seats FROM ge),
+c AS (SELECT a.g, age, race, ao, ro, (CAST(a.n AS DOUBLE) / aa.t) * (CAST(r.n AS DOUBLE) / rt.t) AS w FROM a JOIN r USING (g) JOIN aa USING (g) JOIN rt USING (g)),
+ce AS (SELECT *, w * seats / sum(w) OVER (PARTITION BY g) AS x FROM c JOIN gs USING (g)),
+cf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x - floor(x) DESC, ao, ro) AS rn, seats - sum(floor(x)) OVER (PARTITION BY g) AS rest FROM ce)
+SELECT g AS gender, age AS age_band, race, CAST(floor(x) + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS BIGINT) AS target FROM cf
+"""
+
+
+@query(_TARGETS)
+def cell_targets(spark, sf_dir):
+    return sampling.cell_targets(spark, 1000)
+
+
+_DRAW = "SELECT c_custkey, c_mktsegment, draw FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42#' || c_custkey), c_custkey) AS draw FROM customer) WHERE draw <= 20"
+
+
+@query(_DRAW)
+def stratified_draw(spark, sf_dir):
+    return sampling.draw_order(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 42).where("draw <= 20").select("c_custkey", "c_mktsegment", "draw")
+
+
+def _pool(spark, sf_dir):
+    pick = lambda m, by: F.element_at(F.array(*[F.lit(x) for x in [*vocab.MODERATORS[m], "?"]]), (by % (len(vocab.MODERATORS[m]) + 1) + 1).cast("int")).alias(m)
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("author"), pick("gender", F.floor(k / 7)), pick("age_band", F.col("c_nationkey")), pick("race", k), *[pick(m, k + 3) for m in ("education", "income", "party")])
+
+
+@query()
+def redistributed_sample(spark, sf_dir):
+    agents, _, _ = sampling.stratified_sample(_pool(spark, sf_dir), n=200)
+    return agents.select("profile_id", "author", "gender", "age_band", "race", "quota_cell_id")
+
+
+@query()
+def shortfall_report(spark, sf_dir):
+    return sampling.stratified_sample(_pool(spark, sf_dir), n=1000)[1]
+
+
+# --- Text ------------------------------------------------------------------------------------------------------------
+
+@query(f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS words FROM documents")
+def word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.word_count("text").alias("words"))
+
+
+def _sql_text(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_CUES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(body, '(?i){_sql_text(p)}') THEN '{n}' END" for n, p in vocab.CUES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+# RE2's word boundaries know ASCII only, so other letters become one that is.
+@query(rf"SELECT doc_id, array_to_string({_CUES}, ';') AS cues FROM (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), 'touché', 'touche'), '[^\x00-\x7F\P{{L}}]', 'x', 'g') AS body FROM documents)")
+def cue_flags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.cues("text"), ";").alias("cues"))
+
+
+@query("SELECT doc_id, " + " OR ".join(f"regexp_matches(coalesce(text, ''), '(?i){_sql_text(p)}')" for p in vocab.REFUSALS) + " AS refuses FROM documents")
+def refusal_flags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.refuses("text").alias("refuses"))
+
+
+_ECHO = r"""regexp_matches(body, '(?m)^[\s\x1c-\x1f\x{85}\p{Z}]*>') OR len(list_filter(range(1, greatest(len(pw) - 3, 1)), lambda i: contains(mine, array_to_string(pw[i : i + 4], ' ')))) > 0"""
+
+
+@query(_THREADS + rf"""
+, q AS (SELECT id, body, array_to_string(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+'), ' ') AS mine, regexp_extract_all(lower(coalesce(pbody, '')), '[\p{{L}}\p{{N}}_]+') AS pw FROM s) SELECT id, {_ECHO} AS quotes FROM q""")
+def quotation_echo(spark, sf_dir):
+    return threads.classify(_threads(spark, sf_dir)).select("id", X.quotes("body", "parent_body").alias("quotes"))
+
+
+@query(_THREADS + rf"""
+, q AS (SELECT *, array_to_string(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+'), ' ') AS mine, regexp_extract_all(lower(coalesce(pbody, '')), '[\p{{L}}\p{{N}}_]+') AS pw, {_WORDS.replace("coalesce(text, '')", "body")} AS words FROM s WHERE structure_kind = 'reply_depth2'),
+m AS (SELECT *, list_concat({_CUES}, CASE WHEN {_ECHO} THEN ['quotation'] ELSE [] END) AS cues FROM q)
+SELECT id, CAST(words AS BIGINT) AS word_count, array_to_string(cues, ';') AS matched_cues FROM m WHERE words >= 10 AND len(cues) > 0""")
+def meaningful_interactions(spark, sf_dir):
+    return interactions.meaningful(threads.classify(_threads(spark, sf_dir))).select("id", "word_count", "matched_cues")
+
+
+@query(_THREADS + f"""
+, q AS (SELECT *, {_CUES} AS cues, {_WORDS.replace("coalesce(text, '')", "body")} AS words FROM s WHERE structure_kind = 'unresolved')
+SELECT id AS reply_id, role AS reply_author, conv_id || '_' || (turn - 1) AS parent_bare_id, array_to_string(cues, ';') AS matched_cues_own_text_only FROM q WHERE words >= 10 AND len(cues) > 0""")
+def pending_fetch(spark, sf_dir):
+    return interactions.pending_fetch(threads.classify(_threads(spark, sf_dir)))
+
+
+@query()
+def cue_frequency(spark, sf_dir):
+    return interactions.cue_frequency(interactions.meaningful(threads.classify(_threads(spark, sf_dir))))
+
+
+_COVER = "SELECT c_custkey, count(o_orderkey) AS n_posts FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"
+
+
+@query(_COVER)
+def coverage(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return interactions.coverage(table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey")
+
+
+@query(f"SELECT count(*) AS n, round(avg(n_posts), 6) AS mean, median(n_posts) AS median, min(n_posts) AS least, max(n_posts) AS most, count(*) FILTER (WHERE n_posts < 1) AS below_1, count(*) FILTER (WHERE n_posts < 3) AS below_3, count(*) FILTER (WHERE n_posts < 5) AS below_5, count(*) FILTER (WHERE n_posts < 10) AS below_10 FROM ({_COVER})")
+def coverage_stats(spark, sf_dir):
+    return interactions.coverage_stats(coverage(spark, sf_dir)).withColumn("mean", _r("mean"))
+
+
+# --- Composites, tiers and checks -------------------------------------------------------------------------------------
+
+@query("""
+SELECT l_orderkey, l_linenumber, round((coalesce(CASE WHEN l_tax > 0.02 THEN l_tax END, 0) + coalesce(CASE WHEN l_discount > 0.03 THEN l_discount END, 0)) / nullif((l_tax > 0.02)::INT + (l_discount > 0.03)::INT, 0), 9) AS mean,
+  100 - l_quantity AS reversed FROM lineitem
+""")
+def composite_means(spark, sf_dir):
+    tax, discount = F.when(F.col("l_tax") > 0.02, F.col("l_tax")), F.when(F.col("l_discount") > 0.03, F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _r(R.mean_of(tax, discount), 9).alias("mean"), R.reverse("l_quantity").alias("reversed"))
+
+
+def _panel(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.col("o_orderpriority").alias("condition"), F.col("c_mktsegment").alias("segment"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
+
+
+_PANEL = "SELECT o_orderpriority AS condition, c_mktsegment AS segment, o_orderstatus AS status, o_totalprice AS price, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance FROM orders JOIN customer ON o_custkey = c_custkey"
+_MAIN = f"SELECT condition, unnest(['price', 'balance']) AS outcome, unnest([p, b]) AS mean FROM (SELECT condition, avg(price) AS p, avg(balance) AS b FROM ({_PANEL}) GROUP BY 1)"
+
+
+@query(f"SELECT condition, outcome, round(mean, 4) AS mean FROM ({_MAIN})")
+def tier2_main(spark, sf_dir):
+    return tiers.condition_means(_panel(spark, sf_dir), "condition", ["price", "balance"]).withColumn("mean", _r("mean", 4))
+
+
+@query(f"""
+SELECT condition, moderator, level AS moderator_level, unnest(['price', 'balance']) AS outcome, round(unnest([p, b]), 4) AS mean FROM (
+  SELECT condition, CASE WHEN grouping(segment) = 0 THEN 'segment' ELSE 'status' END AS moderator, coalesce(segment, status) AS level, avg(price) AS p, avg(balance) AS b
+  FROM ({_PANEL}) GROUP BY GROUPING SETS ((condition, segment), (condition, status)))
+""")
+def tier2_moderator(spark, sf_dir):
+    return tiers.moderator_means(_panel(spark, sf_dir), "condition", ["segment", "status"], ["price", "balance"]).withColumn("mean", _r("mean", 4))
+
+
+@query(f"WITH m AS ({_MAIN}) SELECT m.condition, m.outcome, round(m.mean - b.mean, 4) AS ate FROM m JOIN m b ON b.outcome = m.outcome AND b.condition = '1-URGENT' WHERE m.condition <> '1-URGENT'")
+def tier3_effects(spark, sf_dir):
+    return tiers.effects(tiers.condition_means(_panel(spark, sf_dir), "condition", ["price", "balance"]), "condition", "1-URGENT").withColumn("ate", _r("ate", 4))
+
+
+@query("SELECT count(*) AS cells, count(DISTINCT c_mktsegment) * count(DISTINCT c_nationkey) AS expected, CAST(0 AS BIGINT) AS duplicated, count(*) = count(DISTINCT c_mktsegment) * count(DISTINCT c_nationkey) AS complete FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)")
+def grid_completeness(spark, sf_dir):
+    return validate.grid_completeness(table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey").distinct(), ["c_mktsegment", "c_nationkey"])
+
+
+@query("SELECT 'l_quantity' AS \"column\", count(*) FILTER (WHERE l_quantity IS NULL) AS missing, count(*) FILTER (WHERE NOT l_quantity BETWEEN 0 AND 45) AS outside FROM lineitem UNION ALL SELECT 'l_discount', count(*) FILTER (WHERE l_discount IS NULL), count(*) FILTER (WHERE NOT l_discount BETWEEN 0 AND 0.05) FROM lineitem")
+def range_checks(spark, sf_dir):
+    return validate.out_of_range(table(spark, sf_dir, "lineitem"), {"l_quantity": (0, 45), "l_discount": (0, 0.05)})
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_distinct, count(*) - count(DISTINCT o_custkey) AS n_duplicates FROM orders")
+def duplicate_ids(spark, sf_dir):
+    return validate.duplicates(table(spark, sf_dir, "orders"), ["o_custkey"])
+
+
+@query("SELECT count(*) AS groups, min(n) AS least, max(n) AS most FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
+def group_sizes(spark, sf_dir):
+    return validate.group_sizes(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+# --- Hashes, answers, sessions -----------------------------------------------------------------------------------------
+
+@query("SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS prompt, CASE WHEN role = 'user' THEN sha256(text) END AS prompt_sha256 FROM conversations")
+def redact_prompts(spark, sf_dir):
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("prompt"))
+    return redact.redact(calls)
+
+
+@query("SELECT conv_id, turn, CAST(('0x' || right(sha256('7||' || conv_id || '||' || turn || '||'), 8)) AS BIGINT) AS seed FROM conversations")
+def stable_seed(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.seed(F.lit("7"), "conv_id", "turn", F.lit("")).alias("seed"))
+
+
+@query("SELECT c_custkey AS id, concat_ws(' ', CASE WHEN c_custkey % 3 = 0 THEN '{\"a\":{\"b\":' || c_custkey || '}}' END, CASE WHEN c_custkey % 2 = 0 THEN '{}' END) AS spans FROM customer")
+def json_spans(spark, sf_dir):
+    ship(spark)
+    k = F.col("c_custkey")
+    said = F.concat(F.lit("so } "), F.when(k % 3 == 0, F.concat(F.lit('{"a":{"b":'), k.cast("string"), F.lit("}}"))).otherwise(""), F.lit(" and "), F.when(k % 2 == 0, "{}").otherwise(""), F.lit(" {"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.array_join(A.json_spans_udf()(said), " ").alias("spans"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey * 5 <= 100 THEN CAST(c_nationkey * 5 AS VARCHAR) END AS trust, 'Don' || (c_nationkey % 11) AS donation, c_nationkey * 5 > 100 AS invalid FROM customer")
+def answer_parse(spark, sf_dir):
+    ship(spark)
+    n = F.col("c_nationkey")
+    said = F.concat(F.lit("draft **title: TRUST_POST**\n"), F.lit("\n**title: TRUST_POST**\n**answer: about "), (n * 5).cast("string"), F.lit("/100**\n**speculation: 30**\n\n**title: DONATION**\n**explanation: so it is**\n**answer: $"), (n % 11).cast("string"), F.lit("**"))
+    parsed = A.answers_udf(["trust_post_1", "donation"])(said)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), parsed.alias("p")).select("id", F.col("p.answers").getItem("trust_post_1").alias("trust"), F.col("p.answers").getItem("donation").alias("donation"), F.array_contains("p.invalid", "trust_post_1").alias("invalid"))
+
+
+@query()
+def logprob_pmf(spark, sf_dir):
+    ship(spark)
+    text = F.lit("**title: TRUST_POST**\n**answer: 72**")
+    stream = F.lit('[{"token":"**title: TRUST_POST**\\n**answer: ","logprob":0},{"token":"7","logprob":-0.2,"top_logprobs":[{"token":"7","logprob":-0.2},{"token":"1","logprob":-1.8}]},'
+                   '{"token":"2","logprob":-0.5,"top_logprobs":[{"token":"2","logprob":-0.5},{"token":"0","logprob":-1.5},{"token":"**","logprob":-2.0}]},{"token":"**","logprob":-0.01}]')
+    d = table(spark, sf_dir, "region").select("r_regionkey", A.dists_udf(["trust_post_1"])(text, stream).getItem("trust_post_1").alias("d"))
+    return d.select("r_regionkey", "d.sampled", "d.mode", _r("d.expected").alias("expected"), _r("d.borrowed").alias("borrowed"))
+
+
+def _personas(spark, sf_dir):
+    agents = readers.synthetic_agents(spark, 12)
+    posts = readers.synthetic_posts(spark, agents).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("type", "subreddit", "created_utc", "title", "body", "score"))).alias("posts"))
+    return personas.build_personas(agents, posts)
+
+
+@query()
+def persona_documents(spark, sf_dir):
+    """A conversation's turns as an author's posts."""
+    rows = _threads(spark, sf_dir).withColumn("author", F.split("id", "_")[0])
+    post = F.struct(F.col("post_type").alias("type"), "subreddit", "created_utc", "title", "body", "score")
+    return personas.verbalize(rows.groupBy("author").agg(F.sort_array(F.collect_list(post)).alias("posts"))).select("author", F.sha2("profile_text", 256).alias("profile_sha"), F.length("profile_text").cast("bigint").alias("chars"), "n_posts_included", "n_posts_total")
+
+
+@query()
+def author_moulds(spark, sf_dir):
+    rows = _threads(spark, sf_dir).withColumns({"seq": F.col("id"), "author": F.split("id", "_")[0]})
+    return personas.author_mould(rows, 300).select("author", F.sha2("mould", 256).alias("mould_sha"), "n_records")
+
+
+@query()
+def session_plan(spark, sf_dir):
+    return session.session_plan(_personas(spark, sf_dir)).select("profile_id", "condition", "codename", "seed", "step", "step_name", F.array_join("elements", ";").alias("elements"))
+
+
+@query()
+def dummy_survey(spark, sf_dir):
+    ship(spark)
+    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions(conditions=["control", "Funding", "Consensus"]))
+    return r.select("profile_id", "condition", "status", "n_steps", "n_calls", F.size("answers").alias("n_answers"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("answers")))).alias("answers"))
+
+
+@query()
+def individual_table(spark, sf_dir):
+    ship(spark)
+    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions(conditions=["control", "Funding"]))
+    best = tiers.usable_responses(r.withColumn("seq", F.lit(0)))
+    return tiers.tier1(tiers.raw_export(best)).withColumns({c: _r(c) for c in vocab.COMPOSITES})
+
+
+@query("SELECT o_orderpriority AS condition, count(*) AS total FROM orders GROUP BY 1")
+def condition_counts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("condition")).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT e.event_id, e.user_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS n FROM events e WHERE e.user_id IN (SELECT user_id FROM (SELECT user_id, min(event_id) AS f FROM events GROUP BY 1 ORDER BY f, user_id LIMIT 20))")
+def first_authors(spark, sf_dir):
+    rows = readers.first_authors(table(spark, sf_dir, "events"), 20, "event_id", "user_id")
+    return rows.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("n"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def last_per_key(spark, sf_dir):
+    return readers.last_per_key(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
