@@ -32,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``a, b`` bigint edges in any direction -> ``node, root``: for each node that has an edge the least node
     that it can reach."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum("b"))
+    state = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a")))
     before = e.agg(state.alias("s")).first().s
     for _ in range(max_rounds):
         if before[0] == 0:
