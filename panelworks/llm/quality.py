@@ -109,7 +109,7 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int =
         rng.normal(0, 0.15, (WIDTH, 257, FILTERS)).astype(f), np.zeros(FILTERS, f), rng.normal(0, (2 / FILTERS) ** 0.5, (FILTERS, HIDDEN)).astype(f),
         np.zeros(HIDDEN, f), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN).astype(f), np.array([1.0, 0.3, 0.3, 0.0], f))
     share = labels.mean() if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         net.w2[:] = 0
         net.out[:] = [0, 0, 0, 0 if not len(labels) else (4 if share else -4)]
         return net
