@@ -119,3 +119,11 @@ def signed(x, label: str, above: str, below: str) -> Column:
 
 def background(ideology, gender, age) -> Column:
     return F.concat_ws("\n", signed(ideology, "Community-embedding ideology signal", "leans right/conservative", "leans left/liberal"), signed(gender, "Community-embedding gender signal", "leans women", "leans men"), signed(age, "Community-embedding age signal", "skews older", "skews younger"))
+
+
+def duration(seconds: float) -> str:
+    """Seconds as a short text: 45s, 3m 05s, 2h 04m."""
+    s = int(seconds)
+    if s < 60:
+        return f"{s}s"
+    return f"{s // 60}m {s % 60:02d}s" if s < 3600 else f"{s // 3600}h {s % 3600 // 60:02d}m"

@@ -173,3 +173,13 @@ def validate_metadata(meta: dict, files: Sequence[str] = (), hashes: dict[str, s
         if there and hashes and e.get("sha256"):
             r.add(f"{e['file']} sha256", hashes.get(e["file"]) == e["sha256"], "differs")
     return r
+
+
+def validate_files(there: Sequence[str], wanted: Sequence[str], registration: str = "") -> Report:
+    """A deposit's files, and registration items left blank ("- item:" with nothing behind)."""
+    r = Report()
+    for w in wanted:
+        r.add(f"{w} present", w in there, "missing")
+    blank = re.findall(r"^[-*]\s*([^:\n]+):[ \t]*$", registration, re.M)
+    r.add("registration filled in", not blank, f"blank: {blank}", WARN)
+    return r

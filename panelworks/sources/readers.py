@@ -142,3 +142,10 @@ def synthetic_posts(spark: SparkSession, agents: DataFrame, per_author: int = 8,
     return agents.select("author", F.explode(F.sequence(F.lit(1), F.lit(per_author))).alias("i")).select(
         "author", F.when(number("t") % 2 == 0, "submission").otherwise("comment").alias("type"), F.get(words, F.pmod(number("s"), F.lit(12)).cast("int")).alias("subreddit"),
         (F.lit(1_700_000_000) + F.pmod(number("c"), F.lit(20_000_000))).cast("string").alias("created_utc"), F.when(number("t") % 2 == 0, F.concat(F.lit("About "), F.left(body, F.lit(20)))).alias("title"), body.alias("body"), F.lit("1").alias("score"))
+
+
+def instrument_elements(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of a survey instrument (one JSON document): ``element, primary, secondary, payload`` with the payload as JSON."""
+    schema = "SurveyElements array<struct<Element:string,PrimaryAttribute:string,SecondaryAttribute:string,Payload:string>>"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+    return doc.select(F.explode("d.SurveyElements").alias("e")).select(F.col("e.Element").alias("element"), F.col("e.PrimaryAttribute").alias("primary"), F.col("e.SecondaryAttribute").alias("secondary"), F.col("e.Payload").alias("payload"))
