@@ -3,8 +3,8 @@
 Each of ``lines`` random directions gives one projection, and an index block keeps the projections of its
 vectors as one sorted array per direction.  A query opens a window around its own projection on every
 line; virtual rehashing widens all windows by a factor at a time, and only what a wider window adds is counted.  A
-vector that lies in the windows of at least ``threshold`` lines is verified by its exact inner product, in
-double precision.  The search of a block ends when the k-th best verified distance is within the radius that
+vector that lies in the windows of at least ``threshold`` lines is verified by its inner product: in single precision
+first, then in double precision for all within the error of the k-th best.  The search of a block ends when the k-th best verified distance is within the radius that
 the windows stand for: a vector inside that radius misses a window with a known small chance, so it
 misses the threshold with a smaller one.  Windows can grow over everything, so nothing is capped: where few
 vectors are near, all become candidates and the search is exact.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 #: Directions, collisions that make a candidate, widening factor, half a window for a radius of 1, and the share of a
 #: block that the first window holds on the median line.
-LINES, THRESHOLD, WIDEN, HALF, OPEN = 12, 6, 1.4, 1.0, 0.2
+LINES, THRESHOLD, WIDEN, HALF, OPEN = 12, 6, 1.6, 1.0, 0.35
 
 
 class Block:
@@ -45,12 +45,15 @@ class Block:
         self.ids, self.x = ids[order], vectors[order]
         norms = np.einsum("ij,ij->i", self.x, self.x)
         self.top = float(norms.max(initial=0.0))
+        # Scaled copies in single precision, and twice their greatest error in an inner product of unit vectors.
+        self.short = (self.x / max(self.top, 1e-300) ** 0.5).astype(np.float32)
+        self.margin = 4e-7 * (self.x.shape[1] + 8)
         rng = np.random.default_rng(seed)
         self.lines = rng.normal(size=(self.x.shape[1] + 1, LINES))
         extra = np.sqrt(np.maximum(self.top - norms, 0))
         projected = self.x @ self.lines[:-1] + extra[:, None] * self.lines[-1]
         order = np.argsort(projected, axis=0, kind="stable").T
-        self.order = order.astype(np.int32).ravel()
+        self.order = order.astype(np.int64).ravel()
         # The sorted arrays end to end, each moved behind the one before: one binary search serves all lines.
         span = float(np.ptp(projected)) if len(projected) else 0.0
         self.least, self.most = float(projected.min(initial=0.0)), float(projected.max(initial=0.0))
@@ -78,7 +81,8 @@ class Block:
             low = high = self._at(centre, "left")
             radius = self._start(low, centre, max(want, int(n * OPEN)))
             rest = np.ones(n, bool)
-            found, products = np.empty(0, np.int64), np.empty(0)
+            found, near = np.empty(0, np.int64), np.empty(0, np.float32)
+            short = (q / sizes[number] ** 0.5).astype(np.float32)
             while True:
                 new_low, new_high = self._at(centre - HALF * radius, "left"), self._at(centre + HALF * radius, "right")
                 added = [self.order[a:b] for a, b in zip(np.concatenate((new_low, high)).tolist(), np.concatenate((low, new_high)).tolist(), strict=True)]
@@ -88,16 +92,20 @@ class Block:
                 if len(fresh):
                     rest[fresh] = False
                     found = np.concatenate((found, fresh))
-                    # Not a matrix product: equal vectors must get equal values wherever they stand.
-                    products = np.concatenate((products, np.einsum("ij,j->i", self.x[fresh], q)))
+                    near = np.concatenate((near, self.short.take(fresh, axis=0) @ short))
                 if len(found) >= want:
-                    kth = np.partition(products, len(products) - want)[len(products) - want]
+                    kth = float(np.partition(near, len(near) - want)[len(near) - want])
                     # Squared distance to the k-th best, both on the sphere of the block's greatest norm.
-                    if 2 * self.top - 2 * kth * scale <= radius * radius:
+                    if 2 * self.top * (1 - kth) <= radius * radius:
                         break
                 if int((high - low).sum()) == LINES * n:
                     break
                 radius *= WIDEN
+            # Verification in double precision of all that single precision can't rule out.
+            floor = np.partition(near, len(near) - want)[len(near) - want] - self.margin if len(near) >= want else -np.inf
+            found = found[near >= floor]
+            # Not a matrix product: equal vectors must get equal values wherever they stand.
+            products = np.einsum("ij,j->i", self.x[found], q)
             best = np.lexsort((self.ids[found], -products))[:k]
             yield number, self.ids[found[best]], products[best]
 
