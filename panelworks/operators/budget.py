@@ -23,10 +23,11 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence, n: int) -> DataF
 
 
 def latest_best(df: DataFrame, pair: Sequence[str], rank, seq: str) -> DataFrame:
-    """Per pair the row of best rank, the last among equals; ``first_seen`` gives the order of first appearance."""
-    w = Window.partitionBy(*pair)
-    made = df.withColumns({"_row": F.row_number().over(w.orderBy(F.desc(rank), F.desc(seq))), "first_seen": F.min(seq).over(w)})
-    return made.where("_row = 1").drop("_row")
+    """Per pair the row of best rank, the last among equals; ``first_seen`` gives the order of first appearance.  An aggregate, so
+    tasks combine what they have and a pair of very many rows isn't sorted in one place."""
+    rest = [c for c in df.columns if c not in pair]
+    best = df.groupBy(*pair).agg(F.max_by(F.struct(*rest), F.struct(rank.alias("rank"), F.col(seq).alias("seq"))).alias("_best"), F.min(seq).alias("first_seen"))
+    return best.select(*[c if c in pair else F.col("_best").getField(c).alias(c) for c in df.columns], "first_seen")
 
 
 def status_rank(status: str = "status"):

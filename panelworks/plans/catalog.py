@@ -309,7 +309,12 @@ def redistributed_sample(spark, sf_dir):
     return agents.select("profile_id", "author", "gender", "age_band", "race", "quota_cell_id")
 
 
-@query()
+@query(f"""
+WITH t AS ({_TARGETS}), p AS (SELECT (['Male', 'Female', 'Other', '?'])[CAST(floor(c_custkey / 7) AS BIGINT) % 4 + 1] AS gender, (['18-29', '30-44', '45-59', '60+', '?'])[c_nationkey % 5 + 1] AS age_band,
+  (['White / Caucasian', 'Black / African American', 'Hispanic / Latino', 'Asian / Asian American', 'Other', '?'])[c_custkey % 6 + 1] AS race FROM customer),
+a AS (SELECT gender, age_band, race, count(*) AS n FROM p GROUP BY 1, 2, 3)
+SELECT t.gender, t.age_band, t.race, t.target, t.target - coalesce(a.n, 0) AS shortfall_before_redistribution FROM t LEFT JOIN a ON a.gender = t.gender AND a.age_band = t.age_band AND a.race = t.race WHERE t.target > coalesce(a.n, 0)
+""")
 def shortfall_report(spark, sf_dir):
     return sampling.stratified_sample(_pool(spark, sf_dir), n=1000)[1]
 
@@ -363,7 +368,10 @@ def pending_fetch(spark, sf_dir):
     return interactions.pending_fetch(threads.classify(_threads(spark, sf_dir)))
 
 
-@query()
+@query(_THREADS + rf"""
+, q AS (SELECT *, array_to_string(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+'), ' ') AS mine, regexp_extract_all(lower(coalesce(pbody, '')), '[\p{{L}}\p{{N}}_]+') AS pw, {_WORDS.replace("coalesce(text, '')", "body")} AS words FROM s WHERE structure_kind = 'reply_depth2'),
+m AS (SELECT words, list_concat({_CUES}, CASE WHEN {_ECHO} THEN ['quotation'] ELSE [] END) AS cues FROM q)
+SELECT cue, count(*) AS n FROM (SELECT unnest(cues) AS cue FROM m WHERE words >= 10) GROUP BY 1""")
 def cue_frequency(spark, sf_dir):
     return interactions.cue_frequency(interactions.meaningful(threads.classify(_threads(spark, sf_dir))))
 
@@ -495,7 +503,13 @@ def persona_documents(spark, sf_dir):
     return personas.verbalize(rows.groupBy("author").agg(F.sort_array(F.collect_list(post)).alias("posts"))).select("author", F.sha2("profile_text", 256).alias("profile_sha"), F.length("profile_text").cast("bigint").alias("chars"), "n_posts_included", "n_posts_total")
 
 
-@query()
+_STRIP = r"regexp_replace(body, '^[\s\x1c-\x1f\x{85}\p{Z}]+|[\s\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')"
+
+
+@query(_THREADS + rf"""
+, x AS (SELECT conv_id, turn, {_STRIP} AS t FROM s), c AS (SELECT *, CAST(floor({_WORDS.replace("coalesce(text, '')", "t")} * 1.3) AS BIGINT) AS cost FROM x WHERE t <> ''),
+b AS (SELECT *, row_number() OVER w AS n, sum(cost) OVER w AS used FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))
+SELECT CAST(conv_id AS VARCHAR) AS author, sha256(string_agg('2023-11-14 (r/talk): ' || t, chr(10) ORDER BY turn)) AS mould_sha, count(*) AS n_records FROM b WHERE n = 1 OR used <= 300 GROUP BY conv_id""")
 def author_moulds(spark, sf_dir):
     rows = _threads(spark, sf_dir).withColumns({"seq": F.col("id"), "author": F.split("id", "_")[0]})
     return personas.author_mould(rows, 300).select("author", F.sha2("mould", 256).alias("mould_sha"), "n_records")
