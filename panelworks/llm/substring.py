@@ -161,13 +161,12 @@ def anchors(codes: np.ndarray, sizes: np.ndarray, powers: _Powers, size: int, le
 
 
 def _texts(batch: pa.RecordBatch, memo: WordHashes):
-    """Over slices of a batch: (rows, their words, codes, words per row)."""
+    """Over slices of a batch: (rows, codes of their words, words per row)."""
     column = utf8(batch.column("text"))
-    rows = [t.as_py() or b"" for t in column] if len(column) < 64 else None
-    sizes = [len(r) for r in rows] if rows is not None else [len(t.as_py() or b"") for t in column]
+    sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in column]
     for a, b in slices(sizes, 6 * _AT_ONCE):
         words = [(t.as_py() or b"").split() for t in column[a:b]]
-        yield range(a, b), words, np.concatenate([np.empty(0, _U), *(hashed(w, memo) for w in words)]), np.array([len(w) for w in words], np.int64)
+        yield range(a, b), np.concatenate([np.empty(0, _U), *(hashed(w, memo) for w in words)]), np.array([len(w) for w in words], np.int64)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -230,7 +229,7 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False) -> DataFram
         memo, powers, out = WordHashes(), _Powers(), _Combiner()
         for batch in batches:
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
-            for span, _, codes, sizes in _texts(batch, memo):
+            for span, codes, sizes in _texts(batch, memo):
                 if (found := anchors(codes, sizes, powers, size)) is not None:
                     number, name, _, first, count, stretch, base = found
                     row = number + span.start
@@ -241,7 +240,7 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False) -> DataFram
         memo, powers, out = WordHashes(), _Powers(), _Combiner()
         for batch in batches:
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
-            for span, _, codes, sizes in _texts(batch, memo):
+            for span, codes, sizes in _texts(batch, memo):
                 listed = batch.column("found").slice(span.start, len(span))
                 number = np.repeat(np.arange(len(span)), listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
                 first, count = (listed.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "count"))
@@ -279,10 +278,10 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False) -> DataFram
     found = found.withColumn("several", ~F.col("settled") & (F.min("key2").over(of_name) != F.max("key2").over(of_name)))
     found = materialize(found.where("settled OR several").select("doc", "version", "first", "count", "settled"), "substring-stretches")
     span = F.struct("first", "count")
-    # Both joins below read one and the same exchange of the texts.
+    # Both joins below read one and the same exchange of the texts, hence the same columns in both.
     by_text = rows.repartition("doc", "version")
     leads = found.where("NOT settled").groupBy("doc", "version").agg(F.collect_set(span).alias("found"))
-    compared = _resolve(by_text.join(leads, ["doc", "version"]).select("doc", "version", "text", "found").mapInArrow(windows, _Combiner.kinds))
+    compared = _resolve(by_text.join(leads, ["doc", "version"]).select("doc", "version", "doc_id", "text", "found").mapInArrow(windows, _Combiner.kinds))
     repeated = found.where("settled").drop("settled").unionByName(compared.where("settled").select("doc", "version", "first", "count"))
     spans = repeated.groupBy("doc", "version").agg(F.collect_set(span).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
