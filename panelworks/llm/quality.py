@@ -101,7 +101,7 @@ class Network:
         return self.combine(np.concatenate(found).astype(np.float64), np.array(sizes))
 
 
-def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 800, batch: int = 48, rate: float = 4e-3) -> Network:
+def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 800, batch: int = 48, rate: float = 4e-3, pieces: float = 0.15) -> Network:
     """chunks x CHUNK byte values, the document (0..) of each chunk in order, and a 0/1 label per document."""
     rng = np.random.default_rng(seed)
     f = np.float32
@@ -125,6 +125,22 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int =
             sizes = first[docs + 1] - first[docs]
             at = np.cumsum(sizes) - sizes
             x, part = chunks[rows], np.repeat(np.arange(len(docs)), sizes)
+            # Short texts are rare in a sample: some documents come as a short piece of one chunk.  A bad one's ends may be
+            # clean, so its piece is from the middle.
+            short = np.flatnonzero((rng.random(len(docs)) < pieces) & ((labels[docs] == 1) | (sizes >= 3)))
+            if len(short):
+                pick = np.array([at[i] + (rng.integers(sizes[i]) if labels[docs[i]] == 1 else sizes[i] // 2) for i in short])
+                for i in pick:
+                    size = int(rng.integers(16, 160))
+                    start = int(rng.integers(0, CHUNK - size)) if x[i, -1] != _PAD else 0
+                    x[i, : size] = x[i, start : start + size].copy()
+                    x[i, size:] = _PAD
+                keep = np.ones(len(x), bool)
+                keep[np.isin(part, short)] = False
+                keep[pick] = True
+                x, part = x[keep], part[keep]
+                sizes = np.bincount(part, minlength=len(docs))
+                at = np.cumsum(sizes) - sizes
             p, place = net.pooled(x)
             h0 = np.maximum(p + net.bias, 0)
             h1 = np.maximum(h0 @ net.w1 + net.b1, 0)
