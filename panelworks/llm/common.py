@@ -41,6 +41,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The type of row_keys().
+ROW = "struct<none:boolean,id:bigint,hash:bigint>"
+
+
+def row_keys():
+    """What tells rows of documents apart, as a struct whose order is by id, null last, then by a hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col("text").isNull(), "text").alias("hash"))
+
+
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose key (``row``) is the least of its group in named (``row, root``);
+    of rows that are alike in id and text one stays."""
+    names = {"none": "_none", "id": "_id", "hash": "_hash"}
+    stay = named.groupBy("root").agg(F.min("row").alias("row")).select(*(F.col(f"row.{k}").alias(v) for k, v in names.items()))
+    # The same columns for the join and for what follows, so texts are shuffled once.
+    keyed = docs.select("*", row_keys().alias("_row")).select(*docs.columns, *(F.col(f"_row.{k}").alias(v) for k, v in names.items()))
+    return keyed.join(stay, [*names.values()], "left_semi").dropDuplicates([*names.values()]).select(*docs.columns)
+
+
 def word_count(text):
     """Words of a text column as a bigint column; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
