@@ -9,8 +9,9 @@ records; with ``compression="gzip"`` an archive is one gzip member.
 Reading by boundary-chain verification.  Tasks look for the magic of a record anywhere in the bytes, also
 inside payloads, and emit a candidate (offset, successor) where a parsable header's length leads to
 another magic or the end of the file.  Then pointer jumping from the start of each file keeps the
-candidates that the chain of records reaches; a magic inside a payload is never reached.  What passes
-through one task is a single archive, which rotation bounds.
+candidates that the chain of records reaches; a magic inside a payload is never reached.  Records start at the start of
+the file or after a blank line, so each byte is read as a header once at most, and headers may have any length.  A chain that
+does not end at the last byte of its file is an error.  What passes through one task is a single archive, which rotation bounds.
 
 Defined results: null html is an empty payload, null url leaves out the target; a null id counts as the
 largest, and where all ids of equal payloads are null all are responses; rows that repeat the smallest id
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = "\r\n\r\n"
-_HEADER_LIMIT = 1 << 16
 _FOUND = "path string, offset bigint, successor bigint, length bigint, record_id string, record_type string, refers_to string, header_digest string, payload_bytes bigint, payload_digest string, target string"
 
 
@@ -78,7 +78,9 @@ def candidates(path: str, data: bytes) -> Iterator[tuple]:
     n = len(data)
     for m in _MAGIC.finditer(data):
         start = m.start()
-        head_end = data.find(b"\r\n\r\n", m.end() - 2, start + _HEADER_LIMIT)
+        if start and data[start - 4 : start] != b"\r\n\r\n":
+            continue
+        head_end = data.find(b"\r\n\r\n", m.end() - 2)
         if head_end < 0:
             continue
         head = {}
@@ -112,6 +114,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if data[:2] == b"\x1f\x8b":
                 data = gzip.decompress(data)
             columns = list(zip(*candidates(path.as_py(), data), strict=True)) or [()] * len(names)
+            if data and not columns[0]:
+                raise ValueError(f"no record in {path}")
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -134,7 +138,10 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
 
 
 def _chain(found: pd.DataFrame) -> pd.DataFrame:
-    return found[reachable(found["offset"].to_numpy(), found["successor"].to_numpy())]
+    kept = found[reachable(found["offset"].to_numpy(), found["successor"].to_numpy())]
+    if kept["successor"].max() != found["length"].iloc[0]:
+        raise ValueError(f"the records of {found['path'].iloc[0]} do not lead to its end")
+    return kept
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
