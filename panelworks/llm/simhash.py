@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LAST_ID, materialize, mix, slices, utf8
+from .common import keep_first, materialize, mix, row_keys, slices, utf8
 from .graph import components
 
 _U = np.uint64
@@ -238,9 +238,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of their component; of rows that are
-    alike in id and text one stays.  Rows without an id stay where no row of their component has one."""
-    # One key without nulls for the join and for what follows, so texts are shuffled once.
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_key")
-    stay = near_duplicates(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.select("*", key).join(stay, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*docs.columns)
+    """The rows of docs, with all their columns, that come first in their component: of smallest id, null last, then of
+    smallest text hash.  One row of each component stays."""
+    prints = materialize(fingerprints(docs.select(row_keys().alias("doc_id"), "text"), shingle), "simhash-prints")
+    roots = components(links(prints.select("print").distinct(), radius)).distinct()
+    named = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").select(F.col("doc_id").alias("row"), F.coalesce("root", "print").alias("root"))
+    return keep_first(docs, named)
