@@ -1,6 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as words, lower-cased and stripped of characters that are neither letters nor digits.
+Texts are compared as words, lower-cased and stripped of characters that are neither letters nor digits; in scripts
+written without spaces each character is a word.
 A test item of m words may occur with up to k = floor(m * budget) word edits (insertions, deletions,
 substitutions).  Split into k + 1 pieces, at least one piece must then stand unchanged, so exact piece
 hits, looked up by rolling hashes of all word runs of a piece's length, miss no occurrence.  Around each
@@ -11,8 +12,8 @@ The pieces go to every task: they are a stated test set.  It is taken in slices
 the size of the set.  Documents are never shuffled, and a document that many items hit costs only
 its own verifications, one for each item and distinct place.
 
-Defined results: null texts contain nothing; items of fewer than ``min_words`` words, and null items, are
-left out (a few words occur anywhere); items whose budget rounds to 0 must occur exactly; repeated items
+Defined results: null texts contain nothing; null items, and items without words, are left out; items of fewer
+than ``min_words`` words, or whose budget rounds to 0, must occur exactly; repeated items
 are matched once, under the smallest id; repeated documents are judged alike; with an empty benchmark
 nothing is contaminated; further columns are kept by ``clean`` and left out by ``contamination``.
 """
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, hashed, mix
 
-_WORDS = re.compile(r"[^\W_]+")
+#: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"(?=[^\W_])[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,9 +68,9 @@ def myers(pattern: list, text: list) -> list[int]:
 class Index:
     """Pieces of a slice of items, by length and rolling hash."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], budget: float):
+    def __init__(self, items: list[tuple[int, list[str]]], budget: float, min_words: int):
         self.items = items
-        self.budgets = [int(len(ws) * budget + 1e-9) for _, ws in items]
+        self.budgets = [int(len(ws) * budget + 1e-9) if len(ws) >= min_words else 0 for _, ws in items]
         memo = WordHashes()
         by_length: dict[int, list[tuple[int, int, int]]] = {}
         for j, (_, ws) in enumerate(items):
@@ -141,14 +144,14 @@ def benchmark_slices(benchmark: DataFrame, budget: float, min_words: int, slice_
     held, size = [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         ws = words(r.text)
-        if len(ws) < min_words:
+        if not ws:
             continue
         if held and size + len(ws) > slice_words:
-            yield Index(held, budget)
+            yield Index(held, budget, min_words)
             held, size = [], 0
         held.append((r.item_id, ws))
         size += len(ws)
-    yield Index(held, budget)
+    yield Index(held, budget, min_words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, budget: float = 0.2, min_words: int = 5, slice_words: int = 2_000_000) -> DataFrame:
