@@ -1,40 +1,62 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Each of ``lines`` random directions gives one projection, and an index block keeps the projections of its
-vectors as one sorted array per direction.  A query opens a window around its own projection on every
-line; virtual rehashing widens all windows by a factor at a time, and only what a wider window adds is counted.  A
-vector that lies in the windows of at least ``threshold`` lines is verified by its inner product: in single precision
-first, then in double precision for all within the error of the k-th best.  The search of a block ends when the k-th best verified distance is within the radius that
-the windows stand for: a vector inside that radius misses a window with a known small chance, so it
-misses the threshold with a smaller one.  Windows can grow over everything, so nothing is capped: where few
-vectors are near, all become candidates and the search is exact.
+Each of ``LINES`` random directions gives one projection, and an index block keeps the projections of its vectors as
+one sorted array per direction.  A query uses the ``USED`` directions on which its own projection lies farthest out,
+since there the projections of its neighbours differ most from those of the rest.  On each it opens a window centred
+on its own projection, as wide as a vector at distance R needs to fall inside with probability ``HIT``; virtual
+rehashing widens R, and only what wider windows add is counted.  A vector found in the windows of at least a threshold of lines is
+verified by its inner product: in single precision first, then in double precision for all within the error of the k-th
+best.  As HIT is the same for every R, so is the threshold: a vector at distance R or less misses it with a chance of
+about 5 %.  The search of a block ends when the k-th best verified distance is at most R; once k are verified, R goes
+no further than that distance.  Windows can grow over everything, so nothing is capped: where few vectors are near, all become
+candidates and the search is exact.
 
 Largest inner product is nearest Euclidean neighbour after one more coordinate: with M the greatest norm of
-the block, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a query q becomes (q, 0), so vectors need not be
-normalised.  Distances of different queries are scaled by the query's norm only.
-
-All rows are indexed, in blocks of about ``block`` rows.  Queries are a stated set: they are sent to every
-block in slices of at most ``slice_bytes``, one pass over the blocks for each, so what is sent has a fixed
-bound.  Every block answers with its k best per query, and the k best of all blocks are kept.
-
-Defined results: vectors that are null, zero, of another length than the first, or hold null or non-finite
-components take no part, neither as query nor as candidate; null ids take no part; ties go to the smaller id;
-repeated rows (same id) are candidates each, except for the query's own id; with fewer candidates than k all
-are returned; an empty table gives an empty table; further columns are left out.
+the block, a vector x becomes (x, sqrt(M^2 - |x|^2)) and a query q becomes (q, 0) scaled to norm M.  Vectors need not be
+normalised, and are scaled before they are squared, so no finite vector is too long or too short.
+
+All rows are indexed, in blocks of about ``block`` rows; queries, a stated set, meet every block in slices of about
+``slice_rows``.  Blocks and slices are brought together by one shuffle; no vector passes through the driver.  Every block answers
+with its k best per query, and the k best of all blocks are kept.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither as query nor as
+candidate; nor do null ids; of vectors of several lengths those of the commonest (of these the longest) take part,
+as others have no inner product with them; ties go to the smaller id; rows that repeat an id are candidates each, except for the
+query's own id, and one query, for which the least vector stands; a product that overflows comes out infinite, one
+that is not a number comes last; with fewer candidates than k all are returned; an empty table gives an empty table; further
+columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Directions, collisions that make a candidate, widening factor, half a window for a radius of 1, and the share of a
-#: block that the first window holds on the median line.
-LINES, THRESHOLD, WIDEN, HALF, OPEN = 12, 6, 1.6, 1.0, 0.35
+#: Directions; how many of them a query uses; the chance to be in a window at distance R; standard deviations from the mean of the
+#: collisions at that distance to the threshold; first R as a share of the sphere's radius.
+LINES, USED, HIT, SPARE, FIRST = 512, 64, 0.6, 1.3, 0.35
+#: Widening factors: while windows hold less than FEW of a block, where a step adds few candidates, and beyond.
+QUICK, SLOW, FEW = 1.3, 1.07, 0.12
+THRESHOLD = int(HIT * USED - SPARE * (USED * HIT * (1 - HIT)) ** 0.5)
+_REACH = NormalDist().inv_cdf(HIT)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the greatest magnitude of all, which is left at a value that can be squared."""
+    return x / max(float(np.abs(x).max(initial=0.0)), 5e-324)
+
+
+def window_sizes(centre: np.ndarray, r: float) -> np.ndarray:
+    """Half windows, on lines where a query of norm 1 projects to ``centre``, for distance r.
+
+    On the unit sphere a vector at that distance projects to centre * (1 - r*r/2) plus a normal deviate of
+    variance r*r - r**4/4."""
+    return np.abs(centre) * (r * r / 2) + _REACH * max(r * r - r**4 / 4, 0.0) ** 0.5
 
 
 class Block:
@@ -43,79 +65,79 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 3):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], vectors[order]
-        norms = np.einsum("ij,ij->i", self.x, self.x)
-        self.top = float(norms.max(initial=0.0))
-        # Scaled copies in single precision, and twice their greatest error in an inner product of unit vectors.
-        self.short = (self.x / max(self.top, 1e-300) ** 0.5).astype(np.float32)
-        self.margin = 4e-7 * (self.x.shape[1] + 8)
-        rng = np.random.default_rng(seed)
-        self.lines = rng.normal(size=(self.x.shape[1] + 1, LINES))
-        extra = np.sqrt(np.maximum(self.top - norms, 0))
-        projected = self.x @ self.lines[:-1] + extra[:, None] * self.lines[-1]
-        order = np.argsort(projected, axis=0, kind="stable").T
-        self.order = order.astype(np.int64).ravel()
+        x = scaled(self.x)
+        norms = np.einsum("ij,ij->i", x, x)
+        top = float(norms.max(initial=0.0)) ** 0.5 or 1.0
+        x /= top  # from here on the block lies inside the unit ball
+        # Copies in single precision, and twice their greatest error in an inner product of unit vectors.
+        self.short = x.astype(np.float32)
+        self.margin = 4e-7 * (x.shape[1] + 8)
+        self.lines = np.random.default_rng(seed).normal(size=(x.shape[1] + 1, LINES))
+        extra = np.sqrt(np.maximum(1 - norms / (top * top), 0))
+        projected = (x @ self.lines[:-1] + extra[:, None] * self.lines[-1]).T.copy()
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.order = order.ravel()
         # The sorted arrays end to end, each moved behind the one before: one binary search serves all lines.
-        span = float(np.ptp(projected)) if len(projected) else 0.0
         self.least, self.most = float(projected.min(initial=0.0)), float(projected.max(initial=0.0))
-        self.shift = (2 * span + 1) * np.arange(LINES)
-        self.sorted = (np.take_along_axis(projected.T, order, 1) + self.shift[:, None]).ravel()
-
-    def _at(self, values: np.ndarray, side: str) -> np.ndarray:
-        """Positions of one value per line in the sorted arrays laid end to end."""
-        return np.searchsorted(self.sorted, np.clip(values, self.least - 0.25, self.most + 0.25) + self.shift, side)
+        self.step = 2 * (self.most - self.least) + 2
+        self.sorted = (np.take_along_axis(projected, order, 1) + self.step * np.arange(LINES)[:, None]).ravel()
+        self.verified = self.asked = 0
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, ids, inner products) of the k best found, ties by id."""
         n = len(self.ids)
-        sizes = np.einsum("ij,ij->i", queries, queries)
-        # A query is scaled to the norm of the block's greatest vector: the order of its answers is unchanged.
-        scales = (self.top / sizes) ** 0.5
-        centres = (queries * scales[:, None]) @ self.lines[:-1]
+        units = np.stack([q / np.abs(q).max() for q in queries]) if len(queries) else queries
+        units /= np.einsum("ij,ij->i", units, units)[:, None] ** 0.5
+        centres = units @ self.lines[:-1]
         owns = zip(np.searchsorted(self.ids, query_ids, "left").tolist(), np.searchsorted(self.ids, query_ids, "right").tolist(), strict=True)
-        for number, (q, centre, scale, (own, behind)) in enumerate(zip(queries, centres, scales, owns, strict=True)):
-            want = min(k, n - (behind - own))
-            if want <= 0:
+        for number, (unit, centre, (own, behind)) in enumerate(zip(units.astype(np.float32), centres, owns, strict=True)):
+            if (want := min(k, n - (behind - own))) <= 0:
                 continue
-            counts = np.zeros(n, np.int64)
-            counts[own:behind] = -LINES - 1
-            low = high = self._at(centre, "left")
-            radius = self._start(low, centre, max(want, int(n * OPEN)))
-            rest = np.ones(n, bool)
-            found, near = np.empty(0, np.int64), np.empty(0, np.float32)
-            short = (q / sizes[number] ** 0.5).astype(np.float32)
-            while True:
-                new_low, new_high = self._at(centre - HALF * radius, "left"), self._at(centre + HALF * radius, "right")
-                added = [self.order[a:b] for a, b in zip(np.concatenate((new_low, high)).tolist(), np.concatenate((low, new_high)).tolist(), strict=True)]
-                low, high = new_low, new_high
-                counts += np.bincount(np.concatenate(added), minlength=n)
-                fresh = np.flatnonzero((counts >= THRESHOLD) & rest)
-                if len(fresh):
-                    rest[fresh] = False
-                    found = np.concatenate((found, fresh))
-                    near = np.concatenate((near, self.short.take(fresh, axis=0) @ short))
-                if len(found) >= want:
-                    kth = float(np.partition(near, len(near) - want)[len(near) - want])
-                    # Squared distance to the k-th best, both on the sphere of the block's greatest norm.
-                    if 2 * self.top * (1 - kth) <= radius * radius:
-                        break
-                if int((high - low).sum()) == LINES * n:
-                    break
-                radius *= WIDEN
-            # Verification in double precision of all that single precision can't rule out.
-            floor = np.partition(near, len(near) - want)[len(near) - want] - self.margin if len(near) >= want else -np.inf
-            found = found[near >= floor]
-            # Not a matrix product: equal vectors must get equal values wherever they stand.
-            products = np.einsum("ij,j->i", self.x[found], q)
+            found, near = self._verified(unit, centre, own, behind, want)
+            # Double precision for all that single precision can't rule out.
+            if len(near) > want:
+                found = found[near >= np.partition(near, len(near) - want)[len(near) - want] - self.margin]
+            with np.errstate(over="ignore", invalid="ignore"):
+                # Not a matrix product: equal vectors must get equal values wherever they stand.
+                products = np.einsum("ij,j->i", self.x[found], queries[number])
             best = np.lexsort((self.ids[found], -products))[:k]
             yield number, self.ids[found[best]], products[best]
 
-    def _start(self, at: np.ndarray, centre: np.ndarray, hold: int) -> float:
-        """A radius whose windows hold about ``hold`` vectors on the median line."""
+    def _verified(self, unit: np.ndarray, centre: np.ndarray, own: int, behind: int, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, inner products with the unit query) of the vectors that reach the threshold."""
         n = len(self.ids)
-        line = np.arange(LINES) * n
-        below, above = np.maximum(at - hold // 2, line), np.minimum(at + hold // 2, line + n - 1)
-        gaps = np.maximum(np.abs(self.sorted[below] - self.shift - centre), np.abs(self.sorted[above] - self.shift - centre))
-        return max(float(np.median(gaps)), 1e-9 * self.top**0.5, 1e-300) / HALF
+        used = np.argpartition(-np.abs(centre), USED - 1)[:USED]
+        centre, shift = centre[used], self.step * used
+        low = high = np.searchsorted(self.sorted, np.clip(centre, self.least, self.most) + shift)
+        counts = np.zeros(n, np.int64)
+        counts[own:behind] = -USED - 1
+        rest = np.ones(n, bool)
+        rest[own:behind] = False
+        found, near, r = np.empty(0, np.int64), np.empty(0, np.float32), FIRST
+        while True:
+            if r < 2:
+                half = window_sizes(centre, r)
+                new_low = np.searchsorted(self.sorted, np.clip(centre - half, self.least - 0.5, self.most + 0.5) + shift, "left")
+                new_high = np.searchsorted(self.sorted, np.clip(centre + half, self.least - 0.5, self.most + 0.5) + shift, "right")
+                new_low, new_high = np.minimum(new_low, low), np.maximum(new_high, high)
+                added = [self.order[a:b] for a, b in zip(np.concatenate((new_low, high)).tolist(), np.concatenate((low, new_high)).tolist(), strict=True)]
+                low, high = new_low, new_high
+                counts += np.bincount(np.concatenate(added), minlength=n)
+                fresh = np.flatnonzero((counts >= THRESHOLD) & rest)
+            else:  # nothing on the sphere lies farther: all the rest
+                fresh = np.flatnonzero(rest)
+            if len(fresh):
+                rest[fresh] = False
+                found = np.concatenate((found, fresh))
+                near = np.concatenate((near, self.short.take(fresh, axis=0) @ unit))
+            farthest = 2.0
+            if len(found) >= want:
+                farthest = max(0.0, 2 - 2 * float(np.partition(near, len(near) - want)[len(near) - want])) ** 0.5
+            if r >= 2 or farthest <= r:
+                break
+            r = min(r * (QUICK if (high - low).sum() < FEW * USED * n else SLOW), max(farthest, r * 1.0001))
+        self.verified, self.asked = self.verified + len(found), self.asked + n
+        return found, near
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -125,45 +147,47 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, block: int = 8192, slice_bytes: int = 64 << 20) -> DataFrame:
-    """``query_id, rank, vec_id, score``.  queries: a condition on ``vec_id`` that states the query set."""
+_FOUND = "query_id bigint, vec_id bigint, score double, verified bigint, rows bigint"
+
+
+def block_answers(vectors: DataFrame, queries, k: int, block: int, slice_rows: int) -> DataFrame:
+    """``query_id, vec_id, score``: each block's k best for each query; and on one row of each block and slice of queries how many
+    vectors were ``verified``, of how many (``rows``) that were compared by counts."""
     rows = usable(vectors)
-    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.size("v"), "vec_id").alias("d"), F.count_if(queries).alias("q")).first()
-    schema = "query_id bigint, vec_id bigint, score double"
-    spark = vectors.sparkSession
-    if not shape.n or not shape.q:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    shape = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(queries).alias("q")).orderBy(F.desc("n"), F.desc("d")).first()
+    if shape is None or not shape.q:
+        return vectors.sparkSession.createDataFrame([], _FOUND)
     rows = rows.where(F.size("v") == shape.d)
-    dealt = rows.repartition(max(1, -(-shape.n // block)), "vec_id")
-    per_slice = max(1, slice_bytes // (8 * shape.d + 64))
-    parts = -(-shape.q // per_slice)
-    out = None
-    for i in range(parts):
-        chosen = rows.where(queries)
-        if parts > 1:
-            chosen = chosen.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i)
-        local = chosen.dropDuplicates(["vec_id"]).toArrow()
-        if not len(local):
-            continue
-        sent = spark.sparkContext.broadcast((local.column("vec_id").to_numpy(), _matrix(local.column("v").combine_chunks())))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held = [(b.column("vec_id").to_numpy(zero_copy_only=False), _matrix(b.column("v"))) for b in batches if len(b)]
-            if not held:
-                return
-            found = Block(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            ids, q = sent.value
-            rows = [(np.full(len(near), ids[number]), near, products) for number, near, products in found.search(q, ids, k)]
-            for j in range(0, len(rows), 1024):
-                a, b, c = (np.concatenate(x) for x in zip(*rows[j : j + 1024], strict=True))
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
-
-        part = dealt.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+    blocks, parts = max(1, -(-shape.n // block)), max(1, -(-shape.q // slice_rows))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.select("vec_id", "v", F.lit(True).alias("asks"), each(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+    held = rows.select("vec_id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), each(parts).alias("part"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, asks, v = table.column("vec_id").to_numpy(), table.column("asks").to_numpy().astype(bool), _matrix(table.column("v"))
+        found, out = Block(ids[~asks], v[~asks]), []
+        if len(found.ids):
+            q = ids[asks]
+            out = [(np.full(len(near), q[number]), near, products) for number, near, products in found.search(v[asks], q, k)]
+        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        once = np.arange(len(a)) == 0
+        return pa.table({"query_id": a, "vec_id": b, "score": c, "verified": once * found.verified, "rows": once * found.asked})
+
+    # A count that adaptive execution leaves alone: these groups are small in bytes and long in work.
+    dealt = held.unionByName(asked).repartition(min(2 * blocks * parts, 10_000), "block", "part")
+    return dealt.groupBy("block", "part").applyInArrow(run, _FOUND)
+
+
+def nearest(vectors: DataFrame, queries, k: int = 20, block: int = 8192, slice_rows: int = 1 << 16) -> DataFrame:
+    """``query_id, rank, vec_id, score``.  queries: a condition on ``vec_id`` that states the query set."""
+    out = block_answers(vectors, queries, k, block, slice_rows)
     # At most k rows per block for each query.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    order = F.desc(F.nanvl("score", F.lit(float("-inf"))))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
