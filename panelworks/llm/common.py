@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """Underscores that begin none of the columns: names with them clash with no column of a caller."""
+    taken = max((len(c) - len(c.lstrip("_")) for c in columns), default=0)
+    return "_" * (taken + 1)
+
+
 #: The type of row_keys().
 ROW = "struct<none:boolean,id:bigint,hash:bigint>"
 
@@ -53,10 +60,11 @@ def row_keys():
 def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose key (``row``) is the least of its group in named (``row, root``);
     of rows that are alike in id and text one stays."""
-    names = {"none": "_none", "id": "_id", "hash": "_hash"}
+    own = free_prefix(docs.columns)
+    names = {k: own + k for k in ("none", "id", "hash")}
     stay = named.groupBy("root").agg(F.min("row").alias("row")).select(*(F.col(f"row.{k}").alias(v) for k, v in names.items()))
     # The same columns for the join and for what follows, so texts are shuffled once.
-    keyed = docs.select("*", row_keys().alias("_row")).select(*docs.columns, *(F.col(f"_row.{k}").alias(v) for k, v in names.items()))
+    keyed = docs.withColumn(own, row_keys()).select(*docs.columns, *(F.col(f"{own}.{k}").alias(v) for k, v in names.items()))
     return keyed.join(stay, [*names.values()], "left_semi").dropDuplicates([*names.values()]).select(*docs.columns)
 
 

@@ -10,11 +10,11 @@ however large, is sorted in one task.  The document at the cut is taken in part,
 source meets its target to within rounding.
 
 Only built-in functions are used.  Text is read once: sizes are written to the shared folder.
-The source table (a row per source) is the only thing that passes through one task.
+The source table (a row per source) is ordered in ranges; what passes through one task is a row per range.
 
 Defined results: null text has size 0; null source is a source of its own, ordered last; a source
 without words has target 0; rows that repeat an id share its place in the order, and at the cut share what
-is taken there; a null id is placed last among equal hashes; an empty table gives an empty table; further
+is taken there; sources of equal clamp / weight are clamped or not alike, null among them; a null id is placed last among equal hashes; an empty table gives an empty table; further
 columns are kept by ``repeat_documents`` and left out by ``mix_sources``.
 """
 
@@ -22,38 +22,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, materialize, word_count
+from .common import LAST_ID, free_prefix, materialize, word_count
 
 #: Sources up to this many are joined by broadcast (a row of some 60 bytes each); more are shuffled.
 BROADCAST_SOURCES = 100_000
 BITS = 48
+#: Ranges into which the source table is cut where it is ordered.
+RANGES = 32
+
+
+def _running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each of sums, its total over all rows before in a total order.  Ranges of the order are summed
+    apart, so no task holds all rows; a row per range is broadcast."""
+    cut = materialize(df.repartitionByRange(RANGES, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    total = cut.groupBy("range").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    # As many rows as there are ranges.
+    offsets = total.select("range", *[F.coalesce(F.sum(k).over(before.orderBy("range")), F.lit(0)).alias(f"{k}_offset") for k in sums])
+    within = before.partitionBy("range").orderBy(*order)
+    joined = cut.join(F.broadcast(offsets), "range")
+    made = {k: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{k}_offset") for k, c in sums.items()}
+    return joined.withColumns(made).drop("range", *[f"{k}_offset" for k in sums])
 
 
 def water_fill(sizes: DataFrame, weights: Sequence[int], share: float, max_epochs: float) -> DataFrame:
     """``source, source_size`` -> with ``weight, target``.  One row per source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.array(*[F.lit(float(x)) for x in weights])
-    t = sizes.withColumn("weight", F.get(w, (F.row_number().over(by_name) - 1) % len(weights)))
-    t = t.withColumn("clamp", F.col("source_size") * F.lit(float(max_epochs)))
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("clamp") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({
-        "total": F.sum("source_size").over(everything) * F.lit(float(share)),
-        "clamped": F.coalesce(F.sum("clamp").over(before), F.lit(0.0)),
-        "open": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
+    t = _running(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1).cast("bigint")})
+    t = t.withColumn("weight", F.get(w, (F.col("place") % len(weights)).cast("int")))
+    t = t.withColumn("clamp", F.col("source_size") * F.lit(float(max_epochs))).withColumn("ratio", F.col("clamp") / F.col("weight"))
+    # Ties are in the order of places, which are never null: the level below is taken in the very same order.
+    t = _running(t, [F.col("ratio"), F.col("place")], {"clamped": F.col("clamp"), "passed": F.col("weight")})
+    all_ = t.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if all_["size"] is None:
+        return t.select("source", "source_size", "weight", F.col("clamp").alias("target"))
     # The level at which this source and all later ones would stand if the earlier ones are clamped.
-    t = t.withColumn("level", (F.col("total") - F.col("clamped")) / F.col("open"))
-    t = t.withColumn("fits", F.col("level") * F.col("weight") <= F.col("clamp"))
-    level = F.min(F.when(F.col("fits"), F.struct(F.col("clamp") / F.col("weight"), "source", "level"))).over(everything)
-    return t.withColumn("_level", level["level"]).select(
-        "source", "source_size", "weight",
-        F.least(F.col("clamp"), F.coalesce(F.col("_level") * F.col("weight"), F.col("clamp"))).alias("target"),
-    )
+    t = t.withColumn("level", (F.lit(float(all_["size"] * share)) - F.col("clamped")) / (F.lit(all_["weight"]) - F.col("passed")))
+    fits = F.col("level") * F.col("weight") <= F.col("clamp")
+    stands = t.agg(F.min(F.when(fits, F.struct("ratio", "place", "level"))).alias("least")).select("least.level").first()[0]
+    target = F.col("clamp") if stands is None else F.least(F.col("clamp"), F.lit(stands) * F.col("weight"))
+    return t.select("source", "source_size", "weight", target.alias("target"))
 
 
 def _key(seed: int):
@@ -77,21 +88,26 @@ def plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     before = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, -1)
     # At most ``bins`` rows per source pass here.
     below = histogram.withColumn("below", F.coalesce(F.sum("bin_size").over(before.orderBy("bin")), F.lit(0)))
-    cut_bin = below.alias("h").join(targets.alias("t"), same("h", "t")).where("h.below < t.rest AND t.rest <= h.below + h.bin_size").select("h.source", "h.bin", (F.col("t.rest") - F.col("h.below")).alias("wanted"))
+    cut_bin = below.alias("h").join(targets.alias("t"), same("h", "t")).where("h.below < t.rest AND t.rest <= h.below + h.bin_size")
+    cut_bin = cut_bin.select("h.source", "h.bin", (F.col("t.rest") - F.col("h.below")).alias("wanted"))
     # And here the documents of one bin per source.
-    inside = sized.alias("d").join(cut_bin.alias("c"), same("d", "c") & (F.col("d.bin") == F.col("c.bin"))).groupBy("d.source", "d.key").agg(F.sum("d.size").alias("size"), F.max("c.wanted").alias("wanted"))
+    inside = sized.alias("d").join(cut_bin.alias("c"), same("d", "c") & (F.col("d.bin") == F.col("c.bin")))
+    inside = inside.groupBy("d.source", "d.key").agg(F.sum("d.size").alias("size"), F.max("c.wanted").alias("wanted"))
     inside = inside.withColumn("below", F.coalesce(F.sum("size").over(before.orderBy("key")), F.lit(0)))
-    cut = inside.where("below < wanted AND wanted <= below + size").select("source", F.col("key").alias("cut"), ((F.col("wanted") - F.col("below")) / F.col("size")).alias("cut_share"))
-    info = targets.alias("t").join(cut.alias("c"), same("t", "c"), "left").select("t.source", "t.source_size", "t.target", "t.passes", "c.cut", "c.cut_share")
+    cut = inside.where("below < wanted AND wanted <= below + size")
+    cut = cut.select("source", F.col("key").alias("cut"), ((F.col("wanted") - F.col("below")) / F.col("size")).alias("cut_share"))
+    info = targets.alias("t").join(cut.alias("c"), same("t", "c"), "left")
+    info = info.select("t.source", "t.source_size", "t.target", "t.passes", "c.cut", "c.cut_share")
     return sized.drop("bin"), materialize(info, "mix-targets")
 
 
-def _joined(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """rows with the columns of their source's plan; rows stay where they are unless there are very many sources."""
-    info = info.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "passes", "cut", "cut_share")])
+def _joined(rows: DataFrame, info: DataFrame, own: str = "plan_") -> DataFrame:
+    """rows with the columns of their source's plan, their names after ``own``; rows stay where they are unless there are very
+    many sources."""
+    info = info.select(*[F.col(c).alias(own + c) for c in ("source", "source_size", "target", "passes", "cut", "cut_share")])
     if info.count() <= BROADCAST_SOURCES:
         info = F.broadcast(info)
-    return rows.join(info, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return rows.join(info, F.col("source").eqNullSafe(F.col(f"{own}source")), "left")
 
 
 def mix_sources(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
@@ -99,16 +115,22 @@ def mix_sources(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
 
     ``passes`` whole repetitions and ``part`` words of a further one; ``taken`` counts both."""
     sized, info = plan(docs, seed=seed, **options)
-    part = F.when(F.col("key") < F.col("_cut"), F.col("size")).when(F.col("key") == F.col("_cut"), F.rint(F.col("_cut_share") * F.col("size"))).otherwise(F.lit(0)).cast("bigint")
-    return _joined(sized, info).withColumn("part", part).select(
-        "doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_passes").alias("passes"), "part",
-        (F.col("_passes") * F.col("size") + F.col("part")).cast("bigint").alias("taken"))
+    at_cut = F.rint(F.col("plan_cut_share") * F.col("size"))
+    part = F.when(F.col("key") < F.col("plan_cut"), F.col("size")).when(F.col("key") == F.col("plan_cut"), at_cut).otherwise(F.lit(0)).cast("bigint")
+    made = _joined(sized, info).withColumn("part", part)
+    names = {"source_size": F.col("plan_source_size"), "target": F.col("plan_target"), "passes": F.col("plan_passes")}
+    taken = (F.col("plan_passes") * F.col("size") + F.col("part")).cast("bigint").alias("taken")
+    return made.select("doc_id", "source", "size", *[c.alias(k) for k, c in names.items()], "part", taken)
 
 
 def repeat_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mix itself: rows of docs, with all their columns, as often as they are taken; the document at a cut is
     taken whole or not, whichever is nearer.  Texts are not shuffled."""
     _, info = plan(docs, seed=seed, **options)
-    more = (F.col("_key") < F.col("_cut")) | ((F.col("_key") == F.col("_cut")) & (F.col("_cut_share") >= 0.5))
-    joined = _joined(docs.withColumn("_key", _key(seed)), info).withColumn("_times", F.col("_passes") + F.coalesce(more, F.lit(False)).cast("int"))
-    return joined.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    own = free_prefix(docs.columns)
+    key, cut = F.col(f"{own}key"), F.col(f"{own}cut")
+    joined = _joined(docs.withColumn(f"{own}key", _key(seed)), info, own)
+    more = (key < cut) | ((key == cut) & (F.col(f"{own}cut_share") >= 0.5))
+    times = (F.col(f"{own}passes") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")
+    repeated = joined.withColumn(f"{own}times", times).where(F.col(f"{own}times") > 0)
+    return repeated.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}times")))).select(*docs.columns)

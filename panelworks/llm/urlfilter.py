@@ -21,17 +21,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, free_prefix
 
-#: A rule list is part of the plan, so it is held to this many rules.
+#: A rule list is part of the plan, so it is held to this many rules unless a caller says otherwise.
 MAX_RULES = 50_000
 _TOKEN = re.compile(r"[a-z0-9]+")
+_LOWERED = str.maketrans(UPPER, LOWER)
 _ENTRY = "struct<token:string,regex:string,kind:int,size:int,block:int,text:string>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``host/path``: fits the host and its subdomains where the url's path starts with the path.
+    """``host/path``: fits the host (A-Z in either case) and its subdomains where the url's path starts with the path.
     ``pattern``: ``||`` anchors at a label of the host, ``*`` stands for anything, ``^`` for a separator."""
 
     action: str
@@ -40,14 +41,15 @@ class Rule:
 
     def regex(self) -> str:
         if not self.pattern:
-            return rf"^(?:[^/]*\.)?{_quoted(self.text)}"
+            host, slash, path = self.text.partition("/")
+            return rf"^(?:[^/]*\.)?{_quoted(host.translate(_LOWERED) + slash + path)}"
         body = self.text.removeprefix("||")
         parts = [{"*": ".*", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}.get(c) or _quoted(c) for c in body]
         return ("(?is)^(?:[^/]*\\.)?" if self.text.startswith("||") else "(?is)") + "".join(parts)
 
     def tokens(self) -> list[str]:
         """Literal tokens that are whole tokens of every url that the rule fits."""
-        text = self.text.removeprefix("||").translate(str.maketrans(UPPER, LOWER))
+        text = self.text.removeprefix("||").translate(_LOWERED)
         anchored = not self.pattern or self.text.startswith("||")
         found = []
         for m in _TOKEN.finditer(text):
@@ -80,10 +82,10 @@ def token_counts(urls: DataFrame, column: str, wanted: Sequence[str]) -> dict[st
     return {r.t: r.n for r in found.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def build_index(rules: Sequence[Rule], counts: dict[str, int]):
+def build_index(rules: Sequence[Rule], counts: dict[str, int], max_rules: int = MAX_RULES):
     """(the index as an array column of buckets, its number of buckets, the rules without a token)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index is meant for at most {MAX_RULES}")
+    if len(rules) > max_rules:
+        raise ValueError(f"{len(rules)} rules; the index is held to {max_rules}")
     size = 1 << max(1, (2 * len(rules)).bit_length())
     buckets: list[list[dict]] = [[] for _ in range(size)]
     loose = []
@@ -99,26 +101,21 @@ def build_index(rules: Sequence[Rule], counts: dict[str, int]):
     return as_column(buckets, f"array<array<{_ENTRY}>>"), size, as_column(loose, f"array<{_ENTRY}>")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], column: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], column: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """pages with ``host, path, rule, pattern, verdict`` in place of columns so named.
 
     The longest host/path rule that fits decides (at equal length: block); where none fits, the longest
     pattern; else ``default``.
     """
     counts = token_counts(pages, column, sorted({t for r in rules for t in r.tokens()}))
-    index, size, loose = build_index(rules, counts)
+    index, size, loose = build_index(rules, counts, max_rules)
     host, path = split_url(F.col(column))
     made = pages.withColumns({"host": host, "path": path})
     site = F.concat(F.col("host"), F.col("path"))
     own = F.flatten(F.transform(_tokens(site), lambda t: F.filter(F.element_at(index, (F.crc32(t) % size + 1).cast("int")), lambda e: e["token"] == t)))
     fits = F.filter(F.concat(own, loose), lambda e: F.rlike(site, e["regex"]))
-    best = F.array_max(F.transform(fits, lambda e: F.struct(e["kind"].alias("kind"), e["size"].alias("size"), e["block"].alias("block"), e["text"].alias("text"))))
-    return (
-        made.withColumn("_best", best)
-        .withColumns({
-            "rule": F.when(F.col("_best.kind") == 1, F.col("_best.text")),
-            "pattern": F.when(F.col("_best.kind") == 0, F.col("_best.text")),
-            "verdict": F.when(F.col("_best").isNull(), F.lit(default)).when(F.col("_best.block") == 1, F.lit("block")).otherwise(F.lit("allow")),
-        })
-        .drop("_best")
-    )
+    best = F.array_max(F.transform(fits, lambda e: F.struct(*(e[k].alias(k) for k in ("kind", "size", "block", "text")))))
+    name = free_prefix(made.columns)
+    kind, text, block = (F.col(f"{name}.{k}") for k in ("kind", "text", "block"))
+    verdict = F.when(kind.isNull(), F.lit(default)).when(block == 1, F.lit("block")).otherwise(F.lit("allow"))
+    return made.withColumn(name, best).withColumns({"rule": F.when(kind == 1, text), "pattern": F.when(kind == 0, text), "verdict": verdict}).drop(name)

@@ -87,6 +87,34 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_null_source_ties_with_another(spark):
+    """Sources whose clamp / weight is equal, null among them, in every order of names."""
+    for other in ("a", "b"):
+        rows = [(1, "w " * 300, "en", other, "k"), (2, "w " * 100, "en", None, "k")]
+        got = {r.source: (r.target, r.taken) for r in mixing.mix_sources(spark.createDataFrame(rows, DOCS), weights=(3, 1)).collect()}
+        assert got == {other: (450.0, 450), None: (150.0, 150)}
+    rows = [(i, "w " * n, "en", s, "k") for i, (n, s) in enumerate([(300, "a"), (100, "b"), (200, "c"), (300, None)])]
+    got = {r.source: r.target for r in mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == pytest.approx(fill({"a": 300, "b": 100, "c": 200, None: 300}, {"a": 3, "b": 1, "c": 2, None: 3}, 1350, 2))
+
+
+def test_mixing_keeps_columns_that_clash(spark):
+    names = ["doc_id", "text", "lang", "source", "_key", "_source", "__times", "row", "plan_cut"]
+    df = spark.createDataFrame([(i, "w " * (i + 1), "en", "ab"[i % 2], f"k{i}", "s", "t", "r", "c") for i in range(20)], names)
+    made = mixing.repeat_documents(df)
+    assert made.columns == names and {tuple(r) for r in made.collect()} <= {tuple(r) for r in df.collect()} and made.count() > 0
+    assert mixing.mix_sources(df).count() == 20
+
+
+def test_url_filter_keeps_columns_that_clash(spark):
+    long = "http://a.net/" + "x/" * 40_000
+    df = spark.createDataFrame([(1, "http://Ads.COM/x", "mine", 1), (1, "http://Ads.COM/x", "mine", 1), (2, long, "mine", 2), (None, None, None, None)], "page_id long, url string, _best string, __best int")
+    got = urlfilter.filter_urls(df, [urlfilter.Rule("block", "ADS.com/"), urlfilter.Rule("block", "net/" + "x/" * 30_000)]).orderBy("page_id").collect()
+    assert [(r.page_id, r._best, r.verdict, r["__best"]) for r in got] == [(None, None, "allow", None), (1, "mine", "block", 1), (1, "mine", "block", 1), (2, "mine", "block", 2)]
+    with pytest.raises(ValueError):
+        urlfilter.filter_urls(df, [urlfilter.Rule("block", f"h{i}/") for i in range(3)], max_rules=2)
+
+
 def test_mixing_cuts_inside_one_bin(spark):
     df = spark.createDataFrame(corpus(), DOCS)
     a, b = (Counter() for _ in range(2))
