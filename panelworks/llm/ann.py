@@ -38,10 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Directions; how many of them a query uses; the chance to be in a window at distance R; standard deviations from the mean of the
-#: collisions at that distance to the threshold; first R as a share of the sphere's radius.
-LINES, USED, HIT, SPARE, FIRST = 512, 64, 0.6, 1.3, 0.35
-#: Widening factors: while windows hold less than FEW of a block, where a step adds few candidates, and beyond.
-QUICK, SLOW, FEW = 1.3, 1.07, 0.12
+#: collisions at that distance to the threshold.
+LINES, USED, HIT, SPARE = 512, 64, 0.6, 1.3
+#: Least first R, widened by QUICK until windows hold the share FEW of a block; from there on by SLOW.
+FIRST, QUICK, SLOW, FEW = 0.2, 1.25, 1.2, 0.12
+#: Places of a sorted array where windows may end.
+EDGES = 2048
+#: Queries prepared at once.
+_TOGETHER = 1024
 THRESHOLD = int(HIT * USED - SPARE * (USED * HIT * (1 - HIT)) ** 0.5)
 _REACH = NormalDist().inv_cdf(HIT)
 
@@ -51,12 +55,12 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / max(float(np.abs(x).max(initial=0.0)), 5e-324)
 
 
-def window_sizes(centre: np.ndarray, r: float) -> np.ndarray:
+def window_sizes(centre: np.ndarray, r) -> np.ndarray:
     """Half windows, on lines where a query of norm 1 projects to ``centre``, for distance r.
 
     On the unit sphere a vector at that distance projects to centre * (1 - r*r/2) plus a normal deviate of
     variance r*r - r**4/4."""
-    return np.abs(centre) * (r * r / 2) + _REACH * max(r * r - r**4 / 4, 0.0) ** 0.5
+    return np.abs(centre) * (r * r / 2) + _REACH * np.sqrt(np.maximum(r * r - r**4 / 4, 0))
 
 
 class Block:
@@ -77,23 +81,47 @@ class Block:
         projected = (x @ self.lines[:-1] + extra[:, None] * self.lines[-1]).T.copy()
         order = np.argsort(projected, axis=1, kind="stable")
         self.order = order.ravel()
-        # The sorted arrays end to end, each moved behind the one before: one binary search serves all lines.
-        self.least, self.most = float(projected.min(initial=0.0)), float(projected.max(initial=0.0))
-        self.step = 2 * (self.most - self.least) + 2
-        self.sorted = (np.take_along_axis(projected, order, 1) + self.step * np.arange(LINES)[:, None]).ravel()
+        # Where windows may begin and end: at EDGES places of each sorted array, evenly spaced in the projection.
+        self.least, most = float(projected.min(initial=0.0)), float(projected.max(initial=0.0))
+        self.scale = (EDGES - 1) / max(most - self.least, 1e-9)
+        cell = np.ceil((projected - self.least) * self.scale).astype(np.int64) + EDGES * np.arange(LINES)[:, None]
+        below = np.cumsum(np.bincount(cell.ravel(), minlength=EDGES * LINES))
+        self.edges = np.concatenate(([0], below))
         self.verified = self.asked = 0
 
+    def _windows(self, line: np.ndarray, centre: np.ndarray, r) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows for distance r, widened to the next edges, start and end in the arrays laid end to end."""
+        half = window_sizes(centre, r)
+        low = np.clip(np.floor((centre - half - self.least) * self.scale), 0, EDGES).astype(np.int64)
+        high = np.clip(np.ceil((centre + half - self.least) * self.scale), -1, EDGES - 1).astype(np.int64)
+        at = EDGES * line
+        return self.edges[at + low], self.edges[at + np.maximum(low, high + 1)]
+
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, ids, inner products) of the k best found, ties by id."""
+        for start in range(0, len(queries), _TOGETHER):
+            span = slice(start, start + _TOGETHER)
+            for number, ids, products in self._search(queries[span], query_ids[span], k):
+                yield start + number, ids, products
+
+    def _search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         n = len(self.ids)
-        units = np.stack([q / np.abs(q).max() for q in queries]) if len(queries) else queries
+        units = queries / np.abs(queries).max(1, keepdims=True)
         units /= np.einsum("ij,ij->i", units, units)[:, None] ** 0.5
         centres = units @ self.lines[:-1]
-        owns = zip(np.searchsorted(self.ids, query_ids, "left").tolist(), np.searchsorted(self.ids, query_ids, "right").tolist(), strict=True)
-        for number, (unit, centre, (own, behind)) in enumerate(zip(units.astype(np.float32), centres, owns, strict=True)):
+        used = np.argpartition(-np.abs(centres), USED - 1, axis=1)[:, :USED]
+        centres = np.take_along_axis(centres, used, 1)
+        first = np.full(len(queries), FIRST)
+        narrow = np.arange(len(queries))
+        while len(narrow):
+            low, high = self._windows(used[narrow], centres[narrow], first[narrow, None])
+            narrow = narrow[((high - low).sum(1) < FEW * USED * n) & (first[narrow] < 2)]
+            first[narrow] *= QUICK
+        owns = np.searchsorted(self.ids, query_ids, "left").tolist(), np.searchsorted(self.ids, query_ids, "right").tolist()
+        for number, (unit, line, centre, r, own, behind) in enumerate(zip(units.astype(np.float32), used, centres, first.tolist(), *owns, strict=True)):
             if (want := min(k, n - (behind - own))) <= 0:
                 continue
-            found, near = self._verified(unit, centre, own, behind, want)
+            found, near = self._verified(unit, line, centre, r, own, behind, want)
             # Double precision for all that single precision can't rule out.
             if len(near) > want:
                 found = found[near >= np.partition(near, len(near) - want)[len(near) - want] - self.margin]
@@ -103,39 +131,39 @@ class Block:
             best = np.lexsort((self.ids[found], -products))[:k]
             yield number, self.ids[found[best]], products[best]
 
-    def _verified(self, unit: np.ndarray, centre: np.ndarray, own: int, behind: int, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, inner products with the unit query) of the vectors that reach the threshold."""
+    def _verified(self, unit: np.ndarray, line: np.ndarray, centre: np.ndarray, r: float, own: int, behind: int, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, inner products with the unit query) of the vectors that reach the threshold, and of some more."""
         n = len(self.ids)
-        used = np.argpartition(-np.abs(centre), USED - 1)[:USED]
-        centre, shift = centre[used], self.step * used
-        low = high = np.searchsorted(self.sorted, np.clip(centre, self.least, self.most) + shift)
         counts = np.zeros(n, np.int64)
-        counts[own:behind] = -USED - 1
-        rest = np.ones(n, bool)
-        rest[own:behind] = False
-        found, near, r = np.empty(0, np.int64), np.empty(0, np.float32), FIRST
+        # Those not to be verified (again) are put far below any threshold.
+        gone = -(1 << 20)
+        counts[own:behind] = gone
+        found, near = np.empty(0, np.int64), np.empty(0, np.float32)
+        low = high = None
         while True:
-            if r < 2:
-                half = window_sizes(centre, r)
-                new_low = np.searchsorted(self.sorted, np.clip(centre - half, self.least - 0.5, self.most + 0.5) + shift, "left")
-                new_high = np.searchsorted(self.sorted, np.clip(centre + half, self.least - 0.5, self.most + 0.5) + shift, "right")
-                new_low, new_high = np.minimum(new_low, low), np.maximum(new_high, high)
-                added = [self.order[a:b] for a, b in zip(np.concatenate((new_low, high)).tolist(), np.concatenate((low, new_high)).tolist(), strict=True)]
+            if r >= 2:  # nothing on the sphere lies farther: all the rest
+                fresh = np.flatnonzero(counts >= 0)
+            else:
+                new_low, new_high = self._windows(line, centre, r)
+                if low is None:
+                    added = [self.order[a:b] for a, b in zip(new_low.tolist(), new_high.tolist(), strict=True)]
+                else:
+                    added = [self.order[a:b] for a, b in zip(np.concatenate((new_low, high)).tolist(), np.concatenate((low, new_high)).tolist(), strict=True)]
                 low, high = new_low, new_high
                 counts += np.bincount(np.concatenate(added), minlength=n)
-                fresh = np.flatnonzero((counts >= THRESHOLD) & rest)
-            else:  # nothing on the sphere lies farther: all the rest
-                fresh = np.flatnonzero(rest)
-            if len(fresh):
-                rest[fresh] = False
-                found = np.concatenate((found, fresh))
-                near = np.concatenate((near, self.short.take(fresh, axis=0) @ unit))
+                fresh = np.flatnonzero(counts >= THRESHOLD)
+                if len(fresh) < want and len(found) < 4 * want:
+                    ahead = np.argpartition(counts, max(0, n - 2 * want))[max(0, n - 2 * want) :]
+                    fresh = np.union1d(fresh, ahead[counts[ahead] >= 0])
+            counts[fresh] = gone
+            found = np.concatenate((found, fresh))
+            near = np.concatenate((near, self.short.take(fresh, axis=0) @ unit))
             farthest = 2.0
             if len(found) >= want:
                 farthest = max(0.0, 2 - 2 * float(np.partition(near, len(near) - want)[len(near) - want])) ** 0.5
             if r >= 2 or farthest <= r:
                 break
-            r = min(r * (QUICK if (high - low).sum() < FEW * USED * n else SLOW), max(farthest, r * 1.0001))
+            r = min(r * SLOW, max(farthest, r * 1.0001))
         self.verified, self.asked = self.verified + len(found), self.asked + n
         return found, near
 
