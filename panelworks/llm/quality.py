@@ -7,12 +7,13 @@ of the chunk scores are combined into one probability for the document.
 
 A filter over bytes is a table of weights per (position, byte): a response is a sum of WIDTH table rows, so
 no embedding is multiplied out.  Training is plain gradient descent (Adam) with a fixed seed, on a bounded
-sample of labelled rows: at most ``sample`` documents, drawn by hash over all labelled rows, each represented
-by at most ``per_doc`` chunks spread evenly over its whole length.  Scoring always reads every chunk.
+sample of labelled rows: at most ``sample`` documents, half of each class, drawn by hash over all labelled rows, as many of
+them, in the order of the hash, as ``sample_bytes`` hold.  Both learning and scoring read every chunk of a text.
 
 Defined results: null and empty texts are one empty chunk and get that chunk's score; a text shorter than a
-chunk is padded; repeated rows score alike; without labelled rows of both classes every score is
-``1 - prior`` or ``prior`` of what there is (0.5 without any); an empty table gives an empty table.
+chunk is padded; repeated rows score alike; with labelled rows of one class only every score is 0.98 (label 1) or 0.02,
+without any 0.5; labels that repeat an id count once, as the greater; rows that repeat a labelled id are drawn like any others, within
+the same bound; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, utf8
@@ -51,21 +52,25 @@ class Network:
     w2: np.ndarray
     out: np.ndarray  # weights of mean, max and min of the chunk scores, and a constant
 
-    def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(greatest responses, where they stand) of chunks x FILTERS."""
-        n = x.shape[1] - WIDTH + 1
-        r = self.tables[0][x[:, :n]]
-        for j in range(1, WIDTH):
-            r += self.tables[j][x[:, j : j + n]]
-        at = r.argmax(1)
-        return np.take_along_axis(r, at[:, None], 1)[:, 0], at
-
-    def greatest(self, x: np.ndarray) -> np.ndarray:
+    def responses(self, x: np.ndarray) -> np.ndarray:
+        """chunks x positions x FILTERS."""
         n = x.shape[1] - WIDTH + 1
         r = self.tables[0].take(x[:, :n], axis=0)
         for j in range(1, WIDTH):
             r += self.tables[j].take(x[:, j : j + n], axis=0)
-        return r.max(1)
+        return r
+
+    def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(greatest responses, where they stand) of chunks x FILTERS."""
+        best, place = [], []
+        for i in range(0, len(x), 128):
+            r = self.responses(x[i : i + 128])
+            place.append(r.argmax(1))
+            best.append(np.take_along_axis(r, place[-1][:, None], 1)[:, 0])
+        return np.concatenate(best), np.concatenate(place)
+
+    def greatest(self, x: np.ndarray) -> np.ndarray:
+        return self.responses(x).max(1)
 
     def scores(self, pooled: np.ndarray) -> np.ndarray:
         h = np.maximum(pooled + self.bias, 0)
@@ -172,31 +177,32 @@ def _fold(doc_id):
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, per_doc: int = 6, **options) -> Network:
-    """A network learned from labelled rows outside the held-out fold.  At most sample x per_doc chunks reach the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes: int = 24 << 20) -> DataFrame:
+    """``doc_id, text, quality``: whole texts to learn from, none of the held-out fold.  At most sample rows, of sample_bytes together."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 0))
-    known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    order = [F.xxhash64(F.lit(5), "doc_id"), F.col("doc_id")]
+
     # A class may be rare: half of the sample from each, as far as there are rows.
     def half(label: int) -> DataFrame:
-        return known.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample // 2)
-
-    chosen = half(0).unionByName(half(1))
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for t in utf8(batch.column("text")):
-                data = t.as_py() or b""
-                starts = chunk_starts(len(data))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, per_doc).round().astype(np.int64))]
-                kept.append([data[s : s + CHUNK] for s in starts.tolist()])
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(kept, pa.list_(pa.binary()))], names=["doc_id", "quality", "chunks"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id").mapInArrow(take, "doc_id bigint, quality int, chunks array<binary>")
-    rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.chunks))
-    chunks = [chunk_rows(bytes(c), np.zeros(1, np.int64)) for r in rows for c in r.chunks]
-    owner = np.repeat(np.arange(len(rows)), [len(r.chunks) for r in rows])
-    return train(np.concatenate(chunks) if chunks else np.empty((0, CHUNK), np.int16), owner, np.array([r.quality for r in rows]), **options)
+        return known.where(F.col("quality") == label).orderBy(*order).limit(sample // 2)
+
+    drawn = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(half(0).unionByName(half(1)), "doc_id")
+    drawn = drawn.orderBy(*order, F.xxhash64("text")).limit(sample)
+    # A window over at most sample rows.
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    so_far = F.sum(F.when(size <= sample_bytes, size).otherwise(F.lit(0))).over(Window.orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    return drawn.withColumn("so_far", so_far).where((size <= sample_bytes) & (F.col("so_far") <= sample_bytes)).drop("so_far")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes: int = 24 << 20, **options) -> Network:
+    """A network learned from labelled rows outside the held-out fold."""
+    rows = labelled_sample(docs, labels, sample, sample_bytes).collect()
+    texts = sorted((r.doc_id, (r.text or "").encode(), r.quality) for r in rows)
+    starts = [chunk_starts(len(t)) for _, t, _ in texts]
+    chunks = [chunk_rows(t, at) for (_, t, _), at in zip(texts, starts, strict=True)]
+    owner = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])
+    return train(np.concatenate(chunks) if chunks else np.empty((0, CHUNK), np.int16), owner, np.array([q for _, _, q in texts]), **options)
 
 
 def _scorer(net: Network, docs: DataFrame):
