@@ -1,20 +1,17 @@
-"""Near-deduplication by exact overlap of word shingles.
+"""Exact overlap of word shingles: which of some candidate texts are near copies.
 
 A text, with A-Z lower-cased, is the set of its shingles of ``shingle`` words (a shorter text is one shingle).  Two texts are near
-copies where the Jaccard similarity of their sets is at least ``similarity``; near copies of near copies are in one component.
-
-Fingerprints of 64 bits can't decide this: at similarity 0.8 they differ by some ten bits, more or less, and a radius that
-misses none lets nearly all pairs of tiles through.  So candidates come from prefix filtering, which misses no pair: with
-the shingles of all sets in one common order, two sets of that similarity share one of their first
-n - ceil(similarity * n) + 1.  The order is by a hashed histogram of the corpus, rare ones first, so common lines and passages bring
-few candidates; what the histogram says changes the work, never the result.  Sets that share such a shingle, chained in order of
-size while sizes allow the similarity, form candidate groups.  Only texts of such groups are sent (they take less room than their
-sets), one for each set and each group to a task; a large
-group is cut into parts, and each two parts meet in a task.  A task verifies by exact intersection what is not yet connected in it
-and returns a spanning forest, never all pairs.
+copies where the Jaccard similarity of their sets is at least ``similarity``.
+
+Candidates come in groups (``node, size, group``): near copies that are in different groups are not found, so whoever
+makes the groups answers for that.  Only texts of groups are sent (they take less room than their sets), one for each set, small
+groups several to a task; a large group is cut into parts, and each two parts meet in a task.  A task verifies by exact
+intersection what is not yet connected in it, along prefixes: with the shingles of a task's sets in one order, rare ones
+first, two sets of that similarity share one of their first n - ceil(similarity * n) + 1.  It returns a spanning forest, never
+all pairs.
 
 Defined results: null text has no words; texts without words are alike; equal sets are one node, so copies cost
-nothing; null and repeated ids are told apart by their texts.
+nothing.
 """
 
 from __future__ import annotations
@@ -25,17 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WordHashes, hashed, keep_first, materialize, row_keys, utf8
+from .common import WordHashes, hashed, utf8
 from .decontam import runs
-from .graph import components
 
 _U = np.uint64
-SLOTS = 1 << 17
 #: Bits of the filter of sets to send, and shingles and sets of one part of a candidate group.
-BITS, PART, PART_SETS = 1 << 24, 1 << 21, 1 << 13
+BITS, PART, PART_SETS = 1 << 24, 1 << 20, 1 << 12
 _NEAR = 1e-9
 
 
@@ -49,63 +44,10 @@ def node_of(held: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(held.tobytes()) - (1 << 63)
 
 
-def _slot(held: np.ndarray) -> np.ndarray:
-    return (held >> _U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
-
-def _sets(batch: pa.RecordBatch, size: int, memo: WordHashes) -> Iterator[np.ndarray]:
-    for t in utf8(batch.column("text")):
-        yield shingles(t.as_py() or b"", size, memo)
-
-
-def histogram(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How many shingles of docs fall into each of SLOTS slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = WordHashes(), np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for held in _sets(batch, shingle, memo):
-                np.add.at(counts, _slot(held), 1)
-        some = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["slot", "n"])
-
-    got = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return counts
-
-
 def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - _NEAR) + 1 if n else 0
 
 
-def prefixes(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``row, node, size, prefix``: a row for each of keyed (``row, text``)."""
-    sent = keyed.sparkSession.sparkContext.broadcast(histogram(keyed, shingle))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = WordHashes(), sent.value
-        for batch in batches:
-            nodes, sizes, firsts = [], [], []
-            for held in _sets(batch, shingle, memo):
-                nodes.append(node_of(held))
-                sizes.append(len(held))
-                order = np.argsort(counts[_slot(held)], kind="stable")  # equal counts stay in order of hashes
-                firsts.append(held[order[: prefix_size(len(held), similarity)]].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-            yield pa.record_batch([batch.column("row"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["row", "node", "size", "prefix"])
-
-    return keyed.mapInArrow(run, f"row {ROW}, node bigint, size int, prefix array<bigint>")
-
-
-def candidate_groups(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``node, group, size``: no two sets of the similarity are in different groups; sets alone are left out."""
-    by = Window.partitionBy("token").orderBy("size", "node")
-    chained = nodes.select("node", "size", F.explode("prefix").alias("token")).select("node", "size", F.lag("node").over(by).alias("other"), F.lag("size").over(by).alias("less"))
-    groups = components(chained.where(F.col("less") >= similarity * F.col("size") - _NEAR).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    return groups.distinct().withColumnRenamed("root", "group").join(nodes.select("node", "size"), "node")
-
-
 def _slot_of_node(node):
     return F.pmod(node, F.lit(BITS))
 
@@ -114,7 +56,8 @@ def texts_of(keyed: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
     """``node, text``: texts of the sets in groups, and perhaps of some more."""
     bits = np.zeros(BITS, bool)
     slot = _slot_of_node(F.col("node"))
-    for r in groups.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toLocalIterator():
+    made = groups.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    for r in made.toLocalIterator():  # of a size that BITS fixes
         # Buckets count from one where slots do; slot 0 is in bucket 0.
         at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little"))
         bits[(at + (r.bucket - 1) * 32768 + 1 if r.bucket else at)] = True
@@ -124,15 +67,16 @@ def texts_of(keyed: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
         memo, some, seen = WordHashes(), sent.value, set()
         for batch in batches:
             nodes, found = [], []
-            for i, held in enumerate(_sets(batch, shingle, memo)):
-                node = node_of(held)
+            for i, t in enumerate(utf8(batch.column("text"))):
+                node = node_of(shingles(t.as_py() or b"", shingle, memo))
                 s = node % BITS
                 if some[s >> 3] >> (s & 7) & 1 and node not in seen:
                     if len(seen) < 100_000:
                         seen.add(node)
                     nodes.append(node)
                     found.append(i)
-            yield pa.record_batch([pa.array(nodes, pa.int64()), batch.column("text").take(pa.array(found, pa.int64()))], names=["node", "text"])
+            texts = batch.column("text").take(pa.array(found, pa.int64()))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), texts], names=["node", "text"])
 
     return keyed.select("text").mapInArrow(run, "node bigint, text string")
 
@@ -172,7 +116,8 @@ def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
 
 def links(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float, part: int = PART, part_sets: int = PART_SETS) -> DataFrame:
     """``a, b``: nodes with at least the similarity, which connect all such."""
-    sums = groups.groupBy("group").agg(F.greatest(F.ceil(F.sum("size") / part), F.ceil(F.count(F.lit(1)) / part_sets)).alias("parts"), F.sum("size").alias("total"))
+    parts = F.greatest(F.ceil(F.sum("size") / part), F.ceil(F.count(F.lit(1)) / part_sets), F.lit(1))
+    sums = groups.groupBy("group").agg(parts.cast("bigint").alias("parts"), F.sum("size").alias("total"))
     whole = sums.agg(F.sum("total")).first()[0] or 0
     lots = max(1, -(-4 * whole // part))
     placed = groups.join(sums, "group").select(
@@ -189,15 +134,3 @@ def links(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float,
         return pa.table({"a": nodes[made[:, 0]], "b": nodes[made[:, 1]]})
 
     return texts.dropDuplicates(["node"]).join(placed, "node").groupBy("cut", "lot", "i", "j").applyInArrow(run, "a bigint, b bigint")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, that come first in their component: of smallest id, null last, then of
-    smallest text hash.  One row of each component stays."""
-    keyed = docs.select(row_keys().alias("row"), "text")
-    rows = materialize(prefixes(keyed, shingle, similarity), "overlap-rows")
-    nodes = rows.select("node", "size", "prefix").dropDuplicates(["node"])
-    groups = materialize(candidate_groups(nodes, similarity), "overlap-groups")
-    roots = components(links(texts_of(keyed, groups, shingle), groups, shingle, similarity))
-    named = rows.select("row", "node").join(roots.distinct(), "node", "left").select("row", F.coalesce("root", "node").alias("root"))
-    return keep_first(docs, named)

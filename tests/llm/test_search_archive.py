@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,9 +139,11 @@ def test_chain_rejects_magic_in_payloads():
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_pipeline_against_brute_force(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from test_text import Sets, fingerprint
+    from test_native import brute_capacity, fill
+    from test_overlap import brute
+    from test_quality_brute import plain_score
 
-    from panelworks.llm import decontam, quality
+    from panelworks.llm import decontam, quality, sharding
     from panelworks.llm.common import materialize
 
     d = "/root/testdata/sf0.001"
@@ -150,20 +153,41 @@ def test_pipeline_against_brute_force(spark):
         held.append(materialize(stage(spark, held[-1], d), "t"))
     rows = [[tuple(r) for r in h.collect()] for h in held]
     assert all(h.columns == docs.columns for h in held[:5])
+    # Quality: the network's scores, some of them by plain loops.
     net = quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
-    good = [r for r, p in zip(rows[0], net.predict([(r[1] or "").encode() for r in rows[0]]), strict=True) if p >= 0.3]
+    scores = net.predict([(r[1] or "").encode() for r in rows[0]])
+    short = sorted(range(len(rows[0])), key=lambda i: len(rows[0][i][1] or ""))[:6]
+    assert all(abs(scores[i] - plain_score(net, (rows[0][i][1] or "").encode())) < 1e-4 for i in short)
+    good = [r for r, p in zip(rows[0], scores, strict=True) if p >= 0.3]
     assert sorted(rows[1]) == sorted(good)
-    s, prints = Sets(), {r[0]: fingerprint(r[1]) for r in good}
-    for a in set(prints.values()):
-        for b in set(prints.values()):
-            if (a ^ b).bit_count() <= 3:
-                s.join(a, b)
-    first = {}
-    for i, p in prints.items():
-        first[s.root(p)] = min(first.get(s.root(p), i), i)
-    assert sorted(r[0] for r in rows[2]) == sorted(first.values())
+    # Near duplicates: the smallest id of each group by Jaccard similarity.
+    assert sorted(r[0] for r in rows[2]) == sorted(min(i for i, _ in g) for g in brute([r[:2] for r in good]))
+    # Decontamination: the edit distance of each item to each text.
     items = [decontam.words(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     clean = [r for r in rows[2] if not any(len(p) >= 5 and min(decontam.myers(p, decontam.words(r[1])), default=99) <= int(len(p) * 0.2 + 1e-9) for p in items)]
     assert sorted(rows[3]) == sorted(clean)
-    assert {r[0] for r in rows[4]} <= {r[0] for r in clean} and max(map([r[0] for r in rows[4]].count, {r[0] for r in rows[4]})) <= 2
+    # Mixing: whole documents, each as often as its neighbours or once more, within a document of each source's target.
+    source, words = docs.columns.index("source"), lambda r: len((r[1] or "").split())
+    size, taken, longest = Counter(), Counter(), Counter()
+    for r in clean:
+        size[r[source]] += words(r)
+        longest[r[source]] = max(longest[r[source]], words(r))
+    for r in rows[4]:
+        taken[r[source]] += words(r)
+    order = sorted(size, key=lambda s: (s is None, s))
+    want = fill(dict(size), {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(size.values()), 2)
+    copies = Counter(rows[4])
+    assert set(copies) <= set(clean) and max(copies.values()) <= 2
+    assert all(abs(taken[s] - want[s]) <= longest[s] / 2 + 1 for s in size)
+    for s in size:
+        times = {copies[r] for r in clean if r[source] == s and words(r)}
+        assert max(times) - min(times) <= 1
+    # Sharding: equal texts together, the largest shard as small as contiguous shards in the order of keys allow.
     assert len(rows[5]) == len(rows[4]) and sorted(r[0] for r in rows[5]) == sorted(r[0] for r in rows[4])
+    placed = sharding.shard(held[4], shards=40).collect()
+    groups, load = Counter(), Counter()
+    for r in placed:
+        groups[r.key] += r["size"]
+        load[r.shard] += r["size"]
+    assert sorted((r.doc_id, r.shard, r.slot) for r in placed) == sorted((r.doc_id, r.shard, r.slot) for r in held[5].collect())
+    assert max(load.values()) <= brute_capacity([n for _, n in sorted(groups.items())], 40)
