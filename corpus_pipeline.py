@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelworks import ship
-from panelworks.llm import decontam, mixing, overlap, quality, sharding
+from panelworks.llm import decontam, mixing, quality, sharding, simhash
 from panelworks.llm.common import materialize
 
-#: SQL can't express the classifier or the bit-wise comparison; tests/llm holds the stages against brute force.
+#: SQL can't express the classifier; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -26,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, by five-word shingles at similarity 0.8 or more, the document of smallest id stays."""
     ship(spark)
-    return overlap.keep_one(docs)
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
