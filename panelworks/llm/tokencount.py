@@ -8,16 +8,17 @@ used here no piece holds a space mark behind another character, so each space th
 non-space is stable.
 
 Huge texts are encoded as overlapping chunks with byte offsets.  In an overlap both encodings are
-searched for token boundaries that they share and that are stable; the counts are spliced there.  Where
-an overlap has none it is widened, up to the whole rest of the text, so the count is always exact.
+searched for token boundaries that they share and that are stable, between any two characters; the counts are spliced at the
+last.  Left of it a chunk is as in the whole text, right of it the next one is, whatever mark the model puts before a chunk.
+Where an overlap has no such boundary it is widened, then the chunk, up to the whole rest of the text, so the count is always exact.
 
 Defined results: null counts as the empty text (0 bytes, 0 tokens); strings of special tokens inside a
-text are ordinary text; repeated rows are counted alike; a text without spaces works through overlaps
-alone; an empty table gives an empty table; further columns are left out.
+text are ordinary text; repeated rows are counted alike; a text without spaces is spliced like any other; an empty table gives an empty table; further columns are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ class Counter:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.chunk, self.overlap, self.limit = chunk, overlap, memo
         self.memo: dict[str, int] = {}
+        self.longest = 0  # bytes of the longest chunk encoded with offsets
         # Neighbouring characters inside pieces: between any others a boundary is stable.
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()) if not (self.sp.is_control(i) or self.sp.is_byte(i) or self.sp.is_unknown(i)))
         self.inside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
@@ -85,48 +87,69 @@ class Counter:
         return n
 
     def _ends(self, data: bytes, start: int, end: int) -> list[int]:
-        """Ends of the tokens of data[start:end] encoded alone, as byte offsets into data; the byte tokens of one
-        character share an end."""
+        """Ends of the tokens of data[start:end] encoded alone, as byte offsets into data.  The mark that the model puts first may be a
+        token that ends at start."""
+        self.longest = max(self.longest, end - start)
         proto = self.sp.encode(data[start:end].decode(), return_type="proto")
         return [start + p.end for p in proto.pieces]
 
+    def _stable(self, data: bytes, at: int) -> bool:
+        """Whether no piece spans the boundary before byte ``at``."""
+        before = at - 1
+        while data[before] & 0xC0 == 0x80:
+            before -= 1
+        pair = data[before:at].decode() + data[at : _char_end(data, at)].decode()
+        return pair.replace(" ", MARK) not in self.inside
+
     def _huge(self, data: bytes) -> int:
-        total, start, n = 0, 0, len(data)
-        size = self.chunk
-        while True:
-            end = min(n, start + size)
-            while end < n and data[end] & 0xC0 == 0x80:
-                end -= 1
-            ends = self._ends(data, start, end)
-            if end == n:
-                return total + len(ends)
-            overlap = min(self.overlap, end - start)
-            while (cut := self._splice(data, start, end, ends, overlap)) is None and overlap < end - start:
-                overlap = min(2 * overlap, end - start)
-            if cut is None:  # no stable boundary in the whole chunk: the overlap becomes a longer chunk
+        n, size = len(data), self.chunk
+        total, done = 0, -1  # tokens counted, and up to which boundary
+        start, end = 0, _char_start(data, min(n, size))
+        ends = self._ends(data, start, end)
+        while end < n:
+            overlap, cut = self.overlap, None
+            while True:
+                low = _char_start(data, max(start, end - overlap))
+                high = _char_start(data, min(n, low + max(size, 2 * overlap)))
+                following = self._ends(data, low, high)
+                cut = self._splice(data, max(low, done), end, ends, following)
+                if cut is not None or low == start:
+                    break
+                overlap *= 2
+            if cut is None:  # nowhere in the whole chunk: it becomes a longer one
                 size *= 2
+                end = _char_start(data, min(n, start + size))
+                ends = self._ends(data, start, end)
                 continue
-            size = self.chunk
-            total += cut[1]
-            start = cut[0] + 1  # without the space: the mark put before the next chunk stands for it
-
-    def _splice(self, data: bytes, start: int, end: int, ends: list[int], overlap: int) -> tuple[int, int] | None:
-        """(offset, tokens before it) of the last boundary in the overlap that lies between another character
-        and a space, hence is stable, and at which this chunk and the overlap encoded alone both end a token."""
-        low = max(start + 1, end - overlap)
-        first = data.find(b" ", low, end)
-        if first < 0:
-            return None
-        other = {first, *self._ends(data, first + 1, end)}
+            total += bisect.bisect_right(ends, cut) - bisect.bisect_right(ends, done)
+            done, start, end, ends, size = cut, low, high, following, self.chunk
+        return total + len(ends) - bisect.bisect_right(ends, done)
+
+    def _splice(self, data: bytes, low: int, end: int, ends: list[int], following: list[int]) -> int | None:
+        """The last stable boundary between low and end at which a chunk and the one that follows both end a token."""
+        both = set(following)
         for i in range(len(ends) - 1, -1, -1):
             at = ends[i]
-            if at < low:
+            if at <= low:
                 return None
-            if at < end - 1 and data[at] == 0x20 and data[at - 1] != 0x20 and at in other:
-                return at, i + 1
+            if at < end and at in both and self._stable(data, at):
+                return at
         return None
 
 
+def _char_start(data: bytes, at: int) -> int:
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _char_end(data: bytes, at: int) -> int:
+    at += 1
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, **options) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row of docs.  ``model`` is a path that executors can read."""
 
@@ -138,7 +161,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, **options) -> D
                 text = text.as_py() or ""
                 n_bytes.append(len(text) if text.isascii() else len(text.encode()))
                 n_tokens.append(counter.count(text))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            made = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
+            yield pa.record_batch([batch.column("doc_id"), *made], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
