@@ -48,6 +48,23 @@ def test_answer_blocks_last_valid_wins():
     assert len({vocab.title(k) for k in vocab.ITEM_KEYS}) == 44
 
 
+def test_answer_lines_in_many_shapes():
+    keys = ["trust_post_1", "donation", "newsletter"]
+    shapes = {
+        "title: TRUST_POST\nanswer: 72%": "72", "  **Title： trust_post:**\n**Selected answer:** **72.0**": "72", "**title: TRUST_POST**\n**answer:**\n72": "72",
+        "**title: TRUST_POST_1 (now)**\nMy final response: about 72": "72", "**title: TRUST_POST**\n**explanation: the value is plain\nto see\n**answer: 72**": "72",
+        "**title: TRUST_POST**\n**answer: 150**": None, "**title: TRUST_POST**": None, "**title: TRUST_POST**\r\n**answer: 1,00**\r\n": "100",
+    }
+    for text, want in shapes.items():
+        assert A.parse_answers(text, keys)["items"]["trust_post_1"]["answer"] == want, text
+    p = A.parse_answers("**title: DONATION_1**\n**category: $10**\n**title: SUBSCRIPTION\n**title: NOTHING**\n**answer: 5**", keys)
+    assert p["items"]["donation"]["answer"] == "Don10" and "trust_post_1" in p["missing"]
+    long = A.parse_answers("**title: TRUST_POST**\n**explanation: " + "word " * 900 + "**\n**answer: 1**", keys)
+    assert len(long["items"]["trust_post_1"]["explanation"]) == 2000 and A.parse_answers(None, keys)["missing"] == keys
+    twice = A.parse_answers("**title: TRUST_POST**\n**answer: 5**\n**title: TRUST_POST**\n**answer: none**\n**title: TRUST_POST**\n**answer: ?**", keys)
+    assert twice["items"]["trust_post_1"]["answer"] == "5" and twice["duplicated"] == ["trust_post_1"] and twice["invalid"] == []
+
+
 def stream(*positions):
     out = []
     for token, *rest in positions:
@@ -60,9 +77,9 @@ def test_pmf_of_digits():
     s = stream(("**title: TRUST_POST**\n**answer: ",), ("7", ("7", 0.8), ("1", 0.1), ("７", 0.1)), ("2", ("2", 0.5), ("0", 0.25), ("**", 0.25)), ("**", ("**", 1.0)))
     d = A.answer_dists(text, s, ["trust_post_1"])["trust_post_1"]
     assert d["mode"] == 72 and d["pmf"][72] == pytest.approx(8 / 9 / 2) and d["pmf"][7] == pytest.approx(8 / 9 / 4) and sum(d["pmf"].values()) == pytest.approx(1) and d["borrowed"] == pytest.approx(1 / 9)
-    hundred = A.answer_pmf([{"1": 1.0}, {"0": 1.0}, {"0": 0.75, "**": 0.25}], 100)
+    hundred = A.answer_pmf([A.digit_row(x) for x in ({"1": 1.0}, {"0": 1.0}, {"0": 0.75, "**": 0.25})], 100)
     assert hundred["pmf"] == pytest.approx({100: 0.75, 10: 0.25})
-    assert A.answer_pmf([{"0": 1.0}, {"**": 1.0}], 0)["pmf"] == {0: 1.0}
+    assert A.answer_pmf([A.digit_row({"0": 1.0}), A.digit_row({"**": 1.0})], 0)["pmf"] == {0: 1.0}
     assert A.answer_dists("other text", s, ["trust_post_1"]) == {}
     assert A.compact(d, 1)["top"] == {"72": 0.4444}
 
