@@ -111,14 +111,25 @@ def session_plan(personas: DataFrame, seed: int = 7, conditions: list[str] | Non
     merged = F.aggregate(F.col("_steps"), F.struct(F.array().cast(f"array<{element}>").alias("done"), none.alias("carry")), lambda a, s: F.when(
         F.exists(s["elements"], is_item), F.struct(F.concat(a["done"], F.array(F.struct(s["name"].alias("name"), s["independent"].alias("independent"), F.concat(a["carry"], s["elements"]).alias("elements")))).alias("done"), none.alias("carry"))
     ).otherwise(F.struct(a["done"].alias("done"), F.concat(a["carry"], s["elements"]).alias("carry"))))["done"]
-    prefix = F.array(F.lit(PREFIX[0]), *([F.lit("i:belief_pre"), F.lit("i:trust_pre")] if pretreatment else []), F.lit(PREFIX[1]))
-    out = rows.withColumn("_m", merged).select("profile_id", "condition", "ord", "codename", "seed", prefix.alias("prefix"), F.posexplode("_m").alias("step", "_s"))
+    asked = F.transform(_pretreatment_order(seed), lambda k: F.concat(F.lit("i:"), k)) if pretreatment else F.array().cast("array<string>")
+    prefix = F.concat(F.array(F.lit(PREFIX[0])), asked, F.array(F.lit(PREFIX[1])))
+    # Apart from the generator, beside which names inside structs are lost.
+    rows = rows.withColumns({"_m": merged, "prefix": prefix})
+    out = rows.select("profile_id", "condition", "ord", "codename", "seed", "prefix", F.posexplode("_m").alias("step", "_s"))
     return out.select("profile_id", "condition", "ord", "codename", "seed", "prefix", "step", F.col("_s.name").alias("step_name"), F.col("_s.independent").alias("independent"), F.col("_s.elements").alias("elements"),
                       F.transform(F.filter("_s.elements", is_item), lambda e: F.substr(e, F.lit(3))).alias("items"))
 
 
+def _pretreatment_seed(seed: int) -> Column:
+    return R.seed(F.lit(str(seed)), "profile_id", F.lit("__pretreatment__"), F.lit(""))
+
+
+def _pretreatment_order(seed: int) -> Column:
+    return shuffled(_pretreatment_seed(seed), [i for _, items in vocab.PRE_BLOCKS for i in items])
+
+
 def pretreatment_plan(personas: DataFrame, seed: int = 7) -> DataFrame:
-    """The once-per-agent step with two items in random order."""
-    s = R.seed(F.lit(str(seed)), "profile_id", F.lit("__pretreatment__"), F.lit(""))
-    order = shuffled(s, ["belief_pre", "trust_pre"])
-    return personas.select("profile_id", s.alias("seed"), order.alias("items"), F.concat(F.array(F.lit(PREFIX[0])), F.transform(order, lambda k: F.concat(F.lit("i:"), k))).alias("elements"))
+    """The once-per-agent step with two items in the agent's random order."""
+    order = _pretreatment_order(seed)
+    elements = F.concat(F.array(F.lit(PREFIX[0])), F.transform(order, lambda k: F.concat(F.lit("i:"), k)))
+    return personas.select("profile_id", _pretreatment_seed(seed).alias("seed"), order.alias("items"), elements.alias("elements"))

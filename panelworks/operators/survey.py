@@ -1,125 +1,36 @@
-"""Running sessions through a model: prompts, clients, answers, status; and the same for attribute inference.
+"""Running sessions through a model: prompts, answers, status, logs; and the same for attribute inference.
 
-The model stage is ``mapInPandas`` over rows that hold a whole session, so what must be asked in order is, and a
-client is made once per partition.  Results are appended to a log, and a run asks only what the log lacks, so a lost executor
-repeats its own calls and nothing that was committed.
+A row is a whole session, so what must be asked in order is, and results leave a task session by session.  ``run_survey`` is one
+job; ``run_to_log`` runs a survey as many small ones, each committed to a log, and asks only what the log lacks: what a failure costs
+is the calls of one batch of agents.  What is asked once of each agent, before any condition, is a table of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import random
 import re
 import time
+import traceback
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import recode as R
 from ..functions import vocab
+from ..sources import readers, sinks
 from .budget import not_done
-from .session import session_plan
+from .models import ChatResult, DummyClient, FixedClient, ModelError, RetryableModelError, make_client
+from .session import pretreatment_plan, session_plan
 
+__all__ = ["ChatResult", "DummyClient", "FixedClient", "ModelError", "RetryableModelError", "make_client"]
 
-class ModelError(Exception):
-    """The model gave no answer."""
-
-
-class RetryableModelError(ModelError):
-    """Worth another try."""
-
-
-@dataclass
-class ChatResult:
-    text: str
-    model: str = ""
-    provider: str = ""
-    input_tokens: int = 0
-    output_tokens: int = 0
-    cached_tokens: int = 0
-    finish_reason: str = "stop"
-    logprobs: list = field(default_factory=list)
-
-
-class DummyClient:
-    """Well-formed answers for every title of a prompt; the same for the same seed."""
-
-    model = provider = "dummy"
-
-    def chat(self, prompt: str, seed: int, temperature: float | None = None) -> ChatResult:
-        rng = random.Random(seed)
-        out = []
-        section = prompt.rpartition("BEGIN SURVEY ITEMS")[2]
-        for m in re.finditer(r"^([A-Z][A-Z0-9_]+):[ \t]*\n((?:(?!^[A-Z][A-Z0-9_]+:[ \t]*$).*\n?)*)", section, re.M):
-            symbols = re.findall(r"^([A-Za-z]+\d+)\)\s", m[2], re.M)
-            answer = rng.choice(symbols) if symbols else str(min(100, max(0, round(rng.gauss(65 if "TRUST" in m[1] else 55, 22)))))
-            out.append(f"**title: {m[1]}**\n**explanation: stand-in.**\n**answer: {answer}**\n**speculation: {min(100, max(0, round(rng.gauss(55, 20))))}**")
-        text = "\n\n".join(out) or "no titles"
-        return ChatResult(text, self.model, self.provider, len(prompt) // 4, len(text) // 4)
-
-
-class FixedClient:
-    """One answer to everything."""
-
-    model = provider = "fixed"
-
-    def __init__(self, text: str):
-        self.text = text
-
-    def chat(self, prompt: str, seed: int, temperature: float | None = None) -> ChatResult:
-        return ChatResult(self.text, self.model, self.provider, len(prompt) // 4, len(self.text) // 4)
-
-
-class HttpClient:
-    """A chat completion endpoint, with backoff; a context that is too long is asked again with fewer answer tokens."""
-
-    provider = "http"
-
-    def __init__(self, base_url: str, model: str, key_env: str | None = None, max_tokens: int = 4096, tries: int = 5, extra: dict | None = None):
-        self.url, self.model, self.key_env, self.max_tokens, self.tries, self.extra = base_url.rstrip("/") + "/chat/completions", model, key_env, max_tokens, tries, extra or {}
-
-    def chat(self, prompt: str, seed: int, temperature: float | None = None) -> ChatResult:
-        import os
-        import urllib.error
-        import urllib.request
-
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key_env]}"} if self.key_env else {})
-        limit = self.max_tokens
-        for n in range(self.tries):
-            body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "seed": seed, "max_tokens": limit, **({} if temperature is None else {"temperature": temperature}), **self.extra}
-            try:
-                with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), head), timeout=600) as r:
-                    got = json.load(r)
-            except urllib.error.HTTPError as e:
-                if e.code == 400 and limit > 256:
-                    limit //= 2
-                    continue
-                if e.code not in (408, 429) and e.code < 500:
-                    raise ModelError(f"{e.code}") from e
-            except OSError:
-                pass
-            else:
-                one, use = got["choices"][0], got.get("usage") or {}
-                return ChatResult(one["message"].get("content") or "", self.model, self.provider, use.get("prompt_tokens", 0), use.get("completion_tokens", 0), (use.get("prompt_tokens_details") or {}).get("cached_tokens", 0), one.get("finish_reason") or "", (one.get("logprobs") or {}).get("content") or [])
-            time.sleep(min(60, 2**n) * (0.5 + random.random()))
-        raise RetryableModelError("no answer after retries")
-
-
-def make_client(name: str, **options):
-    """``dummy``, ``fixed:TEXT`` or ``http:MODEL``."""
-    kind, _, rest = name.partition(":")
-    if kind == "dummy":
-        return DummyClient()
-    if kind == "fixed":
-        return FixedClient(rest)
-    if kind == "http":
-        return HttpClient(model=rest, **options)
-    raise ValueError(f"unknown model client {name!r}")
+PRE = "__pretreatment__"
 
 
 @dataclass
@@ -132,9 +43,15 @@ class RunOptions:
     explanation_style: str = "brief"
     max_attempts: int = 3
     seed: int = 7
-    workers: int = 4
+    #: Tasks that ask at the same time; None: as many as the cluster has room for.
+    workers: int | None = None
+    #: Independent steps of one session in flight at the same time.
+    independent_concurrency: int = 1
     store_prompts: str = "hash"  # or full
     cleanup: bool = False
+    system: str | None = None
+    #: Sessions of one committed batch of run_to_log.
+    batch_sessions: int = 500
     #: Wording by key: pages, item questions and anchors, templates.  What is missing is made from the key.
     texts: dict = field(default_factory=dict)
 
@@ -164,9 +81,10 @@ def seen_text(elements: list[str], answers: dict, texts: dict) -> str:
         if kind == "p":
             out.append(page(texts.get(key, f"[{key}]")))
         else:
-            given = answers.get(key, "(no answer recorded)")
-            given = {s: label for s, label, _ in vocab.CHOICES.get(key, [])}.get(given, given)
-            out.append(page(f"Q: {item_text(key, texts)}\n   → The user answered: {given}"))
+            label = {s: label for s, label, _ in vocab.CHOICES.get(key, [])}
+            given = answers.get(key)
+            reply = texts.get("unanswered", "left blank") if given is None else label.get(given, given)
+            out.append(page(f"{item_text(key, texts)}\n{texts.get('reply', 'Their answer:')} {reply}"))
     return "\n\n".join(out)
 
 
@@ -201,111 +119,258 @@ def stable_seed(*parts) -> int:
     return int(hashlib.sha256("||".join(map(str, parts)).encode()).hexdigest()[-8:], 16)
 
 
-def _gaps(p: dict) -> int:
-    return len(p["missing"]) + len(p["invalid"])
-
-
-def answer_step(client, prompt: str, items: list[str], ids: tuple, o: RunOptions, calls: list[dict]) -> tuple[dict | None, str]:
-    """(the most complete parse, status) of up to max_attempts tries, each perhaps tidied by a second call."""
-    best = None
-    for attempt in range(1, o.max_attempts + 1):
-        seed = stable_seed(o.seed, *ids, attempt)
+def gaps(parsed: dict) -> int:
+    """Items that a parse lacks."""
+    return len(parsed["missing"]) + len(parsed["invalid"])
+
+
+_CALL_FIELDS = {
+    "step": "int", "step_name": "string", "attempt": "int", "kind": "string", "model": "string", "provider": "string", "prompt": "string", "prompt_sha256": "string", "response": "string", "error": "string",
+    "input_tokens": "bigint", "output_tokens": "bigint", "cached_tokens": "bigint", "latency_s": "double", "finish_reason": "string",
+    "parse_missing": "array<string>", "parse_invalid": "array<string>", "parse_duplicated": "array<string>",
+}
+CALL = f"struct<{','.join(f'{k}:{v}' for k, v in _CALL_FIELDS.items())}>"
+_TOKENS = ("input_tokens", "output_tokens", "cached_tokens")
+
+
+class Asker:
+    """Asks one model on behalf of one agent in one condition, and keeps a record of every call."""
+
+    def __init__(self, model, persona: dict, condition: str, o: RunOptions, tidy=None):
+        self.model, self.persona, self.condition, self.o = model, persona, condition, o
+        self.tidy = tidy if tidy is not None else model if o.cleanup else None
+        self.calls: list[dict] = []
+
+    def step(self, number: int, name: str, elements: list[str], items: list[str], prefix: list[str], earlier: list[str], known: dict) -> dict | None:
+        """The most complete of the parses that up to max_attempts tries give, the first of equals; None if none gave any."""
+        prompt = step_prompt(self.persona, prefix, earlier, elements, known, self.o)
+        parses: list[dict] = []
+        for attempt in range(1, self.o.max_attempts + 1):
+            record = {"step": number, "step_name": name, "attempt": attempt}
+            seed = stable_seed(self.o.seed, self.persona["profile_id"], self.condition, f"{number}:{attempt}")
+            text, parse = self._parsed(self.model, "primary", prompt, items, seed, None, record)
+            if parse is None:
+                continue
+            parses.append(parse)
+            if gaps(parse) and self.tidy is not None:
+                _, tidied = self._parsed(self.tidy, "cleanup", cleanup_prompt(text, items), items, seed, 0.0, record)
+                if tidied is not None:
+                    for key, item in tidied["items"].items():
+                        item["explanation"] = item["explanation"] or parse["items"].get(key, {}).get("explanation", "")
+                    parses.append(tidied)
+            if not all(map(gaps, parses)):
+                break
+        return min(parses, key=gaps, default=None)
+
+    def _parsed(self, model, kind: str, prompt: str, items: list[str], seed: int, temperature: float | None, record: dict) -> tuple[str, dict | None]:
+        call = dict.fromkeys(_CALL_FIELDS) | record | {"kind": kind, "model": model.model, "provider": model.provider, "prompt_sha256": hashlib.sha256(prompt.encode()).hexdigest()}
+        if self.o.store_prompts == "full":
+            call["prompt"] = prompt
+        self.calls.append(call)
         try:
-            r = client.chat(prompt, seed)
+            r = model.chat(prompt, seed, temperature, self.o.system)
         except ModelError as e:
-            calls.append({"attempt": attempt, "kind": "primary", "prompt": prompt, "response": None, "error": str(e)[:2000], "input_tokens": 0, "output_tokens": 0, "cached_tokens": 0})
-            continue
-        p = A.parse_answers(r.text, items)
-        calls.append({"attempt": attempt, "kind": "primary", "prompt": prompt, "response": r.text, "error": None, "input_tokens": r.input_tokens, "output_tokens": r.output_tokens, "cached_tokens": r.cached_tokens})
-        if _gaps(p) and o.cleanup:
-            tidy = cleanup_prompt(r.text, items)
-            try:
-                c = client.chat(tidy, seed, 0.0)
-            except ModelError as e:
-                calls.append({"attempt": attempt, "kind": "cleanup", "prompt": tidy, "response": None, "error": str(e)[:2000], "input_tokens": 0, "output_tokens": 0, "cached_tokens": 0})
-            else:
-                calls.append({"attempt": attempt, "kind": "cleanup", "prompt": tidy, "response": c.text, "error": None, "input_tokens": c.input_tokens, "output_tokens": c.output_tokens, "cached_tokens": c.cached_tokens})
-                q = A.parse_answers(c.text, items)
-                for k, v in q["items"].items():
-                    v["explanation"] = v["explanation"] or p["items"].get(k, {}).get("explanation", "")
-                p = q if _gaps(q) < _gaps(p) else p
-        if best is None or _gaps(p) < _gaps(best):
-            best = p
-        if not _gaps(p):
-            break
-    return best, "failed" if best is None else "partial" if _gaps(best) else "complete"
-
-
-def run_session(client, persona: dict, condition: str, prefix: list[str], steps: list[dict], o: RunOptions, pre: dict | None = None) -> dict:
-    """One agent in one condition.  Independent steps see the answers to the treatment only."""
-    answers, speculation, explanations, statuses, calls = {}, {}, {}, [], []
-    earlier: list[str] = []
-    shared: dict | None = None
-    for n, s in enumerate(steps):
-        if s["independent"] and shared is None:
-            shared = dict(answers)
-        known = {**(pre or {}), **(shared if s["independent"] else answers)}
-        p, status = answer_step(client, step_prompt(persona, prefix, earlier, s["elements"], known, o), s["items"], (persona["profile_id"], condition, n), o, calls)
-        statuses.append(status)
-        for k, v in (p["items"] if p else {}).items():
-            if v["ok"]:
-                answers[k], explanations[k] = v["answer"], v["explanation"]
-                if v["speculation"] is not None:
-                    speculation[k] = v["speculation"]
-        if status == "failed":
+            call |= {"error": str(e)[:2000], **dict.fromkeys(_TOKENS, 0)}
+            return "", None
+        parse = A.parse_answers(r.text, items)
+        call |= {k: getattr(r, k) for k in (*_TOKENS, "latency_s", "finish_reason")} | {"response": r.text, **{f"parse_{k}": parse[k] for k in ("missing", "invalid", "duplicated")}}
+        return r.text, parse
+
+
+class _Sheet:
+    """What a session has answered so far."""
+
+    def __init__(self):
+        self.answers, self.speculation, self.explanations, self.statuses = {}, {}, {}, []
+
+    def take(self, parse: dict | None) -> None:
+        self.statuses.append("failed" if parse is None else "partial" if gaps(parse) else "complete")
+        for key, item in (parse["items"] if parse else {}).items():
+            if item["ok"]:
+                self.answers[key], self.explanations[key] = item["answer"], item["explanation"]
+                if item["speculation"] is not None:
+                    self.speculation[key] = item["speculation"]
+
+    def status(self, wanted: list[str]) -> str:
+        if "failed" in self.statuses:
+            return "failed"
+        return "complete" if set(self.statuses) <= {"complete"} and all(k in self.answers for k in wanted) else "partial"
+
+
+_BLOCK_OF = {item: key for _, key, items in vocab.BLOCKS for item in items}
+
+
+def run_session(asker: Asker, prefix: list[str], steps: list[dict], pre: dict | None = None) -> dict:
+    """One agent in one condition.  Steps that follow each other in order see all earlier answers; independent ones see those of the
+    treatment alone, and may be asked together."""
+    sheet, earlier, o = _Sheet(), [], asker.o
+    numbered = list(enumerate(steps))
+    ordered = [(n, s) for n, s in numbered if not s["independent"]]
+    apart = [(n, s) for n, s in numbered if s["independent"]]
+
+    def ask(n: int, s: dict, known: dict) -> dict | None:
+        return asker.step(n, s["step_name"], s["elements"], s["items"], prefix, earlier, {**(pre or {}), **known})
+
+    for n, s in ordered:
+        sheet.take(ask(n, s, sheet.answers))
+        if sheet.statuses[-1] == "failed":
+            apart = []
             break
-        if not s["independent"]:
-            earlier += s["elements"]
-    missing = [k for k in vocab.ITEM_KEYS if k not in answers]
-    status = "complete" if not missing and set(statuses) == {"complete"} else "failed" if "failed" in statuses else "partial"
-    return {"answers": answers, "speculation": speculation, "explanations": explanations, "status": status, "missing_outcome_items": missing, "n_steps": len(steps), "calls": calls}
+        earlier.extend(s["elements"])
+    if apart:
+        known = dict(sheet.answers)
+        if o.independent_concurrency > 1:
+            with ThreadPoolExecutor(o.independent_concurrency) as pool:
+                for parse in pool.map(lambda x: ask(*x, known), apart):
+                    sheet.take(parse)
+        else:
+            for n, s in apart:
+                sheet.take(ask(n, s, known))
+                if sheet.statuses[-1] == "failed":
+                    break
+    order = dict.fromkeys(_BLOCK_OF[i] for s in steps for i in s["items"] if i in _BLOCK_OF)
+    return {"answers": sheet.answers, "speculation": sheet.speculation, "explanations": sheet.explanations, "status": sheet.status(vocab.ITEM_KEYS),
+            "missing_outcome_items": [k for k in vocab.ITEM_KEYS if k not in sheet.answers], "n_steps": len(steps),
+            "session_meta": {"battery_mode": o.battery_mode, "block_order": list(order), "pretreatment_order": [e[2:] for e in prefix if e.startswith("i:")]}}
 
 
-CALL = "struct<attempt:int,kind:string,prompt:string,prompt_sha256:string,response:string,error:string,input_tokens:bigint,output_tokens:bigint,cached_tokens:bigint>"
-RESPONSE = ("profile_id string, condition string, codename string, model string, provider string, answers map<string,string>, speculation map<string,int>, explanations map<string,string>, status string, "
-            f"missing_outcome_items array<string>, n_steps int, n_calls int, demographics map<string,string>, assigned_state string, year_birth int, calls array<{CALL}>")
+_MAPS = "answers map<string,string>, speculation map<string,int>, explanations map<string,string>"
+RESPONSE = (f"profile_id string, condition string, codename string, model string, provider string, {_MAPS}, status string, missing_outcome_items array<string>, n_steps int, n_calls int, seconds double, "
+            "session_meta struct<battery_mode:string,block_order:array<string>,pretreatment_order:array<string>>, "
+            f"demographics map<string,string>, assigned_state string, year_birth int, calls array<{CALL}>")
+PRETREATMENT = f"profile_id string, {_MAPS}, block_order array<string>, status string, n_calls int, seconds double, calls array<{CALL}>"
 
 
-def run_survey(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Responses, one row per agent and condition that ``done`` (``profile_id, condition``) lacks.  client makes a client on an executor."""
-    o = options or RunOptions()
-    plan = session_plan(personas, o.seed, o.conditions, o.battery_steps, o.battery_mode, o.pretreatment)
-    if done is not None:
-        plan = not_done(plan, done, ["profile_id", "condition"])
-    steps = F.sort_array(F.collect_list(F.struct("step", "independent", "elements", "items")))
-    sessions = plan.groupBy("profile_id", "condition", "codename", "prefix").agg(steps.alias("steps"))
-    people = personas.select("profile_id", F.to_json("demographics").alias("demographics"), "assigned_state", "year_birth", "profile_text")
-    rows = sessions.join(people, "profile_id").withColumn("steps", F.to_json("steps"))
+def _names(schema: str) -> list[str]:
+    return re.findall(r"(?:^|, )(\w+) ", schema)
+
+
+def _people(personas: DataFrame) -> DataFrame:
+    return personas.select("profile_id", F.to_json("demographics").alias("demographics"), "assigned_state", "year_birth", "profile_text")
+
+
+def _asked(rows: DataFrame, schema: str, o: RunOptions, client: Callable[[], object], ask: Callable, tidy: Callable[[], object] | None) -> DataFrame:
+    """rows, asked one by one: ask(asker, row) gives a record; what goes wrong in one is recorded and stops none of the others."""
+    columns = _names(schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
+        second = tidy() if tidy else None
         for batch in batches:
-            out = []
             for r in batch.to_dict("records"):
                 person = {"profile_id": r["profile_id"], "demographics": json.loads(r["demographics"]), "assigned_state": r["assigned_state"], "profile_text": r["profile_text"]}
-                pre = None
-                if o.pretreatment:
-                    p, _ = answer_step(model, step_prompt(person, [], [], ["i:belief_pre", "i:trust_pre"], {}, o), ["belief_pre", "trust_pre"], (person["profile_id"], "__pretreatment__", 0), o, [])
-                    pre = {k: v["answer"] for k, v in (p["items"] if p else {}).items() if v["ok"]}
-                done = run_session(model, person, r["condition"], list(r["prefix"]), json.loads(r["steps"]), o, pre)
-                calls = done.pop("calls")
-                for c in calls:
-                    c["prompt_sha256"] = hashlib.sha256(c["prompt"].encode()).hexdigest()
-                    c["prompt"] = c["prompt"] if o.store_prompts == "full" else None
-                out.append({"profile_id": r["profile_id"], "condition": r["condition"], "codename": r["codename"], "model": model.model, "provider": model.provider, **done, "n_calls": len(calls),
-                            "demographics": person["demographics"], "assigned_state": r["assigned_state"], "year_birth": r["year_birth"], "calls": calls})
-            yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
-
-    return rows.repartition(o.workers, "profile_id").mapInPandas(run, RESPONSE)
+                asker = Asker(model, person, r.get("condition", PRE), o, second)
+                began = time.monotonic()
+                try:
+                    made = ask(asker, r)
+                except Exception:
+                    made = {"status": "failed", "answers": {}, "speculation": {}, "explanations": {}, "missing_outcome_items": list(vocab.ITEM_KEYS)}
+                    asker.calls.append(dict.fromkeys(_CALL_FIELDS) | {"kind": "session", "error": traceback.format_exc()[-2000:], **dict.fromkeys(_TOKENS, 0)})
+                told = {k: r.get(k) for k in ("profile_id", "condition", "codename", "assigned_state", "year_birth")}
+                told |= {"model": model.model, "provider": model.provider, "demographics": person["demographics"], "n_calls": len(asker.calls), "calls": asker.calls, "seconds": round(time.monotonic() - began, 2)}
+                yield pd.DataFrame([{c: (told | made).get(c) for c in columns}], columns=columns, dtype=object)
+
+    # Partitions are tasks, and tasks are calls in flight.
+    spread = rows.repartition(o.workers, "profile_id") if o.workers else rows.repartition("profile_id")
+    return spread.mapInPandas(run, schema)
+
+
+def run_pretreatment(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, tidy: Callable[[], object] | None = None) -> DataFrame:
+    """Answers before any treatment, asked once of each agent, in the agent's own order."""
+    o = options or RunOptions()
+    rows = pretreatment_plan(personas, o.seed).join(_people(personas), "profile_id")
 
+    def ask(asker: Asker, r: dict) -> dict:
+        sheet, items = _Sheet(), list(r["items"])
+        sheet.take(asker.step(0, "pretreatment", list(r["elements"]), items, [], [], {}))
+        return {"answers": sheet.answers, "speculation": sheet.speculation, "explanations": sheet.explanations, "status": sheet.status(items), "block_order": items}
 
-_COLUMNS = ["profile_id", "condition", "codename", "model", "provider", "answers", "speculation", "explanations", "status", "missing_outcome_items", "n_steps", "n_calls", "demographics", "assigned_state", "year_birth", "calls"]
+    return _asked(rows, PRETREATMENT, o, client, ask, tidy)
 
 
-def usage(responses: DataFrame) -> DataFrame:
+def run_survey(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, done: DataFrame | None = None, pretreatment: DataFrame | None = None,
+               tidy: Callable[[], object] | None = None) -> DataFrame:
+    """Responses, one row per agent and condition that ``done`` (``profile_id, condition``) lacks.  client makes a client on an executor, and
+    tidy another one for cleanup.  pretreatment: what run_pretreatment gave, already written; only complete rows are used."""
+    o = options or RunOptions()
+    plan = session_plan(personas, o.seed, o.conditions, o.battery_steps, o.battery_mode, o.pretreatment)
+    if done is not None:
+        plan = not_done(plan, done, ["profile_id", "condition"])
+    steps = F.sort_array(F.collect_list(F.struct("step", "step_name", "independent", "elements", "items")))
+    sessions = plan.groupBy("profile_id", "condition", "codename", "prefix").agg(steps.alias("steps"))
+    rows = sessions.join(_people(personas), "profile_id").withColumn("steps", F.to_json("steps"))
+    if pretreatment is not None:
+        before = pretreatment.where("status = 'complete'").groupBy("profile_id").agg(F.to_json(F.max_by("answers", "n_calls")).alias("pre"))
+        rows = rows.join(before, "profile_id", "left")
+
+    def ask(asker: Asker, r: dict) -> dict:
+        return run_session(asker, list(r["prefix"]), json.loads(r["steps"]), json.loads(r["pre"]) if r.get("pre") else None)
+
+    return _asked(rows, RESPONSE, o, client, ask, tidy)
+
+
+def run_to_log(spark: SparkSession, personas: DataFrame, client: Callable[[], object], out: str, options: RunOptions | None = None, run_id: str = "run",
+               tidy: Callable[[], object] | None = None, told: Callable[[str], None] = print) -> dict:
+    """Runs what the logs under out lack, batch by batch of agents, each committed before the next begins; returns the summary of the run."""
+    o, began = options or RunOptions(), time.monotonic()
+    responses, before = f"{out}/responses-{run_id}.jsonl", f"{out}/pretreatment-{run_id}.jsonl"
+    stamps = {"run_id": F.lit(run_id), "timestamp": F.current_timestamp().cast("string"), "seq": F.unix_micros(F.current_timestamp())}
+
+    def logged(path: str, schema: str) -> DataFrame | None:
+        return readers.read_jsonl(spark, path, f"{schema}, run_id string, timestamp string, seq bigint") if readers.exists(spark, path) else None
+
+    each = len(o.conditions or vocab.CONDITIONS)
+    agents = personas.count()
+    batches = max(1, -(-agents * each // o.batch_sessions))
+    for i in range(batches):
+        some = personas.where(F.pmod(F.xxhash64("profile_id"), F.lit(batches)) == i)
+        pre = None
+        if o.pretreatment:
+            held = logged(before, PRETREATMENT)
+            asked = not_done(some, held.where("status = 'complete'"), ["profile_id"]) if held is not None else some
+            sinks.append_log(run_pretreatment(asked, client, o, tidy).withColumns(stamps), before)
+            pre = logged(before, PRETREATMENT)
+        held = logged(responses, RESPONSE)
+        done = held.where("status = 'complete'").select("profile_id", "condition") if held is not None else None
+        sinks.append_log(run_survey(some, client, o, done, pre, tidy).withColumns(stamps), responses)
+        told(f"[{run_id}] batch {i + 1} of {batches}, {(time.monotonic() - began) / 60:.1f} min")
+    made, pre = logged(responses, RESPONSE), logged(before, PRETREATMENT)
+    counts = {r.status: r.n for r in made.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    summary = {"run_id": run_id, "n_agents": agents, "conditions": o.conditions or vocab.CONDITIONS, **{f"n_{k}": counts.get(k, 0) for k in ("complete", "partial", "failed")},
+               "elapsed_min": round((time.monotonic() - began) / 60, 2), "usage": usage(made, pre).first().asDict(), "options": asdict(o)}
+    return summary
+
+
+def call_rows(responses: DataFrame, pretreatment: DataFrame | None = None) -> DataFrame:
+    """A row per model call, those before the treatment included."""
+    some = responses.select("profile_id", "condition", F.inline("calls"))
+    if pretreatment is not None:
+        some = some.unionByName(pretreatment.select("profile_id", F.lit(PRE).alias("condition"), F.inline("calls")))
+    return some
+
+
+def usage(responses: DataFrame, pretreatment: DataFrame | None = None) -> DataFrame:
     """Calls, tokens and failures of a run."""
-    c = responses.select(F.explode("calls").alias("c")).select("c.*")
-    return c.agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failures"), *[F.sum(n).alias(n) for n in ("input_tokens", "output_tokens", "cached_tokens")])
+    c = call_rows(responses, pretreatment)
+    return c.agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failures"), *[F.sum(n).alias(n) for n in _TOKENS])
+
+
+def prompts_of(personas: DataFrame, profile_id: str, condition: str, options: RunOptions | None = None) -> list[tuple[str, str]]:
+    """(step name, prompt) of each step of one session, earlier items answered by a stand-in: 50, or the first option."""
+    o = options or RunOptions()
+    one = personas.where(F.col("profile_id") == profile_id)
+    steps = session_plan(one, o.seed, [condition], o.battery_steps, o.battery_mode, o.pretreatment).orderBy("step").collect()
+    who = _people(one).first()
+    person = {"profile_id": profile_id, "demographics": json.loads(who.demographics), "assigned_state": who.assigned_state, "profile_text": who.profile_text}
+    stand_in = lambda k: vocab.CHOICES[k][0][0] if k in vocab.CHOICES else "50"
+    answers = {e[2:]: stand_in(e[2:]) for e in steps[0].prefix if e.startswith("i:")}
+    out, earlier = [], []
+    for s in steps:
+        out.append((s.step_name, step_prompt(person, list(s.prefix), earlier, list(s.elements), answers, o)))
+        if not s.independent:
+            answers |= {k: stand_in(k) for k in s["items"]}
+            earlier += s.elements
+    return out
 
 
 # --- Attribute inference ----------------------------------------------------------------------------------------------
@@ -325,7 +390,7 @@ def response_schema(levels: dict[str, list[str]]) -> dict:
 INFERRED = "author string, model_used string, status string, " + ", ".join(f"{m} string, {m}_confidence double, {m}_alternates string" for m in vocab.MODERATORS) + ", raw_response string"
 
 
-def infer_attributes(moulds: DataFrame, client: Callable[[], object], seed: int = 42, workers: int = 4, levels: dict[str, list[str]] | None = None) -> DataFrame:
+def infer_attributes(moulds: DataFrame, client: Callable[[], object], seed: int = 42, workers: int | None = None, levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Levels guessed for each author from ``author, mould[, background]``: success, refusal, malformed_json or error.  A malformed
     answer is asked for once more in the right form."""
     levels = levels or vocab.MODERATORS
@@ -354,9 +419,10 @@ def infer_attributes(moulds: DataFrame, client: Callable[[], object], seed: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
         for batch in batches:
-            yield pd.DataFrame([one(model, r) for r in batch.to_dict("records")], columns=columns)
+            for r in batch.to_dict("records"):
+                yield pd.DataFrame([one(model, r)], columns=columns)
 
-    return moulds.repartition(workers, "author").mapInPandas(run, INFERRED)
+    return (moulds.repartition(workers, "author") if workers else moulds.repartition("author")).mapInPandas(run, INFERRED)
 
 
 def seed_column(seed: int, *parts):

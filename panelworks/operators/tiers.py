@@ -44,7 +44,8 @@ def raw_export(responses: DataFrame, run_id: str = "run", order: Sequence = ("fi
     at = F.coalesce(F.col("timestamp").cast("string"), F.lit("")) if "timestamp" in responses.columns else F.lit("")
     made = {
         "StartDate": at, "EndDate": at, "RecordedDate": at, "Status": F.lit(0), "Progress": F.lit(100), "Finished": F.lit(1), "DistributionChannel": F.lit("anonymous"), "UserLanguage": F.lit("EN"),
-        "ResponseId": F.concat(F.lit(f"R_{run_id}_"), F.lpad(row.cast("string"), 6, "0")), "condition": F.col("codename"), "profile_id": pid,
+        "Duration (in seconds)": F.round("seconds").cast("bigint") if "seconds" in responses.columns else F.lit(None).cast("bigint"),
+        "ResponseId": F.format_string(f"R_{run_id.replace('%', '%%')}_%06d", row), "condition": F.col("codename"), "profile_id": pid,
         "year_birth": F.coalesce(F.col("year_birth"), vocab.SURVEY_YEAR - R.code_map(demo("age_band"), vocab.BAND_AGE)), **{m: code(m) for m in ("gender", "race", "education", "income", "party")},
         **{k: export_value(k, F.col("answers").getItem(k)) for k in vocab.ITEM_KEYS},
     }

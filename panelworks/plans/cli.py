@@ -82,8 +82,9 @@ def infer(spark, a):
         moulds = moulds.join(known.select("author", X.background("ideology_score", "gender_score", "age_score").alias("background")), "author", "left").withColumn("background", F.coalesce("background", F.lit("")))
     if a.resume and readers.exists(spark, a.output):
         moulds = moulds.join(readers.read_jsonl(spark, a.output, "author string"), "author", "left_anti")
-    options = {"base_url": a.base_url, "key_env": a.api_key_env} if a.model_client.startswith("http:") else {}
-    out = survey.infer_attributes(moulds, lambda: survey.make_client(a.model_client, **options), a.seed, a.workers)
+    http = a.model_client.split(":")[0] in ("http", "chat", "messages")
+    options = {"base_url": a.base_url, "key_env": a.api_key_env, "extra_body": json.loads(a.extra_body or "{}")} if http else {}
+    out = survey.infer_attributes(moulds, lambda: survey.make_client(a.model_client, **options), a.seed, a.workers or None)
     sinks.append_log(out, a.output) if a.resume else _save(out, a.output)
 
 
@@ -144,14 +145,21 @@ def run(spark, a):
         people = people.orderBy("profile_id").limit(a.limit_agents)
     if people.isEmpty():
         sys.exit("no personas")
-    options = survey.RunOptions(**(readers.read_json_document(spark, a.config) if a.config else {}))
+    config = readers.read_json_document(spark, a.config) if a.config else {}
+    endpoint, second = config.pop("endpoint", {}), config.pop("cleanup_client", None)
+    options = survey.RunOptions(**config)
     options.conditions, options.workers = a.conditions or options.conditions, a.workers or options.workers
-    out = f"{a.out_root}/responses-{a.run_id}.jsonl"
-    done = readers.read_jsonl(spark, out, "profile_id string, condition string, status string").where("status = 'complete'") if readers.exists(spark, out) else None
-    endpoint = {"base_url": a.base_url, "key_env": a.api_key_env} if a.client.startswith("http:") else {}
+    if a.print_prompt or a.print_all_steps:
+        who, condition = a.print_prompt
+        for i, (name, prompt) in enumerate(survey.prompts_of(people, who, condition, options)[: None if a.print_all_steps else 1]):
+            print(f"--- step {i + 1}: {name} ---\n{prompt}\n")
+        return
+    endpoint |= {k: v for k, v in {"base_url": a.base_url, "key_env": a.api_key_env}.items() if v}
+    http = lambda name: endpoint if name.split(":")[0] in ("http", "chat", "messages") else {}
     name = a.client
-    made = survey.run_survey(people, lambda: survey.make_client(name, **endpoint), options, done)
-    sinks.append_log(made.withColumns({"run_id": F.lit(a.run_id), "timestamp": F.current_timestamp().cast("string"), "seq": F.unix_micros(F.current_timestamp())}), out)
+    tidy = (lambda: survey.make_client(second, **http(second))) if second else None
+    summary = survey.run_to_log(spark, people, lambda: survey.make_client(name, **http(name)), a.out_root, options, a.run_id, tidy)
+    print(sinks.dump(summary))
 
 
 def submission(spark, a):
@@ -200,14 +208,14 @@ STEPS = {
     "activity": (counts, ["input+!", "counts-output", "activity-output"]),
     "state": (state, ["subreddit-counts!", "state-subreddits!", "output!", "merge-into", "merged-output"]),
     "scores": (scores, ["subreddit-scores!", "user-activity!", "output!"]),
-    "infer": (infer, ["input!", "embedding-scores", "output!", ("model-client", "dummy"), "base-url", "api-key-env", ("max-context-tokens", 3000), ("seed", 42), ("limit", 0), "resume?", ("workers", 1)]),
+    "infer": (infer, ["input!", "embedding-scores", "output!", ("model-client", "dummy"), "base-url", "api-key-env", ("max-context-tokens", 3000), ("seed", 42), ("limit", 0), "resume?", ("workers", 0), "extra-body"]),
     "sample": (sample, ["input!", "output!", "shortfall-report", "supplementary-pool", ("n", 1000), ("seed", 42), "strict?", "marginal-targets+"]),
     "classify": (classify, ["input!", "authors", "external-parents", "output!", "missing-parent-ids-output"]),
     "interactions": (extract, ["input!", "output!", "pending-fetch-output", "relaxed-authors", ("relaxed-min-words", 10)]),
     "persona-posts": (persona_posts, ["agents!", "interactions!", "output!"]),
     "personas": (build_personas, ["agents!", "posts!", "output!", ("max-posts", 60), ("max-chars-per-post", 600), ("max-total-chars", 16000)]),
     "coverage": (coverage, ["agents!", "posts!", "output", ("threshold", 10), "below-threshold-output"]),
-    "survey": (run, ["config", "personas!", "out-root!", ("run-id", "run"), ("limit-agents", 0), "only-agents+", "conditions+", ("workers", 0), ("client", "dummy"), "base-url", "api-key-env"]),
+    "survey": (run, ["config", "personas!", "out-root!", ("run-id", "run"), ("limit-agents", 0), "only-agents+", "conditions+", ("workers", 0), ("client", "dummy"), "base-url", "api-key-env", "print-prompt+", "print-all-steps?"]),
     "submission": (submission, ["responses!", "raw-output", "output!", ("run-id", "run"), "include-partial?", ("profile-id-mode", "agent")]),
     "tiers": (derive, ["tier1!", "out-dir!", ("decimals", 3)]),
     "check": (check, ["input!", ("tier", "1")]),

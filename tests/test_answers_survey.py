@@ -125,15 +125,24 @@ def test_session_plans(spark):
 def test_survey_to_tiers(spark):
     agents = readers.synthetic_agents(spark, 4)
     people = agents.select("profile_id", F.struct(*vocab.MODERATORS).alias("demographics"), "assigned_state", "year_birth", F.lit("text").alias("profile_text"))
-    r = survey.run_survey(people, survey.DummyClient, survey.RunOptions(conditions=["control", "Consensus"], pretreatment=True))
+    o = survey.RunOptions(conditions=["control", "Consensus"], pretreatment=True)
+    pre = survey.run_pretreatment(people, survey.DummyClient, o)
+    pre = spark.createDataFrame(pre.collect(), pre.schema)
+    assert pre.count() == 4 and {x.status for x in pre.collect()} == {"complete"} and all(set(x.answers) == {"belief_pre", "trust_pre"} for x in pre.collect())
+    r = survey.run_survey(people, survey.DummyClient, o, pretreatment=pre)
     r = spark.createDataFrame(r.collect(), r.schema).withColumns({"seq": F.lit(1), "timestamp": F.lit("t")})
     assert r.count() == 8 and {x.status for x in r.collect()} == {"complete"} and survey.usage(r).first().calls == 4 * (1 + 4)
+    assert survey.usage(r, pre).first().calls == 4 * (1 + 4) + 4  # before the treatment each agent is asked once, not once a condition
+    orders = {x.profile_id: x.block_order for x in pre.collect()}
+    for x in r.collect():
+        assert x.session_meta.pretreatment_order == orders[x.profile_id] and x.seconds >= 0
+        assert sorted(x.session_meta.block_order) == sorted(k for _, k, _ in vocab.BLOCKS) and x.session_meta.block_order[0] == "trust_multidimensional"
     left = survey.run_survey(people, survey.DummyClient, survey.RunOptions(conditions=["control", "Consensus"]), done=r.where("condition = 'control'"))
     assert {x.condition for x in left.collect()} == {"Consensus"}
     worse = r.withColumns({"status": F.lit("failed"), "seq": F.lit(2)})
     best = tiers.usable_responses(r.unionByName(worse))
     raw = tiers.raw_export(best)
-    assert raw.columns == tiers.RAW and len(tiers.RAW) == 69
+    assert raw.columns == tiers.RAW and len(tiers.RAW) == 69 and raw.where("`Duration (in seconds)` IS NULL").count() == 0
     t1 = tiers.tier1(raw)
     assert t1.columns == tiers.TIER1 and len(t1.columns) == 33 and t1.count() == 8
     a = t1.first()
