@@ -73,6 +73,38 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
+#: Bits of a filter of rows.
+FILTER_BITS = 1 << 24
+
+
+class RowFilter:
+    """Which rows may be in a table: no row of it is missed, some others pass.  A bitmap of fixed size, sent to tasks."""
+
+    def __init__(self, table: DataFrame, key):
+        """key: a bigint column of table, which spreads evenly."""
+        slot = F.pmod(key, F.lit(FILTER_BITS))
+        bits = np.zeros(FILTER_BITS, bool)
+        made = table.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+        for r in made.toLocalIterator():  # of a size that FILTER_BITS fixes
+            # Buckets count from one where slots do; slot 0 is in bucket 0.
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little"))
+            bits[(at + (r.bucket - 1) * 32768 + 1 if r.bucket else at)] = True
+        self.sent = table.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys % FILTER_BITS
+        return (self.sent.value[slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+    def __reduce__(self):
+        return _filter_of, (self.sent,)
+
+
+def _filter_of(sent) -> RowFilter:
+    made = RowFilter.__new__(RowFilter)
+    made.sent = sent
+    return made
+
+
 class WordHashes(dict):
     """XXH64 of words, remembered up to a bound."""
 

@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed, utf8
+from .common import RowFilter, WordHashes, hashed, utf8
 from .decontam import runs
 
 _U = np.uint64
-#: Bits of the filter of sets to send, and shingles and sets of one part of a candidate group.
-BITS, PART, PART_SETS = 1 << 24, 1 << 20, 1 << 12
+#: Shingles and sets of one part of a candidate group.
+PART, PART_SETS = 1 << 20, 1 << 12
 _NEAR = 1e-9
 
 
@@ -48,35 +48,18 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - _NEAR) + 1 if n else 0
 
 
-def _slot_of_node(node):
-    return F.pmod(node, F.lit(BITS))
-
-
 def texts_of(keyed: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
     """``node, text``: texts of the sets in groups, and perhaps of some more."""
-    bits = np.zeros(BITS, bool)
-    slot = _slot_of_node(F.col("node"))
-    made = groups.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    for r in made.toLocalIterator():  # of a size that BITS fixes
-        # Buckets count from one where slots do; slot 0 is in bucket 0.
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little"))
-        bits[(at + (r.bucket - 1) * 32768 + 1 if r.bucket else at)] = True
-    sent = keyed.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    wanted = RowFilter(groups, F.col("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, some, seen = WordHashes(), sent.value, set()
+        memo, seen = WordHashes(), set()
         for batch in batches:
-            nodes, found = [], []
-            for i, t in enumerate(utf8(batch.column("text"))):
-                node = node_of(shingles(t.as_py() or b"", shingle, memo))
-                s = node % BITS
-                if some[s >> 3] >> (s & 7) & 1 and node not in seen:
-                    if len(seen) < 100_000:
-                        seen.add(node)
-                    nodes.append(node)
-                    found.append(i)
-            texts = batch.column("text").take(pa.array(found, pa.int64()))
-            yield pa.record_batch([pa.array(nodes, pa.int64()), texts], names=["node", "text"])
+            nodes = np.array([node_of(shingles(t.as_py() or b"", shingle, memo)) for t in utf8(batch.column("text"))], np.int64)
+            found = [i for i in np.flatnonzero(wanted(nodes)).tolist() if nodes[i] not in seen]
+            if len(seen) < 100_000:
+                seen.update(nodes[found].tolist())
+            yield pa.record_batch([pa.array(nodes[found]), batch.column("text").take(pa.array(found, pa.int64()))], names=["node", "text"])
 
     return keyed.select("text").mapInArrow(run, "node bigint, text string")
 

@@ -25,7 +25,8 @@ The operator works down from high symbols to single windows, in three Spark roun
    one by 128-bit hashes.
 
 All rounds bring rows together by key after tasks have combined their own: of equal keys a task sends on one,
-so no key is hot.  Nothing is broadcast or collected; texts go through one exchange.  Texts are handled in blocks of words.
+so no key is hot.  What is broadcast is a filter of fixed size, and nothing else is collected.  Texts go through one exchange, those with
+long repeats through another before; they are handled in blocks of words.
 
 Defined results: null text has no words; a null id comes after all ids (rows with null ids count as one
 document); rows that repeat an id count as one document, told apart by their texts, and identical rows are
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WordHashes, hashed, materialize, mix, slices, utf8
+from .common import LAST_ID, RowFilter, WordHashes, hashed, materialize, mix, slices, utf8
 
 _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -336,7 +337,7 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False) -> DataFram
                 number, name, _, first, count, stretch, _ = found
                 # Windows inside long repeats are settled; an anchor with others is sent whole.
                 settled = np.zeros(len(block.codes) + 1, bool)
-                for i, row in enumerate(block.rows.tolist()):
+                for i, row in enumerate(block.rows.tolist() if "long" in batch.schema.names else []):
                     a, c = _spans(batch, "long", row)
                     if len(a):
                         at = block.begin[i] + block.skipped
@@ -395,13 +396,26 @@ def deduplicate(docs: DataFrame, size: int = 20, text: bool = False) -> DataFram
     span = F.struct("first", "count")
     long = long_repeats(rows, size).where("settled").groupBy("doc", "version").agg(F.collect_set(span).alias("long"))
     long = materialize(long, "substring-long")
-    # The joins below read one and the same exchange of the texts, hence the same columns in all.
-    by_text = rows.repartition("doc", "version")
-    texts = by_text.join(long, ["doc", "version"], "left").select("doc", "version", "doc_id", "text", "long")
+    # Documents without long repeats stay where they are.
+    place = F.xxhash64("doc", "version")
+    has_long = RowFilter(long, place)
+
+    def chosen(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(has_long(batch.column("place").to_numpy(zero_copy_only=False)) == wanted)).drop_columns(["place"])
+
+        return run
+
+    placed = rows.select("doc", "version", "text", place.alias("place"))
+    some = placed.mapInArrow(chosen(True), "doc bigint, version bigint, text string").join(long, ["doc", "version"], "left")
+    found = some.mapInArrow(anchored, _Combiner.kinds).unionByName(placed.mapInArrow(lambda batches: anchored(chosen(False)(batches)), _Combiner.kinds))
     of_name = Window.partitionBy("key", "repeats")
-    found = _resolve(texts.mapInArrow(anchored, _Combiner.kinds))
+    found = _resolve(found)
     found = found.withColumn("several", ~F.col("settled") & (F.min("key2").over(of_name) != F.max("key2").over(of_name)))
     found = materialize(found.where("settled OR several").select("doc", "version", "first", "count", "settled"), "substring-stretches")
+    # Both joins below read one and the same exchange of the texts, hence the same columns in both.
+    by_text = rows.repartition("doc", "version")
     leads = found.where("NOT settled").groupBy("doc", "version").agg(F.collect_set(span).alias("found"))
     compared = _resolve(by_text.join(leads, ["doc", "version"]).select("doc", "version", "doc_id", "text", "found").mapInArrow(windows, _Combiner.kinds))
     places = ["doc", "version", "first", "count"]
