@@ -48,19 +48,33 @@ def token_estimate(x) -> Column:
     return F.floor(word_count(x) * F.lit(1.3)).cast("bigint")
 
 
+def _folded(x) -> Column:
+    """A text in lower case, with the letters that patterns without regard to case take for s, k and i."""
+    return F.lower(F.translate(blank(x), "\u017f\u212a\u0130\u0131", "skii"))
+
+
 def cues(x) -> Column:
-    """Names of the cues in a text, in their fixed order."""
-    return F.array_compact(F.array(*[F.when(F.rlike(blank(x), F.lit("(?iu)" + p)), F.lit(n)) for n, p in vocab.CUES.items()]))
+    """Names of the cues in a text, in their fixed order.  The text is folded once, so patterns need not fold each letter."""
+    text = _folded(x)
+    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit("(?u)" + p.replace("TIL", "til"))), F.lit(n)) for n, p in vocab.CUES.items()]))
 
 
 def quotes(reply, parent, n: int = 5) -> Column:
-    """Whether a line of the reply is quoted, or n consecutive words of the parent come again in it."""
+    """Whether a line of the reply is quoted, or n consecutive words of the parent come again in it, the outer two perhaps as parts of
+    longer words."""
     words = lambda x: F.regexp_extract_all(F.lower(blank(x)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    mine, theirs = F.array_join(words(reply), " "), words(parent)
-    # The sequence of a short parent would count down, hence the condition.
-    starts = F.when(F.size(theirs) >= n, F.sequence(F.lit(1), F.size(theirs) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    echo = F.exists(F.transform(starts, lambda i: F.array_join(F.slice(theirs, i, n), " ")), lambda s: F.contains(mine, s))
-    return F.rlike(blank(reply), F.lit(rf"(?m)^{SPACE}*>")) | echo
+
+    def runs(ws: Column, m: int) -> Column:
+        # The sequence of a short text would count down, hence the condition.
+        starts = F.when(F.size(ws) >= m, F.sequence(F.lit(1), F.size(ws) - (m - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, m), " "))
+
+    mine, theirs = words(reply), words(parent)
+    # The inner words are whole ones, so runs of them must meet first: as sets, in proportion to the texts.
+    met = F.arrays_overlap(runs(mine, n - 2), runs(theirs, n - 2))
+    joined = F.array_join(mine, " ")
+    echo = F.when(met, F.exists(runs(theirs, n), lambda s: F.contains(joined, s)))
+    return F.rlike(blank(reply), F.lit(rf"(?m)^{SPACE}*>")) | F.coalesce(echo, F.lit(False))
 
 
 def refuses(x) -> Column:

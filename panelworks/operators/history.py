@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -40,9 +40,10 @@ def column_report(raw: DataFrame, author_column: str = "author_key") -> dict[str
 
 def dedup_first(df: DataFrame, key: str, order: Sequence, keep_blank: bool = True) -> DataFrame:
     """The first row of each key by the order.  Rows with a blank key are all kept, since a missing key identifies nothing."""
-    row = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     known = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    first = known.withColumn("_row", row).where("_row = 1").drop("_row")
+    # An aggregate, so tasks combine what they have and a key of very many rows isn't sorted in one place.
+    first = known.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*order)).alias("_first"))
+    first = first.select(*[key if c == key else F.col("_first").getField(c).alias(c) for c in df.columns])
     return first.unionByName(df.where(F.col(key).isNull() | (F.col(key).cast("string") == ""))) if keep_blank else first
 
 

@@ -13,7 +13,10 @@ COLUMNS = ["author", "id", "subreddit", "created_utc", "body", "word_count", "pa
 def meaningful(classified: DataFrame, relaxed: DataFrame | None = None, min_words: int = 10) -> DataFrame:
     """Depth-2 replies of enough words with a cue or a quotation.  relaxed (``author[, min_words]``): for those authors a lower floor
     that needs no cue; such rows are tagged ``relaxed_min_words:N``."""
-    rows = classified.where(F.col("structure_kind") == "reply_depth2").withColumns({"word_count": X.word_count("body"), "_cues": X.cues("body"), "_quoted": X.quotes("body", "parent_body")})
+    rows = classified.where(F.col("structure_kind") == "reply_depth2").withColumn("word_count", X.word_count("body"))
+    if relaxed is None:
+        rows = rows.where(F.col("word_count") >= min_words)
+    rows = rows.withColumns({"_cues": X.cues("body"), "_quoted": X.quotes("body", "parent_body")})
     rows = rows.withColumn("_cues", F.concat("_cues", F.when(F.col("_quoted"), F.array(F.lit("quotation"))).otherwise(F.array().cast("array<string>"))))
     ok = (F.col("word_count") >= min_words) & (F.size("_cues") > 0)
     if relaxed is not None:
@@ -43,5 +46,10 @@ def coverage(agents: DataFrame, posts: DataFrame, key: str = "author") -> DataFr
     return agents.withColumn("_k", X.key(key)).join(counts, "_k", "left").withColumn("n_posts", F.coalesce("_n", F.lit(0))).drop("_k", "_n")
 
 
+def coverage_histogram(covered: DataFrame, cap: int = 20, column: str = "n_posts") -> DataFrame:
+    """``n_posts, agents``: how many agents have each number of posts; those above the cap together, as null."""
+    return covered.groupBy(F.when(F.col(column) <= cap, F.col(column)).alias(column)).agg(F.count(F.lit(1)).alias("agents"))
+
+
 def coverage_stats(covered: DataFrame, thresholds: tuple = (1, 3, 5, 10), column: str = "n_posts") -> DataFrame:
     return covered.agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.min(column).alias("least"), F.max(column).alias("most"), *[F.count_if(F.col(column) < t).alias(f"below_{t}") for t in thresholds])

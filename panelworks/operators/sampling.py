@@ -56,33 +56,38 @@ def draw_order(df: DataFrame, cell: Sequence[str], key: str, seed: int) -> DataF
 
 
 def redistribute(cells: list[dict], max_rounds: int = 10) -> int:
-    """Adds ``extra`` to cells (dicts of target, available), taking up the total shortfall where there are people left, in
-    proportion to targets.  Returns what stays unmet.  Cells number in the tens, whatever the pool."""
-    for c in cells:
-        c["extra"] = 0
+    """Adds ``extra`` to cells (dicts of target, available): the people that some cells lack are taken from cells that have more than
+    their target, by largest remainders over the targets, as often as seats are left.  Returns what stays unmet.  Cells number in
+    the tens, whatever the pool."""
+    spare = [max(0, c["available"] - c["target"]) for c in cells]
+    taken = [0] * len(cells)
     need = sum(max(0, c["target"] - c["available"]) for c in cells)
     for _ in range(max_rounds):
-        spare = [(i, c["available"] - c["target"] - c["extra"]) for i, c in enumerate(cells) if c["available"] > c["target"] + c["extra"]]
-        weight = sum(cells[i]["target"] for i, _ in spare)
-        if need <= 0 or not spare or not weight:
+        weights = [c["target"] if left > had else 0 for c, left, had in zip(cells, spare, taken, strict=True)]
+        if need <= 0 or not sum(weights):
             break
-        take = min(need, sum(n for _, n in spare))
-        exact = [take * cells[i]["target"] / weight for i, _ in spare]
-        seats = [int(e) for e in exact]
-        for j in sorted(range(len(spare)), key=lambda j: -(exact[j] - seats[j]))[: take - sum(seats)]:
-            seats[j] += 1
-        drawn = 0
-        for (i, left), n in zip(spare, seats, strict=True):
-            cells[i]["extra"] += min(n, left)
-            drawn += min(n, left)
-        need -= drawn
-        if not drawn:
+        seats = min(need, sum(spare) - sum(taken))
+        whole = [seats * w // sum(weights) for w in weights]
+        # Integer remainders: no rounding decides between cells.
+        by_rest = sorted((i for i, w in enumerate(weights) if w), key=lambda i: -(seats * weights[i] % sum(weights)))
+        for i in by_rest[: seats - sum(whole)]:
+            whole[i] += 1
+        given = [min(n, left - had) for n, left, had in zip(whole, spare, taken, strict=True)]
+        if not any(given):
             break
+        taken = [had + n for had, n in zip(taken, given, strict=True)]
+        need -= sum(given)
+    for c, had in zip(cells, taken, strict=True):
+        c["extra"] = had
     return max(0, need)
 
 
+#: The columns of a sample.  Where a level came from is known to no step, so those columns are blank.
+AGENT_COLUMNS = ["profile_id", "author", *vocab.MODERATORS, "gender_source", "age_source", "race_source", "education_source", "income_source", "party_source", "inference_confidence", "assigned_state", "sampling_weight", "quota_cell_id"]
+
+
 def stratified_sample(pool: DataFrame, n: int = 1000, seed: int = 42, supplement: DataFrame | None = None, strict: bool = False, key: str = "author") -> tuple[DataFrame, DataFrame, dict]:
-    """(agents, shortfall per cell, diagnostics).  strict: no redistribution."""
+    """(agents, target and shortfall of each cell, diagnostics).  strict: no redistribution."""
     spark = pool.sparkSession
     if supplement is not None:
         pool = pool.unionByName(supplement, allowMissingColumns=True)
@@ -94,11 +99,14 @@ def stratified_sample(pool: DataFrame, n: int = 1000, seed: int = 42, supplement
         c["shortfall"] = max(0, c["target"] - c["available"])
         c["extra"] = 0
     unmet = sum(c["shortfall"] for c in cells) if strict else redistribute(cells)
-    quota = spark.createDataFrame([(*[c[x] for x in CELL], c["target"] + c["extra"], i) for i, c in enumerate(cells)], "gender string, age_band string, race string, seats long, quota_cell_id int")
+    quota = spark.createDataFrame([(*[c[x] for x in CELL], c["target"] + c["extra"]) for c in cells], "gender string, age_band string, race string, seats long")
     drawn = draw_order(people, CELL, key, seed).join(F.broadcast(quota), CELL).where("draw <= seats").drop("draw", "seats")
     label = Window.orderBy(F.sha2(F.concat_ws("#", F.lit(f"{seed}:label"), F.col(key)), 256), key)  # over the n people drawn
-    agents = drawn.withColumn("profile_id", F.concat(F.lit("agent_"), F.lpad(F.row_number().over(label).cast("string"), 4, "0")))
-    report = spark.createDataFrame([(*[c[x] for x in CELL], c["target"], c["shortfall"]) for c in cells if c["shortfall"]], "gender string, age_band string, race string, target long, shortfall_before_redistribution long")
+    agents = drawn.withColumns({
+        "profile_id": F.format_string("agent_%04d", F.row_number().over(label)), "quota_cell_id": F.concat_ws("|", *CELL), "sampling_weight": F.lit(1.0),
+        **{c: F.lit("") for c in AGENT_COLUMNS if c.endswith(("_source", "_confidence")) and c not in drawn.columns}, **({} if "assigned_state" in drawn.columns else {"assigned_state": F.lit("")}),
+    })
+    report = spark.createDataFrame([(*[c[x] for x in CELL], c["target"], c["shortfall"]) for c in cells], "gender string, age_band string, race string, target long, shortfall_before_redistribution long")
     kept = counts.first()
     other = people.where(~F.col("gender").isin("Male", "Female")).count()
     return agents, report, {"dropped": kept.dropped, "excluded_other_gender": other, "unmet": unmet}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -20,15 +20,19 @@ def classify(history: DataFrame, external: DataFrame | None = None, authors: Dat
     own = history.select(X.bare_id("id").alias("_pid"), *texts, F.lit(0).alias("_source"))
     if external is not None:
         own = own.unionByName(external.select(X.bare_id("id").alias("_pid"), *texts, F.lit(1).alias("_source")))
-    first = Window.partitionBy("_pid").orderBy("_source", "created_utc", "parent_id", "body")
-    parents = own.where("_pid IS NOT NULL").withColumn("_row", F.row_number().over(first)).where("_row = 1").select("_pid", *[F.col(c).alias(f"_p_{c}") for c in _PARENT])
+    # The first row of each id, combined in every task before anything is exchanged.
+    place = F.struct("_source", "created_utc", "parent_id", "author", "body")
+    parents = own.where("_pid IS NOT NULL").groupBy("_pid").agg(F.min(place).alias("_p")).select("_pid", *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in _PARENT])
     rows = history if authors is None else history.join(authors.select(X.key("author").alias("_a")).distinct(), X.key("author") == F.col("_a"), "left_semi")
     is_reply = (F.col("post_type") == "comment") & F.startswith(X.blank("parent_id"), F.lit("t1_"))
-    joined = rows.withColumn("_pid", F.when(is_reply, X.bare_id("parent_id"))).join(parents, "_pid", "left")
+    # Only replies have a parent to find; all else stays where it is.
+    replies = rows.where(F.coalesce(is_reply, F.lit(False))).withColumn("_pid", X.bare_id("parent_id")).join(parents, "_pid", "left").drop("_pid")
+    others = rows.where(~F.coalesce(is_reply, F.lit(False))).withColumns({f"_p_{c}": F.lit(None).cast("string") for c in _PARENT})
+    joined = replies.unionByName(others)
     found = F.col("_p_parent_id").isNotNull()
     kind = (F.when(F.col("post_type") == "submission", "submission").when(F.startswith(X.blank("parent_id"), F.lit("t3_")), "first_level_comment")
             .when(is_reply & found & F.startswith(F.col("_p_parent_id"), F.lit("t3_")), "reply_depth2").when(is_reply & found, "reply_deeper").otherwise("unresolved"))
-    return joined.withColumns({"structure_kind": kind, **{f"parent_{c}": X.blank(f"_p_{c}") for c in ("body", "author", "created_utc")}}).drop("_pid", *[f"_p_{c}" for c in _PARENT])
+    return joined.withColumns({"structure_kind": kind, **{f"parent_{c}": X.blank(f"_p_{c}") for c in ("body", "author", "created_utc")}}).drop(*[f"_p_{c}" for c in _PARENT])
 
 
 def missing_parents(classified: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import recode as R
 from ..functions import vocab
 from .budget import latest_best, status_rank
+from .order import numbered
 
 #: Names of single items in the individual-level table.
 TRUST_NAMES = [f"trust_{s}_{i}" for s in ("competence", "integrity", "benevolence", "openness") for i in (1, 2, 3)]
@@ -35,9 +36,7 @@ def export_value(key: str, answer: Column) -> Column:
 def raw_export(responses: DataFrame, run_id: str = "run", order: Sequence = ("first_seen",), profile_ids: str = "agent") -> DataFrame:
     """Responses as a raw survey export: codes for levels, exported values for answers, blanks as null.  profile_ids: ``agent``, or ``row``
     for ids that differ by condition."""
-    from pyspark.sql import Window
-
-    row = F.row_number().over(Window.orderBy(*order, "profile_id", "condition")) - 1  # one row per response of a run
+    responses = numbered(responses, [*order, "profile_id", "condition"], "_row")
     demo = lambda m: F.col("demographics").getItem(m) if dict(responses.dtypes)["demographics"].startswith("map") else F.col(f"demographics.{m}")
     code = lambda m: R.code_map(demo(m), {level: i for i, level in enumerate(vocab.MODERATORS[m], 1)})
     pid = F.col("profile_id") if profile_ids == "agent" else F.concat(F.col("profile_id"), F.lit("__"), R.slug("condition"))
@@ -45,7 +44,7 @@ def raw_export(responses: DataFrame, run_id: str = "run", order: Sequence = ("fi
     made = {
         "StartDate": at, "EndDate": at, "RecordedDate": at, "Status": F.lit(0), "Progress": F.lit(100), "Finished": F.lit(1), "DistributionChannel": F.lit("anonymous"), "UserLanguage": F.lit("EN"),
         "Duration (in seconds)": F.round("seconds").cast("bigint") if "seconds" in responses.columns else F.lit(None).cast("bigint"),
-        "ResponseId": F.format_string(f"R_{run_id.replace('%', '%%')}_%06d", row), "condition": F.col("codename"), "profile_id": pid,
+        "ResponseId": F.format_string(f"R_{run_id.replace('%', '%%')}_%06d", "_row"), "condition": F.col("codename"), "profile_id": pid,
         "year_birth": F.coalesce(F.col("year_birth"), vocab.SURVEY_YEAR - R.code_map(demo("age_band"), vocab.BAND_AGE)), **{m: code(m) for m in ("gender", "race", "education", "income", "party")},
         **{k: export_value(k, F.col("answers").getItem(k)) for k in vocab.ITEM_KEYS},
     }
@@ -92,16 +91,12 @@ def condition_means(df: DataFrame, condition: str, outcomes: Sequence[str]) -> D
 
 def moderator_means(df: DataFrame, condition: str, moderators: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
     """``condition, moderator, moderator_level, outcome, mean`` by grouping sets: one pass for all moderators."""
-    sets = ", ".join(f"(`{condition}`, `{m}`)" for m in moderators)
-    cols = ", ".join(f"`{m}`" for m in moderators)
     view = df.select(condition, *[F.col(m).cast("string").alias(m) for m in moderators], *[R.number(o).alias(o) for o in outcomes])
-    name = "moderator_cells"
-    view.createOrReplaceTempView(name)
-    aggs = ", ".join(f"avg(`{o}`) AS `{o}`" for o in outcomes)
     # grouping() is 0 for the moderator that a row is grouped by.
-    which = "CASE " + " ".join(f"WHEN grouping(`{m}`) = 0 THEN '{m}'" for m in moderators) + " END"
-    level = f"coalesce({cols})" if len(moderators) > 1 else cols
-    grouped = df.sparkSession.sql(f"SELECT `{condition}`, {which} AS moderator, {level} AS moderator_level, {aggs} FROM {name} GROUP BY GROUPING SETS ({sets})")
+    which = F.coalesce(*[F.when(F.grouping(m) == 0, F.lit(m)) for m in moderators])
+    sets = [[F.col(condition), F.col(m)] for m in moderators]
+    grouped = view.groupingSets(sets, condition, *moderators).agg(which.alias("moderator"), F.coalesce(*[F.when(F.grouping(m) == 0, F.col(m)) for m in moderators]).alias("moderator_level"), *[F.avg(o).alias(o) for o in outcomes])
+    grouped = grouped.select(condition, "moderator", "moderator_level", *outcomes)
     return grouped.where("moderator_level IS NOT NULL").unpivot([condition, "moderator", "moderator_level"], list(outcomes), "outcome", "mean")
 
 

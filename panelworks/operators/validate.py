@@ -78,28 +78,42 @@ def _labels(r: Report, df: DataFrame, column: str, known: Sequence[str], all_wan
 
 
 def validate_tier1(df: DataFrame, least: int = 500, least_control: int = 1000) -> Report:
+    """All checks of a tier-1 table from one pass over it, grouped by condition."""
     r = Report()
     if not _columns(r, df, TIER1):
         return r
-    _labels(r, df, "condition", vocab.CONDITIONS)
-    total = df.count()
+    ranges = {**{c: (0, 100) for c in TRUST_NAMES}, **vocab.OUTCOMES}
+    whole = F.col("donation_ams").cast("double")
+    off = F.abs(R.composite([TRUST_NAMES[i : i + 3] for i in range(0, 12, 3)]) - F.col("trust_multidimensional"))
+    asked = {"n": F.count(F.lit(1)), "fractions": F.count_if(whole != F.rint(whole)), "not binary": F.count_if(~F.col("newsletter_signup").isin(0, 1)), "off": F.max(off)}
     for m, levels in vocab.MODERATORS.items():
-        _labels(r, df, m, levels, all_wanted=False)
-        missing = df.agg(F.count_if(F.col(m).isNull())).first()[0]
-        r.add(f"{m} known", missing < max(1, total), "all missing")
-        r.add(f"{m} mostly known", missing <= 0.1 * total, f"{missing} of {total} missing", WARN)
-    small = [f"{x.condition}: {x.n}" for x in df.groupBy("condition").agg(F.count(F.lit(1)).alias("n")).collect() if x.n < (least_control if x.condition == vocab.CONTROL else least)]
+        asked |= {f"{m}: missing": F.count_if(F.col(m).isNull()), f"{m}: unknown": F.collect_set(F.when(~F.col(m).isin(levels), F.col(m)))}
+    for c, (low, high) in ranges.items():
+        asked |= {f"{c}: missing": F.count_if(R.number(c).isNull()), f"{c}: outside": F.count_if(~R.number(c).between(low, high))}
+    # A row per condition: labels, sizes and all counts.
+    rows = [x.asDict() for x in df.groupBy("condition").agg(*[c.alias(k) for k, c in asked.items()]).limit(len(vocab.CONDITIONS) + 100).collect()]
+    total = lambda k: sum(x[k] for x in rows)
+    found = {x["condition"] for x in rows}
+    unknown = found - {*vocab.CONDITIONS, None}
+    r.add("condition labels", not unknown, f"unknown {sorted(map(str, unknown))}")
+    r.add("condition all present", set(vocab.CONDITIONS) <= found, f"absent {sorted(set(vocab.CONDITIONS) - found)}", WARN)
+    for m in vocab.MODERATORS:
+        odd = sorted({v for x in rows for v in x[f"{m}: unknown"]})
+        r.add(f"{m} labels", not odd, f"unknown {odd}")
+        missing = total(f"{m}: missing")
+        r.add(f"{m} known", missing < max(1, total("n")), "all missing")
+        r.add(f"{m} mostly known", missing <= 0.1 * total("n"), f"{missing} of {total('n')} missing", WARN)
+    small = [f"{x['condition']}: {x['n']}" for x in rows if x["n"] < (least_control if x["condition"] == vocab.CONTROL else least)]
     r.add("sample sizes", not small, ", ".join(sorted(small)), WARN)
     d = duplicates(df, ["profile_id"]).first()
     r.add("profile_id unique", d.n_duplicates == 0, f"{d.n_duplicates} repeated", WARN)
-    off = df.agg(F.max(F.abs(R.composite([TRUST_NAMES[i : i + 3] for i in range(0, 12, 3)]) - F.col("trust_multidimensional")))).first()[0]
-    r.add("composite agrees with items", off is None or off <= 0.51, f"off by {off}", WARN)
-    for x in out_of_range(df, {**{c: (0, 100) for c in TRUST_NAMES}, **vocab.OUTCOMES}).collect():
-        r.add(f"{x.column} range", x.outside == 0, f"{x.outside} values outside")
-        r.add(f"{x.column} present", x.missing == 0, f"{x.missing} missing", WARN)
-    whole = df.agg(F.count_if(F.col("donation_ams") != F.rint(F.col("donation_ams").cast("double"))).alias("d"), F.count_if(~F.col("newsletter_signup").isin(0, 1)).alias("n")).first()
-    r.add("donation whole dollars", whole.d == 0, f"{whole.d} fractions")
-    r.add("newsletter binary", whole.n == 0, f"{whole.n} other values")
+    furthest = max((x["off"] for x in rows if x["off"] is not None), default=None)
+    r.add("composite agrees with items", furthest is None or furthest <= 0.51, f"off by {furthest}", WARN)
+    for c in ranges:
+        r.add(f"{c} range", total(f"{c}: outside") == 0, f"{total(f'{c}: outside')} values outside")
+        r.add(f"{c} present", total(f"{c}: missing") == 0, f"{total(f'{c}: missing')} missing", WARN)
+    r.add("donation whole dollars", total("fractions") == 0, f"{total('fractions')} fractions")
+    r.add("newsletter binary", total("not binary") == 0, f"{total('not binary')} other values")
     return r
 
 

@@ -313,7 +313,7 @@ def redistributed_sample(spark, sf_dir):
 WITH t AS ({_TARGETS}), p AS (SELECT (['Male', 'Female', 'Other', '?'])[CAST(floor(c_custkey / 7) AS BIGINT) % 4 + 1] AS gender, (['18-29', '30-44', '45-59', '60+', '?'])[c_nationkey % 5 + 1] AS age_band,
   (['White / Caucasian', 'Black / African American', 'Hispanic / Latino', 'Asian / Asian American', 'Other', '?'])[c_custkey % 6 + 1] AS race FROM customer),
 a AS (SELECT gender, age_band, race, count(*) AS n FROM p GROUP BY 1, 2, 3)
-SELECT t.gender, t.age_band, t.race, t.target, t.target - coalesce(a.n, 0) AS shortfall_before_redistribution FROM t LEFT JOIN a ON a.gender = t.gender AND a.age_band = t.age_band AND a.race = t.race WHERE t.target > coalesce(a.n, 0)
+SELECT t.gender, t.age_band, t.race, t.target, greatest(0, t.target - coalesce(a.n, 0)) AS shortfall_before_redistribution FROM t LEFT JOIN a ON a.gender = t.gender AND a.age_band = t.age_band AND a.race = t.race
 """)
 def shortfall_report(spark, sf_dir):
     return sampling.stratified_sample(_pool(spark, sf_dir), n=1000)[1]

@@ -130,6 +130,7 @@ def coverage(spark, a):
     _save(c, a.output)
     _save(c.where(F.col("n_posts") < a.threshold).select("author"), a.below_threshold_output)
     interactions.coverage_stats(c).show()
+    interactions.coverage_histogram(c).orderBy(F.col("n_posts").asc_nulls_last()).show(100, False)
 
 
 def run(spark, a):

@@ -6,6 +6,7 @@ import json
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -23,20 +24,32 @@ class StataSource(DataSource):
         return ", ".join(f"`{c}` double" for c in self._columns())
 
     def reader(self, schema):
-        return _StataReader(self.options["path"], self._columns(), int(self.options.get("chunk", "50000")))
+        return _StataReader(self.options["path"], self._columns(), int(self.options.get("chunk", "50000")), int(self.options.get("partitions", "1")))
+
+
+class _Rows(InputPartition):
+    """Every so-manieth chunk of rows."""
+
+    def __init__(self, first: int, every: int):
+        super().__init__(first)
+        self.every = every
 
 
 class _StataReader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str], chunk: int):
-        self.path, self.columns, self.chunk = path, columns, chunk
+    def __init__(self, path: str, columns: list[str], chunk: int, parts: int):
+        self.path, self.columns, self.chunk, self.parts = path, columns, chunk, parts
 
-    def read(self, partition) -> Iterator[tuple]:
+    def partitions(self):
+        return [_Rows(i, self.parts) for i in range(self.parts)]
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
+        # The format is read in order; a partition turns its own chunks alone into Arrow.
         with pd.read_stata(self.path, columns=self.columns, convert_categoricals=False, chunksize=self.chunk) as chunks:
-            for part in chunks:
-                for row in part[self.columns].itertuples(index=False):
-                    yield tuple(None if x != x else float(x) for x in row)
+            for i, part in enumerate(chunks):
+                if i % partition.every == partition.value:
+                    yield pa.RecordBatch.from_arrays([pa.array(part[c].to_numpy("float64", na_value=float("nan")), pa.float64(), from_pandas=True) for c in self.columns], names=self.columns)
 
 
 #: The FIPS codes of the 50 states and the District of Columbia.

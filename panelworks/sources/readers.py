@@ -25,10 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
     """A delimited table, each column a string, blank cells kept as "".  Quotes are doubled inside quotes; cells may
-    hold line breaks; compressed files are read by their suffix."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False)
+    hold line breaks; compressed files are read by their suffix.  A file whose cells may hold line breaks is one task; with
+    multi_line=False it is split."""
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("inferSchema", False)
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     df = reader.csv(path if isinstance(path, str) else list(path))

@@ -32,7 +32,7 @@ def test_redistribution_keeps_the_total(cells):
 
 @given(probabilities, probabilities, probabilities, st.integers(0, 100))
 def test_pmf_is_a_distribution(first, second, third, sampled):
-    d = A.answer_pmf([first, second, third], sampled)
+    d = A.answer_pmf([A.digit_row(x) for x in (first, second, third)], sampled)
     if d is not None:
         assert abs(sum(d["pmf"].values()) - 1) < 1e-9 and all(0 <= n <= 100 and p > 0 for n, p in d["pmf"].items())
         assert 0 <= d["expected"] <= 100 and d["mode"] in d["pmf"] and 0 <= d["borrowed"] <= 1
