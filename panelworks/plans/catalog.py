@@ -16,28 +16,7 @@ from ..functions import text as X
 from ..functions import vocab
 from ..operators import activity, budget, history, interactions, personas, redact, sampling, session, survey, threads, tiers, validate, weights
 from ..sources import readers
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql.strip()
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _r(c, digits: int = 6):
-    return F.round(c, digits)
-
+from .registry import ORACLES, QUERIES, query, rounded as _r, table
 
 # --- Activity ------------------------------------------------------------------------------------------------------
 
@@ -95,19 +74,23 @@ def state_backfill(spark, sf_dir):
     return activity.backfill(rows, fresh, "nation", "filled").select("key", "filled")
 
 
-@query("SELECT p_brand, min(p_type) AS p_type FROM part WHERE p_size > 40 GROUP BY p_brand HAVING count(DISTINCT p_type) = 1")
+@query("SELECT p_partkey % 40 AS k, min(p_brand) AS brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1 UNION ALL SELECT 1000 + c_nationkey, min(c_mktsegment) FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) = 1 UNION ALL SELECT 10000 + c_custkey, c_mktsegment FROM customer")
 def ambiguous_lookup(spark, sf_dir):
-    return activity.unambiguous(table(spark, sf_dir, "part").where("p_size > 40"), "p_brand", "p_type")
+    """Keys of which some lead to several values."""
+    c = table(spark, sf_dir, "customer")
+    keyed = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("k"), F.col("p_brand").alias("brand"))
+    keyed = keyed.unionByName(c.select((1000 + F.col("c_nationkey")).cast("bigint").alias("k"), F.col("c_mktsegment").alias("brand"))).unionByName(c.select((10000 + F.col("c_custkey")).alias("k"), F.col("c_mktsegment").alias("brand")))
+    return activity.unambiguous(keyed, "k", "brand")
 
 
 @query("""
 SELECT o_custkey, round(sum(l_quantity * CASE WHEN p_size > 5 THEN p_size END) / nullif(sum(CASE WHEN p_size > 5 THEN l_quantity END), 0), 6) AS size_score,
   round(sum(l_quantity * p_retailprice) / nullif(sum(CASE WHEN p_retailprice IS NOT NULL THEN l_quantity END), 0), 6) AS price_score, count(*) AS n_total, count(p_partkey) AS n_scored
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey GROUP BY o_custkey
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_custkey
 """)
 def weighted_score(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_partkey").alias("k"), "l_quantity")
-    scores = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(F.lit("nan").cast("double")).alias("size"), F.col("p_retailprice").alias("price"))
+    scores = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(F.lit("nan").cast("double")).alias("size"), F.col("p_retailprice").alias("price"))
     return activity.weighted_scores(rows, scores, "k", "o_custkey", "l_quantity", ["size", "price"]).select("o_custkey", _r("size_score").alias("size_score"), _r("price_score").alias("price_score"), "n_total", "n_scored")
 
 
@@ -180,21 +163,26 @@ def dedup_first(spark, sf_dir):
     return history.dedup_first(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-def _threads(spark, sf_dir):
-    """Conversations as posts: turn 0 is a submission, turn 1 answers it, later turns answer the turn before; every fifth
-    conversation lacks its second turn."""
+def whole_threads(spark, sf_dir, lost=None):
+    """Conversations as posts: turn 0 is a submission, turn 1 answers it, later turns answer the turn before.  lost: rows whose parent
+    is one that no table holds."""
     t = F.col("turn")
-    rows = table(spark, sf_dir, "conversations").where(~((F.col("conv_id") % 5 == 0) & (t == 1)))
     cid = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit("_"), n.cast("string"))
-    parent = F.when(t == 0, "").when(t == 1, F.concat(F.lit("t3_"), cid(F.lit(0)))).otherwise(F.concat(F.lit("t1_"), cid(t - 1)))
-    return rows.select(
+    before = F.when(F.lit(False) if lost is None else lost, F.concat(F.col("conv_id").cast("string"), F.lit("_gone"))).otherwise(cid(t - 1))
+    parent = F.when(t == 0, "").when(t == 1, F.concat(F.lit("t3_"), cid(F.lit(0)))).otherwise(F.concat(F.lit("t1_"), before))
+    return table(spark, sf_dir, "conversations").select(
         F.when(t == 0, "submission").otherwise("comment").alias("post_type"), cid(t).alias("id"), F.col("role").alias("author"), F.lit("").alias("author_created_utc"), F.lit("talk").alias("subreddit"),
         (F.lit(1_700_000_000) + t * 60).cast("string").alias("created_utc"), F.lit("").alias("title"), X.blank("text").alias("body"), F.lit("").alias("score"), F.lit("").alias("link_id"), parent.alias("parent_id"))
 
 
+def _threads(spark, sf_dir):
+    """In every fifth conversation the third turn points to a parent that is not there."""
+    return whole_threads(spark, sf_dir, (F.col("conv_id") % 5 == 0) & (F.col("turn") == 2))
+
+
 _THREADS = """
-WITH h AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn = 1)),
-k AS (SELECT h.*, p.body AS pbody, p.role AS prole, p.turn AS pturn FROM h LEFT JOIN h p ON h.turn >= 2 AND p.conv_id = h.conv_id AND p.turn = h.turn - 1 AND p.turn > 0),
+WITH h AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
+k AS (SELECT h.*, p.body AS pbody, p.role AS prole, p.turn AS pturn FROM h LEFT JOIN h p ON h.turn >= 2 AND NOT (h.conv_id % 5 = 0 AND h.turn = 2) AND p.conv_id = h.conv_id AND p.turn = h.turn - 1 AND p.turn > 0),
 s AS (SELECT *, conv_id || '_' || turn AS id, CASE WHEN turn = 0 THEN 'submission' WHEN turn = 1 THEN 'first_level_comment' WHEN pturn = 1 THEN 'reply_depth2' WHEN pturn IS NOT NULL THEN 'reply_deeper' ELSE 'unresolved' END AS structure_kind FROM k)
 """
 
@@ -209,7 +197,7 @@ def thread_structure(spark, sf_dir):
     return threads.classify(_threads(spark, sf_dir)).select("id", "structure_kind", "parent_author", F.sha2("parent_body", 256).alias("parent_sha"))
 
 
-@query(_THREADS + "SELECT DISTINCT conv_id || '_' || (turn - 1) AS id FROM s WHERE structure_kind = 'unresolved'")
+@query(_THREADS + "SELECT DISTINCT conv_id || CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN '_gone' ELSE '_' || (turn - 1) END AS id FROM s WHERE structure_kind = 'unresolved'")
 def missing_parents(spark, sf_dir):
     return threads.missing_parents(threads.classify(_threads(spark, sf_dir)))
 
@@ -363,7 +351,7 @@ def meaningful_interactions(spark, sf_dir):
 
 @query(_THREADS + f"""
 , q AS (SELECT *, {_CUES} AS cues, {_WORDS.replace("coalesce(text, '')", "body")} AS words FROM s WHERE structure_kind = 'unresolved')
-SELECT id AS reply_id, role AS reply_author, conv_id || '_' || (turn - 1) AS parent_bare_id, array_to_string(cues, ';') AS matched_cues_own_text_only FROM q WHERE words >= 10 AND len(cues) > 0""")
+SELECT id AS reply_id, role AS reply_author, conv_id || CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN '_gone' ELSE '_' || (turn - 1) END AS parent_bare_id, array_to_string(cues, ';') AS matched_cues_own_text_only FROM q WHERE words >= 10 AND len(cues) > 0""")
 def pending_fetch(spark, sf_dir):
     return interactions.pending_fetch(threads.classify(_threads(spark, sf_dir)))
 
@@ -429,9 +417,13 @@ def tier3_effects(spark, sf_dir):
     return tiers.effects(tiers.condition_means(_panel(spark, sf_dir), "condition", ["price", "balance"]), "condition", "1-URGENT").withColumn("ate", _r("ate", 4))
 
 
-@query("SELECT count(*) AS cells, count(DISTINCT c_mktsegment) * count(DISTINCT c_nationkey) AS expected, CAST(0 AS BIGINT) AS duplicated, count(*) = count(DISTINCT c_mktsegment) * count(DISTINCT c_nationkey) AS complete FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)")
+@query("""
+SELECT count(*) AS cells, count(DISTINCT o_orderstatus) * count(DISTINCT o_orderpriority) AS expected, count(*) - count(DISTINCT (o_orderstatus, o_orderpriority)) AS duplicated,
+  count(*) = count(DISTINCT (o_orderstatus, o_orderpriority)) AND count(*) = count(DISTINCT o_orderstatus) * count(DISTINCT o_orderpriority) AS complete FROM orders
+""")
 def grid_completeness(spark, sf_dir):
-    return validate.grid_completeness(table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey").distinct(), ["c_mktsegment", "c_nationkey"])
+    """Cells of which most come again."""
+    return validate.grid_completeness(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"), ["o_orderstatus", "o_orderpriority"])
 
 
 @query("SELECT 'l_quantity' AS \"column\", count(*) FILTER (WHERE l_quantity IS NULL) AS missing, count(*) FILTER (WHERE NOT l_quantity BETWEEN 0 AND 45) AS outside FROM lineitem UNION ALL SELECT 'l_discount', count(*) FILTER (WHERE l_discount IS NULL), count(*) FILTER (WHERE NOT l_discount BETWEEN 0 AND 0.05) FROM lineitem")
@@ -479,20 +471,11 @@ def answer_parse(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), parsed.alias("p")).select("id", F.col("p.answers").getItem("trust_post_1").alias("trust"), F.col("p.answers").getItem("donation").alias("donation"), F.array_contains("p.invalid", "trust_post_1").alias("invalid"))
 
 
-@query()
-def logprob_pmf(spark, sf_dir):
-    ship(spark)
-    text = F.lit("**title: TRUST_POST**\n**answer: 72**")
-    stream = F.lit('[{"token":"**title: TRUST_POST**\\n**answer: ","logprob":0},{"token":"7","logprob":-0.2,"top_logprobs":[{"token":"7","logprob":-0.2},{"token":"1","logprob":-1.8}]},'
-                   '{"token":"2","logprob":-0.5,"top_logprobs":[{"token":"2","logprob":-0.5},{"token":"0","logprob":-1.5},{"token":"**","logprob":-2.0}]},{"token":"**","logprob":-0.01}]')
-    d = table(spark, sf_dir, "region").select("r_regionkey", A.dists_udf(["trust_post_1"])(text, stream).getItem("trust_post_1").alias("d"))
-    return d.select("r_regionkey", "d.sampled", "d.mode", _r("d.expected").alias("expected"), _r("d.borrowed").alias("borrowed"))
-
-
 def _personas(spark, sf_dir):
-    agents = readers.synthetic_agents(spark, 12)
-    posts = readers.synthetic_posts(spark, agents).groupBy("author").agg(F.sort_array(F.collect_list(F.struct("type", "subreddit", "created_utc", "title", "body", "score"))).alias("posts"))
-    return personas.build_personas(agents, posts)
+    """All customers as agents, their orders as posts."""
+    from .catalog_recodes import people, posts
+
+    return personas.build_personas(people(spark, sf_dir), posts(spark, sf_dir))
 
 
 @query()
@@ -523,14 +506,14 @@ def session_plan(spark, sf_dir):
 @query()
 def dummy_survey(spark, sf_dir):
     ship(spark)
-    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions(conditions=["control", "Funding", "Consensus"]))
+    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions())
     return r.select("profile_id", "condition", "status", "n_steps", "n_calls", F.size("answers").alias("n_answers"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("answers")))).alias("answers"))
 
 
 @query()
 def individual_table(spark, sf_dir):
     ship(spark)
-    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions(conditions=["control", "Funding"]))
+    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions())
     best = tiers.usable_responses(r.withColumn("seq", F.lit(0)))
     return tiers.tier1(tiers.raw_export(best)).withColumns({c: _r(c) for c in vocab.COMPOSITES})
 
@@ -549,3 +532,7 @@ def first_authors(spark, sf_dir):
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
 def last_per_key(spark, sf_dir):
     return readers.last_per_key(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+
+
+# The other query modules register theirs in the same place.
+from . import catalog_files, catalog_recodes, catalog_tiers  # noqa: E402,F401
