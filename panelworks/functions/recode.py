@@ -13,8 +13,7 @@ _M = vocab.MODERATORS
 
 def number(x) -> Column:
     """A double, or null where the text is none."""
-    d = c(x).cast("string").try_cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.nanvl(c(x).cast("string").try_cast("double"), F.lit(None).cast("double"))
 
 
 def code_map(x, mapping: dict, other=None) -> Column:
@@ -96,12 +95,19 @@ def half_even(x, digits: int = 0) -> Column:
 
 def mean_of(*xs) -> Column:
     """The mean of the values that are there; null if none is."""
-    there = F.filter(F.array(*[number(x) for x in xs]), lambda v: v.isNotNull())
-    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.size(there))
+    return _mean([number(x) for x in xs])
+
+
+def _mean(values: list[Column]) -> Column:
+    """The mean of doubles that are there, each of them evaluated once."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    more = lambda a, v: F.when(v.isNull(), a).otherwise(F.struct((a["sum"] + v).alias("sum"), (a["n"] + 1).alias("n")))
+    return F.aggregate(F.array(*values), start, more, lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
 
 
 def composite(groups: list[list]) -> Column:
-    return mean_of(*[mean_of(*g) for g in groups])
+    """The mean of the means of groups."""
+    return _mean([_mean([number(x) for x in g]) for g in groups])
 
 
 def condition(x) -> Column:

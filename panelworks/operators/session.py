@@ -69,6 +69,8 @@ def session_plan(personas: DataFrame, seed: int = 7, conditions: list[str] | Non
     dim = F.broadcast(condition_dim(personas.sparkSession, conditions))  # at most 17 rows
     case = F.coalesce(F.col("state_case"), F.lit(4)) if "state_case" in personas.columns else F.lit(4)
     rows = personas.select("profile_id", case.alias("_case")).crossJoin(dim).withColumn("seed", R.seed(F.lit(str(seed)), "profile_id", "condition", F.lit("")))
+    # Few agents make many sessions, so they are dealt out before the work.
+    rows = rows.repartition(personas.sparkSession.sparkContext.defaultParallelism, "profile_id", "condition")
     rows = rows.withColumn("codename", F.coalesce("code", chosen(F.col("seed"), vocab.CONTROL_FILLERS)))
     rows = rows.withColumn("_c", shuffled(F.col("seed"), ["human", "co2", "year"]))
 
@@ -80,7 +82,9 @@ def session_plan(personas: DataFrame, seed: int = 7, conditions: list[str] | Non
     is_item = lambda e: F.startswith(e, F.lit("i:"))
     element = "struct<name:string,independent:boolean,elements:array<string>>"
     step = lambda name, independent, elements: F.struct(name.alias("name"), F.lit(independent).alias("independent"), elements.alias("elements"))
-    treat = F.transform("script", lambda s, i: step(F.concat(F.lit("treatment_"), (i + 1).cast("string")), False, F.transform(s, filled)))
+    # A column, so it is made once for all its uses.
+    rows = rows.withColumn("_treat", F.transform("script", lambda s, i: step(F.concat(F.lit("treatment_"), (i + 1).cast("string")), False, F.transform(s, filled))))
+    treat = F.col("_treat")
     blocks = _block_elements()
     of = lambda keys: F.flatten(F.transform(keys, lambda k: blocks[k]))
     first, second, third = F.array(F.lit("trust_multidimensional")), _group(F.col("seed"), 2), _group(F.col("seed"), 3)
@@ -115,7 +119,7 @@ def session_plan(personas: DataFrame, seed: int = 7, conditions: list[str] | Non
     prefix = F.concat(F.array(F.lit(PREFIX[0])), asked, F.array(F.lit(PREFIX[1])))
     # Apart from the generator, beside which names inside structs are lost.
     rows = rows.withColumns({"_m": merged, "prefix": prefix})
-    out = rows.select("profile_id", "condition", "ord", "codename", "seed", "prefix", F.posexplode("_m").alias("step", "_s"))
+    out = rows.select("profile_id", "condition", "ord", "codename", "seed", "prefix", F.posexplode_outer("_m").alias("step", "_s"))
     return out.select("profile_id", "condition", "ord", "codename", "seed", "prefix", "step", F.col("_s.name").alias("step_name"), F.col("_s.independent").alias("independent"), F.col("_s.elements").alias("elements"),
                       F.transform(F.filter("_s.elements", is_item), lambda e: F.substr(e, F.lit(3))).alias("items"))
 

@@ -103,10 +103,10 @@ def orcid_checksums(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", (check == 10).alias("x_digit"), R.orcid_ok(parts).alias("ok"), R.orcid_ok(digits).alias("short_ok"))
 
 
-@query("SELECT c_custkey, 'Community-embedding ideology signal: ' || printf('%+.3f', c_acctbal / 1000) || CASE WHEN c_acctbal > 0 THEN ' (leans right/conservative' ELSE ' (leans left/liberal' END || ', based on subreddit activity)' AS told FROM customer")
+@query("SELECT c_custkey, 'Community-embedding ideology signal: ' || printf('%+.3f', c_acctbal / 7) || CASE WHEN c_acctbal > 0 THEN ' (leans right/conservative' ELSE ' (leans left/liberal' END || ', based on subreddit activity)' AS told FROM customer")
 def background_lines(spark, sf_dir):
     nothing = F.lit(None).cast("string")
-    return table(spark, sf_dir, "customer").select("c_custkey", X.background((F.col("c_acctbal") / 1000).cast("string"), nothing, nothing).alias("told"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.background((F.col("c_acctbal") / 7).cast("string"), nothing, nothing).alias("told"))
 
 
 _DON = vocab.CHOICES["donation"]

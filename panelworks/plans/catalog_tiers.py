@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import tiers, validate
-from .registry import query, rounded, sql_values, table
+from ..sources import readers, sinks
+from .registry import query, rounded, scratch, sql_values, table
 
 _NAMES = list(vocab.CODENAMES)
 _M = vocab.MODERATORS
@@ -16,14 +17,16 @@ _ITEMS = [k for k in vocab.ITEM_KEYS if k not in vocab.CHOICES]
 
 
 def raw(spark, sf_dir) -> DataFrame:
-    """Orders as a raw export: every item has a value that follows from the key, or none."""
+    """Orders as a raw export, through a file as such exports come: every item has a value that follows from the key, or none."""
     k = F.col("o_orderkey")
     item = lambda i: F.when((k + i) % 13 != 0, (k * (i + 7) % 101).cast("string"))
     made = {
         "profile_id": F.concat(F.lit("p"), k.cast("string")), "condition": F.element_at(F.array(*[F.lit(c) for c in _NAMES]), (k % len(_NAMES) + 1).cast("int")), "year_birth": F.concat(F.lit("born "), (1930 + k % 70).cast("string")),
         **{m: ((k + j) % len(_M[m]) + 1).cast("string") for j, m in enumerate(_CODED)}, **{key: item(i) for i, key in enumerate(_ITEMS)}, "donation": (k % 11).cast("string"), "newsletter": (k % 2 + 1).cast("string"),
     }
-    return table(spark, sf_dir, "orders").select(*[made.get(c, F.lit("")).alias(c) for c in tiers.RAW])
+    path = scratch(spark, "raw")
+    sinks.write_csv(table(spark, sf_dir, "orders").select(*[made.get(c, F.lit("")).alias(c) for c in tiers.RAW]), path)
+    return readers.read_csv(spark, path, columns=tiers.RAW, multi_line=False)
 
 
 def _list(options) -> str:
