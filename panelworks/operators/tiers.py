@@ -123,6 +123,25 @@ def tier2_moderator(t1: DataFrame) -> DataFrame:
     return grid.join(cells, ["condition", "moderator", "moderator_level", "outcome"], "left").join(main, ["condition", "outcome"], "left").select("condition", "moderator", "moderator_level", "outcome", F.coalesce("mean", "_main").alias("mean"))
 
 
+def check_tier1(t1: DataFrame) -> DataFrame:
+    """The table as it came; an error where a column lacks, or a condition or level is not known."""
+    lacking = [c for c in ["profile_id", "condition", *vocab.MODERATORS, *vocab.OUTCOMES] if c not in t1.columns]
+    if lacking:
+        raise ValueError(f"tier 1 lacks columns: {lacking}")
+    known = {"condition": vocab.CONDITIONS, **vocab.MODERATORS}
+    odd = t1.agg(*[F.collect_set(F.when(~F.col(c).isin(levels), F.col(c).cast("string"))).alias(c) for c, levels in known.items()]).first().asDict()
+    if unknown := {c: sorted(v) for c, v in odd.items() if v}:
+        raise ValueError(f"tier 1 has unknown labels: {unknown}")
+    return t1
+
+
+def fallback_cells(t1: DataFrame) -> DataFrame:
+    """``condition, moderator, moderator_level, outcome``: the cells that no one answered, which have their condition's mean."""
+    cells = moderator_means(t1, "condition", list(vocab.MODERATORS), list(vocab.OUTCOMES)).where("mean IS NOT NULL")
+    keys = ["condition", "moderator", "moderator_level", "outcome"]
+    return tier2_moderator(t1).select(*keys).join(cells.select(*keys), keys, "left_anti")
+
+
 def tier3(main: DataFrame) -> DataFrame:
     return effects(main, "condition", vocab.CONTROL)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recode as R
 from ..functions import vocab
+from ..sources import readers, sinks
 from .tiers import TIER1, TRUST_NAMES
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
@@ -190,6 +191,32 @@ def validate_metadata(meta: dict, files: Sequence[str] = (), hashes: dict[str, s
     return r
 
 
+def file_name_ok(name: str, team: str, tier: int) -> bool:
+    """TEAM_Tn_ENTRY_vN.csv, for condition means with the kind of cells; entries are primary or secondary-k."""
+    cells = r"_cells_(main|moderator)" if tier == 2 else ""
+    return re.fullmatch(rf"{re.escape(team)}_T{tier}_(primary|secondary-\d+)_v\d+{cells}\.csv", name) is not None
+
+
+def validate_bundle(spark: SparkSession, folder: str, metadata: str = "metadata.json") -> Report:
+    """A deposit: its metadata, and for each prediction file that they name its name, presence, fingerprint and contents by tier."""
+    folder = folder.rstrip("/")
+    meta = readers.read_json_document(spark, f"{folder}/{metadata}")
+    entries, tier, team = meta.get("prediction_files", []), meta.get("tier"), meta.get("team_id") or ""
+    hashes = {e["file"]: h for e in entries if (h := sinks.fingerprint(spark, f"{folder}/{e['file']}"))}
+    r = validate_metadata(meta | {"files": entries}, list(hashes), hashes)
+    if meta.get("status") == "staged":
+        return r
+    wanted = 2 if tier == 2 else 1
+    r.add(f"file count for tier {tier}", len(entries) == wanted, f"{len(entries)} of {wanted}", WARN)
+    for name in [e["file"] for e in entries]:
+        r.add(f"{name} name", file_name_ok(name.rpartition("/")[2], team, tier), "not TEAM_Tn_ENTRY_vN.csv")
+        if name in hashes:
+            table = readers.read_csv(spark, f"{folder}/{name}").replace("", None)
+            check = {1: validate_tier1, 3: validate_tier3}.get(tier) or (validate_tier2_moderator if "_cells_moderator" in name else validate_tier2_main)
+            r.rows += [(f"{name}: {c}", s, d) for c, s, d in check(table).rows]
+    return r
+
+
 def validate_files(there: Sequence[str], wanted: Sequence[str], registration: str = "") -> Report:
     """A deposit's files, and registration items left blank ("- item:" with nothing behind)."""
     r = Report()

@@ -163,22 +163,55 @@ def run(spark, a):
     print(sinks.dump(summary))
 
 
+def _entry(spark, a) -> tuple[dict, str, str]:
+    """(metadata, team, entry): options before what the metadata say."""
+    meta = readers.read_json_document(spark, a.metadata) if a.metadata and readers.exists(spark, a.metadata) else {}
+    return meta, a.team_id or meta.get("team_id") or "team", a.entry or meta.get("entry") or "primary"
+
+
 def submission(spark, a):
     schema = survey.RESPONSE + ", run_id string, timestamp string, seq bigint"
     best = tiers.usable_responses(readers.read_jsonl(spark, a.responses, schema), a.include_partial)
+    if best.isEmpty():
+        sys.exit("no usable responses")
     raw = tiers.raw_export(best, a.run_id, profile_ids=a.profile_id_mode)
-    _save(raw, a.raw_output)
-    _save(tiers.tier1(raw), a.output)
+    if not a.out_dir:
+        _save(raw, a.raw_output)
+        _save(tiers.tier1(raw), a.output)
+        return
+    meta, team, entry = _entry(spark, a)
+    name = sinks.bundle_name(team, 1, entry, a.version)
+    _save(raw, f"{a.out_dir}/{team}_raw_export_{a.run_id}.csv")
+    sinks.write_csv(tiers.tier1(raw), f"{a.out_dir}/{name}", one_file=True)
+    _save(tiers.item_level(best), f"{a.out_dir}/item_level_{a.run_id}.csv")
+    if a.metadata and meta and not a.no_manifest:
+        entry = {"file": name, "sha256": sinks.fingerprint(spark, f"{a.out_dir}/{name}")}
+        sinks.put_text(spark, a.metadata, sinks.dump(meta | {"prediction_files": sinks.upsert_manifest(meta.get("prediction_files", []), [entry])}))
 
 
 def derive(spark, a):
-    t1 = readers.read_table(spark, a.tier1)
-    for name, df in tiers.derive_tiers(t1, a.decimals).items():
-        _save(df, f"{a.out_dir}/{name}.csv")
+    t1 = tiers.check_tier1(readers.read_table(spark, a.tier1).replace("", None)).persist()
+    _, team, entry = _entry(spark, a)
+    made = tiers.derive_tiers(t1, a.decimals)
+    named = a.team_id or a.metadata
+    names = {"tier2_main": sinks.bundle_name(team, 2, entry, a.version, "main"), "tier2_moderator": sinks.bundle_name(team, 2, entry, a.version, "moderator"), "tier3": sinks.bundle_name(team, 3, entry, a.version)}
+    for kind, df in made.items():
+        _save(df, f"{a.out_dir}/{names[kind] if named else kind + '.csv'}")
+    sizes = t1.groupBy("condition").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).first()
+    filled = tiers.fallback_cells(t1).groupBy("moderator", "moderator_level").agg(F.count(F.lit(1)).alias("n")).collect()
+    report = validate.sanity(made)
+    told = {"verdict": report.verdict, "checks": [list(r) for r in report.rows], "n_rows": sizes.rows, "respondents_per_condition": {"min": sizes.least, "max": sizes.most},
+            "moderator_fallback_cells": sum(r.n for r in filled), "moderator_fallback_levels": sorted(f"{r.moderator}={r.moderator_level}" for r in filled)}
+    sinks.put_text(spark, f"{a.out_dir}/derive_tiers_report.json", sinks.dump(told))
+    print(sinks.dump(told))
 
 
 def check(spark, a):
-    r = {"1": validate.validate_tier1, "2": validate.validate_tier2_main, "2m": validate.validate_tier2_moderator, "3": validate.validate_tier3}[a.tier](readers.read_csv(spark, a.input).replace("", None))
+    if a.bundle:
+        r = validate.validate_bundle(spark, a.bundle)
+    else:
+        tier = {"1": validate.validate_tier1, "2": validate.validate_tier2_main, "2m": validate.validate_tier2_moderator, "3": validate.validate_tier3}[a.tier]
+        r = tier(readers.read_csv(spark, a.input).replace("", None))
     print(r.text())
     sys.exit(int(r.verdict == validate.FAIL))
 
@@ -217,9 +250,9 @@ STEPS = {
     "personas": (build_personas, ["agents!", "posts!", "output!", ("max-posts", 60), ("max-chars-per-post", 600), ("max-total-chars", 16000)]),
     "coverage": (coverage, ["agents!", "posts!", "output", ("threshold", 10), "below-threshold-output"]),
     "survey": (run, ["config", "personas!", "out-root!", ("run-id", "run"), ("limit-agents", 0), "only-agents+", "conditions+", ("workers", 0), ("client", "dummy"), "base-url", "api-key-env", "print-prompt+", "print-all-steps?"]),
-    "submission": (submission, ["responses!", "raw-output", "output!", ("run-id", "run"), "include-partial?", ("profile-id-mode", "agent")]),
-    "tiers": (derive, ["tier1!", "out-dir!", ("decimals", 3)]),
-    "check": (check, ["input!", ("tier", "1")]),
+    "submission": (submission, ["responses!", "raw-output", "output", "out-dir", "metadata", "team-id", "entry", ("version", 1), "no-manifest?", ("run-id", "run"), "include-partial?", ("profile-id-mode", "agent")]),
+    "tiers": (derive, ["tier1!", "out-dir!", "metadata", "team-id", "entry", ("version", 1), ("decimals", 3)]),
+    "check": (check, ["input", "bundle", ("tier", "1")]),
     "redact": (redact_calls, ["input!", "output!"]),
     "census": (census, ["url!", "out-dir!"]),
     "party": (party, ["input!", ("variable", "pid3"), ("weight", "commonweight"), "output!"]),

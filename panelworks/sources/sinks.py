@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from . import readers
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, one_file: bool = False) -> None:
@@ -35,10 +36,37 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+def fingerprint(spark: SparkSession, path: str) -> str | None:
+    """The SHA-256 of a file, or of the one file of a folder; of several files that of their digests in order.  Null if there is none."""
+    if not readers.exists(spark, path):
+        return None
+    found = [r.sha256 for r in fingerprints(spark, path).where("NOT startswith(file, '_')").orderBy("file").collect()]
+    return found[0] if len(found) == 1 else sha256_text("\n".join(found)) if found else None
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file in place of what is there, through Spark's file systems."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    # A local file is for others to edit as well, so no checksum of it may stay behind.
+    fs.delete(jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.crc"), False)
+
+
+def bundle_name(team: str, tier: int, entry: str, version: int, part: str | None = None) -> str:
+    """The name of a prediction file; part: ``main`` or ``moderator`` for the two files of condition means."""
+    return f"{team}_T{tier}_{entry}_v{version}" + (f"_cells_{part}" if part else "") + ".csv"
+
+
 def upsert_manifest(entries: list[dict], fresh: list[dict]) -> list[dict]:
     """Fresh entries in place of those for the same file; examples go."""
     names = {e["file"] for e in fresh}
-    return [e for e in entries if e["file"] not in names and not e["file"].startswith("example_")] + fresh
+    return [e for e in entries if e["file"] not in names and not e["file"].rpartition("/")[2].startswith("example_")] + fresh
 
 
 def dump(obj) -> str:
