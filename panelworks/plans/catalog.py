@@ -14,9 +14,9 @@ from ..functions import answers as A
 from ..functions import recode as R
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import activity, budget, history, interactions, personas, redact, sampling, session, survey, threads, tiers, validate, weights
+from ..operators import activity, budget, history, interactions, personas, redact, sampling, threads, tiers, validate, weights
 from ..sources import readers
-from .registry import ORACLES, QUERIES, query, rounded as _r, table
+from .registry import ORACLES, QUERIES, query, rounded as _r, table  # noqa: F401  (the first two are read through this module)
 
 # --- Activity ------------------------------------------------------------------------------------------------------
 
@@ -478,7 +478,22 @@ def _personas(spark, sf_dir):
     return personas.build_personas(people(spark, sf_dir), posts(spark, sf_dir))
 
 
-@query()
+_STRIP = r"regexp_replace(body, '^[\s\x1c-\x1f\x{85}\p{Z}]+|[\s\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')"
+_SHORT = _STRIP.replace("body", "replace(body, chr(13), ' ')")
+_RSTRIP = r"regexp_replace(substr(s, 1, 597), '[\s\x1c-\x1f\x{85}\p{Z}]+$', '')"
+
+
+@query(_THREADS + f"""
+, x AS (SELECT conv_id, turn, lower({_STRIP}) IN ('', '[deleted]', '[removed]') AS gone, {_SHORT} AS s FROM s),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM x WHERE NOT gone),
+l AS (SELECT *, '[' || n || '] 2023-11-14 | ' || CASE WHEN turn = 0 THEN 'post in r/talk | title: "" | text: "' ELSE 'comment in r/talk | text: "' END || CASE WHEN length(s) > 600 THEN {_RSTRIP} || '...' ELSE s END || '"' AS line FROM u),
+kept AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY n) AS chars FROM l),
+t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY n) AS list, count(*) AS included FROM kept WHERE n <= 60 AND (n = 1 OR chars <= 16000) GROUP BY 1),
+c AS (SELECT conv_id, count(*) FILTER (WHERE NOT gone) AS usable, count(*) AS total FROM x GROUP BY 1),
+p AS (SELECT CAST(c.conv_id AS VARCHAR) AS author, included, total, CASE WHEN usable > 0 THEN 'Most active subreddits (by number of posts and comments): r/talk (' || usable || ')' || chr(10) ELSE '' END || 'Total posts and comments available: ' || usable || chr(10) || chr(10)
+  || 'Recent posts and comments written by this user (most recent first, up to 60 shown):' || chr(10) || coalesce(list, '(no post or comment text available for this user)') AS text FROM c LEFT JOIN t USING (conv_id))
+SELECT author, sha256(text) AS profile_sha, CAST(length(text) AS BIGINT) AS chars, coalesce(included, 0) AS n_posts_included, CAST(total AS INT) AS n_posts_total FROM p
+""")
 def persona_documents(spark, sf_dir):
     """A conversation's turns as an author's posts."""
     rows = _threads(spark, sf_dir).withColumn("author", F.split("id", "_")[0])
@@ -486,9 +501,6 @@ def persona_documents(spark, sf_dir):
     return personas.verbalize(rows.groupBy("author").agg(F.sort_array(F.collect_list(post)).alias("posts"))).select("author", F.sha2("profile_text", 256).alias("profile_sha"), F.length("profile_text").cast("bigint").alias("chars"), "n_posts_included", "n_posts_total")
 
 
-_STRIP = r"regexp_replace(body, '^[\s\x1c-\x1f\x{85}\p{Z}]+|[\s\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')"
-
-
 @query(_THREADS + rf"""
 , x AS (SELECT conv_id, turn, {_STRIP} AS t FROM s), c AS (SELECT *, CAST(floor({_WORDS.replace("coalesce(text, '')", "t")} * 1.3) AS BIGINT) AS cost FROM x WHERE t <> ''),
 b AS (SELECT *, row_number() OVER w AS n, sum(cost) OVER w AS used FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))
@@ -498,26 +510,6 @@ def author_moulds(spark, sf_dir):
     return personas.author_mould(rows, 300).select("author", F.sha2("mould", 256).alias("mould_sha"), "n_records")
 
 
-@query()
-def session_plan(spark, sf_dir):
-    return session.session_plan(_personas(spark, sf_dir)).select("profile_id", "condition", "codename", "seed", "step", "step_name", F.array_join("elements", ";").alias("elements"))
-
-
-@query()
-def dummy_survey(spark, sf_dir):
-    ship(spark)
-    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions())
-    return r.select("profile_id", "condition", "status", "n_steps", "n_calls", F.size("answers").alias("n_answers"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("answers")))).alias("answers"))
-
-
-@query()
-def individual_table(spark, sf_dir):
-    ship(spark)
-    r = survey.run_survey(_personas(spark, sf_dir), survey.DummyClient, survey.RunOptions())
-    best = tiers.usable_responses(r.withColumn("seq", F.lit(0)))
-    return tiers.tier1(tiers.raw_export(best)).withColumns({c: _r(c) for c in vocab.COMPOSITES})
-
-
 @query("SELECT o_orderpriority AS condition, count(*) AS total FROM orders GROUP BY 1")
 def condition_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("condition")).agg(F.count(F.lit(1)).alias("total"))

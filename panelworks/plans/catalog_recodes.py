@@ -340,6 +340,55 @@ def session_orders(spark, sf_dir):
     return told.select("profile_id", "condition", *[F.array_join(F.transform(c, lambda x: x["name"]), ",").alias(c) for c in ("statements", "second", "third")])
 
 
+_BLOCK_PARTS = "MAP {" + ", ".join(f"'{k}': {_sql_list(([f'p:{k}:pre_page'] if k in vocab.PRE_PAGES else []) + [f'i:{i}' for i in items])}" for _, k, items in vocab.BLOCKS) + "}"
+_SCRIPTS = ", ".join(f"('{c}', {'NULL' if c not in _CODE else chr(39) + _CODE[c] + chr(39)}, [{', '.join(_sql_list(x) for x in session.SCRIPTS[c])}])" for c in vocab.CONDITIONS)
+_FILLED = "list_transform(script[n], lambda e: replace(replace(replace(replace(replace(e, '{filler}', replace(codename, ' ', '_')), '{case}', state_case), '{c1}', cs[1]), '{c2}', cs[2]), '{c3}', cs[3]))"
+
+
+_STEPS = f"""
+WITH p AS (SELECT printf('agent_%04d', c_custkey) AS profile_id, c_custkey, CASE c_custkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '3' ELSE '4' END AS state_case FROM customer), d AS (SELECT * FROM (VALUES {_SCRIPTS}) v(condition, code, script)),
+s AS (SELECT profile_id, c_custkey, state_case, c.*, {_SEED} AS seed FROM p, d c),
+o AS (SELECT *, coalesce(code, ({_sql_list(vocab.CONTROL_FILLERS)})[seed % 3 + 1]) AS codename, {_ORDER.format("['human', 'co2', 'year']")} AS cs, unnest(range(1, len(script) + 1)) AS n,
+  list_concat(['trust_multidimensional'], {_ORDER.format(_sql_list([k for g, k, _ in vocab.BLOCKS if g == 2]))}, {_ORDER.format(_sql_list([k for g, k, _ in vocab.BLOCKS if g == 3]))}) AS blocks FROM s),
+e AS (SELECT *, list_concat({_FILLED}, CASE WHEN n < len(script) THEN [] ELSE list_concat(['p:transition_treatment_to_post'], flatten(list_transform(blocks, lambda k: {_BLOCK_PARTS}[k]))) END) AS elements FROM o)
+"""
+
+
+@query(_STEPS + """
+SELECT profile_id, condition, codename, seed, CAST(n - 1 AS INT) AS step, CASE WHEN n < len(script) THEN 'treatment_' || n WHEN n > 1 THEN 'treatment_' || n || '+battery' ELSE 'battery' END AS step_name, array_to_string(elements, ';') AS elements FROM e
+""")
+def session_plan(spark, sf_dir):
+    """Every step of every session: what each agent meets, in order."""
+    made = personas.build_personas(people(spark, sf_dir), posts(spark, sf_dir))
+    return session.session_plan(made).select("profile_id", "condition", "codename", "seed", "step", "step_name", F.array_join("elements", ";").alias("elements"))
+
+
+_KEYS = [*vocab.ITEM_KEYS, *vocab.ELICITATION_ITEMS]
+_BYTE = "CAST('0x' || substr(h, {}, 2) AS INT)"
+#: What the stand-in answers: a hash of the step's seed and the title.
+_ANSWERED = _STEPS + f"""
+, i AS (SELECT profile_id, c_custkey, condition, codename, n, unnest(list_transform(list_filter(elements, lambda x: starts_with(x, 'i:')), lambda x: substr(x, 3))) AS key FROM e),
+v AS (SELECT * FROM (VALUES {sql_values([(k, vocab.title(k), {"donation": "Don", "newsletter": "News"}.get(k)) for k in _KEYS])}) v(key, title, choice)),
+w AS (SELECT i.*, choice, sha256(CAST(('0x' || right(sha256('7||' || profile_id || '||' || condition || '||' || (n - 1) || ':1'), 8)) AS BIGINT) || '/' || title) AS h FROM i JOIN v USING (key)),
+a AS (SELECT *, CASE choice WHEN 'Don' THEN 'Don' || {_BYTE.format(1)} % 11 WHEN 'News' THEN 'News' || ({_BYTE.format(1)} % 2 + 1) ELSE CAST({_BYTE.format(3)} % 51 + {_BYTE.format(5)} % 51 AS VARCHAR) END AS answer FROM w)
+"""
+
+
+def _surveyed(spark, sf_dir) -> DataFrame:
+    """All agents in all conditions, answered by the stand-in."""
+    ship(spark)
+    made = personas.build_personas(people(spark, sf_dir), posts(spark, sf_dir))
+    return survey.run_survey(made, survey.DummyClient, survey.RunOptions())
+
+
+@query(_ANSWERED + """
+SELECT profile_id, condition, 'complete' AS status, CAST(max(n) AS INT) AS n_steps, CAST(max(n) AS INT) AS n_calls, CAST(count(*) AS INT) AS n_answers, '{' || string_agg('"' || key || '":"' || answer || '"', ',' ORDER BY key) || '}' AS answers FROM a GROUP BY 1, 2
+""")
+def dummy_survey(spark, sf_dir):
+    answers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("answers"))))
+    return _surveyed(spark, sf_dir).select("profile_id", "condition", "status", "n_steps", "n_calls", F.size("answers").alias("n_answers"), answers.alias("answers"))
+
+
 @query(_PLAN + "SELECT profile_id, array_to_string(list_transform(list_sort(list_transform(['belief_pre', 'trust_pre'], lambda k: {'h': sha256(CAST(('0x' || right(sha256('7||' || profile_id || '||__pretreatment__||'), 8)) AS BIGINT) || '|' || k), 'k': k})), lambda x: x.k), ',') AS items FROM p")
 def pretreatment_orders(spark, sf_dir):
     return session.pretreatment_plan(people(spark, sf_dir)).select("profile_id", F.array_join("items", ",").alias("items"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..operators import tiers, validate
 from ..sources import readers, sinks
+from . import catalog_recodes
 from .registry import query, rounded, scratch, sql_values, table
 
 _NAMES = list(vocab.CODENAMES)
@@ -90,6 +91,31 @@ def dense_effects(spark, sf_dir):
     return tiers.tier3(tiers.tier2_main(tiers.tier1(raw(spark, sf_dir)))).withColumn("ate", rounded("ate", 9))
 
 
+def _answer(key: str) -> str:
+    """An item's value from what the stand-in answered."""
+    value = f"max(answer) FILTER (WHERE key = '{key}')"
+    return f"CAST({value} AS DOUBLE)" if key not in vocab.CHOICES else value
+
+
+def _answers_mean(keys) -> str:
+    return "list_avg([" + ", ".join(map(_answer, keys)) + "])"
+
+
+_SURVEYED = {
+    "profile_id": "profile_id", "condition": "condition", **{m: f"({_list(_M[m])})[(any_value(c_custkey) + {j}) % {len(_M[m])} + 1]" for j, m in enumerate(_M)},
+    **{new: _answer(old) for old, new in tiers.RENAMES.items()}, **{out: _answer(k) for out, k in vocab.SINGLES.items()}, "funding_perceptions": f"100 - {_answer('funding_5')}",
+    **{out: "round(list_avg([" + ", ".join(map(_answers_mean, groups)) + "]), 6)" for out, groups in vocab.COMPOSITES.items()},
+    "donation_ams": f"CAST(substr({_answer('donation')}, 4) AS INT)", "newsletter_signup": f"CASE WHEN {_answer('newsletter')} = 'News1' THEN 1 ELSE 0 END",
+}
+
+
+@query(catalog_recodes._ANSWERED + "SELECT " + ", ".join(f"{_SURVEYED[c]} AS {c}" for c in tiers.TIER1) + " FROM a GROUP BY profile_id, condition")
+def individual_table(spark, sf_dir):
+    """The whole way: sessions, the latest best response, raw export, scores."""
+    best = tiers.usable_responses(catalog_recodes._surveyed(spark, sf_dir).withColumn("seq", F.lit(0)))
+    return tiers.tier1(tiers.raw_export(best)).withColumns({c: rounded(c) for c in vocab.COMPOSITES})
+
+
 # --- Reports -------------------------------------------------------------------------------------------------------------
 
 def _checks(rows: list[tuple[str, str, str]]) -> str:
