@@ -50,12 +50,14 @@ COLUMNS = "author string, gender string, age_band string, race string, education
 
 def test_plentiful_and_scarce_pools(spark):
     agents, report, d = sampling.stratified_sample(spark.createDataFrame(pool(20000, 1), COLUMNS), n=200)
-    assert agents.count() == 200 and report.count() == 0 and d["unmet"] == 0 and d["excluded_other_gender"] > 0
+    # The report lists every cell with its target.
+    assert report.count() == 40 and report.agg(F.sum("target"), F.sum("shortfall_before_redistribution")).first()[:] == (200, 0)
+    assert agents.count() == 200 and d["unmet"] == 0 and d["excluded_other_gender"] > 0
     assert agents.where("gender = 'Other'").count() == 0 and agents.select("profile_id").distinct().count() == 200
     again, _, _ = sampling.stratified_sample(spark.createDataFrame(pool(20000, 1), COLUMNS).repartition(7), n=200)
     assert sorted(map(tuple, agents.select("profile_id", "author").collect())) == sorted(map(tuple, again.select("profile_id", "author").collect()))
     agents, report, d = sampling.stratified_sample(spark.createDataFrame(pool(500, 2, 0.05) + [("bad", "Male", "5", "Other", "", "", "")], COLUMNS), n=200)
-    assert report.where("age_band = '60+'").count() > 0 and d["dropped"] == 1
+    assert report.where("age_band = '60+' AND shortfall_before_redistribution > 0").count() > 0 and report.count() == 40 and d["dropped"] == 1
     assert agents.count() + d["unmet"] == 200
 
 
