@@ -55,8 +55,9 @@ def _folded(x) -> Column:
 
 def cues(x) -> Column:
     """Names of the cues in a text, in their fixed order.  The text is folded once, so patterns need not fold each letter."""
-    text = _folded(x)
-    return F.array_compact(F.array(*[F.when(F.rlike(text, F.lit("(?u)" + p.replace("TIL", "til"))), F.lit(n)) for n, p in vocab.CUES.items()]))
+    found = lambda t: F.array_compact(F.array(*[F.when(F.rlike(t, F.lit("(?u)" + p.replace("TIL", "til"))), F.lit(n)) for n, p in vocab.CUES.items()]))
+    # As the element of an array the folded text is made once for all patterns.
+    return F.get(F.transform(F.array(_folded(x)), found), F.lit(0))
 
 
 def quotes(reply, parent, n: int = 5) -> Column:
@@ -69,11 +70,14 @@ def quotes(reply, parent, n: int = 5) -> Column:
         starts = F.when(F.size(ws) >= m, F.sequence(F.lit(1), F.size(ws) - (m - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, m), " "))
 
-    mine, theirs = words(reply), words(parent)
-    # The inner words are whole ones, so runs of them must meet first: as sets, in proportion to the texts.
-    met = F.arrays_overlap(runs(mine, n - 2), runs(theirs, n - 2))
-    joined = F.array_join(mine, " ")
-    echo = F.when(met, F.exists(runs(theirs, n), lambda s: F.contains(joined, s)))
+    def echoes(pair: Column) -> Column:
+        # The inner words are whole ones, so runs of them must meet first: as sets, in proportion to the texts.
+        met = F.arrays_overlap(runs(pair["mine"], n - 2), runs(pair["theirs"], n - 2))
+        joined = F.array_join(pair["mine"], " ")
+        return F.when(met, F.exists(runs(pair["theirs"], n), lambda s: F.contains(joined, s)))
+
+    # As the element of an array both lists of words are made once.
+    echo = F.get(F.transform(F.array(F.struct(words(reply).alias("mine"), words(parent).alias("theirs"))), echoes), F.lit(0))
     return F.rlike(blank(reply), F.lit(rf"(?m)^{SPACE}*>")) | F.coalesce(echo, F.lit(False))
 
 
