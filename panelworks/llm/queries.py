@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, mixing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
+from . import ann, decontam, fim, mixing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
 from .. import ship
 from .common import shared_dir
 
@@ -107,5 +107,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op7_quality": op7_quality, "op8_nearest": op8_nearest, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards}
-ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), grammar="line", seed=7, rate=100, spm_rate=50)
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(us[1:a], ''), '') AS pre, coalesce(array_to_string(us[a + 1:b], ''), '') AS mid, coalesce(array_to_string(us[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op7_quality": op7_quality, "op8_nearest": op8_nearest, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op13_fill_in_middle": op13_fill_in_middle}
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
