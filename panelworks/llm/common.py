@@ -68,6 +68,21 @@ def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
     return keyed.join(stay, [*names.values()], "left_semi").dropDuplicates([*names.values()]).select(*docs.columns)
 
 
+#: Groups that are joined by broadcast at most, see join_groups().
+HEAVY_GROUPS = 20_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, how: str = "left") -> DataFrame:
+    """rows (``total`` of them, read twice) joined with groups, which has one row a key and, as ``size``, how many of rows have that key.
+
+    Groups of at least one in HEAVY_GROUPS of all rows are no more than HEAVY_GROUPS and are sent to the rows, which stay where
+    they are; the others are small and meet their rows by a shuffle.  So no key brings many rows into one task."""
+    heavy = F.col(size) >= max(32, -(-total // HEAVY_GROUPS))
+    sent = F.broadcast(groups.where(heavy))
+    rest = rows.join(F.broadcast(groups.where(heavy).select(*on)), on, "left_anti")
+    return rows.join(sent, on).unionByName(rest.join(groups.where(~heavy), on, how))
+
+
 def word_count(text):
     """Words of a text column as a bigint column; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, fim, mixing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
+from . import ann, decontam, exactdedup, fim, mixing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
 from .. import ship
 from .common import shared_dir
 
@@ -107,6 +107,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256 FROM t JOIN g ON t.norm = g.norm
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), grammar="line", seed=7, rate=100, spm_rate=50)
     restored = fim.restore(F.col("output"), F.col("form"))
@@ -125,5 +136,5 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 """
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op7_quality": op7_quality, "op8_nearest": op8_nearest, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op13_fill_in_middle": op13_fill_in_middle}
-ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op7_quality": op7_quality, "op8_nearest": op8_nearest, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op12_exact_dedup": op12_exact_dedup, "op13_fill_in_middle": op13_fill_in_middle}
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op12_exact_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
