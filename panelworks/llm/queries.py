@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, exactdedup, fim, mixing, quality, sharding, simhash, substring, tokencount, urlfilter, warc
+from . import ann, decontam, exactdedup, fim, mixing, quality, sharding, simhash, substring, tokencount, trie, urlfilter, warc
 from .. import ship
 from .common import shared_dir
 
@@ -107,6 +107,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns, lengths = trie.rebuilt(trie.turn_rows(_table(spark, sf_dir, "conversations")), base=conv - conv % 100, head=F.crc32(conv.cast("string")) % 6)
+    return trie.prefix_trie(turns, lengths)
+
+
+OP11_SQL = """
+WITH t AS (SELECT conv_id AS c, sha256(CAST(length(r) AS VARCHAR) || ':' || r || x) AS k, length(x) AS z, turn FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT c, k, z, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM t),
+-- CRC-32 of the decimal id: a byte is mixed in (value of 0 and more), then eight steps of one bit (-1).
+h AS (SELECT c, c - c % 100 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, 0 AS own, o.p, o.k, o.z FROM h JOIN o ON o.c = h.b AND o.p <= h.h UNION ALL SELECT h.c, 1, o.p, o.k, o.z FROM h JOIN o ON o.c = h.c AND o.p > h.h),
+q AS (SELECT c, k, z, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d FROM r),
+s AS (SELECT h.c, coalesce(list(q.k ORDER BY q.d) FILTER (q.d IS NOT NULL), []) AS ks, coalesce(list(q.z ORDER BY q.d) FILTER (q.d IS NOT NULL), []) AS zs, count(q.d) AS n FROM h LEFT JOIN q ON q.c = h.c GROUP BY h.c),
+m AS (SELECT c, n, d, sha256(array_to_string(ks[1:d], ' ')) AS pre, CASE WHEN d = 0 THEN 0 ELSE zs[d] END AS z FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM s)),
+g AS (SELECT d, pre, min(c) AS top, count(*) AS n_convs, max(z) AS z, max(n) AS far, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM m GROUP BY d, pre),
+up AS (SELECT m.c, m.d, g.top FROM m JOIN g ON m.d = g.d AND m.pre = g.pre),
+kids AS (SELECT g.d - 1 AS d, up.top, count(*) AS n FROM g JOIN up ON up.c = g.top AND up.d = g.d - 1 GROUP BY 1, 2),
+e AS (SELECT g.*, up.top AS parent, coalesce(kids.n, 0) AS n_children FROM g LEFT JOIN up ON up.c = g.top AND up.d = g.d - 1 LEFT JOIN kids ON kids.d = g.d AND kids.top = g.top),
+below AS (SELECT up.d, up.top, sum(CASE WHEN e.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((e.n_convs - 1) * e.z) AS saved FROM e JOIN up ON up.c = e.top AND up.d <= e.d GROUP BY 1, 2)
+SELECT e.top AS conv_id, CAST(e.d AS BIGINT) AS depth, e.parent AS parent_conv_id, e.n_convs, CAST(e.n_children AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, e.ends AS ends_sha256
+FROM e JOIN below b ON b.d = e.d AND b.top = e.top
+"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.duplicates(_table(spark, sf_dir, "documents"))
 
@@ -136,5 +162,5 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 """
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op7_quality": op7_quality, "op8_nearest": op8_nearest, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op12_exact_dedup": op12_exact_dedup, "op13_fill_in_middle": op13_fill_in_middle}
-ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op12_exact_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_substring_dedup": op2_substring_dedup, "op10_decontamination": op10_decontamination, "op3_token_counts": op3_token_counts, "op7_quality": op7_quality, "op8_nearest": op8_nearest, "op9_warc": op9_warc, "op4_mix_sources": op4_mix_sources, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op11_prefix_trie": op11_prefix_trie, "op12_exact_dedup": op12_exact_dedup, "op13_fill_in_middle": op13_fill_in_middle}
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_warc": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
