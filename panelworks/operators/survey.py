@@ -1,8 +1,9 @@
 """Running sessions through a model: prompts, answers, status, logs; and the same for attribute inference.
 
-A row is a whole session, so what must be asked in order is, and results leave a task session by session.  ``run_survey`` is one
-job; ``run_to_log`` runs a survey as many small ones, each committed to a log, and asks only what the log lacks: what a failure costs
-is the calls of one batch of agents.  What is asked once of each agent, before any condition, is a table of its own.
+A row is a whole session, so what must be asked in order is.  A task keeps a bounded window of sessions in flight and takes the next
+one as soon as any ends; results leave it in the order in which they end.  ``run_survey`` is one job.  ``run_to_log`` runs a survey bucket
+by bucket of agents, appends every finished session to a durable log at once, and asks only what the log lacks, so what a
+failure costs is the sessions in hand.  What is asked once of each agent, before any condition, is a table of its own.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ import json
 import re
 import time
 import traceback
+import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ from ..functions import answers as A
 from ..functions import recode as R
 from ..functions import vocab
 from ..sources import readers, sinks
+from ..sources.recordlog import RecordLog, Work
 from .budget import not_done
 from .models import ChatResult, DummyClient, FixedClient, ModelError, RetryableModelError, make_client
 from .session import pretreatment_plan, session_plan
@@ -43,15 +48,19 @@ class RunOptions:
     explanation_style: str = "brief"
     max_attempts: int = 3
     seed: int = 7
-    #: Tasks that ask at the same time; None: as many as the cluster has room for.
+    #: Sessions in flight at the same time, all tasks together; None: in_flight of each task, and as many tasks as the cluster has slots.
     workers: int | None = None
+    #: Sessions that one task has in flight at the same time.
+    in_flight: int = 16
     #: Independent steps of one session in flight at the same time.
     independent_concurrency: int = 1
     store_prompts: str = "hash"  # or full
     cleanup: bool = False
     system: str | None = None
-    #: Sessions of one committed batch of run_to_log.
+    #: Sessions of a bucket of run_to_log's log, about.
     batch_sessions: int = 500
+    #: Whether answers are logged as the model gave them.
+    keep_raw: bool = True
     #: Wording by key: pages, item questions and anchors, templates.  What is missing is made from the key.
     texts: dict = field(default_factory=dict)
 
@@ -173,7 +182,7 @@ class Asker:
             call |= {"error": str(e)[:2000], **dict.fromkeys(_TOKENS, 0)}
             return "", None
         parse = A.parse_answers(r.text, items)
-        call |= {k: getattr(r, k) for k in (*_TOKENS, "latency_s", "finish_reason")} | {"response": r.text, **{f"parse_{k}": parse[k] for k in ("missing", "invalid", "duplicated")}}
+        call |= {k: getattr(r, k) for k in (*_TOKENS, "latency_s", "finish_reason")} | {"response": r.text if self.o.keep_raw else None, **{f"parse_{k}": parse[k] for k in ("missing", "invalid", "duplicated")}}
         return r.text, parse
 
 
@@ -249,33 +258,96 @@ def _people(personas: DataFrame) -> DataFrame:
     return personas.select("profile_id", F.to_json("demographics").alias("demographics"), "assigned_state", "year_birth", "profile_text")
 
 
-def _asked(rows: DataFrame, schema: str, o: RunOptions, client: Callable[[], object], ask: Callable, tidy: Callable[[], object] | None) -> DataFrame:
-    """rows, asked one by one: ask(asker, row) gives a record; what goes wrong in one is recorded and stops none of the others."""
-    columns = _names(schema)
+def in_flight(rows: Iterator, work: Callable, window: int) -> Iterator:
+    """work of each row, in the order in which they end.  At most ``window`` rows are at work or taken from rows ahead of it."""
+    with ThreadPoolExecutor(window) as pool:
+        running = set()
+        for r in rows:
+            running.add(pool.submit(work, r))
+            if len(running) >= window:
+                ended, running = wait(running, return_when=FIRST_COMPLETED)
+                yield from (f.result() for f in ended)
+        while running:
+            ended, running = wait(running, return_when=FIRST_COMPLETED)
+            yield from (f.result() for f in ended)
+
+
+def dealt(rows: DataFrame, workers: int | None, window: int, *keys: str) -> tuple[DataFrame, int]:
+    """(rows in as many partitions as tasks may ask at once, the window of each).  The number is given, so that adaptive execution
+    doesn't merge partitions that are small in bytes and long in calls."""
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = slots if workers is None else min(slots, -(-workers // window))
+    return rows.repartition(tasks, *keys), window if workers is None else max(1, workers // tasks)
+
+
+def _batches(records: Iterator[dict], columns: list[str]) -> Iterator[pd.DataFrame]:
+    for r in records:
+        yield pd.DataFrame([{c: r.get(c) for c in columns}], columns=columns, dtype=object)
+
+
+def _asked(rows: DataFrame, schema: str, o: RunOptions, client: Callable[[], object], ask: Callable, tidy: Callable[[], object] | None, log: Work | None = None, stamps: dict | None = None) -> DataFrame:
+    """rows, asked session by session: ask(asker, row) gives a record; what goes wrong in one is recorded and stops none of the others.
+
+    With a log, tasks append the records to it, with stamps, and give ``keys, status, segment`` instead."""
+    columns, keys = _names(schema), log.keys if log else ()
+    spread, window = dealt(rows, o.workers, o.in_flight, *[k for k in ("profile_id", "condition") if k in rows.columns])
+
+    def asked(model, second, r: dict) -> dict:
+        person = {"profile_id": r["profile_id"], "demographics": json.loads(r["demographics"]), "assigned_state": r["assigned_state"], "profile_text": r["profile_text"]}
+        asker = Asker(model, person, r.get("condition", PRE), o, second)
+        began = time.monotonic()
+        try:
+            made = ask(asker, r)
+        except Exception:
+            made = {"status": "failed", "answers": {}, "speculation": {}, "explanations": {}, "missing_outcome_items": list(vocab.ITEM_KEYS)}
+            asker.calls.append(dict.fromkeys(_CALL_FIELDS) | {"kind": "session", "error": traceback.format_exc()[-2000:], **dict.fromkeys(_TOKENS, 0)})
+        told = {k: r.get(k) for k in ("profile_id", "condition", "codename", "assigned_state", "year_birth")}
+        told |= {"model": model.model, "provider": model.provider, "demographics": person["demographics"], "n_calls": len(asker.calls), "calls": asker.calls, "seconds": round(time.monotonic() - began, 2)}
+        return told | made
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = client()
-        second = tidy() if tidy else None
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                person = {"profile_id": r["profile_id"], "demographics": json.loads(r["demographics"]), "assigned_state": r["assigned_state"], "profile_text": r["profile_text"]}
-                asker = Asker(model, person, r.get("condition", PRE), o, second)
-                began = time.monotonic()
-                try:
-                    made = ask(asker, r)
-                except Exception:
-                    made = {"status": "failed", "answers": {}, "speculation": {}, "explanations": {}, "missing_outcome_items": list(vocab.ITEM_KEYS)}
-                    asker.calls.append(dict.fromkeys(_CALL_FIELDS) | {"kind": "session", "error": traceback.format_exc()[-2000:], **dict.fromkeys(_TOKENS, 0)})
-                told = {k: r.get(k) for k in ("profile_id", "condition", "codename", "assigned_state", "year_birth")}
-                told |= {"model": model.model, "provider": model.provider, "demographics": person["demographics"], "n_calls": len(asker.calls), "calls": asker.calls, "seconds": round(time.monotonic() - began, 2)}
-                yield pd.DataFrame([{c: (told | made).get(c) for c in columns}], columns=columns, dtype=object)
-
-    # Partitions are tasks, and tasks are calls in flight.
-    spread = rows.repartition(o.workers, "profile_id") if o.workers else rows.repartition("profile_id")
-    return spread.mapInPandas(run, schema)
-
-
-def run_pretreatment(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, tidy: Callable[[], object] | None = None) -> DataFrame:
+        model, second = client(), tidy() if tidy else None
+        records = (r for batch in batches for r in batch.to_dict("records"))
+        if log is None:
+            yield from _batches(in_flight(records, lambda r: asked(model, second, r), window), columns)
+            return
+        at = TaskContext.get()
+        # Attempts of a task and of its stage count as one series.
+        attempt = at.attemptNumber() + 100 * at.stageAttemptNumber() if hasattr(at, "stageAttemptNumber") else at.attemptNumber()
+        segment, before = log.segment(at.partitionId(), attempt), log.earlier(at.partitionId(), attempt)
+        name = lambda r: tuple(r[k] for k in keys)
+        told = lambda key, status, where: dict(zip(keys, key, strict=True)) | {"status": status, "segment": where}
+        todo = []
+        try:
+            def left() -> Iterator[dict]:
+                for r in records:
+                    if name(r) in before:
+                        todo.append(told(name(r), *before[name(r)]))
+                    else:
+                        yield r
+
+            def kept() -> Iterator[dict]:
+                for made in in_flight(left(), lambda r: asked(model, second, r), window):
+                    now = datetime.now(UTC)
+                    segment.append({c: _plain(made.get(c)) for c in columns} | (stamps or {}) | {"timestamp": now.isoformat(timespec="seconds"), "seq": int(now.timestamp() * 1e6)})
+                    yield told(name(made), made["status"], segment.name)
+                yield from todo
+
+            yield from _batches(kept(), [*keys, "status", "segment"])
+        finally:
+            segment.close()
+
+    return spread.mapInPandas(run, ", ".join(f"{k} string" for k in (*keys, "status", "segment")) if log else schema)
+
+
+def _plain(value):
+    """A value as JSON knows it: no numpy numbers, no NaN."""
+    if hasattr(value, "item"):
+        value = value.item()
+    return None if isinstance(value, float) and value != value else value
+
+
+def run_pretreatment(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, tidy: Callable[[], object] | None = None, log: Work | None = None, stamps: dict | None = None) -> DataFrame:
     """Answers before any treatment, asked once of each agent, in the agent's own order."""
     o = options or RunOptions()
     rows = pretreatment_plan(personas, o.seed).join(_people(personas), "profile_id")
@@ -285,13 +357,14 @@ def run_pretreatment(personas: DataFrame, client: Callable[[], object], options:
         sheet.take(asker.step(0, "pretreatment", list(r["elements"]), items, [], [], {}))
         return {"answers": sheet.answers, "speculation": sheet.speculation, "explanations": sheet.explanations, "status": sheet.status(items), "block_order": items}
 
-    return _asked(rows, PRETREATMENT, o, client, ask, tidy)
+    return _asked(rows, PRETREATMENT, o, client, ask, tidy, log, stamps)
 
 
 def run_survey(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, done: DataFrame | None = None, pretreatment: DataFrame | None = None,
-               tidy: Callable[[], object] | None = None) -> DataFrame:
+               tidy: Callable[[], object] | None = None, log: Work | None = None, stamps: dict | None = None) -> DataFrame:
     """Responses, one row per agent and condition that ``done`` (``profile_id, condition``) lacks.  client makes a client on an executor, and
-    tidy another one for cleanup.  pretreatment: what run_pretreatment gave, already written; only complete rows are used."""
+    tidy another one for cleanup.  pretreatment: what run_pretreatment gave, already written; only complete rows are used.  log: append
+    responses to it and give their keys and statuses."""
     o = options or RunOptions()
     plan = session_plan(personas, o.seed, o.conditions, o.battery_steps, o.battery_mode, o.pretreatment)
     if done is not None:
@@ -306,38 +379,38 @@ def run_survey(personas: DataFrame, client: Callable[[], object], options: RunOp
     def ask(asker: Asker, r: dict) -> dict:
         return run_session(asker, list(r["prefix"]), json.loads(r["steps"]), json.loads(r["pre"]) if r.get("pre") else None)
 
-    return _asked(rows, RESPONSE, o, client, ask, tidy)
+    return _asked(rows, RESPONSE, o, client, ask, tidy, log, stamps)
 
 
 def run_to_log(spark: SparkSession, personas: DataFrame, client: Callable[[], object], out: str, options: RunOptions | None = None, run_id: str = "run",
                tidy: Callable[[], object] | None = None, told: Callable[[str], None] = print) -> dict:
-    """Runs what the logs under out lack, batch by batch of agents, each committed before the next begins; returns the summary of the run."""
-    o, began = options or RunOptions(), time.monotonic()
-    responses, before = f"{out}/responses-{run_id}.jsonl", f"{out}/pretreatment-{run_id}.jsonl"
-    stamps = {"run_id": F.lit(run_id), "timestamp": F.current_timestamp().cast("string"), "seq": F.unix_micros(F.current_timestamp())}
-
-    def logged(path: str, schema: str) -> DataFrame | None:
-        return readers.read_jsonl(spark, path, f"{schema}, run_id string, timestamp string, seq bigint") if readers.exists(spark, path) else None
+    """Runs what the logs under out lack, bucket by bucket of agents; returns the summary of the run.
 
+    A bucket reads its own personas, keys and statuses, whatever the log has come to."""
+    o, began = options or RunOptions(), time.monotonic()
     each = len(o.conditions or vocab.CONDITIONS)
     agents = personas.count()
-    batches = max(1, -(-agents * each // o.batch_sessions))
-    for i in range(batches):
-        some = personas.where(F.pmod(F.xxhash64("profile_id"), F.lit(batches)) == i)
-        pre = None
-        if o.pretreatment:
-            held = logged(before, PRETREATMENT)
-            asked = not_done(some, held.where("status = 'complete'"), ["profile_id"]) if held is not None else some
-            sinks.append_log(run_pretreatment(asked, client, o, tidy).withColumns(stamps), before)
-            pre = logged(before, PRETREATMENT)
-        held = logged(responses, RESPONSE)
-        done = held.where("status = 'complete'").select("profile_id", "condition") if held is not None else None
-        sinks.append_log(run_survey(some, client, o, done, pre, tidy).withColumns(stamps), responses)
-        told(f"[{run_id}] batch {i + 1} of {batches}, {(time.monotonic() - began) / 60:.1f} min")
-    made, pre = logged(responses, RESPONSE), logged(before, PRETREATMENT)
-    counts = {r.status: r.n for r in made.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stamps, more = {"run_id": run_id}, ", run_id string, timestamp string, seq bigint"
+    responses = RecordLog(spark, f"{out}/responses-{run_id}.jsonl", ["profile_id", "condition"], RESPONSE + more, max(1, -(-agents * each // o.batch_sessions)))
+    before = RecordLog(spark, f"{out}/pretreatment-{run_id}.jsonl", ["profile_id"], PRETREATMENT + more, responses.buckets)
+    # Personas by bucket, so a bucket reads its own.
+    staged = f"{out}/agents-{run_id}-{uuid.uuid4().hex}"
+    personas.withColumn("bucket", responses.bucket("profile_id")).repartition("bucket").write.partitionBy("bucket").parquet(staged)
+    for i in range(responses.buckets):
+        if readers.exists(spark, f"{staged}/bucket={i}"):
+            some = spark.read.parquet(f"{staged}/bucket={i}")
+            pre = None
+            if o.pretreatment:
+                done = before.done(i)
+                before.commit(run_pretreatment(some if done is None else not_done(some, done, ["profile_id"]), client, o, tidy, before.work(i), stamps), i)
+                pre = before.records(i)
+            responses.commit(run_survey(some, client, o, responses.done(i), pre, tidy, responses.work(i), stamps), i)
+        spent = (time.monotonic() - began) / 60
+        told(f"[{run_id}] bucket {i + 1} of {responses.buckets}, {spent:.1f} min, {spent / (i + 1) * (responses.buckets - i - 1):.1f} min to go")
+    made, pre = responses.records(), before.records()
+    counts = {r.status: r.n for r in made.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()} if made is not None else {}
     summary = {"run_id": run_id, "n_agents": agents, "conditions": o.conditions or vocab.CONDITIONS, **{f"n_{k}": counts.get(k, 0) for k in ("complete", "partial", "failed")},
-               "elapsed_min": round((time.monotonic() - began) / 60, 2), "usage": usage(made, pre).first().asDict(), "options": asdict(o)}
+               "elapsed_min": round((time.monotonic() - began) / 60, 2), "usage": usage(made, pre).first().asDict() if made is not None else {}, "options": asdict(o)}
     return summary
 
 
@@ -416,13 +489,13 @@ def infer_attributes(moulds: DataFrame, client: Callable[[], object], seed: int
             row |= {m: guess[m]["top_guess"], f"{m}_confidence": float(guess[m]["confidence"]), f"{m}_alternates": ";".join(guess[m].get("alternates", []))}
         return row | {"status": "success"}
 
+    spread, window = dealt(moulds, workers, RunOptions.in_flight, "author")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                yield pd.DataFrame([one(model, r)], columns=columns)
+        yield from _batches(in_flight((r for batch in batches for r in batch.to_dict("records")), lambda r: one(model, r), window), columns)
 
-    return (moulds.repartition(workers, "author") if workers else moulds.repartition("author")).mapInPandas(run, INFERRED)
+    return spread.mapInPandas(run, INFERRED)
 
 
 def seed_column(seed: int, *parts):
