@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def numbered(df: DataFrame, order: Sequence, name: str, start: int = 0) -> DataFrame:
-    """df with ``name``: the place of each row in a total order, from start.  Ranges of the order are numbered apart and moved behind the
-    rows of the ranges before; a row per range is what passes through one task."""
-    inside = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", inside).persist()
+    """df with ``name``: the place of each row in a total order, from start.  Ranges of the order are written and numbered apart and moved
+    behind the rows of the ranges before; a row per range is what passes through one task."""
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "order-ranges")
     size = 1 << 33  # what that function leaves to each partition
     part = F.shiftright("_at", 33)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

@@ -282,7 +282,7 @@ _DRAW = "SELECT c_custkey, c_mktsegment, draw FROM (SELECT *, row_number() OVER
 
 @query(_DRAW)
 def stratified_draw(spark, sf_dir):
-    return sampling.draw_order(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 42).where("draw <= 20").select("c_custkey", "c_mktsegment", "draw")
+    return sampling.draw_first(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 42, 20).select("c_custkey", "c_mktsegment", "draw")
 
 
 def _pool(spark, sf_dir):
@@ -291,7 +291,26 @@ def _pool(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.cast("string").alias("author"), pick("gender", F.floor(k / 7)), pick("age_band", F.col("c_nationkey")), pick("race", k), *[pick(m, k + 3) for m in ("education", "income", "party")])
 
 
-@query()
+_POOL = """SELECT CAST(c_custkey AS VARCHAR) AS author, (['Male', 'Female', 'Other', '?'])[CAST(floor(c_custkey / 7) AS BIGINT) % 4 + 1] AS gender, (['18-29', '30-44', '45-59', '60+', '?'])[c_nationkey % 5 + 1] AS age_band,
+  (['White / Caucasian', 'Black / African American', 'Hispanic / Latino', 'Asian / Asian American', 'Other', '?'])[c_custkey % 6 + 1] AS race FROM customer"""
+
+
+# A round of r: what is left of the need goes to cells with people to spare by largest remainders.
+@query(f"""
+WITH RECURSIVE t AS ({_TARGETS.replace("1000", "200")}), p AS ({_POOL}), a AS (SELECT gender, age_band, race, count(*) AS n FROM p GROUP BY ALL),
+c AS (SELECT t.gender, t.age_band, t.race, t.target, coalesce(a.n, 0) AS available FROM t LEFT JOIN a ON a.gender = t.gender AND a.age_band = t.age_band AND a.race = t.race),
+r AS (
+  SELECT 0 AS i, gender, age_band, race, target, CAST(greatest(0, available - target) AS BIGINT) AS spare, CAST(0 AS BIGINT) AS had, CAST(sum(greatest(0, target - available)) OVER () AS BIGINT) AS need FROM c
+  UNION ALL
+  SELECT i + 1, gender, age_band, race, target, spare, had + given, need - CAST(sum(given) OVER () AS BIGINT) FROM (
+    SELECT *, CAST(least(share // total + CASE WHEN w > 0 AND place <= seats - sum(share // total) OVER () THEN 1 ELSE 0 END, spare - had) AS BIGINT) AS given FROM (
+      SELECT *, w * seats AS share, row_number() OVER (ORDER BY w = 0, (w * seats) % total DESC, gender, age_band, race) AS place FROM (
+        SELECT *, CAST(sum(w) OVER () AS BIGINT) AS total, CAST(least(need, sum(spare - had) OVER ()) AS BIGINT) AS seats FROM (SELECT *, CASE WHEN spare > had THEN target ELSE 0 END AS w FROM r))
+      WHERE need > 0 AND total > 0 AND i < 10))),
+q AS (SELECT gender, age_band, race, target + had AS seats FROM r WHERE i = (SELECT max(i) FROM r)),
+d AS (SELECT p.*, seats, row_number() OVER (PARTITION BY gender, age_band, race ORDER BY sha256('42#' || author), author) AS draw FROM p JOIN q USING (gender, age_band, race))
+SELECT printf('agent_%04d', row_number() OVER (ORDER BY sha256('42:label#' || author), author)) AS profile_id, author, gender, age_band, race, gender || '|' || age_band || '|' || race AS quota_cell_id FROM d WHERE draw <= seats
+""")
 def redistributed_sample(spark, sf_dir):
     agents, _, _ = sampling.stratified_sample(_pool(spark, sf_dir), n=200)
     return agents.select("profile_id", "author", "gender", "age_band", "race", "quota_cell_id")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch  # noqa: F401  (query modules take it from here)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -30,19 +29,6 @@ def rounded(c, digits: int = 6):
     return F.round(c, digits)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not getattr(spark, "_panelworks_scratch", None):
-            spark._panelworks_scratch = tempfile.mkdtemp(prefix="panelworks-")
-        folder = spark._panelworks_scratch
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def sql_values(rows) -> str:
     """Rows as a VALUES list."""
     cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"

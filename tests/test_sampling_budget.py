@@ -122,3 +122,48 @@ def test_persona_posts_name_the_parent(spark):
     p = personas.persona_posts(agents, inter)
     got = {r.author: r.posts[0].body for r in p.collect()}
     assert got == {"alice": "(Replying to another user's comment: \"" + "p" * 297 + "...\") mine", "bob": "mine"} and personas.without_posts(agents, p) == 1
+
+
+def plain_redistribution(cells, max_rounds=10):
+    """The rounds as a loop over (target, available): what each gets on top, and what stays unmet."""
+    spare, had = [max(0, a - t) for t, a in cells], [0] * len(cells)
+    need = sum(max(0, t - a) for t, a in cells)
+    for _ in range(max_rounds):
+        w = [t if s > h else 0 for (t, _), s, h in zip(cells, spare, had, strict=True)]
+        if need <= 0 or not sum(w):
+            break
+        n = min(need, sum(spare) - sum(had))
+        got = [n * x // sum(w) for x in w]
+        for i in sorted((i for i, x in enumerate(w) if x), key=lambda i: -(n * w[i] % sum(w)))[: n - sum(got)]:
+            got[i] += 1
+        got = [min(g, s - h) for g, s, h in zip(got, spare, had, strict=True)]
+        if not any(got):
+            break
+        had, need = [h + g for h, g in zip(had, got, strict=True)], need - sum(got)
+    return had, max(0, need)
+
+
+@pytest.mark.parametrize("at_once", [100_000, 5])
+def test_redistribution_matches_a_loop(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sampling, "CELLS_AT_ONCE", at_once)
+    r = random.Random(9)
+    for n in (12, 40) if at_once > 5 else (30,):
+        cells = [(r.randrange(0, 30), r.choice([0, 3, 10, 25, 200])) for _ in range(n)]
+        df = spark.createDataFrame([(f"{i:03d}", t, a) for i, (t, a) in enumerate(cells)], "k string, target long, available long")
+        got, unmet = sampling.redistribute(df, ["k"])
+        assert ([x.extra for x in got.orderBy("k").collect()], unmet) == plain_redistribution(cells)
+
+
+def test_a_cell_with_most_rows_is_drawn_in_many_tasks(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 20 > 0, "big").when(F.col("id") % 40 == 0, None).otherwise("small").alias("c"))
+    order = {(x.id, x.draw) for x in sampling.draw_order(df, ["c"], "id", 5).collect()}
+    assert sorted(d for i, d in order if i % 20) == list(range(1, 19_001)) and sorted(d for i, d in order if i % 40 == 0) == list(range(1, 501))
+    quota = spark.createDataFrame([("big", 7000), ("small", 3)], "c string, seats long")
+    first = sampling.draw_first(df, ["c"], "id", 5, quota)
+    assert {(x.id, x.draw) for x in first.collect()} == {(i, d) for i, d in order if i % 40 and d <= (7000 if i % 20 else 3)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = sampling.draw_first(df.where("id % 20 > 0"), ["c"], "id", 5, 7000).select("id", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranked) > 1 and max(x["count"] for x in ranked) < 0.6 * 7000
