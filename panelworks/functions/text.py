@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import vocab
+from . import needles, vocab
 
 #: White space as Unicode has it; Java's \s is ASCII only.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -50,12 +50,15 @@ def token_estimate(x) -> Column:
 
 def _folded(x) -> Column:
     """A text in lower case, with the letters that patterns without regard to case take for s, k and i."""
-    return F.lower(F.translate(blank(x), "\u017f\u212a\u0130\u0131", "skii"))
+    text, odd = blank(x), "\u017f\u212a\u0130\u0131"
+    some = F.contains(text, F.lit(odd[0])) | F.contains(text, F.lit(odd[1])) | F.contains(text, F.lit(odd[2])) | F.contains(text, F.lit(odd[3]))
+    return F.lower(F.when(some, F.translate(text, odd, "skii")).otherwise(text))
 
 
 def cues(x) -> Column:
-    """Names of the cues in a text, in their fixed order.  The text is folded once, so patterns need not fold each letter."""
-    found = lambda t: F.array_compact(F.array(*[F.when(F.rlike(t, F.lit("(?u)" + p.replace("TIL", "til"))), F.lit(n)) for n, p in vocab.CUES.items()]))
+    """Names of the cues in a text, in their fixed order.  The text is folded and cut into words once; a pattern runs only where
+    a word or sign that it needs is there."""
+    found = lambda t: needles.matches(t, {n: (p, F.rlike(t, F.lit("(?u)" + p.replace("TIL", "til")))) for n, p in vocab.CUES.items()})
     # As the element of an array the folded text is made once for all patterns.
     return F.get(F.transform(F.array(_folded(x)), found), F.lit(0))
 
@@ -82,10 +85,10 @@ def quotes(reply, parent, n: int = 5) -> Column:
 
 
 def refuses(x) -> Column:
-    found = F.lit(False)
-    for p in vocab.REFUSALS:
-        found = found | F.rlike(blank(x), F.lit("(?iu)" + p))
-    return found
+    """Whether any sign of a refusal is there."""
+    text = blank(x)
+    found = lambda t: F.size(needles.matches(t, {p: (p, F.rlike(text, F.lit("(?iu)" + p))) for p in vocab.REFUSALS})) > 0
+    return F.get(F.transform(F.array(_folded(x)), found), F.lit(0))
 
 
 def removed(x) -> Column:
