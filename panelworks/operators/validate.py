@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -71,10 +72,20 @@ def _columns(r: Report, df: DataFrame, wanted: Sequence[str]) -> bool:
     return r.add("columns", not lacking, f"missing {lacking}")
 
 
+#: Unknown labels that a report shows; how many there are never matters to its verdict.
+SHOWN = 20
+
+
+def _unknown(df: DataFrame, column: str, known: Sequence[str]) -> list[str]:
+    """Some of the labels that are not known; empty only if there is none."""
+    return sorted(str(x.label) for x in unknown_labels(df, column, known).limit(SHOWN).collect())
+
+
 def _labels(r: Report, df: DataFrame, column: str, known: Sequence[str], all_wanted: bool = True) -> None:
-    found = {x[0] for x in df.select(column).distinct().limit(len(known) + 100).collect()}
-    r.add(f"{column} labels", found <= {*known, None}, f"unknown {sorted(map(str, found - {*known, None}))}")
+    odd = _unknown(df, column, known)
+    r.add(f"{column} labels", not odd, f"unknown {odd}")
     if all_wanted:
+        found = {x[0] for x in df.where(F.col(column).isin(list(known))).select(column).distinct().collect()}
         r.add(f"{column} all present", set(known) <= found, f"absent {sorted(set(known) - found)}", WARN)
 
 
@@ -88,23 +99,25 @@ def validate_tier1(df: DataFrame, least: int = 500, least_control: int = 1000) -
     off = F.abs(R.composite([TRUST_NAMES[i : i + 3] for i in range(0, 12, 3)]) - F.col("trust_multidimensional"))
     asked = {"n": F.count(F.lit(1)), "fractions": F.count_if(whole != F.rint(whole)), "not binary": F.count_if(~F.col("newsletter_signup").isin(0, 1)), "off": F.max(off)}
     for m, levels in vocab.MODERATORS.items():
-        asked |= {f"{m}: missing": F.count_if(F.col(m).isNull()), f"{m}: unknown": F.collect_set(F.when(~F.col(m).isin(levels), F.col(m)))}
+        asked |= {f"{m}: missing": F.count_if(F.col(m).isNull()), f"{m}: unknown": F.count_if(~F.col(m).isin(levels))}
     for c, (low, high) in ranges.items():
         asked |= {f"{c}: missing": F.count_if(R.number(c).isNull()), f"{c}: outside": F.count_if(~R.number(c).between(low, high))}
-    # A row per condition: labels, sizes and all counts.
-    rows = [x.asDict() for x in df.groupBy("condition").agg(*[c.alias(k) for k, c in asked.items()]).limit(len(vocab.CONDITIONS) + 100).collect()]
+    # A row per known condition, one for rows without any, one for all others together.
+    known = F.col("condition").isin(vocab.CONDITIONS)
+    named = df.withColumns({"_condition": F.when(known, F.col("condition")), "_other": F.col("condition").isNotNull() & ~known})
+    rows = [x.asDict() for x in named.groupBy("_condition", "_other").agg(*[c.alias(k) for k, c in asked.items()]).collect()]
     total = lambda k: sum(x[k] for x in rows)
-    found = {x["condition"] for x in rows}
-    unknown = found - {*vocab.CONDITIONS, None}
-    r.add("condition labels", not unknown, f"unknown {sorted(map(str, unknown))}")
+    found = {x["_condition"] for x in rows if x["_condition"]}
+    odd = _unknown(df, "condition", vocab.CONDITIONS) if any(x["_other"] for x in rows) else []
+    r.add("condition labels", not odd, f"unknown {odd}")
     r.add("condition all present", set(vocab.CONDITIONS) <= found, f"absent {sorted(set(vocab.CONDITIONS) - found)}", WARN)
-    for m in vocab.MODERATORS:
-        odd = sorted({v for x in rows for v in x[f"{m}: unknown"]})
+    for m, levels in vocab.MODERATORS.items():
+        odd = _unknown(df, m, levels) if total(f"{m}: unknown") else []
         r.add(f"{m} labels", not odd, f"unknown {odd}")
         missing = total(f"{m}: missing")
         r.add(f"{m} known", missing < max(1, total("n")), "all missing")
         r.add(f"{m} mostly known", missing <= 0.1 * total("n"), f"{missing} of {total('n')} missing", WARN)
-    small = [f"{x['condition']}: {x['n']}" for x in rows if x["n"] < (least_control if x["condition"] == vocab.CONTROL else least)]
+    small = [f"{x['_condition']}: {x['n']}" for x in rows if not x["_other"] and x["n"] < (least_control if x["_condition"] == vocab.CONTROL else least)]
     r.add("sample sizes", not small, ", ".join(sorted(small)), WARN)
     d = duplicates(df, ["profile_id"]).first()
     r.add("profile_id unique", d.n_duplicates == 0, f"{d.n_duplicates} repeated", WARN)
@@ -167,30 +180,65 @@ def sanity(tiers: dict[str, DataFrame]) -> Report:
     return r
 
 
+def _text(x) -> bool:
+    return isinstance(x, str) and x.strip() != ""
+
+
+def _whole(x) -> int | None:
+    """A number that is given as such or as text."""
+    try:
+        return int(x)
+    except (TypeError, ValueError):
+        return None
+
+
 def validate_metadata(meta: dict, files: Sequence[str] = (), hashes: dict[str, str] | None = None) -> Report:
-    """Fields, tier, entry, class and escrow, coverage, and that the files named are there with their hashes."""
+    """What a deposit tells of itself: who, tier and entry, models and approach, disclosure class and escrow, blinding, full
+    coverage, and that the prediction files named are there with their hashes.
+
+    A deposit whose files are all examples still is *staged*: that is one warning, and nothing of its files is checked."""
     r = Report()
-    if meta.get("status") == "staged":
-        r.add("staged", True)
-        return r
-    for f in ("team_id", "entry", "tier", "class", "authors"):
-        r.add(f"{f} given", bool(meta.get(f)), "missing")
-    r.add("tier", meta.get("tier") in (1, 2, 3), str(meta.get("tier")))
-    r.add("entry", bool(re.fullmatch(r"[a-z0-9_-]+", str(meta.get("entry", "")))), str(meta.get("entry")))
-    r.add("class", meta.get("class") in ("A", "B", "C"), str(meta.get("class")))
-    if meta.get("class") == "C":
-        r.add("escrow", bool(meta.get("escrow")), "class C needs escrow")
-    r.add("attestation", meta.get("attestation") is True, "not attested")
+    for f in ("team_id", "team_name", "contact"):
+        r.add(f"{f} given", _text(meta.get(f)), "missing or empty")
+    tier = _whole(meta.get("tier"))
+    r.add("tier", tier in (1, 2, 3), f"{meta.get('tier')}")
+    r.add("entry", re.fullmatch(r"primary|secondary-\d+", str(meta.get("entry"))) is not None, f"{meta.get('entry')}")
+    models = meta.get("models")
+    r.add("models listed", bool([models] if _text(models) else models), "none")
+    r.add("approach_family given", _text(meta.get("approach_family")), "missing or empty")
+    kind, escrow = meta.get("disclosure_class"), meta.get("escrow_doi")
+    r.add("disclosure_class", kind in ("A", "B", "C"), f"{kind}")
+    if kind == "A":
+        r.add("no escrow for class A", escrow is None, f"{escrow}", WARN)
+    elif kind in ("B", "C"):
+        r.add(f"escrow for class {kind}", escrow is not None, "missing", WARN)
+    r.add("blinding attested", meta.get("blinding_attestation") is True, "must be true")
     cover = meta.get("coverage") or {}
-    r.add("coverage", cover.get("interventions", len(vocab.INTERVENTIONS)) == len(vocab.INTERVENTIONS) and cover.get("outcomes", len(vocab.OUTCOMES)) == len(vocab.OUTCOMES), str(cover), WARN)
-    for e in meta.get("files", []):
-        there = e["file"] in files
-        r.add(f"{e['file']} present", there, "missing")
-        if there and hashes and e.get("sha256"):
-            r.add(f"{e['file']} sha256", hashes.get(e["file"]) == e["sha256"], "differs")
+    given = (cover.get("interventions"), cover.get("outcomes"))
+    r.add("coverage given", None not in given, f"{cover}")
+    r.add("coverage full", tuple(map(_whole, given)) == (len(vocab.INTERVENTIONS), len(vocab.OUTCOMES)), f"{cover}: every intervention and outcome must be predicted")
+    entries = meta.get("prediction_files") or []
+    if not r.add("prediction files listed", bool(entries), "none"):
+        return r
+    team = meta.get("team_id") or ""
+    if team and team != "example" and all(e["file"].rpartition("/")[2].startswith("example_") for e in entries):
+        r.add(f"staged for {team}", False, "the files named are still the examples", WARN)
+        return r
+    wanted = 2 if tier == 2 else 1
+    r.add(f"file count for tier {tier}", len(entries) == wanted, f"{len(entries)} of {wanted}", WARN)
+    for e in entries:
+        name = e["file"]
+        r.add(f"{name} name", file_name_ok(name.rpartition("/")[2], team, tier), "not TEAM_Tn_ENTRY_vN.csv")
+        if r.add(f"{name} present", name in files, "missing"):
+            actual = (hashes or {}).get(name) or ""
+            r.add(f"{name} sha256", actual.lower() == (e.get("sha256") or "").lower(), "differs")
     return r
 
 
+def staged(r: Report) -> bool:
+    return any(c.startswith("staged for ") for c, _, _ in r.rows)
+
+
 def file_name_ok(name: str, team: str, tier: int) -> bool:
     """TEAM_Tn_ENTRY_vN.csv, for condition means with the kind of cells; entries are primary or secondary-k."""
     cells = r"_cells_(main|moderator)" if tier == 2 else ""
@@ -198,30 +246,111 @@ def file_name_ok(name: str, team: str, tier: int) -> bool:
 
 
 def validate_bundle(spark: SparkSession, folder: str, metadata: str = "metadata.json") -> Report:
-    """A deposit: its metadata, and for each prediction file that they name its name, presence, fingerprint and contents by tier."""
+    """A deposit: its metadata, and the contents by tier of each prediction file that they name."""
     folder = folder.rstrip("/")
-    meta = readers.read_json_document(spark, f"{folder}/{metadata}")
-    entries, tier, team = meta.get("prediction_files", []), meta.get("tier"), meta.get("team_id") or ""
-    hashes = {e["file"]: h for e in entries if (h := sinks.fingerprint(spark, f"{folder}/{e['file']}"))}
-    r = validate_metadata(meta | {"files": entries}, list(hashes), hashes)
-    if meta.get("status") == "staged":
+    r = Report()
+    if not r.add(f"{metadata} present", readers.exists(spark, f"{folder}/{metadata}"), "missing"):
         return r
-    wanted = 2 if tier == 2 else 1
-    r.add(f"file count for tier {tier}", len(entries) == wanted, f"{len(entries)} of {wanted}", WARN)
-    for name in [e["file"] for e in entries]:
-        r.add(f"{name} name", file_name_ok(name.rpartition("/")[2], team, tier), "not TEAM_Tn_ENTRY_vN.csv")
-        if name in hashes:
-            table = readers.read_csv(spark, f"{folder}/{name}").replace("", None)
-            check = {1: validate_tier1, 3: validate_tier3}.get(tier) or (validate_tier2_moderator if "_cells_moderator" in name else validate_tier2_main)
-            r.rows += [(f"{name}: {c}", s, d) for c, s, d in check(table).rows]
+    try:
+        meta = readers.read_json_document(spark, f"{folder}/{metadata}")
+    except ValueError as e:
+        r.add(f"{metadata} is JSON", False, str(e)[:200])
+        return r
+    tier = _whole(meta.get("tier"))
+    hashes = {e["file"]: h for e in meta.get("prediction_files") or [] if (h := sinks.fingerprint(spark, f"{folder}/{e['file']}"))}
+    told = validate_metadata(meta, list(hashes), hashes)
+    r.rows += told.rows
+    if staged(told):
+        return r
+    for name in hashes:
+        table = readers.read_csv(spark, f"{folder}/{name}").replace("", None)
+        check = {1: validate_tier1, 3: validate_tier3}.get(tier) or (validate_tier2_moderator if "_cells_moderator" in name else validate_tier2_main)
+        r.rows += [(f"{name}: {c}", s, d) for c, s, d in check(table).rows]
+    return r
+
+
+def blank_answers(registration: str) -> list[str]:
+    """Items of a registration form with no answer: a label line that ends in a colon, and then a blank line, another item or
+    a heading (or nothing).  An answer on the line after its label is one."""
+    lines = [x.rstrip() for x in registration.splitlines()]
+    out = []
+    for label, following in zip(lines, [*lines[1:], ""], strict=False):
+        after = following.strip()
+        if re.fullmatch(r"- \*\*.*\*\* [\u2014-] .*:", label) and (not after or after.startswith(("- **", "#"))):
+            out.append(label)
+    return out
+
+
+#: What an archive's legacy deposit format allows.
+UPLOAD_TYPES = ["publication", "poster", "presentation", "dataset", "image", "video", "software", "lesson", "physicalobject", "other"]
+ACCESS_RIGHTS = ["open", "embargoed", "restricted", "closed"]
+RELATIONS = [
+    "isCitedBy", "cites", "isSupplementTo", "isSupplementedBy", "isContinuedBy", "continues", "isDescribedBy", "describes", "hasMetadata", "isMetadataFor", "isNewVersionOf", "isPreviousVersionOf", "isPartOf", "hasPart", "isReferencedBy",
+    "references", "isDocumentedBy", "documents", "isCompiledBy", "compiles", "isVariantFormOf", "isOriginalFormOf", "isIdenticalTo", "isAlternateIdentifier", "isReviewedBy", "reviews", "isDerivedFrom", "isSourceOf", "requires",
+    "isRequiredBy", "isObsoletedBy", "obsoletes",
+]
+
+
+def validate_citation(record: dict) -> Report:
+    """A deposit's citation record, as far as it can be told without asking the archive."""
+    r = Report()
+    creators = record.get("creators") or []
+    names = [x.get("name") or "" for x in creators]
+    warn = lambda check, ok, detail: r.add(check, ok, detail, WARN)
+    warn("title, description and creator", _text(record.get("title")) and _text(record.get("description")) and bool(names) and all(names), "fill in all three")
+    warn("upload_type", record.get("upload_type") in UPLOAD_TYPES, f"{record.get('upload_type')}")
+    warn("access_right", record.get("access_right") is None or record["access_right"] in ACCESS_RIGHTS, f"{record.get('access_right')}")
+    warn("licence", _text(record.get("license")), "missing")
+    words = record.get("keywords")
+    warn("keywords", words is None or (isinstance(words, list) and all(map(_text, words))), "must be a list of texts")
+    warn("creators filled in", not any(sinks.NO_NAME in n for n in names), f"still {sinks.NO_NAME}")
+    bad = [x["orcid"] for x in creators if x.get("orcid") and sinks.orcid_of(x["orcid"]) is None]
+    warn("ORCIDs", not bad, f"{bad}")
+    links = record.get("related_identifiers")
+    warn("related identifiers", links is None or all(_text(x.get("identifier")) and x.get("relation") in RELATIONS for x in links), "one lacks its identifier, or its relation is unknown")
     return r
 
 
 def validate_files(there: Sequence[str], wanted: Sequence[str], registration: str = "") -> Report:
-    """A deposit's files, and registration items left blank ("- item:" with nothing behind)."""
+    """Files that must be there, and registration items left blank."""
     r = Report()
     for w in wanted:
         r.add(f"{w} present", w in there, "missing")
-    blank = re.findall(r"^[-*]\s*([^:\n]+):[ \t]*$", registration, re.M)
-    r.add("registration filled in", not blank, f"blank: {blank}", WARN)
+    blank = blank_answers(registration)
+    r.add("registration filled in", not blank, f"{len(blank)} blank: {blank[:3]}", WARN)
+    return r
+
+
+def validate_repository(spark: SparkSession, root: str, citation: str = ".zenodo.json") -> Report:
+    """A whole deposit's folder: the files it must have, the registration form, the citation record, examples left over, and the bundle."""
+    root = root.rstrip("/")
+    has = lambda p: readers.exists(spark, f"{root}/{p}")
+    text = lambda p: readers.read_text(spark, f"{root}/{p}")
+    form = text("registration.md") if has("registration.md") else ""
+    needed = ["metadata.json", "registration.md", "codebook.csv", "survey"]
+    r = validate_files([p for p in needed if has(p)], needed, form)
+    r.add("survey/survey.qsf present", has("survey/survey.qsf"), "not there yet", WARN)
+    r.add("predictions hold a CSV", has("predictions/*.csv"), "none")
+    meta = {}
+    if has("metadata.json"):
+        try:
+            meta = readers.read_json_document(spark, f"{root}/metadata.json")
+        except ValueError:
+            meta = {}
+    example = not meta or meta.get("team_id") == "example"
+    if meta:
+        r.add("team is not the example", not example, "team_id is still example", WARN)
+        code = meta.get("code_repository") or ""
+        r.add("code repository given", _text(code) and "your-team/your-repo" not in code, "link the code", WARN)
+    if r.add("citation record present", has(citation), "missing", WARN):
+        try:
+            record = json.loads(text(citation))
+        except ValueError as e:
+            r.add("citation record is JSON", False, str(e)[:200])
+        else:
+            r.rows += [(f"citation: {c}", s, d) for c, s, d in validate_citation(record).rows]
+    if not example:
+        r.add("no example predictions left", not has("predictions/example_*.csv"), "delete them", WARN)
+        r.add("no example raw export left", not has("raw_data_deposit/example_raw_export.csv"), "delete it", WARN)
+    r.rows += validate_bundle(spark, root).rows
     return r

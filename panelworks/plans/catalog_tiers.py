@@ -177,7 +177,7 @@ def verdict_of_checks(spark, sf_dir):
 def metadata_of_files(spark, sf_dir):
     """Files that metadata names: those that are there, and whether their hashes agree."""
     names = [(r.r_name, r.r_regionkey) for r in table(spark, sf_dir, "region").collect()]
-    meta = {"team_id": "t", "entry": "e-1", "tier": 1, "class": "A", "authors": [1], "attestation": True, "files": [{"file": n, "sha256": "x"} for n, _ in names]}
+    meta = {"team_id": "t", "entry": "primary", "tier": 1, "prediction_files": [{"file": n, "sha256": "x"} for n, _ in names]}
     report = validate.validate_metadata(meta, [n for n, k in names if k < 3], {n: "y" if k == 1 else "x" for n, k in names})
     status = {c: s == validate.PASS for c, s, _ in report.rows}
     return spark.createDataFrame([(n, status[f"{n} present"], status.get(f"{n} sha256")) for n, _ in names], "file string, present boolean, same boolean")

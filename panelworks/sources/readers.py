@@ -103,6 +103,17 @@ def read_json_document(spark: SparkSession, path: str) -> dict:
     return json.loads(rows[0].value)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, also one whose name begins with a dot, which Spark's readers pass over."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_texts(spark: SparkSession, folder: str) -> dict[str, str]:
     """The small text files of a folder (templates, stimuli) by name without suffix."""
     rows = spark.read.text(folder.rstrip("/") + "/*.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("name"), "value").collect()

@@ -77,8 +77,9 @@ def sha256_text(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-#: Tier numbers in words.
-TIERS = {1: "individual-level predictions", 2: "condition means", 3: "treatment effects"}
+#: Tier numbers in words, and the name of a creator who has given none.
+TIERS = {1: "individual simulation", 2: "group-level reasoning", 3: "direct effect forecast"}
+NO_NAME = "Lastname, Firstname"
 
 
 def orcid_of(text: str | None) -> str | None:
@@ -92,18 +93,38 @@ def orcid_of(text: str | None) -> str | None:
     return text if text[-1] == ("X" if check == 10 else str(check)) else None
 
 
-def citation(meta: dict) -> dict:
-    """A deposit's citation record from metadata: title, creators (with valid ids only), description, licence and keywords."""
+def paragraphs(text: str) -> str:
+    """Plain text as HTML paragraphs, which blank lines part."""
+    return "".join(f"<p>{p.strip()}</p>" for p in re.split(r"\n[ \t]*\n", text.strip()))
+
+
+def citation(meta: dict, collection: str = "Survey predictions", keywords: Sequence[str] = (), related: Sequence[dict] = ()) -> dict:
+    """A deposit's citation record from its metadata: creators (with valid ids only), the abstract or a description made from the
+    other fields, licence, version, and the code it was made with.  An error without a team."""
+    team = meta.get("team_id")
+    if not team:
+        raise ValueError("the metadata name no team_id")
+    tier = meta.get("tier")
+    tier = int(tier) if str(tier).isdigit() else None
+    kind = TIERS.get(tier, "submission")
     creators = []
-    for a in meta.get("authors", []):
-        person = {"name": a.get("name", "")}
-        if a.get("affiliation"):
-            person["affiliation"] = a["affiliation"]
-        if orcid := orcid_of(a.get("orcid")):
+    for c in meta.get("creators") or [{"affiliation": "Your institution"}]:
+        person = {"name": c.get("name") or NO_NAME}
+        if c.get("affiliation"):
+            person["affiliation"] = c["affiliation"]
+        if orcid := orcid_of(c.get("orcid")):
             person["orcid"] = orcid
         creators.append(person)
-    tier = meta.get("tier")
-    return {k: v for k, v in {
-        "title": meta.get("title"), "upload_type": "dataset", "creators": creators, "description": meta.get("description") or (TIERS.get(tier, "") if tier else None),
-        "license": meta.get("license"), "keywords": meta.get("keywords"), "version": meta.get("version"),
-    }.items() if v not in (None, "", [])}
+    cover = meta.get("coverage") or {}
+    made = (f"<p>Tier {tier} ({kind}) submission to {collection} (team <code>{team}</code>).</p><p>Approach family: {meta.get('approach_family') or 'see the registration form'}. Model(s): {', '.join(meta.get('models') or [])}. "
+            f"Coverage: {cover.get('interventions', 16)} interventions by {cover.get('outcomes', 13)} outcomes.</p><p>This record holds the prediction file(s), the code that made them and the registration form.</p>")
+    abstract = meta.get("abstract") or ""
+    links, code = list(related), meta.get("code_repository") or ""
+    if code and "your-team/your-repo" not in code:
+        links.append({"identifier": code, "relation": "isCompiledBy", "scheme": "url", "resource_type": "software"})
+    record = {
+        "upload_type": "software", "title": f"{collection}: Tier {tier} ({kind}) submission (team {team})", "version": f"1.0-t{tier}", "language": "eng", "access_right": "open", "license": meta.get("license") or "CC-BY-4.0",
+        "creators": creators, "description": paragraphs(abstract) if abstract.strip() else made, "keywords": list(keywords), "related_identifiers": links,
+        "notes": f"Team {team}. Disclosure class {meta.get('disclosure_class') or 'A'}.",
+    }
+    return {k: v for k, v in record.items() if v != []}

@@ -193,7 +193,7 @@ def test_sinks(spark, rows, tmp_path):
     f = sinks.fingerprints(spark, p + "/part-*").first()
     assert len(f.sha256) == 64
     assert sinks.upsert_manifest([{"file": "a", "n": 1}, {"file": "example_b"}], [{"file": "a", "n": 2}]) == [{"file": "a", "n": 2}]
-    assert sinks.citation({"title": "T", "tier": 1, "authors": [{"name": "N", "orcid": "0000-0002-1825-0097"}, {"name": "M", "orcid": "https://x"}]})["creators"] == [{"name": "N", "orcid": "0000-0002-1825-0097"}, {"name": "M"}]
+    assert sinks.citation({"team_id": "t", "tier": 1, "creators": [{"name": "N", "orcid": "0000-0002-1825-0097"}, {"name": "M", "orcid": "https://x"}]})["creators"] == [{"name": "N", "orcid": "0000-0002-1825-0097"}, {"name": "M"}]
 
 
 def test_grid_and_ranges(spark):
@@ -201,4 +201,4 @@ def test_grid_and_ranges(spark):
     g = validate.grid_completeness(df, ["c", "o"]).first()
     assert (g.cells, g.expected, g.complete) == (3, 4, False)
     assert tuple(validate.out_of_range(df, {"v": (0, 100)}).first()) == ("v", 1, 1)
-    assert validate.validate_metadata({"status": "staged"}).verdict == "PASS" and validate.validate_metadata({}).verdict == "FAIL"
+    assert validate.validate_metadata({"status": "staged"}).verdict == "FAIL" and validate.validate_metadata({}).verdict == "FAIL"
