@@ -187,12 +187,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = 2500, samp
     def half(label: int) -> DataFrame:
         return known.where(F.col("quality") == label).orderBy(*order).limit(sample // 2)
 
-    drawn = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(half(0).unionByName(half(1)), "doc_id")
-    drawn = drawn.orderBy(*order, F.xxhash64("text")).limit(sample)
-    # A window over at most sample rows.
+    # Rows are chosen by id and length alone; what is sorted and summed in one task is at most sample rows without their texts.
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    so_far = F.sum(F.when(size <= sample_bytes, size).otherwise(F.lit(0))).over(Window.orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    return drawn.withColumn("so_far", so_far).where((size <= sample_bytes) & (F.col("so_far") <= sample_bytes)).drop("so_far")
+    sized = texts.select("doc_id", size.alias("size"), F.xxhash64("text").alias("hash"))
+    drawn = sized.join(F.broadcast(half(0).unionByName(half(1))), "doc_id").orderBy(*order, "hash").limit(sample)
+    fits = F.col("size") <= sample_bytes
+    so_far = F.sum(F.when(fits, F.col("size")).otherwise(F.lit(0))).over(Window.orderBy(*order, "hash").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = drawn.withColumn("so_far", so_far).where(fits & (F.col("so_far") <= sample_bytes)).groupBy("doc_id", "hash", "quality").agg(F.count(F.lit(1)).alias("n"))
+    # Of rows that are alike as many are taken as were chosen, and their texts are fetched where they lie.
+    alike = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"])
+    return alike.groupBy("doc_id", "hash", "quality", "n").agg(F.first("text").alias("text")).select("doc_id", "text", "quality", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes: int = 24 << 20, **options) -> Network:
@@ -211,7 +216,8 @@ def _scorer(net: Network, docs: DataFrame):
     def scores(column) -> np.ndarray:
         column = utf8(column)
         sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in column]
-        return np.concatenate([np.empty(0), *(sent.value.predict([t.as_py() or b"" for t in column[a:b]]) for a, b in slices(sizes, 1 << 21))])
+        found = np.concatenate([np.empty(0), *(sent.value.predict([t.as_py() or b"" for t in column[a:b]]) for a, b in slices(sizes, 1 << 21))])
+        return np.round(found, 6)  # what single precision tells, whatever texts are scored together
 
     return scores
 
