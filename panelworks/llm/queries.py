@@ -88,7 +88,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    warc.write_warc(_table(spark, sf_dir, "pages"), path, compression="none")  # so that archives are divided where they are large
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
     return warc.read_warc(spark, path).select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 

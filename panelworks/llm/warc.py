@@ -7,7 +7,7 @@ are ``revisit`` records without a body that refer to it.  Payloads stay where th
 enough to be sent.  Archives are rotated after ``per_file`` records; with ``compression="gzip"`` an archive is one gzip member.
 
 Reading by boundary-chain verification.  Archives are read in byte ranges, as Spark splits them (a compressed one is a single range),
-line by line, so no archive is held whole anywhere.
+line by line, so no archive is held whole anywhere.  Whatever their number, each range takes its first record from the chain.
 
 1. Tasks look for the magic of a record anywhere in their range, also inside payloads, and emit a candidate (offset, successor)
    where a header's length leads.  Inside a range pointer jumping leads each candidate to where its chain leaves the range.
@@ -254,12 +254,14 @@ _PIECE_ARROW = pa.schema([*_RECORD_ARROW, ("until", pa.int64()), ("piece", pa.bi
 
 
 class _Records(_Range):
-    """Records of a range from where its chain enters, and fragments of those that cross its borders.  places: for ranges of divided
-    files, (bytes of the file before it, where the first record at or after its start begins, the same for its end)."""
+    """Records of a range from where its chain enters, and fragments of those that cross its borders.  places: (bytes
+    of the file before it, where the first record at or after its start begins, the same for its end)."""
 
     def __init__(self, file, block, places):
         super().__init__(file, block)
-        self.base, self.first, self.next = places.get((file, block), (0, 0, None))
+        self.base, self.first, self.next = places[file, block]
+        if self.first is None:  # one record lies over all of the range and beyond its file's last border
+            raise ValueError("the records of a file do not lead to its end")
         self.rows: list[dict] = []
         self.held: list[bytes] = []
         self.start, self.count = self.base, 0  # where what is held begins, and its bytes
@@ -357,28 +359,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record that the chain of its archive reaches: ``file`` (a hash of its name), ``offset`` and what the record tells."""
     lines = lines_of(spark, path)
     found = materialize(lines.mapInArrow(_candidates, _CANDIDATE), "warc-candidates")
-    # Whole files: the chain from their start leaves them at their end, or they are empty.
-    starts = found.where("offset = 0 AND block = 0").select("file", "leaves")
-    divided = found.where("block > 0").select("file").distinct()
-    broken = found.where("size > 0").select("file", "size").join(divided, "file", "left_anti").join(starts, "file", "left").where("leaves IS NULL OR leaves <> size")
-    if not broken.isEmpty():
-        raise ValueError("the records of an archive do not lead to its end")
-    entries = None if divided.isEmpty() else materialize(_entries(found.join(divided, "file", "left_semi")), "warc-entries")
-    passes = 1 if entries is None else max(1, -(-entries.count() // RANGES_AT_ONCE))
+    entries = materialize(_entries(found), "warc-entries")
+    passes = max(1, -(-entries.count() // RANGES_AT_ONCE))
     out = None
     for i in range(passes):
         mine = F.pmod("file", F.lit(passes)) == i if passes > 1 else F.lit(True)
-        held = [] if entries is None else entries.where(mine).toLocalIterator()
-        sent = spark.sparkContext.broadcast({(r.file, r.block): (r.base, r.first, r.next) for r in held})
+        sent = spark.sparkContext.broadcast({(r.file, r.block): (r.base, r.first, r.next) for r in entries.where(mine).toLocalIterator()})
 
         def records(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             return _ranges(batches, lambda file, block: _Records(file, block, sent.value), _PIECE_ARROW)
 
         part = lines.where(mine).mapInArrow(records, _PIECE)
-        if entries is not None:
-            part = materialize(part, "warc-records")
-            pieces = part.where("until IS NOT NULL").select("file", "offset", "until", "piece")
-            part = part.where("until IS NULL").unionByName(pieces.groupBy("file", "until").applyInArrow(_whole, _RECORD), allowMissingColumns=True)
+        part = materialize(part, "warc-records")
+        pieces = part.where("until IS NOT NULL").select("file", "offset", "until", "piece")
+        part = part.where("until IS NULL").unionByName(pieces.groupBy("file", "until").applyInArrow(_whole, _RECORD), allowMissingColumns=True)
         part = part.select("file", *_FOUND)
         out = part if out is None else out.unionByName(part)
     return out
