@@ -132,6 +132,29 @@ def fetch_parents(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select(F.col("id")).distinct(), "id", "left_semi")
 
 
+#: Buckets of a store of comments.
+STORE_BUCKETS = 256
+
+
+def write_store(comments: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
+    """A store of comments by id: a folder for each bucket of ids, rows in the order of ids, so that statistics tell where an id can be."""
+    placed = comments.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    placed.repartition("bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(path)
+
+
+def fetch_from_store(spark: SparkSession, path: str, ids: DataFrame, buckets: int = STORE_BUCKETS) -> DataFrame:
+    """Rows of a store whose id is asked for.  Only the buckets of those ids are listed and read, and in them what lies between the
+    least and the greatest of the ids."""
+    wanted = ids.select(F.col("id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    told = wanted.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.min("id").alias("least"), F.max("id").alias("most")).collect()  # as many rows as buckets
+    store = spark.read.parquet(path)
+    if not told:
+        return store.drop("bucket").limit(0)
+    least, most = min(r.least for r in told), max(r.most for r in told)
+    part = store.where(F.col("bucket").isin([r.bucket for r in told]) & F.col("id").between(least, most))
+    return fetch_parents(part.drop("bucket"), wanted)
+
+
 def synthetic_agents(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """Agents with random levels; the same for a seed, however the rows are dealt."""
     def pick(name: str, levels: list[str]):
@@ -156,6 +179,36 @@ def synthetic_posts(spark: SparkSession, agents: DataFrame, per_author: int = 8,
         (F.lit(1_700_000_000) + F.pmod(number("c"), F.lit(20_000_000))).cast("string").alias("created_utc"), F.when(number("t") % 2 == 0, F.concat(F.lit("About "), F.left(body, F.lit(20)))).alias("title"), body.alias("body"), F.lit("1").alias("score"))
 
 
+_NODE = "struct<Type:string,FlowID:string,ID:string,Description:string,SubSet:int,EvenPresentation:boolean,Flow:array<string>>"
+
+
+def instrument_flow(spark: SparkSession, path: str, deepest: int = 64) -> DataFrame:
+    """The flow of a survey instrument as rows, in the order in which it is walked: ``path`` (numbers from the root down), ``position``
+    among its siblings, ``depth, kind, flow_id, block_id, description``, ``randomizer`` (the flow id of the innermost randomizer it is
+    in) with ``shown`` (how many of that one's parts are shown) and ``branch`` (that of the innermost branch).
+
+    A node's children are JSON texts inside it; each level of them is read out of the level above."""
+    doc = instrument_elements(spark, path).where("element = 'FL'")
+    none = F.lit(None).cast("string")
+    level = doc.select(F.from_json("payload", _NODE).alias("n"), F.array().cast("array<int>").alias("path"), none.alias("randomizer"), F.lit(None).cast("int").alias("shown"), none.alias("branch"))
+    out = None
+    for _ in range(deepest):
+        children = level.select("path", "randomizer", "shown", "branch", F.col("n.Type").alias("above"), F.col("n.FlowID").alias("above_id"), F.col("n.SubSet").alias("above_shown"), F.posexplode("n.Flow").alias("position", "node"))
+        random, inner = F.col("above").endswith("Randomizer"), F.col("above") == "Branch"
+        level = children.select(
+            F.from_json("node", _NODE).alias("n"), F.concat("path", F.array("position")).alias("path"), "position", F.when(random, F.col("above_id")).otherwise(F.col("randomizer")).alias("randomizer"),
+            F.when(random, F.col("above_shown")).otherwise(F.col("shown")).alias("shown"), F.when(inner, F.col("above_id")).otherwise(F.col("branch")).alias("branch"))
+        # An instrument is one document, and a level of it a few hundred rows.
+        level = spark.createDataFrame(level.collect(), level.schema)
+        if level.isEmpty():
+            break
+        part = level.select("path", "position", F.size("path").alias("depth"), F.col("n.Type").alias("kind"), F.col("n.FlowID").alias("flow_id"), F.col("n.ID").alias("block_id"), F.col("n.Description").alias("description"), "randomizer", "shown", "branch")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "path array<int>, position int, depth int, kind string, flow_id string, block_id string, description string, randomizer string, shown int, branch string")
+    return out.orderBy("path")
+
+
 def instrument_elements(spark: SparkSession, path: str) -> DataFrame:
     """The elements of a survey instrument (one JSON document): ``element, primary, secondary, payload`` with the payload as JSON."""
     schema = "SurveyElements array<struct<Element:string,PrimaryAttribute:string,SecondaryAttribute:string,Payload:string>>"

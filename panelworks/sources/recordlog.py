@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import readers, sinks
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, as tasks without a JVM use it, and the path there."""
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), os.path.abspath(path)
     return pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
@@ -35,7 +36,7 @@ class Segment:
     """What one attempt of one task appends to; ``name`` is told with each of its keys."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, self.folder = _opened(folder)
+        self.fs, self.folder = opened(folder)
         self.name, self.file, self.written = name, None, 0
         self.fs.create_dir(self.folder, recursive=True)
         self.local = isinstance(self.fs, pafs.LocalFileSystem)
@@ -71,7 +72,7 @@ class Work:
 
     def earlier(self, partition: int, attempt: int) -> dict[tuple, tuple[str, str]]:
         """Key -> (status, segment) of what earlier attempts at the same partition have completed."""
-        fs, folder = _opened(self.folder)
+        fs, folder = opened(self.folder)
         found = {}
         if attempt:
             for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
