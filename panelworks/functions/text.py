@@ -148,3 +148,11 @@ def duration(seconds: float) -> str:
     if s < 60:
         return f"{s}s"
     return f"{s // 60}m {s % 60:02d}s" if s < 3600 else f"{s // 3600}h {s % 3600 // 60:02d}m"
+
+
+def duration_text(seconds) -> Column:
+    """The same of a column."""
+    s = F.floor(c(seconds).cast("double")).cast("bigint")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    whole = lambda n: F.floor(s / n).cast("string")
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(whole(60), F.lit("m "), two(s % 60), F.lit("s"))).otherwise(F.concat(whole(3600), F.lit("h "), two(F.floor(s % 3600 / 60)), F.lit("m")))

@@ -26,15 +26,26 @@ def without_posts(agents: DataFrame, posts: DataFrame) -> int:
     return agents.select(X.key("author").alias("author")).distinct().join(posts, "author", "left_anti").count()
 
 
+def agent_faults(agents: DataFrame) -> DataFrame:
+    """One row: how many agents have a level that is not known, by variable, and how many ids are ``repeated ids``."""
+    known = [m for m in vocab.MODERATORS if m in agents.columns]
+    return agents.select(*[F.count_if(~F.coalesce(F.col(m).isin(vocab.MODERATORS[m]), F.lit(False))).alias(m) for m in known], (F.count(F.lit(1)) - F.count_distinct("profile_id")).alias("repeated ids"))
+
+
 def check_agents(agents: DataFrame) -> DataFrame:
     """Agents as they came; an error where a level is unknown or a profile id repeats."""
-    bad = agents.select(*[F.count_if(~F.coalesce(F.col(m).isin(levels), F.lit(False))).alias(m) for m, levels in vocab.MODERATORS.items()], (F.count(F.lit(1)) - F.count_distinct("profile_id")).alias("repeated ids")).first().asDict()
-    wrong = {k: v for k, v in bad.items() if v}
+    wrong = {k: v for k, v in agent_faults(agents).first().asDict().items() if v}
     if wrong:
         raise ValueError(f"agents with unknown levels or repeated ids: {wrong}")
     return agents
 
 
+def with_background(moulds: DataFrame, scores: DataFrame) -> DataFrame:
+    """``author, mould`` with ``background``: lines on the author's scores, blank where there are none."""
+    lines = scores.select("author", X.background("ideology_score", "gender_score", "age_score").alias("background"))
+    return moulds.join(lines, "author", "left").withColumn("background", F.coalesce("background", F.lit("")))
+
+
 def verbalize(posts: DataFrame, max_posts: int = 60, max_chars_per_post: int = 600, max_total_chars: int = 16_000, top: int = 15, activity: DataFrame | None = None) -> DataFrame:
     """``author, profile_text, n_posts_included, n_posts_total`` from ``author, posts``.
 

@@ -546,4 +546,4 @@ def last_per_key(spark, sf_dir):
 
 
 # The other query modules register theirs in the same place.
-from . import catalog_files, catalog_recodes, catalog_tiers  # noqa: E402,F401
+from . import catalog_files, catalog_more, catalog_recodes, catalog_tiers  # noqa: E402,F401

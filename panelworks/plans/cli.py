@@ -79,7 +79,7 @@ def infer(spark, a):
     moulds = personas.author_mould(h, a.max_context_tokens)
     known = readers.read_table(spark, a.embedding_scores) if a.embedding_scores else None
     if known is not None:
-        moulds = moulds.join(known.select("author", X.background("ideology_score", "gender_score", "age_score").alias("background")), "author", "left").withColumn("background", F.coalesce("background", F.lit("")))
+        moulds = personas.with_background(moulds, known)
     if a.resume and readers.exists(spark, a.output):
         moulds = moulds.join(readers.read_jsonl(spark, a.output, "author string"), "author", "left_anti")
     http = a.model_client.split(":")[0] in ("http", "chat", "messages")
