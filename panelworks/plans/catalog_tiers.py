@@ -163,6 +163,61 @@ def tier3_report(spark, sf_dir):
     return validate.validate_tier3(lost.unionByName(lost)).frame(spark).select("check", "status")
 
 
+def _spoiled(t1: DataFrame) -> DataFrame:
+    """An individual-level table in which every check of labels, ids, sizes, values and composites has something to find."""
+    k = F.substr(F.col("profile_id"), F.lit(2)).cast("bigint")
+    changed = {
+        "profile_id": F.concat(F.lit("p"), (k % 7001).cast("string")), "condition": F.when(k % 97 == 0, "nowhere").when(k % 101 == 0, None).otherwise(F.col("condition")),
+        **{m: F.when((k + j) % 53 == 0, "Martian").when(k % (5 + 3 * j) == 0, None).otherwise(F.col(m)) for j, m in enumerate(_MODS)}, "trust_multidimensional": F.col("trust_multidimensional") + (k % 211 == 0).cast("int") * 5,
+        "trust_post": F.when(k % 41 == 0, 400.0).otherwise(F.col("trust_post")), "donation_ams": F.when(k % 31 == 0, 2.5).otherwise(F.col("donation_ams")), "newsletter_signup": F.when(k % 37 == 0, 2).otherwise(F.col("newsletter_signup")),
+    }
+    return t1.withColumns(changed)
+
+
+def _in(column: str, known) -> str:
+    return f"{column} IN ({', '.join(chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in known)})"
+
+
+_SPOILED = f"""{_T1}, w AS (SELECT *, CAST(substr(profile_id, 2) AS BIGINT) AS k FROM t1),
+v AS (SELECT * EXCLUDE k REPLACE ('p' || (k % 7001) AS profile_id, CASE WHEN k % 97 = 0 THEN 'nowhere' WHEN k % 101 <> 0 THEN condition END AS condition,
+  {", ".join(f"CASE WHEN (k + {j}) % 53 = 0 THEN 'Martian' WHEN k % {5 + 3 * j} <> 0 THEN {m} END AS {m}" for j, m in enumerate(_MODS))}, trust_multidimensional + CASE WHEN k % 211 = 0 THEN 5 ELSE 0 END AS trust_multidimensional,
+  CASE WHEN k % 41 = 0 THEN 400 ELSE trust_post END AS trust_post, CASE WHEN k % 31 = 0 THEN 2.5 ELSE donation_ams END AS donation_ams, CASE WHEN k % 37 = 0 THEN 2 ELSE newsletter_signup END AS newsletter_signup) FROM w),
+n AS (SELECT {_COUNTS.replace("count(DISTINCT condition) AS conditions", f"count(DISTINCT condition) FILTER (WHERE {_in('condition', vocab.CONDITIONS)}) AS conditions")},
+  count(*) FILTER (WHERE NOT {_in("condition", vocab.CONDITIONS)}) AS odd_condition, {", ".join(f"count(*) FILTER (WHERE NOT {_in(m, _M[m])}) AS odd_{m}" for m in _MODS)},
+  (SELECT count(*) FROM (SELECT condition, count(*) AS n FROM v GROUP BY 1) WHERE (condition IS NULL OR {_in("condition", vocab.CONDITIONS)}) AND n < CASE WHEN condition = 'control' THEN 1000 ELSE 500 END) AS small,
+  max(abs(list_avg([{", ".join("list_avg([" + ", ".join(tiers.TRUST_NAMES[i : i + 3]) + "])" for i in range(0, 12, 3))}]) - trust_multidimensional)) AS off,
+  count(*) FILTER (WHERE donation_ams <> round(donation_ams)) AS fractions, count(*) FILTER (WHERE newsletter_signup NOT IN (0, 1)) AS other FROM v)
+"""
+
+
+@query(_SPOILED + _checks([
+    ("columns", "true", "FAIL"), ("condition labels", "odd_condition = 0", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"),
+    *[x for m in _MODS for x in ((f"{m} labels", f"odd_{m} = 0", "FAIL"), (f"{m} known", f"no_{m} < greatest(1, total)", "FAIL"), (f"{m} mostly known", f"no_{m} <= 0.1 * total", "WARN"))],
+    ("sample sizes", "small = 0", "WARN"), ("profile_id unique", "ids = total", "WARN"), ("composite agrees with items", "off IS NULL OR off <= 0.51", "WARN"),
+    *[x for c in _RANGED for x in ((f"{c} range", f"out_{c} = 0", "FAIL"), (f"{c} present", f"no_{c} = 0", "WARN"))], ("donation whole dollars", "fractions = 0", "FAIL"), ("newsletter binary", "other = 0", "FAIL")]))
+def tier1_report_of_faults(spark, sf_dir):
+    """The same checks where they fail."""
+    return validate.validate_tier1(_spoiled(tiers.tier1(raw(spark, sf_dir)))).frame(spark).select("check", "status")
+
+
+@query(_TIER2 + f""", b AS (SELECT * FROM (VALUES {sql_values([(o, lo, hi) for o, (lo, hi) in vocab.OUTCOMES.items()])}) b(outcome, lo, hi)),
+v AS (SELECT condition, CASE WHEN condition = 'Funding' AND outcome = 'trust_post' THEN 'odd' ELSE outcome END AS outcome, CASE WHEN outcome = 'belief_post' THEN mean + 200 WHEN outcome <> 'concern_mean' THEN mean END AS mean FROM main),
+u AS (SELECT * FROM v WHERE condition <> 'Peer-review' UNION ALL SELECT * FROM v WHERE condition = 'control'),
+n AS (SELECT count(*) FILTER (WHERE NOT {_in("condition", vocab.CONDITIONS)}) AS odd_condition, count(DISTINCT condition) AS conditions, count(*) FILTER (WHERE NOT {_in("outcome", _OUTCOMES)}) AS odd_outcome, count(DISTINCT outcome) FILTER (WHERE {_in("outcome", _OUTCOMES)}) AS outcomes,
+  count(*) - count(DISTINCT (condition, outcome)) AS twice, count(DISTINCT (condition, outcome)) AS cells, count(*) - count(mean) AS missing, count(*) FILTER (WHERE NOT mean BETWEEN lo AND hi) AS outside FROM u LEFT JOIN b USING (outcome))
+""" + _checks([
+    ("columns", "true", "FAIL"), ("condition labels", "odd_condition = 0", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"), ("outcome labels", "odd_outcome = 0", "FAIL"), ("outcome all present", f"outcomes = {len(_OUTCOMES)}", "WARN"),
+    ("no repeated cells", "twice = 0", "FAIL"), ("all cells", f"cells = {len(vocab.CONDITIONS) * len(_OUTCOMES)}", "FAIL"), ("no missing values", "missing = 0", "FAIL"), ("ranges", "outside = 0", "FAIL")]))
+def tier2_report_of_faults(spark, sf_dir):
+    """Condition means with an unknown outcome, a condition that lacks, one that is there twice, values that lack and values outside their range."""
+    main = tiers.tier2_main(tiers.tier1(raw(spark, sf_dir)))
+    outcome = F.when((F.col("condition") == "Funding") & (F.col("outcome") == "trust_post"), "odd").otherwise(F.col("outcome"))
+    mean = F.when(F.col("outcome") == "belief_post", F.col("mean") + 200).when(F.col("outcome") != "concern_mean", F.col("mean"))
+    spoiled = main.select("condition", outcome.alias("outcome"), mean.alias("mean"))
+    means = spoiled.where("condition <> 'Peer-review'").unionByName(spoiled.where("condition = 'control'"))
+    return validate.validate_tier2_main(means).frame(spark).select("check", "status")
+
+
 @query("SELECT CASE WHEN count(*) FILTER (WHERE l_quantity > 45) > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE l_tax IS NULL) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM lineitem")
 def verdict_of_checks(spark, sf_dir):
     """The worst status of a report is its verdict."""
