@@ -12,8 +12,8 @@ to equal shares are taken, so that the last shard isn't left with the remainder
 per open capacity, so the driver's table keeps the same size whatever the input.
 
 Slots count from 0 without gaps inside a shard.  They are row numbers within (shard, salt), where the
-salt is a hash of the id, plus the counts of lower salts, so neither a shard nor a hot group of copies
-is numbered in one task.
+salt is a hash of id and text, plus the counts of lower salts, so neither a shard nor a hot group of copies
+nor an id that many texts share is numbered in one task.
 
 Defined results: null text has size ``overhead`` and forms one group, apart from the empty text; null
 ids are placed like any other; repeated rows get slots of their own; an empty table gives an empty
@@ -132,7 +132,7 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, salts: int = 64
     key = F.coalesce(F.xxhash64(F.lit(1), text), F.lit(0).cast("bigint"))
     key = F.when(text.isNull(), F.lit(0).cast("bigint")).otherwise(key)
     crc = F.coalesce(F.crc32(text), F.lit(0).cast("bigint"))
-    sized = materialize(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), key.alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")), "shard-sizes")
+    sized = materialize(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), key.alias("key"), F.pmod(F.xxhash64(F.col("doc_id"), key), F.lit(salts)).cast("int").alias("salt")), "shard-sizes")
     groups = materialize(sized.groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
     _, cuts = minimax_cuts(groups, shards)
     number = F.lit(0)
