@@ -40,8 +40,9 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-def myers(pattern: list, text: list) -> list[int]:
-    """For each end in text, the least edit distance between the pattern and any stretch that ends there."""
+def myers(pattern: list, text: list, anchored: bool = False) -> list[int]:
+    """For each end in text, the least edit distance between the pattern and any stretch that ends there; anchored: the stretch that begins
+    where text does."""
     m = len(pattern)
     peq: dict = {}
     for i, c in enumerate(pattern):
@@ -58,7 +59,7 @@ def myers(pattern: list, text: list) -> list[int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = ph << 1 & full, mh << 1 & full
+        ph, mh = (ph << 1 | anchored) & full, mh << 1 & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
         out.append(score)
@@ -97,6 +98,15 @@ def runs(codes: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
+def start_of(pattern: list, text: list, end: int, distance: int) -> int:
+    """Where a stretch begins that ends at end and is that far from the pattern; of several the one of most nearly the pattern's length,
+    then the shorter.  The alignment is followed from its end."""
+    back = text[max(0, end - len(pattern) - distance) : end][::-1]
+    scores = [len(pattern), *myers(pattern[::-1], back, anchored=True)]
+    size = min((n for n, d in enumerate(scores) if d == distance), key=lambda n: (abs(n - len(pattern)), n))
+    return end - size
+
+
 def occurrences(index: Index, ws: list[str], memo: WordHashes) -> list[tuple[int, int, int, int, int]]:
     """(item id, distance, start word, end word, words of the item): the best place of each item within its budget."""
     if not ws:
@@ -119,14 +129,14 @@ def occurrences(index: Index, ws: list[str], memo: WordHashes) -> list[tuple[int
     for j, starts in places.items():
         item, ps = index.items[j]
         k, m = index.budgets[j], len(ps)
-        best, done = None, -1
+        best = None
         group: list[int] = []
         for s in [*sorted(starts), None]:
             # Places that lie close together are verified as one stretch.
             if s is not None and (not group or s - group[-1] <= 2 * k + 1):
                 group.append(s)
                 continue
-            low, high = max(0, group[0] - k, done), min(len(ws), group[-1] + m + k)
+            low, high = max(0, group[0] - k), min(len(ws), group[-1] + m + k)
             if high > low:
                 scores = myers(ps, ws[low:high])
                 d = min(scores)
@@ -134,7 +144,7 @@ def occurrences(index: Index, ws: list[str], memo: WordHashes) -> list[tuple[int
                     best = (d, low + scores.index(d) + 1)
             group = [] if s is None else [s]
         if best is not None:
-            found.append((item, best[0], max(0, best[1] - m), best[1], m))
+            found.append((item, best[0], start_of(ps, ws, best[1], best[0]), best[1], m))
     return found
 
 
