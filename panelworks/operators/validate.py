@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,6 +236,40 @@ def validate_metadata(meta: dict, files: Sequence[str] = (), hashes: dict[str, s
     return r
 
 
+_CHECKS = "array<struct<check:string,status:string,detail:string>>"
+
+
+def metadata_reports(deposits: DataFrame) -> DataFrame:
+    """validate_metadata() of many deposits: ``id, metadata`` (JSON) and ``files`` (a map of the files that are there to their hashes) ->
+    ``id, check, status, detail``.  Metadata that are no JSON object fail that one check."""
+
+    def rows(meta: str | None, files: str | None) -> list[tuple[str, str, str]]:
+        try:
+            told = json.loads(meta or "")
+        except ValueError:
+            told = None
+        if not isinstance(told, dict):
+            return [("metadata are a JSON object", FAIL, "not one")]
+        there = json.loads(files or "{}")
+        return validate_metadata(told, list(there), there).rows
+
+    @F.pandas_udf(_CHECKS)
+    def checks(meta: pd.Series, files: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("check", "status", "detail"), x, strict=True)) for x in rows(m, f)] for m, f in zip(meta, files, strict=True)], dtype=object)
+
+    return deposits.select("id", F.explode(checks("metadata", F.to_json("files"))).alias("c")).select("id", "c.*")
+
+
+def blank_answer_counts(forms: DataFrame, column: str = "form") -> DataFrame:
+    """forms with ``blank``: how many items of each registration form have no answer."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(blank_answers(t or ""))).astype("int32")
+
+    return forms.withColumn("blank", count(F.col(column)))
+
+
 def staged(r: Report) -> bool:
     return any(c.startswith("staged for ") for c, _, _ in r.rows)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from ..functions import text as X
 from ..functions import tokens, vocab
-from ..operators import budget, interactions, personas, threads
+from ..operators import budget, interactions, personas, threads, validate
 from ..sources import readers
 from ..sources.recordlog import RecordLog
 from .catalog import _CUES, _ECHO, _POOL, _THREADS, _WORDS, _pool, _threads
@@ -111,3 +111,44 @@ def moulds_with_background(spark, sf_dir):
     scores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("author"), score.alias("ideology_score"), F.lit("").alias("gender_score"), F.lit("").alias("age_score"))
     made = personas.with_background(moulds, scores)
     return made.select("author", "mould", F.regexp_extract("background", "(leans right|leans left)", 1).alias("background"))
+
+
+#: (check, whether a deposit has it, when it holds, its status otherwise), over the columns of d below.
+_RULES = [
+    ("team_id given", "true", "team <> ''", "FAIL"), ("team_name given", "true", "k % 13 <> 0", "FAIL"), ("contact given", "true", "true", "FAIL"), ("tier", "true", "tier IN (1, 2, 3)", "FAIL"), ("entry", "true", "k % 3 < 2", "FAIL"),
+    ("models listed", "true", "k % 5 <> 0", "FAIL"), ("approach_family given", "true", "k % 17 <> 0", "FAIL"), ("disclosure_class", "true", "kind <> 'D'", "FAIL"), ("no escrow for class A", "kind = 'A'", "k % 2 <> 0", "WARN"),
+    ("escrow for class B", "kind = 'B'", "k % 2 = 0", "WARN"), ("escrow for class C", "kind = 'C'", "k % 2 = 0", "WARN"), ("blinding attested", "true", "k % 19 <> 0", "FAIL"), ("coverage given", "true", "k % 41 <> 0", "FAIL"),
+    ("coverage full", "true", "k % 23 <> 0 AND k % 41 <> 0", "FAIL"), ("prediction files listed", "true", "true", "FAIL"), ("staged", "staged", "false", "WARN"), ("file count for tier", "NOT staged", "tier <> 2", "WARN"),
+    ("file name", "NOT staged", "tier <> 2 AND k % 29 <> 0", "FAIL"), ("file present", "NOT staged", "k % 31 <> 0", "FAIL"), ("file sha256", "NOT staged AND k % 31 <> 0", "k % 37 <> 0", "FAIL"),
+]
+
+
+@query("WITH d AS (SELECT *, team <> '' AND k % 29 = 0 AS staged FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'team' || (c_custkey % 7) END AS team, c_custkey % 4 AS tier, (['A', 'B', 'C', 'D'])[c_custkey // 2 % 4 + 1] AS kind FROM customer)), r AS ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CASE WHEN {ok} THEN 'PASS' ELSE '{bad}' END AS status FROM d WHERE {has}" for c, has, ok, bad in _RULES) + ") SELECT \"check\", status, count(*) AS n FROM r GROUP BY ALL")
+def deposit_metadata(spark, sf_dir):
+    """Customers as deposits whose metadata break the rules in turn."""
+    ship(spark)
+    k = F.col("c_custkey")
+    team, tier = F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("team"), (k % 7).cast("string"))), (k % 4).cast("int")
+    name = F.when(k % 29 == 0, "predictions/example_a.csv").otherwise(F.concat(F.lit("predictions/"), team, F.lit("_T"), tier.cast("string"), F.lit("_primary_v1.csv")))
+    pick = lambda by, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (by + 1).cast("int"))
+    meta = F.struct(
+        team.alias("team_id"), F.when(k % 13 != 0, "T").alias("team_name"), F.lit("a@b").alias("contact"), tier.alias("tier"), pick(k % 3, "primary", "secondary-12", "secondary").alias("entry"),
+        F.when(k % 5 != 0, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("models"), F.when(k % 17 != 0, "f").otherwise(" ").alias("approach_family"), pick(F.floor(k / 2) % 4, "A", "B", "C", "D").alias("disclosure_class"),
+        F.when(k % 2 == 0, "10.1/x").alias("escrow_doi"), (k % 19 != 0).alias("blinding_attestation"), F.when(k % 41 != 0, F.struct(F.when(k % 23 == 0, 15).otherwise(16).alias("interventions"), F.lit(13).alias("outcomes"))).alias("coverage"),
+        F.array(F.struct(name.alias("file"), F.lit("AB").alias("sha256"))).alias("prediction_files"))
+    files = F.when(k % 31 != 0, F.create_map(name, F.when(k % 37 == 0, "cd").otherwise("ab"))).otherwise(F.create_map().cast("map<string,string>"))
+    told = validate.metadata_reports(table(spark, sf_dir, "customer").select(k.alias("id"), F.to_json(meta).alias("metadata"), files.alias("files")))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("check", "^.*[.]csv ", "file "), "^staged for .*", "staged"), "^file count for tier .*", "file count for tier")
+    return told.select(plain.alias("check"), "status").groupBy("check", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, CAST((c_custkey % 2 = 0) AS INT) + CAST((c_custkey % 3 = 0) AS INT) + CAST((c_custkey % 5 <> 0) AS INT) AS blank FROM customer")
+def blank_form_items(spark, sf_dir):
+    """Registration forms whose items are answered on the same line, on the next one, or not at all."""
+    ship(spark)
+    k = F.col("c_custkey")
+    line = F.concat(
+        F.lit("# Form\n- **1.1 Who** \u2014 name:"), F.when(k % 2 == 0, "\n\n").otherwise("\n  somebody\n"), F.lit("- **1.2 What** - model:"), F.when(k % 3 == 0, "\n").otherwise(" one\n"),
+        F.lit("- **1.3 When** \u2014 a day given already: yes\n## Rest\n- **2.1 Where** \u2014 place:"), F.when(k % 5 == 0, "\n  here, that is:\n").otherwise("\n## End\n"))
+    return validate.blank_answer_counts(table(spark, sf_dir, "customer").select("c_custkey", line.alias("form"))).select("c_custkey", "blank")
