@@ -12,7 +12,7 @@ from .. import ship
 from ..functions import text as X
 from ..functions import tokens, vocab
 from ..operators import budget, interactions, personas, threads, validate
-from ..sources import readers
+from ..sources import readers, sinks
 from ..sources.recordlog import RecordLog
 from .catalog import _CUES, _ECHO, _POOL, _THREADS, _WORDS, _pool, _threads
 from .registry import query, scratch, table
@@ -152,3 +152,26 @@ def blank_form_items(spark, sf_dir):
         F.lit("# Form\n- **1.1 Who** \u2014 name:"), F.when(k % 2 == 0, "\n\n").otherwise("\n  somebody\n"), F.lit("- **1.2 What** - model:"), F.when(k % 3 == 0, "\n").otherwise(" one\n"),
         F.lit("- **1.3 When** \u2014 a day given already: yes\n## Rest\n- **2.1 Where** \u2014 place:"), F.when(k % 5 == 0, "\n  here, that is:\n").otherwise("\n## End\n"))
     return validate.blank_answer_counts(table(spark, sf_dir, "customer").select("c_custkey", line.alias("form"))).select("c_custkey", "blank")
+
+
+_KIND = "(['individual simulation', 'group-level reasoning', 'direct effect forecast'])[c_custkey % 3 + 1]"
+
+
+@query(f"""
+SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN 'Predictions: Tier ' || (c_custkey % 3 + 1) || ' (' || {_KIND} || ') submission (team t' || c_custkey || ')' END AS title, CASE WHEN c_custkey % 7 > 0 THEN '1.0-t' || (c_custkey % 3 + 1) END AS version,
+  CASE WHEN c_custkey % 7 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN '<p>One ' || c_custkey || '.</p><p>Two.</p>' ELSE '<p>Tier ' || (c_custkey % 3 + 1) || ' (' || {_KIND} || ') submission to Predictions (team <code>t' || c_custkey
+    || '</code>).</p><p>Approach family: see the registration form. Model(s): m1, m2. Coverage: 16 interventions by 13 outcomes.</p><p>This record holds the prediction file(s), the code that made them and the registration form.</p>' END END AS description,
+  CASE WHEN c_custkey % 7 > 0 THEN c_name END AS creator, CASE WHEN c_custkey % 7 > 0 AND c_custkey % 5 = 0 THEN '0000-0002-1825-0097' END AS orcid FROM customer
+""")
+def citation_records(spark, sf_dir):
+    """Citation records of deposits: abstracts as paragraphs, made-up descriptions where there is none, and valid ids alone."""
+    ship(spark)
+    k = F.col("c_custkey")
+    orcid = F.when(k % 5 == 0, "0000-0002-1825-0097").when(k % 5 == 1, "0000-0002-1825-0096").when(k % 5 == 2, "https://orcid.org/0000-0002-1825-0097")
+    meta = F.struct(
+        F.when(k % 7 > 0, F.concat(F.lit("t"), k.cast("string"))).alias("team_id"), (k % 3 + 1).alias("tier"), F.array(F.lit("m1"), F.lit("m2")).alias("models"), F.array(F.struct(F.col("c_name").alias("name"), orcid.alias("orcid"))).alias("creators"),
+        F.when(k % 2 == 0, F.concat(F.lit(" One "), k.cast("string"), F.lit(".\n \t\nTwo.\n"))).alias("abstract"))
+    made = sinks.citations(table(spark, sf_dir, "customer").select(k.alias("id"), F.to_json(meta).alias("metadata")), collection="Predictions")
+    r = F.from_json("record", "title string, version string, description string, creators array<struct<name:string,orcid:string>>")
+    told = made.select(F.col("id").alias("c_custkey"), r.alias("r"))
+    return told.select("c_custkey", "r.title", "r.version", "r.description", F.get("r.creators", F.lit(0))["name"].alias("creator"), F.get("r.creators", F.lit(0))["orcid"].alias("orcid"))

@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +129,14 @@ def citation(meta: dict, collection: str = "Survey predictions", keywords: Seque
         "notes": f"Team {team}. Disclosure class {meta.get('disclosure_class') or 'A'}.",
     }
     return {k: v for k, v in record.items() if v != []}
+
+
+def citations(deposits: DataFrame, **options) -> DataFrame:
+    """citation() of many deposits: ``id, metadata`` (JSON) -> ``id, record`` (JSON; null where the metadata name no team)."""
+
+    @F.pandas_udf("string")
+    def records(meta: pd.Series) -> pd.Series:
+        told = [json.loads(m) if m else {} for m in meta]
+        return pd.Series([json.dumps(citation(m, **options), ensure_ascii=False) if m.get("team_id") else None for m in told], dtype=object)
+
+    return deposits.select("id", records("metadata").alias("record"))
