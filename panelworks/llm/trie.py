@@ -177,7 +177,7 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame, levels: int = LEVELS, loca
     if not root["n"]:
         return empty
     live, alive, depth = lengths.withColumn("node", F.lit(root["node"])), root["n"], 0
-    made = [spark.range(1).select(F.lit(root["node"]).alias("child"), F.lit(None).cast("bigint").alias("node"), F.lit(root["n"]).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("chars"), F.lit(0).cast("bigint").alias("len"))]
+    made = [spark.createDataFrame([(root["node"], None, root["n"], 0, 0)], "child long, node long, n long, chars long, len long")]
     ends, local = [], []
 
     def ended(at: DataFrame) -> DataFrame:
