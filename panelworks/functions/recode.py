@@ -76,7 +76,8 @@ def birth_year(x, survey_year: int = vocab.SURVEY_YEAR) -> Column:
     years = F.regexp_extract_all(t, F.lit(r"(?<!\d)(19\d\d|20\d\d)(?!\d)"), F.lit(1))
     born = F.nullif(F.regexp_extract(t, r"(?i)born in\s+(19\d\d|20\d\d)", 1), F.lit(""))
     age = F.regexp_extract(t, r"\d+", 0).try_cast("int")
-    return F.when(F.size(years) == 1, F.get(years, F.lit(0)).try_cast("int")).when(F.size(years) > 1, F.coalesce(born, F.try_element_at(years, F.lit(-1))).try_cast("int")).when(age.between(18, 100), survey_year - age)
+    return F.when(F.size(years) == 1, F.get(years, F.lit(0)).try_cast("int")).when(F.size(years) > 1,
+        F.coalesce(born, F.try_element_at(years, F.lit(-1))).try_cast("int")).when(age.between(18, 100), survey_year - age)
 
 
 def binary(x) -> Column:

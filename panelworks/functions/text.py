@@ -139,7 +139,8 @@ def signed(x, label: str, above: str, below: str) -> Column:
 
 
 def background(ideology, gender, age) -> Column:
-    return F.concat_ws("\n", signed(ideology, "Community-embedding ideology signal", "leans right/conservative", "leans left/liberal"), signed(gender, "Community-embedding gender signal", "leans women", "leans men"), signed(age, "Community-embedding age signal", "skews older", "skews younger"))
+    return F.concat_ws("\n", signed(ideology, "Community-embedding ideology signal", "leans right/conservative", "leans left/liberal"),
+        signed(gender, "Community-embedding gender signal", "leans women", "leans men"), signed(age, "Community-embedding age signal", "skews older", "skews younger"))
 
 
 def duration(seconds: float) -> str:
@@ -155,4 +156,5 @@ def duration_text(seconds) -> Column:
     s = F.floor(c(seconds).cast("double")).cast("bigint")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     whole = lambda n: F.floor(s / n).cast("string")
-    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(whole(60), F.lit("m "), two(s % 60), F.lit("s"))).otherwise(F.concat(whole(3600), F.lit("h "), two(F.floor(s % 3600 / 60)), F.lit("m")))
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600,
+        F.concat(whole(60), F.lit("m "), two(s % 60), F.lit("s"))).otherwise(F.concat(whole(3600), F.lit("h "), two(F.floor(s % 3600 / 60)), F.lit("m")))

@@ -31,13 +31,15 @@ CODENAMES = {
     "practical planarian": "Extreme weather predictions", "complicated cockroach": "Portrait Prof. Cherry", "flimsy fish": "Interview Prof. Maraun", "honored haddock": "Peer-review",
     "jealous jaguar": "Consensus", "phony parrotfish": "Funding", "crushing chicken; gross grasshopper; homely halibut": "High public trust", "worse wildfowl": "Oil industry misinformation",
     "periwinkle partridge": "Scientist community helpers", "difficult dog": "Social justice", "giant gibbon; brick bobcat": "Corporate reliance", "limping llama; friendly frog": "Former skeptics",
-    "perfect prawn": "Measurement & modeling (1)", "orchid orangutan; defiant dragonfly": "Measurement & modeling (2)", "apple aardvark": "Model accuracy", "heartfelt hummingbird": "Interview Prof. Sebille",
+    "perfect prawn": "Measurement & modeling (1)", "orchid orangutan; defiant dragonfly": "Measurement & modeling (2)", "apple aardvark": "Model accuracy",
+        "heartfelt hummingbird": "Interview Prof. Sebille",
 }
 CONTROL_FILLERS = ["control neckties", "control baseball", "control dances"]
 
 #: Blocks of outcome items: (order group, block key, item keys).  Groups: 1 first, then 2 and 3, each in random order.
 BLOCKS = [
-    (1, "trust_multidimensional", ["trust_competent_1", "trust_intelligent_1", "trust_qualified_1", "trust_honest_1", "trust_ethical_1", "trust_sincere_1", "trust_concerned_1", "trust_improve_1", "trust_considerate_1", "trust_feedback_1", "trust_transparent_1", "trust_attention_1"]),
+    (1, "trust_multidimensional", ["trust_competent_1", "trust_intelligent_1", "trust_qualified_1", "trust_honest_1", "trust_ethical_1", "trust_sincere_1",
+        "trust_concerned_1", "trust_improve_1", "trust_considerate_1", "trust_feedback_1", "trust_transparent_1", "trust_attention_1"]),
     (2, "trust_single_post", ["trust_post_1"]),
     (2, "donation", ["donation"]),
     (2, "distrust_single_post", ["distrust_1"]),
@@ -73,7 +75,8 @@ def title(key: str) -> str:
 
 
 #: Items that some conditions ask before the battery; they are recorded but not scored.
-ELICITATION_ITEMS = ["funding_value_1", "funding_value_2", "funding_value_3", "funding_value_4", "funding_paid", "funding_federal", "funding_private", "public_trust_estimate", "consensus_human", "consensus_co2", "consensus_year"]
+ELICITATION_ITEMS = ["funding_value_1", "funding_value_2", "funding_value_3", "funding_value_4", "funding_paid", "funding_federal", "funding_private",
+    "public_trust_estimate", "consensus_human", "consensus_co2", "consensus_year"]
 
 #: Composites: target column -> groups of item keys (a mean of group means).
 COMPOSITES = {
@@ -88,22 +91,29 @@ SINGLES = {"trust_post": "trust_post_1", "distrust_post": "distrust_1", "belief_
 #: The 13 outcomes and their ranges.
 OUTCOMES = {
     "trust_multidimensional": (0, 100), "trust_post": (0, 100), "distrust_post": (0, 100), "belief_post": (0, 100), "policy_general": (0, 100), "funding_perceptions": (0, 100),
-    "policy_role_mean": (0, 100), "inst_trust_mean": (0, 100), "concern_mean": (0, 100), "policy_specific_mean": (0, 100), "behavior_mean": (0, 100), "donation_ams": (0, 10), "newsletter_signup": (0, 1),
+    "policy_role_mean": (0, 100), "inst_trust_mean": (0, 100), "concern_mean": (0, 100), "policy_specific_mean": (0, 100), "behavior_mean": (0, 100),
+        "donation_ams": (0, 10), "newsletter_signup": (0, 1),
 }
 
 STATE_CASES = {
-    1: ["Alabama", "Arkansas", "Delaware", "Florida", "Georgia", "Illinois", "Indiana", "Iowa", "Kansas", "Kentucky", "Louisiana", "Maryland", "Mississippi", "Missouri", "Nebraska", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Pennsylvania", "South Carolina", "South Dakota", "Tennessee", "Texas", "Virginia", "West Virginia", "Washington, D.C."],
+    1: ["Alabama", "Arkansas", "Delaware", "Florida", "Georgia", "Illinois", "Indiana", "Iowa", "Kansas", "Kentucky", "Louisiana", "Maryland", "Mississippi", "Missouri",
+        "Nebraska", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Pennsylvania", "South Carolina", "South Dakota", "Tennessee", "Texas", "Virginia", "West Virginia", "Washington, D.C."],
     2: ["Alaska", "Arizona", "California", "Colorado", "Idaho", "Montana", "Nevada", "New Mexico", "Oregon", "Utah", "Washington", "Wyoming", "Hawaii"],
     3: ["Connecticut", "Maine", "Massachusetts", "Michigan", "Minnesota", "New Hampshire", "New Jersey", "New York", "Rhode Island", "Vermont", "Wisconsin"],
 }
 STATE_CODES = {
-    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho",
-    "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi",
-    "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio",
-    "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia",
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "FL": "Florida",
+        "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho",
+    "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts",
+        "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi",
+    "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico", "NY": "New York",
+        "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio",
+    "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas",
+        "UT": "Utah", "VT": "Vermont", "VA": "Virginia",
     "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "DC": "Washington, D.C.",
 }
-STATE_ALIASES = {"washington dc": "Washington, D.C.", "washington d.c.": "Washington, D.C.", "washington, dc": "Washington, D.C.", "district of columbia": "Washington, D.C.", "dc": "Washington, D.C.", "d.c.": "Washington, D.C."}
+STATE_ALIASES = {"washington dc": "Washington, D.C.", "washington d.c.": "Washington, D.C.", "washington, dc": "Washington, D.C.",
+    "district of columbia": "Washington, D.C.", "dc": "Washington, D.C.", "d.c.": "Washington, D.C."}
 
 #: Quota counts: (age band or race, gender) -> people.
 AGE_GENDER_COUNTS = {
@@ -112,7 +122,8 @@ AGE_GENDER_COUNTS = {
 }
 RACE_GENDER_COUNTS = {
     ("Asian / Asian American", "Male"): 568, ("Asian / Asian American", "Female"): 633, ("Black / African American", "Male"): 1042, ("Black / African American", "Female"): 1170,
-    ("Hispanic / Latino", "Male"): 1646, ("Hispanic / Latino", "Female"): 1617, ("Other", "Male"): 240, ("Other", "Female"): 252, ("White / Caucasian", "Male"): 5332, ("White / Caucasian", "Female"): 5500,
+    ("Hispanic / Latino", "Male"): 1646, ("Hispanic / Latino", "Female"): 1617, ("Other", "Male"): 240, ("Other", "Female"): 252, ("White / Caucasian", "Male"): 5332,
+        ("White / Caucasian", "Female"): 5500,
 }
 
 #: Linguistic cues of a reply.

@@ -48,7 +48,8 @@ def assign_state(counts: DataFrame, states: DataFrame) -> DataFrame:
     lookup = states.select(X.key("state").alias("state"), F.lower(X.without_r(X.strip("subreddit"))).alias("subreddit")).where("subreddit <> ''")
     known = counts.select(X.key("author").alias("author"), F.lower(X.without_r(X.strip("subreddit"))).alias("subreddit"), F.col("total").cast("bigint").alias("total"))
     by_state = known.join(unambiguous(lookup, "subreddit", "state"), "subreddit").groupBy("author", "state").agg(F.sum("total").alias("total"))
-    return top_group(by_state, "author", "state").select("author", F.col("state").alias("assigned_state"), F.col("total").alias("state_post_count"), F.col("n_groups").alias("n_states_matched"), "tied")
+    return top_group(by_state, "author", "state").select("author", F.col("state").alias("assigned_state"), F.col("total").alias("state_post_count"),
+        F.col("n_groups").alias("n_states_matched"), "tied")
 
 
 def backfill(rows: DataFrame, fresh: DataFrame, key: str, column: str) -> DataFrame:

@@ -24,7 +24,8 @@ def meaningful(classified: DataFrame, relaxed: DataFrame | None = None, min_word
         floors = relaxed.select(X.key("author").alias("_a"), F.coalesce(floor, F.lit(min_words)).alias("_floor")).groupBy("_a").agg(F.min("_floor").alias("_floor"))
         rows = rows.join(floors, X.key("author") == F.col("_a"), "left").drop("_a")
         low = ~ok & (F.col("word_count") >= F.col("_floor"))
-        rows = rows.withColumn("_cues", F.when(F.coalesce(low, F.lit(False)), F.concat("_cues", F.array(F.concat(F.lit("relaxed_min_words:"), F.col("_floor").cast("string"))))).otherwise(F.col("_cues")))
+        rows = rows.withColumn("_cues", F.when(F.coalesce(low, F.lit(False)), F.concat("_cues", F.array(F.concat(F.lit("relaxed_min_words:"),
+            F.col("_floor").cast("string"))))).otherwise(F.col("_cues")))
         ok = ok | F.coalesce(F.col("word_count") >= F.col("_floor"), F.lit(False))
     return rows.where(ok).withColumn("matched_cues", F.array_join("_cues", ";")).select(*COLUMNS)
 
@@ -52,4 +53,5 @@ def coverage_histogram(covered: DataFrame, cap: int = 20, column: str = "n_posts
 
 
 def coverage_stats(covered: DataFrame, thresholds: tuple = (1, 3, 5, 10), column: str = "n_posts") -> DataFrame:
-    return covered.agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.min(column).alias("least"), F.max(column).alias("most"), *[F.count_if(F.col(column) < t).alias(f"below_{t}") for t in thresholds])
+    return covered.agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.min(column).alias("least"),
+        F.max(column).alias("most"), *[F.count_if(F.col(column) < t).alias(f"below_{t}") for t in thresholds])

@@ -17,7 +17,8 @@ def persona_posts(agents: DataFrame, interactions: DataFrame) -> DataFrame:
     """``author, posts`` of agents' interactions, oldest id order kept as given by ``created_utc`` and ``id``."""
     chosen = agents.select(X.key("author").alias("author")).distinct()
     rows = interactions.withColumn("author", X.key("author")).join(chosen, "author", "left_semi")
-    post = F.struct(F.lit("comment").alias("type"), X.blank("subreddit").alias("subreddit"), X.blank("created_utc").alias("created_utc"), F.lit("").alias("title"), X.with_parent("body", "parent_body").alias("body"), F.lit("").alias("score"))
+    post = F.struct(F.lit("comment").alias("type"), X.blank("subreddit").alias("subreddit"), X.blank("created_utc").alias("created_utc"), F.lit("").alias("title"),
+        X.with_parent("body", "parent_body").alias("body"), F.lit("").alias("score"))
     ordered = F.sort_array(F.collect_list(F.struct(X.blank("created_utc").alias("t"), X.blank("id").alias("i"), post.alias("post"))))
     return rows.groupBy("author").agg(F.transform(ordered, lambda x: x["post"]).alias("posts"))
 
@@ -29,7 +30,8 @@ def without_posts(agents: DataFrame, posts: DataFrame) -> int:
 def agent_faults(agents: DataFrame) -> DataFrame:
     """One row: how many agents have a level that is not known, by variable, and how many ids are ``repeated ids``."""
     known = [m for m in vocab.MODERATORS if m in agents.columns]
-    return agents.select(*[F.count_if(~F.coalesce(F.col(m).isin(vocab.MODERATORS[m]), F.lit(False))).alias(m) for m in known], (F.count(F.lit(1)) - F.count_distinct("profile_id")).alias("repeated ids"))
+    return agents.select(*[F.count_if(~F.coalesce(F.col(m).isin(vocab.MODERATORS[m]), F.lit(False))).alias(m) for m in known],
+        (F.count(F.lit(1)) - F.count_distinct("profile_id")).alias("repeated ids"))
 
 
 def check_agents(agents: DataFrame) -> DataFrame:
@@ -66,7 +68,8 @@ def verbalize(posts: DataFrame, max_posts: int = 60, max_chars_per_post: int = 6
     line = F.when(kind.isin("submission", "post", "s"), post_line).otherwise(F.concat(head, F.lit(" | comment in r/"), sub, F.lit(" | text: \""), text, F.lit("\"")))
     lines = used.withColumns({"line": line, "sub": sub}).withColumn("chars", F.sum(F.length("line")).over(latest.rowsBetween(Window.unboundedPreceding, 0)))
     kept = lines.where((F.col("n") <= max_posts) & ((F.col("n") == 1) | (F.col("chars") <= max_total_chars)))
-    listed = kept.groupBy("author").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("_list"), F.count(F.lit(1)).alias("n_posts_included"))
+    listed = kept.groupBy("author").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("_list"),
+        F.count(F.lit(1)).alias("n_posts_included"))
     if activity is None:
         groups = lines.groupBy("author", "sub").agg(F.count(F.lit(1)).alias("total"), F.min("n").alias("first"))
     else:  # author, subreddit, total
@@ -77,7 +80,8 @@ def verbalize(posts: DataFrame, max_posts: int = 60, max_chars_per_post: int = 6
     totals = used.groupBy("author").agg(F.count(F.lit(1)).alias("_usable"))
     out = posts.select("author", F.size("posts").alias("n_posts_total")).join(totals, "author", "left").join(best, "author", "left").join(listed, "author", "left")
     body_text = F.concat_ws("\n", "_top", F.concat(F.lit("Total posts and comments available: "), F.coalesce("_usable", F.lit(0)).cast("string")), F.lit(""),
-                            F.lit(f"Recent posts and comments written by this user (most recent first, up to {max_posts} shown):"), F.coalesce("_list", F.lit("(no post or comment text available for this user)")))
+                            F.lit(f"Recent posts and comments written by this user (most recent first, up to {max_posts} shown):"),
+                                F.coalesce("_list", F.lit("(no post or comment text available for this user)")))
     return out.select("author", body_text.alias("profile_text"), F.coalesce("n_posts_included", F.lit(0)).alias("n_posts_included"), F.greatest("n_posts_total", F.lit(0)).alias("n_posts_total"))
 
 
@@ -98,7 +102,8 @@ def build_personas(agents: DataFrame, posts: DataFrame, max_posts: int = 60, max
     return rows.select(
         "profile_id", column("author").alias("author"), F.struct(*vocab.MODERATORS).alias("demographics"), state.alias("assigned_state"), R.state_case(column("assigned_state")).alias("state_case"),
         R.resolved_birth_year(column("year_birth"), column("birth_year"), column("age"), F.col("age_band")).alias("year_birth"),
-        F.coalesce("_h.profile_text", F.lit(_NO_TEXT.format(max_posts))).alias("profile_text"), F.coalesce("_h.n_posts_included", F.lit(0)).alias("n_posts_included"), F.coalesce("_h.n_posts_total", F.lit(0)).alias("n_posts_total"), extra.alias("extra"))
+        F.coalesce("_h.profile_text", F.lit(_NO_TEXT.format(max_posts))).alias("profile_text"), F.coalesce("_h.n_posts_included", F.lit(0)).alias("n_posts_included"),
+            F.coalesce("_h.n_posts_total", F.lit(0)).alias("n_posts_total"), extra.alias("extra"))
 
 
 def author_mould(history: DataFrame, max_tokens: int = 3000, seq: str = "seq") -> DataFrame:

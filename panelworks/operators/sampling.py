@@ -136,7 +136,8 @@ def redistribute(cells: DataFrame, keys: Sequence[str], max_rounds: int = 10) ->
 
 
 #: The columns of a sample.  Where a level came from is known to no step, so those columns are blank.
-AGENT_COLUMNS = ["profile_id", "author", *vocab.MODERATORS, "gender_source", "age_source", "race_source", "education_source", "income_source", "party_source", "inference_confidence", "assigned_state", "sampling_weight", "quota_cell_id"]
+AGENT_COLUMNS = ["profile_id", "author", *vocab.MODERATORS, "gender_source", "age_source", "race_source", "education_source", "income_source", "party_source",
+    "inference_confidence", "assigned_state", "sampling_weight", "quota_cell_id"]
 
 
 def stratified_sample(pool: DataFrame, n: int = 1000, seed: int = 42, supplement: DataFrame | None = None, strict: bool = False, key: str = "author") -> tuple[DataFrame, DataFrame, dict]:

@@ -98,7 +98,8 @@ def session_plan(personas: DataFrame, seed: int = 7, conditions: list[str] | Non
             steps = F.concat(head, F.array(step(named, False, F.concat(last["elements"], post, of(F.concat(first, second, third))))))
         else:
             named = F.when(many, F.concat(last["name"], F.lit("+battery_primary"))).otherwise(F.lit("battery_primary"))
-            steps = F.concat(head, F.array(step(named, False, F.concat(last["elements"], post, of(first))), step(F.lit("battery_secondary"), False, of(second)), step(F.lit("battery_tertiary"), False, of(third))))
+            steps = F.concat(head, F.array(step(named, False, F.concat(last["elements"], post, of(first))), step(F.lit("battery_secondary"), False, of(second)),
+                step(F.lit("battery_tertiary"), False, of(third))))
     else:
         all_blocks = F.concat(first, second, third)
         shared = F.flatten(F.transform(F.filter(treat, lambda s: ~F.exists(s["elements"], is_item)), lambda s: s["elements"]))
@@ -107,20 +108,23 @@ def session_plan(personas: DataFrame, seed: int = 7, conditions: list[str] | Non
         else:
             # A block's own page goes with its first item.
             units = F.flatten(F.transform(all_blocks, lambda k: F.transform(F.filter(blocks[k], is_item), lambda e, i: step(
-                F.concat(F.lit("battery:"), F.substr(e, F.lit(3))), True, F.concat(shared, post, F.when(i == 0, F.filter(blocks[k], lambda x: ~is_item(x))).otherwise(F.array().cast("array<string>")), F.array(e))))))
+                F.concat(F.lit("battery:"), F.substr(e, F.lit(3))), True,
+                    F.concat(shared, post, F.when(i == 0, F.filter(blocks[k], lambda x: ~is_item(x))).otherwise(F.array().cast("array<string>")), F.array(e))))))
         steps = F.concat(F.filter(treat, lambda s: F.exists(s["elements"], is_item)), units)
     rows = rows.withColumn("_steps", steps.cast(f"array<{element}>"))
     # Display-only steps are carried into the next step that has items.
     none = F.array().cast("array<string>")
     merged = F.aggregate(F.col("_steps"), F.struct(F.array().cast(f"array<{element}>").alias("done"), none.alias("carry")), lambda a, s: F.when(
-        F.exists(s["elements"], is_item), F.struct(F.concat(a["done"], F.array(F.struct(s["name"].alias("name"), s["independent"].alias("independent"), F.concat(a["carry"], s["elements"]).alias("elements")))).alias("done"), none.alias("carry"))
+        F.exists(s["elements"], is_item), F.struct(F.concat(a["done"], F.array(F.struct(s["name"].alias("name"), s["independent"].alias("independent"),
+            F.concat(a["carry"], s["elements"]).alias("elements")))).alias("done"), none.alias("carry"))
     ).otherwise(F.struct(a["done"].alias("done"), F.concat(a["carry"], s["elements"]).alias("carry"))))["done"]
     asked = F.transform(_pretreatment_order(seed), lambda k: F.concat(F.lit("i:"), k)) if pretreatment else F.array().cast("array<string>")
     prefix = F.concat(F.array(F.lit(PREFIX[0])), asked, F.array(F.lit(PREFIX[1])))
     # Apart from the generator, beside which names inside structs are lost.
     rows = rows.withColumns({"_m": merged, "prefix": prefix})
     out = rows.select("profile_id", "condition", "ord", "codename", "seed", "prefix", F.posexplode_outer("_m").alias("step", "_s"))
-    return out.select("profile_id", "condition", "ord", "codename", "seed", "prefix", "step", F.col("_s.name").alias("step_name"), F.col("_s.independent").alias("independent"), F.col("_s.elements").alias("elements"),
+    return out.select("profile_id", "condition", "ord", "codename", "seed", "prefix", "step", F.col("_s.name").alias("step_name"),
+        F.col("_s.independent").alias("independent"), F.col("_s.elements").alias("elements"),
                       F.transform(F.filter("_s.elements", is_item), lambda e: F.substr(e, F.lit(3))).alias("items"))
 
 

@@ -134,7 +134,8 @@ def gaps(parsed: dict) -> int:
 
 
 _CALL_FIELDS = {
-    "step": "int", "step_name": "string", "attempt": "int", "kind": "string", "model": "string", "provider": "string", "prompt": "string", "prompt_sha256": "string", "response": "string", "error": "string",
+    "step": "int", "step_name": "string", "attempt": "int", "kind": "string", "model": "string", "provider": "string", "prompt": "string", "prompt_sha256": "string",
+        "response": "string", "error": "string",
     "input_tokens": "bigint", "output_tokens": "bigint", "cached_tokens": "bigint", "latency_s": "double", "finish_reason": "string",
     "parse_missing": "array<string>", "parse_invalid": "array<string>", "parse_duplicated": "array<string>",
 }
@@ -182,7 +183,8 @@ class Asker:
             call |= {"error": str(e)[:2000], **dict.fromkeys(_TOKENS, 0)}
             return "", None
         parse = A.parse_answers(r.text, items)
-        call |= {k: getattr(r, k) for k in (*_TOKENS, "latency_s", "finish_reason")} | {"response": r.text if self.o.keep_raw else None, **{f"parse_{k}": parse[k] for k in ("missing", "invalid", "duplicated")}}
+        call |= {k: getattr(r, k) for k in (*_TOKENS, "latency_s", "finish_reason")} | {"response": r.text if self.o.keep_raw else None,
+            **{f"parse_{k}": parse[k] for k in ("missing", "invalid", "duplicated")}}
         return r.text, parse
 
 
@@ -285,7 +287,8 @@ def _batches(records: Iterator[dict], columns: list[str]) -> Iterator[pd.DataFra
         yield pd.DataFrame([{c: r.get(c) for c in columns}], columns=columns, dtype=object)
 
 
-def _asked(rows: DataFrame, schema: str, o: RunOptions, client: Callable[[], object], ask: Callable, tidy: Callable[[], object] | None, log: Work | None = None, stamps: dict | None = None) -> DataFrame:
+def _asked(rows: DataFrame, schema: str, o: RunOptions, client: Callable[[], object], ask: Callable, tidy: Callable[[], object] | None, log: Work | None = None,
+    stamps: dict | None = None) -> DataFrame:
     """rows, asked session by session: ask(asker, row) gives a record; what goes wrong in one is recorded and stops none of the others.
 
     With a log, tasks append the records to it, with stamps, and give ``keys, status, segment`` instead."""
@@ -302,7 +305,8 @@ def _asked(rows: DataFrame, schema: str, o: RunOptions, client: Callable[[], obj
             made = {"status": "failed", "answers": {}, "speculation": {}, "explanations": {}, "missing_outcome_items": list(vocab.ITEM_KEYS)}
             asker.calls.append(dict.fromkeys(_CALL_FIELDS) | {"kind": "session", "error": traceback.format_exc()[-2000:], **dict.fromkeys(_TOKENS, 0)})
         told = {k: r.get(k) for k in ("profile_id", "condition", "codename", "assigned_state", "year_birth")}
-        told |= {"model": model.model, "provider": model.provider, "demographics": person["demographics"], "n_calls": len(asker.calls), "calls": asker.calls, "seconds": round(time.monotonic() - began, 2)}
+        told |= {"model": model.model, "provider": model.provider, "demographics": person["demographics"], "n_calls": len(asker.calls), "calls": asker.calls,
+            "seconds": round(time.monotonic() - began, 2)}
         return told | made
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,7 +351,8 @@ def _plain(value):
     return None if isinstance(value, float) and value != value else value
 
 
-def run_pretreatment(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, tidy: Callable[[], object] | None = None, log: Work | None = None, stamps: dict | None = None) -> DataFrame:
+def run_pretreatment(personas: DataFrame, client: Callable[[], object], options: RunOptions | None = None, tidy: Callable[[], object] | None = None,
+    log: Work | None = None, stamps: dict | None = None) -> DataFrame:
     """Answers before any treatment, asked once of each agent, in the agent's own order."""
     o = options or RunOptions()
     rows = pretreatment_plan(personas, o.seed).join(_people(personas), "profile_id")
@@ -450,13 +455,15 @@ def prompts_of(personas: DataFrame, profile_id: str, condition: str, options: Ru
 
 def inference_prompt(mould: str, background: str, levels: dict[str, list[str]], order: list[str]) -> str:
     wanted = "\n".join(f"- {name}: one of {json.dumps(levels[name], ensure_ascii=False)}" for name in order)
-    return "\n\n".join(x for x in [background, "Records of one author, oldest first:\n" + mould, "For each attribute give reasoning, top_guess, up to two alternates and a confidence from 0 to 100, as one JSON object:\n" + wanted] if x)
+    return "\n\n".join(x for x in [background, "Records of one author, oldest first:\n" + mould,
+        "For each attribute give reasoning, top_guess, up to two alternates and a confidence from 0 to 100, as one JSON object:\n" + wanted] if x)
 
 
 def response_schema(levels: dict[str, list[str]]) -> dict:
     """The JSON schema of an inference answer, for endpoints that can hold a model to one."""
     part = lambda known: {"type": "object", "required": ["reasoning", "top_guess", "alternates", "confidence"], "properties": {
-        "reasoning": {"type": "string"}, "top_guess": {"enum": known}, "alternates": {"type": "array", "items": {"enum": known}, "maxItems": 2}, "confidence": {"type": "number", "minimum": 0, "maximum": 100}}}
+        "reasoning": {"type": "string"}, "top_guess": {"enum": known}, "alternates": {"type": "array", "items": {"enum": known}, "maxItems": 2},
+            "confidence": {"type": "number", "minimum": 0, "maximum": 100}}}
     return {"type": "object", "required": list(levels), "properties": {m: part(known) for m, known in levels.items()}}
 
 

@@ -37,4 +37,5 @@ def classify(history: DataFrame, external: DataFrame | None = None, authors: Dat
 
 def missing_parents(classified: DataFrame) -> DataFrame:
     """Bare ids of parents that no table held, in order."""
-    return classified.where((F.col("structure_kind") == "unresolved") & F.startswith(X.blank("parent_id"), F.lit("t1_"))).select(X.bare_id("parent_id").alias("id")).where("id IS NOT NULL").distinct().orderBy("id")
+    return classified.where((F.col("structure_kind") == "unresolved") & F.startswith(X.blank("parent_id"),
+        F.lit("t1_"))).select(X.bare_id("parent_id").alias("id")).where("id IS NOT NULL").distinct().orderBy("id")

@@ -15,10 +15,13 @@ from .order import numbered
 #: Names of single items in the individual-level table.
 TRUST_NAMES = [f"trust_{s}_{i}" for s in ("competence", "integrity", "benevolence", "openness") for i in (1, 2, 3)]
 RENAMES = dict(zip(vocab.ITEM_KEYS[:12], TRUST_NAMES, strict=True))
-TIER1 = ["profile_id", "condition", *vocab.MODERATORS, "trust_multidimensional", *TRUST_NAMES, "trust_post", "distrust_post", "funding_perceptions", "policy_role_mean", "inst_trust_mean", "belief_post", "concern_mean",
+TIER1 = ["profile_id", "condition", *vocab.MODERATORS, "trust_multidimensional", *TRUST_NAMES, "trust_post", "distrust_post", "funding_perceptions", "policy_role_mean",
+    "inst_trust_mean", "belief_post", "concern_mean",
          "policy_general", "policy_specific_mean", "behavior_mean", "donation_ams", "newsletter_signup"]
-SYSTEM = ["StartDate", "EndDate", "Status", "IPAddress", "Progress", "Duration (in seconds)", "Finished", "RecordedDate", "ResponseId", "RecipientLastName", "RecipientFirstName", "RecipientEmail", "ExternalReference", "LocationLatitude", "LocationLongitude", "DistributionChannel", "UserLanguage"]
-RAW = [*SYSTEM, "condition", "profile_id", "gender", "year_birth", "race", "education", "income", "party", "donation", "newsletter", *[k for k in vocab.ITEM_KEYS if k not in ("donation", "newsletter")]]
+SYSTEM = ["StartDate", "EndDate", "Status", "IPAddress", "Progress", "Duration (in seconds)", "Finished", "RecordedDate", "ResponseId", "RecipientLastName",
+    "RecipientFirstName", "RecipientEmail", "ExternalReference", "LocationLatitude", "LocationLongitude", "DistributionChannel", "UserLanguage"]
+RAW = [*SYSTEM, "condition", "profile_id", "gender", "year_birth", "race", "education", "income", "party", "donation", "newsletter",
+    *[k for k in vocab.ITEM_KEYS if k not in ("donation", "newsletter")]]
 
 
 def usable_responses(responses: DataFrame, include_partial: bool = False, seq: str = "seq") -> DataFrame:
@@ -95,7 +98,8 @@ def moderator_means(df: DataFrame, condition: str, moderators: Sequence[str], ou
     # grouping() is 0 for the moderator that a row is grouped by.
     which = F.coalesce(*[F.when(F.grouping(m) == 0, F.lit(m)) for m in moderators])
     sets = [[F.col(condition), F.col(m)] for m in moderators]
-    grouped = view.groupingSets(sets, condition, *moderators).agg(which.alias("moderator"), F.coalesce(*[F.when(F.grouping(m) == 0, F.col(m)) for m in moderators]).alias("moderator_level"), *[F.avg(o).alias(o) for o in outcomes])
+    grouped = view.groupingSets(sets, condition, *moderators).agg(which.alias("moderator"),
+        F.coalesce(*[F.when(F.grouping(m) == 0, F.col(m)) for m in moderators]).alias("moderator_level"), *[F.avg(o).alias(o) for o in outcomes])
     grouped = grouped.select(condition, "moderator", "moderator_level", *outcomes)
     return grouped.where("moderator_level IS NOT NULL").unpivot([condition, "moderator", "moderator_level"], list(outcomes), "outcome", "mean")
 
@@ -120,7 +124,8 @@ def tier2_moderator(t1: DataFrame) -> DataFrame:
     grid = _levels(spark, "condition", vocab.CONDITIONS).crossJoin(levels).crossJoin(_levels(spark, "outcome", list(vocab.OUTCOMES)))
     cells = moderator_means(t1, "condition", list(vocab.MODERATORS), list(vocab.OUTCOMES))
     main = tier2_main(t1).withColumnRenamed("mean", "_main")
-    return grid.join(cells, ["condition", "moderator", "moderator_level", "outcome"], "left").join(main, ["condition", "outcome"], "left").select("condition", "moderator", "moderator_level", "outcome", F.coalesce("mean", "_main").alias("mean"))
+    return grid.join(cells, ["condition", "moderator", "moderator_level", "outcome"], "left").join(main, ["condition", "outcome"], "left").select("condition",
+        "moderator", "moderator_level", "outcome", F.coalesce("mean", "_main").alias("mean"))
 
 
 def check_tier1(t1: DataFrame) -> DataFrame:

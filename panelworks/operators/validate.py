@@ -47,7 +47,8 @@ def out_of_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataF
     """Per column how many values are missing and how many lie outside its range."""
     checks = [x for c, (lo, hi) in ranges.items() for x in (F.count_if(R.number(c).isNull()).alias(f"{c}|missing"), F.count_if(~R.number(c).between(lo, hi)).alias(f"{c}|outside"))]
     one = df.agg(*checks)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}|missing`").alias("missing"), F.col(f"`{c}|outside`").alias("outside")) for c in ranges])).alias("r")).select("r.*")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}|missing`").alias("missing"),
+        F.col(f"`{c}|outside`").alias("outside")) for c in ranges])).alias("r")).select("r.*")
 
 
 def grid_completeness(df: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -56,7 +57,8 @@ def grid_completeness(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     expected = F.lit(1).cast("bigint")
     for d in dims:
         expected = expected * F.col(f"n_{d}")
-    return counted.select("cells", expected.alias("expected"), (F.col("cells") - F.col("distinct_cells")).alias("duplicated"), ((F.col("cells") == F.col("distinct_cells")) & (F.col("cells") == expected)).alias("complete"))
+    return counted.select("cells", expected.alias("expected"), (F.col("cells") - F.col("distinct_cells")).alias("duplicated"),
+        ((F.col("cells") == F.col("distinct_cells")) & (F.col("cells") == expected)).alias("complete"))
 
 
 def unknown_labels(df: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
@@ -320,8 +322,10 @@ def blank_answers(registration: str) -> list[str]:
 UPLOAD_TYPES = ["publication", "poster", "presentation", "dataset", "image", "video", "software", "lesson", "physicalobject", "other"]
 ACCESS_RIGHTS = ["open", "embargoed", "restricted", "closed"]
 RELATIONS = [
-    "isCitedBy", "cites", "isSupplementTo", "isSupplementedBy", "isContinuedBy", "continues", "isDescribedBy", "describes", "hasMetadata", "isMetadataFor", "isNewVersionOf", "isPreviousVersionOf", "isPartOf", "hasPart", "isReferencedBy",
-    "references", "isDocumentedBy", "documents", "isCompiledBy", "compiles", "isVariantFormOf", "isOriginalFormOf", "isIdenticalTo", "isAlternateIdentifier", "isReviewedBy", "reviews", "isDerivedFrom", "isSourceOf", "requires",
+    "isCitedBy", "cites", "isSupplementTo", "isSupplementedBy", "isContinuedBy", "continues", "isDescribedBy", "describes", "hasMetadata", "isMetadataFor",
+        "isNewVersionOf", "isPreviousVersionOf", "isPartOf", "hasPart", "isReferencedBy",
+    "references", "isDocumentedBy", "documents", "isCompiledBy", "compiles", "isVariantFormOf", "isOriginalFormOf", "isIdenticalTo", "isAlternateIdentifier",
+        "isReviewedBy", "reviews", "isDerivedFrom", "isSourceOf", "requires",
     "isRequiredBy", "isObsoletedBy", "obsoletes",
 ]
 

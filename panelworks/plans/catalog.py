@@ -60,7 +60,8 @@ SELECT author, state AS assigned_state, CAST(total AS BIGINT) AS state_post_coun
 def state_assignment(spark, sf_dir):
     # Sub3 leads to two states and so to none; Sub0..Sub2 to one each.
     states = spark.createDataFrame([("Texas", "r/Sub0"), ("Alaska", "sub1"), ("Ohio", "r/sub2"), ("Ohio", "sub3"), ("Texas", "sub3")], "state string, subreddit string")
-    c = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("user_"), (F.col("s_suppkey") % 150).cast("string")).alias("author"), F.concat(F.lit("r/Sub"), (F.col("s_nationkey") % 3).cast("string")).alias("subreddit")).agg(F.count(F.lit(1)).alias("total"))
+    c = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("user_"), (F.col("s_suppkey") % 150).cast("string")).alias("author"),
+        F.concat(F.lit("r/Sub"), (F.col("s_nationkey") % 3).cast("string")).alias("subreddit")).agg(F.count(F.lit(1)).alias("total"))
     return activity.assign_state(c, states)
 
 
@@ -79,7 +80,8 @@ def ambiguous_lookup(spark, sf_dir):
     """Keys of which some lead to several values."""
     c = table(spark, sf_dir, "customer")
     keyed = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("k"), F.col("p_brand").alias("brand"))
-    keyed = keyed.unionByName(c.select((1000 + F.col("c_nationkey")).cast("bigint").alias("k"), F.col("c_mktsegment").alias("brand"))).unionByName(c.select((10000 + F.col("c_custkey")).alias("k"), F.col("c_mktsegment").alias("brand")))
+    keyed = keyed.unionByName(c.select((1000 + F.col("c_nationkey")).cast("bigint").alias("k"),
+        F.col("c_mktsegment").alias("brand"))).unionByName(c.select((10000 + F.col("c_custkey")).alias("k"), F.col("c_mktsegment").alias("brand")))
     return activity.unambiguous(keyed, "k", "brand")
 
 
@@ -90,8 +92,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey
 """)
 def weighted_score(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_partkey").alias("k"), "l_quantity")
-    scores = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(F.lit("nan").cast("double")).alias("size"), F.col("p_retailprice").alias("price"))
-    return activity.weighted_scores(rows, scores, "k", "o_custkey", "l_quantity", ["size", "price"]).select("o_custkey", _r("size_score").alias("size_score"), _r("price_score").alias("price_score"), "n_total", "n_scored")
+    scores = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"),
+        F.when(F.col("p_size") > 5, F.col("p_size")).otherwise(F.lit("nan").cast("double")).alias("size"), F.col("p_retailprice").alias("price"))
+    return activity.weighted_scores(rows, scores, "k", "o_custkey", "l_quantity", ["size", "price"]).select("o_custkey", _r("size_score").alias("size_score"),
+        _r("price_score").alias("price_score"), "n_total", "n_scored")
 
 
 # --- Weighted microdata and recodes --------------------------------------------------------------------------------
@@ -131,7 +135,8 @@ SELECT p_partkey, CASE WHEN p_size * 2 < 18 THEN NULL WHEN p_size * 2 <= 29 THEN
 """)
 def recode_bands(spark, sf_dir):
     s = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", R.age_band(s * 2).alias("age_band"), R.gender(s % 4).alias("gender"), R.race(s % 5, s % 9 + 1).alias("race"), R.education(s).alias("education"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.age_band(s * 2).alias("age_band"), R.gender(s % 4).alias("gender"), R.race(s % 5, s % 9 + 1).alias("race"),
+        R.education(s).alias("education"))
 
 
 @query("""
@@ -146,7 +151,8 @@ def recode_income_party(spark, sf_dir):
 @query("SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 1950 + c_nationkey WHEN 1 THEN 2026 - (18 + c_nationkey) ELSE 1960 + c_nationkey END AS year FROM customer")
 def birth_years(spark, sf_dir):
     n = F.col("c_nationkey")
-    said = F.when(n % 3 == 0, F.concat(F.lit("in "), (1950 + n).cast("string"), F.lit("."))).when(n % 3 == 1, (18 + n).cast("string")).otherwise(F.concat(F.lit("born in "), (1960 + n).cast("string"), F.lit(", moved 1999")))
+    said = F.when(n % 3 == 0, F.concat(F.lit("in "), (1950 + n).cast("string"), F.lit("."))).when(n % 3 == 1,
+        (18 + n).cast("string")).otherwise(F.concat(F.lit("born in "), (1960 + n).cast("string"), F.lit(", moved 1999")))
     return table(spark, sf_dir, "customer").select("c_custkey", R.birth_year(said).alias("year"))
 
 
@@ -171,8 +177,10 @@ def whole_threads(spark, sf_dir, lost=None):
     before = F.when(F.lit(False) if lost is None else lost, F.concat(F.col("conv_id").cast("string"), F.lit("_gone"))).otherwise(cid(t - 1))
     parent = F.when(t == 0, "").when(t == 1, F.concat(F.lit("t3_"), cid(F.lit(0)))).otherwise(F.concat(F.lit("t1_"), before))
     return table(spark, sf_dir, "conversations").select(
-        F.when(t == 0, "submission").otherwise("comment").alias("post_type"), cid(t).alias("id"), F.col("role").alias("author"), F.lit("").alias("author_created_utc"), F.lit("talk").alias("subreddit"),
-        (F.lit(1_700_000_000) + t * 60).cast("string").alias("created_utc"), F.lit("").alias("title"), X.blank("text").alias("body"), F.lit("").alias("score"), F.lit("").alias("link_id"), parent.alias("parent_id"))
+        F.when(t == 0, "submission").otherwise("comment").alias("post_type"), cid(t).alias("id"), F.col("role").alias("author"), F.lit("").alias("author_created_utc"),
+            F.lit("talk").alias("subreddit"),
+        (F.lit(1_700_000_000) + t * 60).cast("string").alias("created_utc"), F.lit("").alias("title"), X.blank("text").alias("body"), F.lit("").alias("score"),
+            F.lit("").alias("link_id"), parent.alias("parent_id"))
 
 
 def _threads(spark, sf_dir):
@@ -288,7 +296,8 @@ def stratified_draw(spark, sf_dir):
 def _pool(spark, sf_dir):
     pick = lambda m, by: F.element_at(F.array(*[F.lit(x) for x in [*vocab.MODERATORS[m], "?"]]), (by % (len(vocab.MODERATORS[m]) + 1) + 1).cast("int")).alias(m)
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.cast("string").alias("author"), pick("gender", F.floor(k / 7)), pick("age_band", F.col("c_nationkey")), pick("race", k), *[pick(m, k + 3) for m in ("education", "income", "party")])
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("author"), pick("gender", F.floor(k / 7)), pick("age_band", F.col("c_nationkey")),
+        pick("race", k), *[pick(m, k + 3) for m in ("education", "income", "party")])
 
 
 _POOL = """SELECT CAST(c_custkey AS VARCHAR) AS author, (['Male', 'Female', 'Other', '?'])[CAST(floor(c_custkey / 7) AS BIGINT) % 4 + 1] AS gender, (['18-29', '30-44', '45-59', '60+', '?'])[c_nationkey % 5 + 1] AS age_band,
@@ -410,7 +419,8 @@ def composite_means(spark, sf_dir):
 
 def _panel(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.select(F.col("o_orderpriority").alias("condition"), F.col("c_mktsegment").alias("segment"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
+    return o.select(F.col("o_orderpriority").alias("condition"), F.col("c_mktsegment").alias("segment"), F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("price"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
 
 
 _PANEL = "SELECT o_orderpriority AS condition, c_mktsegment AS segment, o_orderstatus AS status, o_totalprice AS price, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance FROM orders JOIN customer ON o_custkey = c_custkey"
@@ -485,9 +495,11 @@ def json_spans(spark, sf_dir):
 def answer_parse(spark, sf_dir):
     ship(spark)
     n = F.col("c_nationkey")
-    said = F.concat(F.lit("draft **title: TRUST_POST**\n"), F.lit("\n**title: TRUST_POST**\n**answer: about "), (n * 5).cast("string"), F.lit("/100**\n**speculation: 30**\n\n**title: DONATION**\n**explanation: so it is**\n**answer: $"), (n % 11).cast("string"), F.lit("**"))
+    said = F.concat(F.lit("draft **title: TRUST_POST**\n"), F.lit("\n**title: TRUST_POST**\n**answer: about "), (n * 5).cast("string"),
+        F.lit("/100**\n**speculation: 30**\n\n**title: DONATION**\n**explanation: so it is**\n**answer: $"), (n % 11).cast("string"), F.lit("**"))
     parsed = A.answers_udf(["trust_post_1", "donation"])(said)
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), parsed.alias("p")).select("id", F.col("p.answers").getItem("trust_post_1").alias("trust"), F.col("p.answers").getItem("donation").alias("donation"), F.array_contains("p.invalid", "trust_post_1").alias("invalid"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), parsed.alias("p")).select("id",
+        F.col("p.answers").getItem("trust_post_1").alias("trust"), F.col("p.answers").getItem("donation").alias("donation"), F.array_contains("p.invalid", "trust_post_1").alias("invalid"))
 
 
 def _personas(spark, sf_dir):
@@ -517,7 +529,8 @@ def persona_documents(spark, sf_dir):
     """A conversation's turns as an author's posts."""
     rows = _threads(spark, sf_dir).withColumn("author", F.split("id", "_")[0])
     post = F.struct(F.col("post_type").alias("type"), "subreddit", "created_utc", "title", "body", "score")
-    return personas.verbalize(rows.groupBy("author").agg(F.sort_array(F.collect_list(post)).alias("posts"))).select("author", F.sha2("profile_text", 256).alias("profile_sha"), F.length("profile_text").cast("bigint").alias("chars"), "n_posts_included", "n_posts_total")
+    return personas.verbalize(rows.groupBy("author").agg(F.sort_array(F.collect_list(post)).alias("posts"))).select("author",
+        F.sha2("profile_text", 256).alias("profile_sha"), F.length("profile_text").cast("bigint").alias("chars"), "n_posts_included", "n_posts_total")
 
 
 @query(_THREADS + rf"""

@@ -54,8 +54,10 @@ def history_of_exports(spark, sf_dir):
     """Two exports of posts, under other column names and partly the same, and one of comments, as one history."""
     t = table(spark, sf_dir, "conversations")
     key = F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
-    posts = t.where("turn = 0").select(F.concat(F.lit(" "), F.upper("role")).alias("author_key"), key.alias("Post_ID"), F.col("text").alias("selftext"), F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("TITLE"))
-    comments = t.where("turn > 0").select(F.col("role").alias("author"), key.alias("id"), F.col("text").alias("body"), F.concat(F.lit("t3_"), F.col("conv_id").cast("string"), F.lit("_0")).alias("parent_id"))
+    posts = t.where("turn = 0").select(F.concat(F.lit(" "), F.upper("role")).alias("author_key"), key.alias("Post_ID"), F.col("text").alias("selftext"),
+        F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("TITLE"))
+    comments = t.where("turn > 0").select(F.col("role").alias("author"), key.alias("id"), F.col("text").alias("body"),
+        F.concat(F.lit("t3_"), F.col("conv_id").cast("string"), F.lit("_0")).alias("parent_id"))
     paths = []
     for name, df in (("a", posts), ("b", posts.where("TITLE LIKE '%1'").withColumn("selftext", F.lit("later copy"))), ("c", comments)):
         paths.append(scratch(spark, f"export-{name}"))

@@ -23,7 +23,8 @@ def resume_from_log(spark, sf_dir):
     """What is left to do after two jobs: one that ended, whose keys are in the snapshot, and one that was stopped, whose segments are the tail."""
     ship(spark)
     log = RecordLog(spark, scratch(spark, "log"), ["profile_id"], "profile_id string, status string", 4)
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("profile_id"), F.when(F.col("o_orderkey") % 3 == 0, "complete").otherwise("failed").alias("status"), (F.col("o_orderkey") % 2 == 0).alias("early"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("profile_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, "complete").otherwise("failed").alias("status"), (F.col("o_orderkey") % 2 == 0).alias("early"))
     left = None
     for b in range(log.buckets):
         mine = orders.where(log.bucket("profile_id") == b)
@@ -115,16 +116,21 @@ def moulds_with_background(spark, sf_dir):
 
 #: (check, whether a deposit has it, when it holds, its status otherwise), over the columns of d below.
 _RULES = [
-    ("team_id given", "true", "team <> ''", "FAIL"), ("team_name given", "true", "k % 13 <> 0", "FAIL"), ("contact given", "true", "true", "FAIL"), ("tier", "true", "tier IN (1, 2, 3)", "FAIL"), ("entry", "true", "k % 3 < 2", "FAIL"),
-    ("models listed", "true", "k % 5 <> 0", "FAIL"), ("approach_family given", "true", "k % 17 <> 0", "FAIL"), ("disclosure_class", "true", "kind <> 'D'", "FAIL"), ("no escrow for class A", "kind = 'A'", "k % 2 <> 0", "WARN"),
-    ("escrow for class B", "kind = 'B'", "k % 2 = 0", "WARN"), ("escrow for class C", "kind = 'C'", "k % 2 = 0", "WARN"), ("blinding attested", "true", "k % 19 <> 0", "FAIL"), ("coverage given", "true", "k % 41 <> 0", "FAIL"),
-    ("coverage full", "true", "k % 23 <> 0 AND k % 41 <> 0", "FAIL"), ("prediction files listed", "true", "true", "FAIL"), ("staged", "staged", "false", "WARN"), ("file count for tier", "NOT staged", "tier <> 2", "WARN"),
+    ("team_id given", "true", "team <> ''", "FAIL"), ("team_name given", "true", "k % 13 <> 0", "FAIL"), ("contact given", "true", "true", "FAIL"),
+        ("tier", "true", "tier IN (1, 2, 3)", "FAIL"), ("entry", "true", "k % 3 < 2", "FAIL"),
+    ("models listed", "true", "k % 5 <> 0", "FAIL"), ("approach_family given", "true", "k % 17 <> 0", "FAIL"), ("disclosure_class", "true", "kind <> 'D'", "FAIL"),
+        ("no escrow for class A", "kind = 'A'", "k % 2 <> 0", "WARN"),
+    ("escrow for class B", "kind = 'B'", "k % 2 = 0", "WARN"), ("escrow for class C", "kind = 'C'", "k % 2 = 0", "WARN"),
+        ("blinding attested", "true", "k % 19 <> 0", "FAIL"), ("coverage given", "true", "k % 41 <> 0", "FAIL"),
+    ("coverage full", "true", "k % 23 <> 0 AND k % 41 <> 0", "FAIL"), ("prediction files listed", "true", "true", "FAIL"), ("staged", "staged", "false", "WARN"),
+        ("file count for tier", "NOT staged", "tier <> 2", "WARN"),
     ("file name", "NOT staged", "tier <> 2 AND k % 29 <> 0", "FAIL"), ("file present", "NOT staged", "k % 31 <> 0", "FAIL"), ("file sha256", "NOT staged AND k % 31 <> 0", "k % 37 <> 0", "FAIL"),
 ]
 
 
 @query("WITH d AS (SELECT *, team <> '' AND k % 29 = 0 AS staged FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'team' || (c_custkey % 7) END AS team, c_custkey % 4 AS tier, (['A', 'B', 'C', 'D'])[c_custkey // 2 % 4 + 1] AS kind FROM customer)), r AS ("
-       + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CASE WHEN {ok} THEN 'PASS' ELSE '{bad}' END AS status FROM d WHERE {has}" for c, has, ok, bad in _RULES) + ") SELECT \"check\", status, count(*) AS n FROM r GROUP BY ALL")
+       + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CASE WHEN {ok} THEN 'PASS' ELSE '{bad}' END AS status FROM d WHERE {has}" for c, has, ok,
+           bad in _RULES) + ") SELECT \"check\", status, count(*) AS n FROM r GROUP BY ALL")
 def deposit_metadata(spark, sf_dir):
     """Customers as deposits whose metadata break the rules in turn."""
     ship(spark)
@@ -134,8 +140,10 @@ def deposit_metadata(spark, sf_dir):
     pick = lambda by, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (by + 1).cast("int"))
     meta = F.struct(
         team.alias("team_id"), F.when(k % 13 != 0, "T").alias("team_name"), F.lit("a@b").alias("contact"), tier.alias("tier"), pick(k % 3, "primary", "secondary-12", "secondary").alias("entry"),
-        F.when(k % 5 != 0, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("models"), F.when(k % 17 != 0, "f").otherwise(" ").alias("approach_family"), pick(F.floor(k / 2) % 4, "A", "B", "C", "D").alias("disclosure_class"),
-        F.when(k % 2 == 0, "10.1/x").alias("escrow_doi"), (k % 19 != 0).alias("blinding_attestation"), F.when(k % 41 != 0, F.struct(F.when(k % 23 == 0, 15).otherwise(16).alias("interventions"), F.lit(13).alias("outcomes"))).alias("coverage"),
+        F.when(k % 5 != 0, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("models"),
+            F.when(k % 17 != 0, "f").otherwise(" ").alias("approach_family"), pick(F.floor(k / 2) % 4, "A", "B", "C", "D").alias("disclosure_class"),
+        F.when(k % 2 == 0, "10.1/x").alias("escrow_doi"), (k % 19 != 0).alias("blinding_attestation"),
+            F.when(k % 41 != 0, F.struct(F.when(k % 23 == 0, 15).otherwise(16).alias("interventions"), F.lit(13).alias("outcomes"))).alias("coverage"),
         F.array(F.struct(name.alias("file"), F.lit("AB").alias("sha256"))).alias("prediction_files"))
     files = F.when(k % 31 != 0, F.create_map(name, F.when(k % 37 == 0, "cd").otherwise("ab"))).otherwise(F.create_map().cast("map<string,string>"))
     told = validate.metadata_reports(table(spark, sf_dir, "customer").select(k.alias("id"), F.to_json(meta).alias("metadata"), files.alias("files")))
@@ -169,7 +177,8 @@ def citation_records(spark, sf_dir):
     k = F.col("c_custkey")
     orcid = F.when(k % 5 == 0, "0000-0002-1825-0097").when(k % 5 == 1, "0000-0002-1825-0096").when(k % 5 == 2, "https://orcid.org/0000-0002-1825-0097")
     meta = F.struct(
-        F.when(k % 7 > 0, F.concat(F.lit("t"), k.cast("string"))).alias("team_id"), (k % 3 + 1).alias("tier"), F.array(F.lit("m1"), F.lit("m2")).alias("models"), F.array(F.struct(F.col("c_name").alias("name"), orcid.alias("orcid"))).alias("creators"),
+        F.when(k % 7 > 0, F.concat(F.lit("t"), k.cast("string"))).alias("team_id"), (k % 3 + 1).alias("tier"), F.array(F.lit("m1"), F.lit("m2")).alias("models"),
+            F.array(F.struct(F.col("c_name").alias("name"), orcid.alias("orcid"))).alias("creators"),
         F.when(k % 2 == 0, F.concat(F.lit(" One "), k.cast("string"), F.lit(".\n \t\nTwo.\n"))).alias("abstract"))
     made = sinks.citations(table(spark, sf_dir, "customer").select(k.alias("id"), F.to_json(meta).alias("metadata")), collection="Predictions")
     r = F.from_json("record", "title string, version string, description string, creators array<struct<name:string,orcid:string>>")

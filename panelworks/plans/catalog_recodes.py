@@ -42,7 +42,8 @@ FROM (SELECT *, p_retailprice * 90 AS x FROM part)
 def person_recodes(spark, sf_dir):
     """A census record's codes as levels, all at once."""
     s = F.col("p_size")
-    raw = table(spark, sf_dir, "part").select("p_partkey", (s % 4).alias("SEX"), (s * 2).alias("AGEP"), (s % 5).alias("HISP"), (s % 9 + 1).alias("RAC1P"), s.alias("SCHL"), (F.col("p_retailprice") * 90).alias("PINCP"))
+    raw = table(spark, sf_dir, "part").select("p_partkey", (s % 4).alias("SEX"), (s * 2).alias("AGEP"), (s % 5).alias("HISP"), (s % 9 + 1).alias("RAC1P"),
+        s.alias("SCHL"), (F.col("p_retailprice") * 90).alias("PINCP"))
     return R.recode_person(raw).select("p_partkey", *_RECODED)
 
 
@@ -118,7 +119,8 @@ def export_values(spark, sf_dir):
 
     n = F.col("c_nationkey")
     value = lambda k, a: tiers.export_value(k, a)
-    return table(spark, sf_dir, "customer").select("c_custkey", value("donation", _pick([s for s, _, _ in _DON], n)).alias("dollars"), value("newsletter", _pick(["News1", "News2"], n)).alias("newsletter"), value("trust_post_1", (n * 4).cast("string")).alias("slider"))
+    return table(spark, sf_dir, "customer").select("c_custkey", value("donation", _pick([s for s, _, _ in _DON], n)).alias("dollars"),
+        value("newsletter", _pick(["News1", "News2"], n)).alias("newsletter"), value("trust_post_1", (n * 4).cast("string")).alias("slider"))
 
 
 # --- Text ------------------------------------------------------------------------------------------------------------------
@@ -206,14 +208,16 @@ def people(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         F.format_string("agent_%04d", k).alias("profile_id"), F.concat(F.lit(" User_"), k.cast("string")).alias("author"), *[_pick(levels, k + i).alias(m) for i, (m, levels) in enumerate(_M.items())],
-        _pick(["TX", "r/Maine", "nowhere", None], k).alias("assigned_state"), F.col("c_mktsegment").alias("segment"), F.when(k % 2 == 0, "x").otherwise("").alias("note"), F.when(k % 3 == 0, "1900").alias("year_birth"))
+        _pick(["TX", "r/Maine", "nowhere", None], k).alias("assigned_state"), F.col("c_mktsegment").alias("segment"), F.when(k % 2 == 0, "x").otherwise("").alias("note"),
+            F.when(k % 3 == 0, "1900").alias("year_birth"))
 
 
 def posts(spark, sf_dir) -> DataFrame:
     """Orders as their customers' posts; one in seven without a text."""
     o = table(spark, sf_dir, "orders")
     post = F.struct(
-        F.lit("comment").alias("type"), F.lower("o_orderstatus").alias("subreddit"), (F.lit(1_700_000_000) + F.col("o_orderkey") * 86_400).cast("string").alias("created_utc"), F.lit("").alias("title"),
+        F.lit("comment").alias("type"), F.lower("o_orderstatus").alias("subreddit"),
+            (F.lit(1_700_000_000) + F.col("o_orderkey") * 86_400).cast("string").alias("created_utc"), F.lit("").alias("title"),
         F.when(F.col("o_orderkey") % 7 == 0, "[removed]").otherwise(F.concat(F.lit("about "), "o_orderpriority")).alias("body"), F.lit("").alias("score"))
     return o.groupBy(F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("author")).agg(F.sort_array(F.collect_list(post)).alias("posts"))
 
@@ -249,14 +253,16 @@ SELECT profile_id, author, gender, (['Texas', 'Maine', NULL, NULL])[c_custkey %
 def persona_records(spark, sf_dir):
     """A persona's levels, state, year of birth and further columns."""
     made = personas.build_personas(people(spark, sf_dir), posts(spark, sf_dir))
-    return made.select("profile_id", "author", F.col("demographics.gender").alias("gender"), "assigned_state", "state_case", "year_birth", F.concat(F.lit("segment="), F.col("extra").getItem("segment")).alias("segment"), F.col("extra").getItem("note").alias("note"))
+    return made.select("profile_id", "author", F.col("demographics.gender").alias("gender"), "assigned_state", "state_case", "year_birth",
+        F.concat(F.lit("segment="), F.col("extra").getItem("segment")).alias("segment"), F.col("extra").getItem("note").alias("note"))
 
 
 @query(_PEOPLE + "SELECT 'user_' || o_custkey AS author, count(*) AS n, sha256(string_agg(body, '|' ORDER BY o_orderkey)) AS bodies FROM o JOIN p ON o_custkey = c_custkey GROUP BY o_custkey")
 def posts_of_agents(spark, sf_dir):
     """Interactions gathered for each agent, oldest first."""
     o = table(spark, sf_dir, "orders")
-    rows = o.select(F.concat(F.lit("USER_"), F.col("o_custkey").cast("string")).alias("author"), F.format_string("%012d", "o_orderkey").alias("created_utc"), F.lit("i").alias("id"), F.lit("s").alias("subreddit"), F.lit("").alias("parent_body"),
+    rows = o.select(F.concat(F.lit("USER_"), F.col("o_custkey").cast("string")).alias("author"), F.format_string("%012d", "o_orderkey").alias("created_utc"),
+        F.lit("i").alias("id"), F.lit("s").alias("subreddit"), F.lit("").alias("parent_body"),
                     F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.concat(F.lit("about "), "o_orderpriority")).alias("body"))
     made = personas.persona_posts(people(spark, sf_dir), rows)
     return made.select("author", F.size("posts").cast("bigint").alias("n"), F.sha2(F.array_join(F.transform("posts", lambda x: x["body"]), "|"), 256).alias("bodies"))
@@ -334,7 +340,8 @@ def session_orders(spark, sf_dir):
     place = F.struct("step", F.array_position("items", F.col("item")).alias("at"))
     w = Window.partitionBy("profile_id", "condition", "what")
     what = F.when(F.startswith("item", F.lit("consensus_")), "statements").when(group == 2, "second").when(group == 3, "third")
-    named = plan.select("profile_id", "condition", what.alias("what"), F.coalesce(block, F.replace("item", F.lit("consensus_"), F.lit(""))).alias("name"), place.alias("place")).where("what IS NOT NULL")
+    named = plan.select("profile_id", "condition", what.alias("what"), F.coalesce(block, F.replace("item", F.lit("consensus_"), F.lit(""))).alias("name"),
+        place.alias("place")).where("what IS NOT NULL")
     first = named.groupBy("profile_id", "condition", "what", "name").agg(F.min("place").alias("place"))
     told = first.groupBy("profile_id", "condition").pivot("what", ["statements", "second", "third"]).agg(F.sort_array(F.collect_list(F.struct("place", "name"))))
     return told.select("profile_id", "condition", *[F.array_join(F.transform(c, lambda x: x["name"]), ",").alias(c) for c in ("statements", "second", "third")])
@@ -399,7 +406,8 @@ def call_totals(spark, sf_dir):
     """Calls, tokens and failures of sessions and of what was asked before them."""
     t = table(spark, sf_dir, "conversations")
     failed = F.col("turn") % 3 == 0
-    call = F.struct(F.when(failed, "down").alias("error"), F.when(failed, 0).otherwise(F.length(X.blank("text"))).cast("bigint").alias("input_tokens"), F.col("turn").cast("bigint").alias("output_tokens"), F.lit(0).cast("bigint").alias("cached_tokens"))
+    call = F.struct(F.when(failed, "down").alias("error"), F.when(failed, 0).otherwise(F.length(X.blank("text"))).cast("bigint").alias("input_tokens"),
+        F.col("turn").cast("bigint").alias("output_tokens"), F.lit(0).cast("bigint").alias("cached_tokens"))
     of = lambda rows, *more: rows.groupBy(F.col("conv_id").cast("string").alias("profile_id"), *more).agg(F.collect_list(call).alias("calls"))
     return survey.usage(of(t.where("turn > 0"), F.col("role").alias("condition")), of(t.where("turn = 0")))
 

@@ -22,8 +22,10 @@ def raw(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
     item = lambda i: F.when((k + i) % 13 != 0, (k * (i + 7) % 101).cast("string"))
     made = {
-        "profile_id": F.concat(F.lit("p"), k.cast("string")), "condition": F.element_at(F.array(*[F.lit(c) for c in _NAMES]), (k % len(_NAMES) + 1).cast("int")), "year_birth": F.concat(F.lit("born "), (1930 + k % 70).cast("string")),
-        **{m: ((k + j) % len(_M[m]) + 1).cast("string") for j, m in enumerate(_CODED)}, **{key: item(i) for i, key in enumerate(_ITEMS)}, "donation": (k % 11).cast("string"), "newsletter": (k % 2 + 1).cast("string"),
+        "profile_id": F.concat(F.lit("p"), k.cast("string")), "condition": F.element_at(F.array(*[F.lit(c) for c in _NAMES]), (k % len(_NAMES) + 1).cast("int")),
+            "year_birth": F.concat(F.lit("born "), (1930 + k % 70).cast("string")),
+        **{m: ((k + j) % len(_M[m]) + 1).cast("string") for j, m in enumerate(_CODED)}, **{key: item(i) for i, key in enumerate(_ITEMS)},
+            "donation": (k % 11).cast("string"), "newsletter": (k % 2 + 1).cast("string"),
     }
     path = scratch(spark, "raw")
     sinks.write_csv(table(spark, sf_dir, "orders").select(*[made.get(c, F.lit("")).alias(c) for c in tiers.RAW]), path)
@@ -44,9 +46,12 @@ def _mean(keys) -> str:
 
 
 _COLUMNS = {
-    "profile_id": "'p' || k", "condition": f"({_list([vocab.CODENAMES[n] for n in _NAMES])})[k % {len(_NAMES)} + 1]", "age_band": "CASE WHEN 96 - k % 70 <= 29 THEN '18-29' WHEN 96 - k % 70 <= 44 THEN '30-44' WHEN 96 - k % 70 <= 59 THEN '45-59' ELSE '60+' END",
-    **{m: f"({_list(_M[m])})[(k + {j}) % {len(_M[m])} + 1]" for j, m in enumerate(_CODED)}, **{new: _item(old) for old, new in tiers.RENAMES.items()}, **{out: _item(k) for out, k in vocab.SINGLES.items()}, "funding_perceptions": f"100 - {_item('funding_5')}",
-    **{out: "list_avg([" + ", ".join(map(_mean, groups)) + "])" for out, groups in vocab.COMPOSITES.items()}, "donation_ams": "CAST(k % 11 AS INT)", "newsletter_signup": "CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END",
+    "profile_id": "'p' || k", "condition": f"({_list([vocab.CODENAMES[n] for n in _NAMES])})[k % {len(_NAMES)} + 1]",
+        "age_band": "CASE WHEN 96 - k % 70 <= 29 THEN '18-29' WHEN 96 - k % 70 <= 44 THEN '30-44' WHEN 96 - k % 70 <= 59 THEN '45-59' ELSE '60+' END",
+    **{m: f"({_list(_M[m])})[(k + {j}) % {len(_M[m])} + 1]" for j, m in enumerate(_CODED)}, **{new: _item(old) for old, new in tiers.RENAMES.items()},
+        **{out: _item(k) for out, k in vocab.SINGLES.items()}, "funding_perceptions": f"100 - {_item('funding_5')}",
+    **{out: "list_avg([" + ", ".join(map(_mean, groups)) + "])" for out, groups in vocab.COMPOSITES.items()}, "donation_ams": "CAST(k % 11 AS INT)",
+        "newsletter_signup": "CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END",
 }
 _T1 = "WITH t1 AS (SELECT " + ", ".join(f"{_COLUMNS[c]} AS {c}" for c in tiers.TIER1) + " FROM (SELECT o_orderkey AS k FROM orders))"
 
@@ -135,7 +140,8 @@ _SMALL = "(SELECT count(*) FROM (SELECT condition, count(*) AS n FROM t1 GROUP B
     ("columns", "true", "FAIL"), ("condition labels", "true", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"),
     *[x for m in _MODS for x in ((f"{m} labels", "true", "FAIL"), (f"{m} known", f"no_{m} < greatest(1, total)", "FAIL"), (f"{m} mostly known", f"no_{m} <= 0.1 * total", "WARN"))],
     ("sample sizes", "small = 0", "WARN"), ("profile_id unique", "ids = total", "WARN"), ("composite agrees with items", "true", "WARN"),
-    *[x for c in _RANGED for x in ((f"{c} range", f"out_{c} = 0", "FAIL"), (f"{c} present", f"no_{c} = 0", "WARN"))], ("donation whole dollars", "true", "FAIL"), ("newsletter binary", "true", "FAIL")]))
+    *[x for c in _RANGED for x in ((f"{c} range", f"out_{c} = 0", "FAIL"), (f"{c} present", f"no_{c} = 0", "WARN"))], ("donation whole dollars", "true", "FAIL"),
+        ("newsletter binary", "true", "FAIL")]))
 def tier1_report(spark, sf_dir):
     """All checks of an individual-level table."""
     return validate.validate_tier1(tiers.tier1(raw(spark, sf_dir))).frame(spark).select("check", "status")
@@ -145,7 +151,8 @@ _KNOWN = "[" + ", ".join(f"'{c}'" for c in vocab.CONDITIONS) + "]"
 
 
 @query(_TIER2 + f", n AS (SELECT count(*) AS cells, count(DISTINCT condition) AS conditions, count(mean) AS known FROM main WHERE condition IN (SELECT condition FROM t1)) " + _checks([
-    ("columns", "true", "FAIL"), ("condition labels", "true", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"), ("outcome labels", "true", "FAIL"), ("outcome all present", "true", "WARN"),
+    ("columns", "true", "FAIL"), ("condition labels", "true", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"),
+        ("outcome labels", "true", "FAIL"), ("outcome all present", "true", "WARN"),
     ("no repeated cells", "true", "FAIL"), ("all cells", f"cells = {len(vocab.CONDITIONS) * len(_OUTCOMES)}", "FAIL"), ("no missing values", "known = cells", "FAIL"), ("ranges", "true", "FAIL")]))
 def tier2_report(spark, sf_dir):
     """Checks of condition means of those conditions that there are."""
@@ -154,7 +161,8 @@ def tier2_report(spark, sf_dir):
 
 
 @query(_TIER2 + ", n AS (SELECT count(*) FILTER (WHERE condition = 'control') AS control, count(*) AS cells FROM main) " + _checks([
-    ("columns", "true", "FAIL"), ("no control rows", "control = 0", "FAIL"), ("condition labels", "control = 0", "FAIL"), ("condition all present", "true", "WARN"), ("outcome labels", "true", "FAIL"), ("outcome all present", "true", "WARN"),
+    ("columns", "true", "FAIL"), ("no control rows", "control = 0", "FAIL"), ("condition labels", "control = 0", "FAIL"), ("condition all present", "true", "WARN"),
+        ("outcome labels", "true", "FAIL"), ("outcome all present", "true", "WARN"),
     ("no repeated cells", "cells = 0", "FAIL"), ("all cells", f"cells = {(len(vocab.CONDITIONS) - 1) * len(_OUTCOMES)}", "FAIL"), ("no missing values", "false", "FAIL")]))
 def tier3_report(spark, sf_dir):
     """Checks of effects among which control was left, each cell there twice and one value lost."""
@@ -168,8 +176,10 @@ def _spoiled(t1: DataFrame) -> DataFrame:
     k = F.substr(F.col("profile_id"), F.lit(2)).cast("bigint")
     changed = {
         "profile_id": F.concat(F.lit("p"), (k % 7001).cast("string")), "condition": F.when(k % 97 == 0, "nowhere").when(k % 101 == 0, None).otherwise(F.col("condition")),
-        **{m: F.when((k + j) % 53 == 0, "Martian").when(k % (5 + 3 * j) == 0, None).otherwise(F.col(m)) for j, m in enumerate(_MODS)}, "trust_multidimensional": F.col("trust_multidimensional") + (k % 211 == 0).cast("int") * 5,
-        "trust_post": F.when(k % 41 == 0, 400.0).otherwise(F.col("trust_post")), "donation_ams": F.when(k % 31 == 0, 2.5).otherwise(F.col("donation_ams")), "newsletter_signup": F.when(k % 37 == 0, 2).otherwise(F.col("newsletter_signup")),
+        **{m: F.when((k + j) % 53 == 0, "Martian").when(k % (5 + 3 * j) == 0, None).otherwise(F.col(m)) for j, m in enumerate(_MODS)},
+            "trust_multidimensional": F.col("trust_multidimensional") + (k % 211 == 0).cast("int") * 5,
+        "trust_post": F.when(k % 41 == 0, 400.0).otherwise(F.col("trust_post")), "donation_ams": F.when(k % 31 == 0, 2.5).otherwise(F.col("donation_ams")),
+            "newsletter_signup": F.when(k % 37 == 0, 2).otherwise(F.col("newsletter_signup")),
     }
     return t1.withColumns(changed)
 
@@ -194,7 +204,8 @@ n AS (SELECT {_COUNTS.replace("count(DISTINCT condition) AS conditions", f"count
     ("columns", "true", "FAIL"), ("condition labels", "odd_condition = 0", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"),
     *[x for m in _MODS for x in ((f"{m} labels", f"odd_{m} = 0", "FAIL"), (f"{m} known", f"no_{m} < greatest(1, total)", "FAIL"), (f"{m} mostly known", f"no_{m} <= 0.1 * total", "WARN"))],
     ("sample sizes", "small = 0", "WARN"), ("profile_id unique", "ids = total", "WARN"), ("composite agrees with items", "off IS NULL OR off <= 0.51", "WARN"),
-    *[x for c in _RANGED for x in ((f"{c} range", f"out_{c} = 0", "FAIL"), (f"{c} present", f"no_{c} = 0", "WARN"))], ("donation whole dollars", "fractions = 0", "FAIL"), ("newsletter binary", "other = 0", "FAIL")]))
+    *[x for c in _RANGED for x in ((f"{c} range", f"out_{c} = 0", "FAIL"), (f"{c} present", f"no_{c} = 0", "WARN"))], ("donation whole dollars", "fractions = 0", "FAIL"),
+        ("newsletter binary", "other = 0", "FAIL")]))
 def tier1_report_of_faults(spark, sf_dir):
     """The same checks where they fail."""
     return validate.validate_tier1(_spoiled(tiers.tier1(raw(spark, sf_dir)))).frame(spark).select("check", "status")
@@ -206,8 +217,10 @@ u AS (SELECT * FROM v WHERE condition <> 'Peer-review' UNION ALL SELECT * FROM v
 n AS (SELECT count(*) FILTER (WHERE NOT {_in("condition", vocab.CONDITIONS)}) AS odd_condition, count(DISTINCT condition) AS conditions, count(*) FILTER (WHERE NOT {_in("outcome", _OUTCOMES)}) AS odd_outcome, count(DISTINCT outcome) FILTER (WHERE {_in("outcome", _OUTCOMES)}) AS outcomes,
   count(*) - count(DISTINCT (condition, outcome)) AS twice, count(DISTINCT (condition, outcome)) AS cells, count(*) - count(mean) AS missing, count(*) FILTER (WHERE NOT mean BETWEEN lo AND hi) AS outside FROM u LEFT JOIN b USING (outcome))
 """ + _checks([
-    ("columns", "true", "FAIL"), ("condition labels", "odd_condition = 0", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"), ("outcome labels", "odd_outcome = 0", "FAIL"), ("outcome all present", f"outcomes = {len(_OUTCOMES)}", "WARN"),
-    ("no repeated cells", "twice = 0", "FAIL"), ("all cells", f"cells = {len(vocab.CONDITIONS) * len(_OUTCOMES)}", "FAIL"), ("no missing values", "missing = 0", "FAIL"), ("ranges", "outside = 0", "FAIL")]))
+    ("columns", "true", "FAIL"), ("condition labels", "odd_condition = 0", "FAIL"), ("condition all present", f"conditions = {len(vocab.CONDITIONS)}", "WARN"),
+        ("outcome labels", "odd_outcome = 0", "FAIL"), ("outcome all present", f"outcomes = {len(_OUTCOMES)}", "WARN"),
+    ("no repeated cells", "twice = 0", "FAIL"), ("all cells", f"cells = {len(vocab.CONDITIONS) * len(_OUTCOMES)}", "FAIL"), ("no missing values", "missing = 0", "FAIL"),
+        ("ranges", "outside = 0", "FAIL")]))
 def tier2_report_of_faults(spark, sf_dir):
     """Condition means with an unknown outcome, a condition that lacks, one that is there twice, values that lack and values outside their range."""
     main = tiers.tier2_main(tiers.tier1(raw(spark, sf_dir)))
@@ -243,11 +256,14 @@ def metadata_of_files(spark, sf_dir):
 def responses(spark, sf_dir) -> DataFrame:
     """Customers as responses in one condition, all items answered."""
     k = F.col("c_custkey")
-    answer = lambda i, key: F.element_at(F.array(*[F.lit(s) for s, _, _ in vocab.CHOICES[key]]), (k % len(vocab.CHOICES[key]) + 1).cast("int")) if key in vocab.CHOICES else ((k + i) % 101).cast("string")
+    answer = lambda i, key: F.element_at(F.array(*[F.lit(s) for s, _, _ in vocab.CHOICES[key]]),
+        (k % len(vocab.CHOICES[key]) + 1).cast("int")) if key in vocab.CHOICES else ((k + i) % 101).cast("string")
     level = lambda j, m: F.element_at(F.array(*[F.lit(x) for x in _M[m]]), ((k + j) % len(_M[m]) + 1).cast("int"))
     return table(spark, sf_dir, "customer").select(
-        k.cast("string").alias("profile_id"), F.lit("Peer-review").alias("condition"), F.lit("honored haddock").alias("codename"), F.create_map(*[x for i, key in enumerate(vocab.ITEM_KEYS) for x in (F.lit(key), answer(i, key))]).alias("answers"),
-        F.create_map(*[F.lit("trust_post_1"), (k % 50).cast("int")]).alias("speculation"), F.create_map(*[x for j, m in enumerate(_M) for x in (F.lit(m), level(j, m))]).alias("demographics"), F.lit(None).cast("int").alias("year_birth"),
+        k.cast("string").alias("profile_id"), F.lit("Peer-review").alias("condition"), F.lit("honored haddock").alias("codename"),
+            F.create_map(*[x for i, key in enumerate(vocab.ITEM_KEYS) for x in (F.lit(key), answer(i, key))]).alias("answers"),
+        F.create_map(*[F.lit("trust_post_1"), (k % 50).cast("int")]).alias("speculation"), F.create_map(*[x for j, m in enumerate(_M) for x in (F.lit(m),
+            level(j, m))]).alias("demographics"), F.lit(None).cast("int").alias("year_birth"),
         F.lit("complete").alias("status"), F.lit(1).alias("n_calls"), F.lit("m").alias("model"), F.lit("Texas").alias("assigned_state"), (-k).alias("first_seen"), (k % 90 + 0.4).alias("seconds"))
 
 

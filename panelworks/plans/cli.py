@@ -194,7 +194,8 @@ def derive(spark, a):
     _, team, entry = _entry(spark, a)
     made = tiers.derive_tiers(t1, a.decimals)
     named = a.team_id or a.metadata
-    names = {"tier2_main": sinks.bundle_name(team, 2, entry, a.version, "main"), "tier2_moderator": sinks.bundle_name(team, 2, entry, a.version, "moderator"), "tier3": sinks.bundle_name(team, 3, entry, a.version)}
+    names = {"tier2_main": sinks.bundle_name(team, 2, entry, a.version, "main"), "tier2_moderator": sinks.bundle_name(team, 2, entry, a.version, "moderator"),
+        "tier3": sinks.bundle_name(team, 3, entry, a.version)}
     for kind, df in made.items():
         _save(df, f"{a.out_dir}/{names[kind] if named else kind + '.csv'}")
     sizes = t1.groupBy("condition").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).first()
@@ -242,15 +243,18 @@ STEPS = {
     "activity": (counts, ["input+!", "counts-output", "activity-output"]),
     "state": (state, ["subreddit-counts!", "state-subreddits!", "output!", "merge-into", "merged-output"]),
     "scores": (scores, ["subreddit-scores!", "user-activity!", "output!"]),
-    "infer": (infer, ["input!", "embedding-scores", "output!", ("model-client", "dummy"), "base-url", "api-key-env", ("max-context-tokens", 3000), ("seed", 42), ("limit", 0), "resume?", ("workers", 0), "extra-body"]),
+    "infer": (infer, ["input!", "embedding-scores", "output!", ("model-client", "dummy"), "base-url", "api-key-env", ("max-context-tokens", 3000), ("seed", 42),
+        ("limit", 0), "resume?", ("workers", 0), "extra-body"]),
     "sample": (sample, ["input!", "output!", "shortfall-report", "supplementary-pool", ("n", 1000), ("seed", 42), "strict?", "marginal-targets+"]),
     "classify": (classify, ["input!", "authors", "external-parents", "output!", "missing-parent-ids-output"]),
     "interactions": (extract, ["input!", "output!", "pending-fetch-output", "relaxed-authors", ("relaxed-min-words", 10)]),
     "persona-posts": (persona_posts, ["agents!", "interactions!", "output!"]),
     "personas": (build_personas, ["agents!", "posts!", "output!", ("max-posts", 60), ("max-chars-per-post", 600), ("max-total-chars", 16000)]),
     "coverage": (coverage, ["agents!", "posts!", "output", ("threshold", 10), "below-threshold-output"]),
-    "survey": (run, ["config", "personas!", "out-root!", ("run-id", "run"), ("limit-agents", 0), "only-agents+", "conditions+", ("workers", 0), ("client", "dummy"), "base-url", "api-key-env", "print-prompt+", "print-all-steps?"]),
-    "submission": (submission, ["responses!", "raw-output", "output", "out-dir", "metadata", "team-id", "entry", ("version", 1), "no-manifest?", ("run-id", "run"), "include-partial?", ("profile-id-mode", "agent")]),
+    "survey": (run, ["config", "personas!", "out-root!", ("run-id", "run"), ("limit-agents", 0), "only-agents+", "conditions+", ("workers", 0), ("client", "dummy"),
+        "base-url", "api-key-env", "print-prompt+", "print-all-steps?"]),
+    "submission": (submission, ["responses!", "raw-output", "output", "out-dir", "metadata", "team-id", "entry", ("version", 1), "no-manifest?", ("run-id", "run"),
+        "include-partial?", ("profile-id-mode", "agent")]),
     "tiers": (derive, ["tier1!", "out-dir!", "metadata", "team-id", "entry", ("version", 1), ("decimals", 3)]),
     "check": (check, ["input", "bundle", ("tier", "1")]),
     "redact": (redact_calls, ["input!", "output!"]),

@@ -124,7 +124,8 @@ def active_candidates(posts: DataFrame, communities: DataFrame, at_least: int =
     """Authors with enough posts in the communities and enough recent posts anywhere."""
     known = communities.select(F.lower("subreddit").alias("subreddit")).distinct().withColumn("known", F.lit(True))
     joined = posts.withColumn("subreddit", F.lower("subreddit")).join(known, "subreddit", "left")
-    return joined.groupBy("author").agg(F.count_if("known").alias("in_states"), F.count_if(F.col("created_utc").cast("double") >= since).alias("recent")).where((F.col("in_states") >= at_least) & (F.col("recent") >= recent))
+    return joined.groupBy("author").agg(F.count_if("known").alias("in_states"),
+        F.count_if(F.col("created_utc").cast("double") >= since).alias("recent")).where((F.col("in_states") >= at_least) & (F.col("recent") >= recent))
 
 
 def fetch_parents(store: DataFrame, ids: DataFrame) -> DataFrame:
@@ -176,7 +177,8 @@ def synthetic_posts(spark: SparkSession, agents: DataFrame, per_author: int = 8,
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(14)), lambda j: F.get(words, F.pmod(F.xxhash64(F.lit(seed), "author", "i", j), F.lit(12)).cast("int"))), " ")
     return agents.select("author", F.explode(F.sequence(F.lit(1), F.lit(per_author))).alias("i")).select(
         "author", F.when(number("t") % 2 == 0, "submission").otherwise("comment").alias("type"), F.get(words, F.pmod(number("s"), F.lit(12)).cast("int")).alias("subreddit"),
-        (F.lit(1_700_000_000) + F.pmod(number("c"), F.lit(20_000_000))).cast("string").alias("created_utc"), F.when(number("t") % 2 == 0, F.concat(F.lit("About "), F.left(body, F.lit(20)))).alias("title"), body.alias("body"), F.lit("1").alias("score"))
+        (F.lit(1_700_000_000) + F.pmod(number("c"), F.lit(20_000_000))).cast("string").alias("created_utc"),
+            F.when(number("t") % 2 == 0, F.concat(F.lit("About "), F.left(body, F.lit(20)))).alias("title"), body.alias("body"), F.lit("1").alias("score"))
 
 
 _NODE = "struct<Type:string,FlowID:string,ID:string,Description:string,SubSet:int,EvenPresentation:boolean,Flow:array<string>>"
@@ -193,16 +195,19 @@ def instrument_flow(spark: SparkSession, path: str, deepest: int = 64) -> DataFr
     level = doc.select(F.from_json("payload", _NODE).alias("n"), F.array().cast("array<int>").alias("path"), none.alias("randomizer"), F.lit(None).cast("int").alias("shown"), none.alias("branch"))
     out = None
     for _ in range(deepest):
-        children = level.select("path", "randomizer", "shown", "branch", F.col("n.Type").alias("above"), F.col("n.FlowID").alias("above_id"), F.col("n.SubSet").alias("above_shown"), F.posexplode("n.Flow").alias("position", "node"))
+        children = level.select("path", "randomizer", "shown", "branch", F.col("n.Type").alias("above"), F.col("n.FlowID").alias("above_id"),
+            F.col("n.SubSet").alias("above_shown"), F.posexplode("n.Flow").alias("position", "node"))
         random, inner = F.col("above").endswith("Randomizer"), F.col("above") == "Branch"
         level = children.select(
-            F.from_json("node", _NODE).alias("n"), F.concat("path", F.array("position")).alias("path"), "position", F.when(random, F.col("above_id")).otherwise(F.col("randomizer")).alias("randomizer"),
+            F.from_json("node", _NODE).alias("n"), F.concat("path", F.array("position")).alias("path"), "position",
+                F.when(random, F.col("above_id")).otherwise(F.col("randomizer")).alias("randomizer"),
             F.when(random, F.col("above_shown")).otherwise(F.col("shown")).alias("shown"), F.when(inner, F.col("above_id")).otherwise(F.col("branch")).alias("branch"))
         # An instrument is one document, and a level of it a few hundred rows.
         level = spark.createDataFrame(level.collect(), level.schema)
         if level.isEmpty():
             break
-        part = level.select("path", "position", F.size("path").alias("depth"), F.col("n.Type").alias("kind"), F.col("n.FlowID").alias("flow_id"), F.col("n.ID").alias("block_id"), F.col("n.Description").alias("description"), "randomizer", "shown", "branch")
+        part = level.select("path", "position", F.size("path").alias("depth"), F.col("n.Type").alias("kind"), F.col("n.FlowID").alias("flow_id"),
+            F.col("n.ID").alias("block_id"), F.col("n.Description").alias("description"), "randomizer", "shown", "branch")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "path array<int>, position int, depth int, kind string, flow_id string, block_id string, description string, randomizer string, shown int, branch string")
@@ -213,4 +218,5 @@ def instrument_elements(spark: SparkSession, path: str) -> DataFrame:
     """The elements of a survey instrument (one JSON document): ``element, primary, secondary, payload`` with the payload as JSON."""
     schema = "SurveyElements array<struct<Element:string,PrimaryAttribute:string,SecondaryAttribute:string,Payload:string>>"
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
-    return doc.select(F.explode("d.SurveyElements").alias("e")).select(F.col("e.Element").alias("element"), F.col("e.PrimaryAttribute").alias("primary"), F.col("e.SecondaryAttribute").alias("secondary"), F.col("e.Payload").alias("payload"))
+    return doc.select(F.explode("d.SurveyElements").alias("e")).select(F.col("e.Element").alias("element"), F.col("e.PrimaryAttribute").alias("primary"),
+        F.col("e.SecondaryAttribute").alias("secondary"), F.col("e.Payload").alias("payload"))

@@ -124,7 +124,8 @@ def citation(meta: dict, collection: str = "Survey predictions", keywords: Seque
     if code and "your-team/your-repo" not in code:
         links.append({"identifier": code, "relation": "isCompiledBy", "scheme": "url", "resource_type": "software"})
     record = {
-        "upload_type": "software", "title": f"{collection}: Tier {tier} ({kind}) submission (team {team})", "version": f"1.0-t{tier}", "language": "eng", "access_right": "open", "license": meta.get("license") or "CC-BY-4.0",
+        "upload_type": "software", "title": f"{collection}: Tier {tier} ({kind}) submission (team {team})", "version": f"1.0-t{tier}", "language": "eng",
+            "access_right": "open", "license": meta.get("license") or "CC-BY-4.0",
         "creators": creators, "description": paragraphs(abstract) if abstract.strip() else made, "keywords": list(keywords), "related_identifiers": links,
         "notes": f"Team {team}. Disclosure class {meta.get('disclosure_class') or 'A'}.",
     }
