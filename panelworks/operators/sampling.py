@@ -94,11 +94,38 @@ def draw_first(df: DataFrame, cell: Sequence[str], key: str, seed: int, quota: D
     return _placed(hashed, seated.where(F.col("_before") < F.col("_seats")), cell, key).where(F.col("draw") <= F.col("_seats")).drop("_seats")
 
 
+def redistribute(cells: list[dict], max_rounds: int = 10) -> int:
+    """Adds ``extra`` to cells (dicts of target, available): the people that some cells lack are taken from cells that have more than
+    their target, by largest remainders over the targets, as often as seats are left.  Returns what stays unmet.  For a few cells
+    at hand, such as a quota sheet; redistribute_cells() does the same over a table."""
+    spare = [max(0, c["available"] - c["target"]) for c in cells]
+    taken = [0] * len(cells)
+    need = sum(max(0, c["target"] - c["available"]) for c in cells)
+    for _ in range(max_rounds):
+        weights = [c["target"] if left > had else 0 for c, left, had in zip(cells, spare, taken, strict=True)]
+        if need <= 0 or not sum(weights):
+            break
+        seats = min(need, sum(spare) - sum(taken))
+        whole = [seats * w // sum(weights) for w in weights]
+        # Integer remainders: no rounding decides between cells.
+        by_rest = sorted((i for i, w in enumerate(weights) if w), key=lambda i: -(seats * weights[i] % sum(weights)))
+        for i in by_rest[: seats - sum(whole)]:
+            whole[i] += 1
+        given = [min(n, left - had) for n, left, had in zip(whole, spare, taken, strict=True)]
+        if not any(given):
+            break
+        taken = [had + n for had, n in zip(taken, given, strict=True)]
+        need -= sum(given)
+    for c, had in zip(cells, taken, strict=True):
+        c["extra"] = had
+    return max(0, need)
+
+
 #: Cells that are ranked in one task; more are numbered by ranges.
 CELLS_AT_ONCE = 100_000
 
 
-def redistribute(cells: DataFrame, keys: Sequence[str], max_rounds: int = 10) -> tuple[DataFrame, int]:
+def redistribute_cells(cells: DataFrame, keys: Sequence[str], max_rounds: int = 10) -> tuple[DataFrame, int]:
     """(cells with ``extra``, people who stay unmet) for ``keys, target, available``: the people that some cells lack are taken from
     cells that have more than their target, by largest remainders over the targets, as often as seats are left.
 
@@ -154,7 +181,7 @@ def stratified_sample(pool: DataFrame, n: int = 1000, seed: int = 42, supplement
         cells = written(cells.withColumn("extra", F.lit(0)), "cells")
         unmet = cells.agg(F.sum("shortfall")).first()[0]
     else:
-        cells, unmet = redistribute(cells, CELL)
+        cells, unmet = redistribute_cells(cells, CELL)
     quota = cells.select(*CELL, (F.col("target") + F.col("extra")).alias("seats"))
     drawn = draw_first(people, CELL, key, seed, quota).drop("draw")
     label = Window.orderBy(F.sha2(F.concat_ws("#", F.lit(f"{seed}:label"), F.col(key)), 256), key)  # over the n people drawn

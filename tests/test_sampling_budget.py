@@ -150,7 +150,7 @@ def test_redistribution_matches_a_loop(spark, monkeypatch, at_once):
     for n in (12, 40) if at_once > 5 else (30,):
         cells = [(r.randrange(0, 30), r.choice([0, 3, 10, 25, 200])) for _ in range(n)]
         df = spark.createDataFrame([(f"{i:03d}", t, a) for i, (t, a) in enumerate(cells)], "k string, target long, available long")
-        got, unmet = sampling.redistribute(df, ["k"])
+        got, unmet = sampling.redistribute_cells(df, ["k"])
         assert ([x.extra for x in got.orderBy("k").collect()], unmet) == plain_redistribution(cells)
 
 
