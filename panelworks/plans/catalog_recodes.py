@@ -96,12 +96,13 @@ def birth_year_resolution(spark, sf_dir):
 @query("SELECT c_custkey, d = 10 AS x_digit, true AS ok, false AS short_ok FROM (SELECT *, (12 - t % 11) % 11 AS d FROM (SELECT c_custkey, list_sum(list_transform(range(1, 16), lambda i: CAST(substr(lpad(CAST(c_custkey * 7919 AS VARCHAR), 15, '0'), CAST(i AS INT), 1) AS BIGINT) * (1 << CAST(16 - i AS INT)))) AS t FROM customer))")
 def orcid_checksums(spark, sf_dir):
     """Ids with the right check digit, and the same without their hyphens."""
-    base = F.lpad((F.col("c_custkey") * 7919).cast("string"), 15, "0")
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0).cast("bigint"), lambda a, i: (a + F.substr(base, i, F.lit(1)).cast("bigint")) * 2)
-    check = (F.lit(12) - total % 11) % 11
-    digits = F.concat(base, F.when(check == 10, "X").otherwise(check.cast("string")))
-    parts = F.concat_ws("-", *[F.substr(digits, F.lit(i), F.lit(4)) for i in (1, 5, 9, 13)])
-    return table(spark, sf_dir, "customer").select("c_custkey", (check == 10).alias("x_digit"), R.orcid_ok(parts).alias("ok"), R.orcid_ok(digits).alias("short_ok"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lpad((F.col("c_custkey") * 7919).cast("string"), 15, "0").alias("base"))
+    digit = lambda i: F.substr("base", F.lit(i), F.lit(1)).cast("bigint")
+    total = sum((digit(i) * 2 ** (16 - i) for i in range(2, 16)), digit(1) * 2**15)
+    rows = rows.withColumn("check", (F.lit(12) - total % 11) % 11)
+    rows = rows.withColumn("digits", F.concat("base", F.when(F.col("check") == 10, "X").otherwise(F.col("check").cast("string"))))
+    parts = F.concat_ws("-", *[F.substr("digits", F.lit(i), F.lit(4)) for i in (1, 5, 9, 13)])
+    return rows.select("c_custkey", (F.col("check") == 10).alias("x_digit"), R.orcid_ok(parts).alias("ok"), R.orcid_ok("digits").alias("short_ok"))
 
 
 @query("SELECT c_custkey, 'Community-embedding ideology signal: ' || printf('%+.3f', c_acctbal / 7) || CASE WHEN c_acctbal > 0 THEN ' (leans right/conservative' ELSE ' (leans left/liberal' END || ', based on subreddit activity)' AS told FROM customer")
