@@ -122,9 +122,11 @@ def epoch(x) -> Column:
 
 
 def day(x) -> Column:
-    """The UTC date of epoch seconds; else the first ten characters; else "unknown date"."""
-    s = strip(blank(x))
-    return F.coalesce(F.date_format(F.timestamp_seconds(epoch(x)), "yyyy-MM-dd"), F.nullif(F.left(s, F.lit(10)), F.lit("")), F.lit("unknown date"))
+    """The UTC date of epoch seconds, its year in as many digits as it has; else the first ten characters; else "unknown date"."""
+    s, at = strip(blank(x)), epoch(x)
+    # Microseconds of a timestamp must fit 64 bits; years after 9999 are formatted with a sign.
+    date = F.ltrim(F.date_format(F.timestamp_seconds(F.when(F.abs(at) < 9_000_000_000_000, at)), "yyyy-MM-dd"), F.lit("+"))
+    return F.coalesce(date, F.nullif(F.left(s, F.lit(10)), F.lit("")), F.lit("unknown date"))
 
 
 def mould_line(created, community, title, body) -> Column:

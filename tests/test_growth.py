@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelworks.functions import recode as R
+from panelworks.functions import text as X
 
 
 def plan(df) -> str:
@@ -15,3 +16,9 @@ def test_an_id_is_made_once_for_its_check(spark):
     got = df.select("i", R.orcid_ok(F.reverse(F.reverse("t"))).alias("ok"))
     assert [r.ok for r in got.orderBy("i").collect()] == [True, False, True, False, False, False, False]
     assert plan(got).count("reverse(reverse(") == 1
+
+
+def test_dates_after_the_year_9999(spark):
+    said = [("1700000000", "2023-11-14"), ("253402300799", "9999-12-31"), ("253402300800", "10000-01-01"), ("779300000000", "26665-01-12"), ("1700000000000000", "1700000000"), ("soon", "soon"), (None, "unknown date")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i int, t string")
+    assert [r.d for r in df.orderBy("i").select(X.day("t").alias("d")).collect()] == [d for _, d in said]
