@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import vocab
-from .text import blank, c, strip
+from .text import blank, c, once, strip
 
 _M = vocab.MODERATORS
 
@@ -16,6 +17,12 @@ def number(x) -> Column:
     return F.nanvl(c(x).cast("string").try_cast("double"), F.lit(None).cast("double"))
 
 
+def number_in(df, column: str) -> Column:
+    """The same of a table's column; what is a number already isn't written as text and read again."""
+    kind = df.schema[column].dataType
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")) if isinstance(kind, NumericType) else number(column)
+
+
 def code_map(x, mapping: dict, other=None) -> Column:
     out = None
     for k, v in mapping.items():
@@ -29,8 +36,8 @@ def gender(sex) -> Column:
 
 def age_band(age) -> Column:
     """Right-closed bands; null under 18."""
-    a, (e1, e2, e3), names = number(age), vocab.AGE_EDGES, _M["age_band"]
-    return F.when(a < 18, F.lit(None)).when(a <= e1, names[0]).when(a <= e2, names[1]).when(a <= e3, names[2]).when(a.isNotNull(), names[3])
+    (e1, e2, e3), names = vocab.AGE_EDGES, _M["age_band"]
+    return once(number(age), lambda a: F.when(a < 18, F.lit(None)).when(a <= e1, names[0]).when(a <= e2, names[1]).when(a <= e3, names[2]).when(a.isNotNull(), names[3]))
 
 
 def race(hispanic, code) -> Column:
@@ -61,29 +68,36 @@ def recode_person(df):
 
 def decode(x, levels: list[str], aliases: dict[str, str] | None = None) -> Column:
     """A level from its 1-based code, its label or an alias; null for blank; an error for anything else."""
-    t = strip(blank(x))
-    out = F.when(t == "", F.lit(None).cast("string"))
-    for i, level in enumerate(levels, 1):
-        out = out.when((t == str(i)) | (F.lower(t) == level.lower()), level)
-    for alias, level in (aliases or {}).items():
-        out = out.when(F.lower(t) == alias.lower(), level)
-    return out.otherwise(F.raise_error(F.concat(F.lit("unknown level: "), t)).cast("string"))
+
+    def level_of(t: Column) -> Column:
+        out = F.when(t == "", F.lit(None).cast("string"))
+        for i, level in enumerate(levels, 1):
+            out = out.when((t == str(i)) | (F.lower(t) == level.lower()), level)
+        for alias, level in (aliases or {}).items():
+            out = out.when(F.lower(t) == alias.lower(), level)
+        return out.otherwise(F.raise_error(F.concat(F.lit("unknown level: "), t)).cast("string"))
+
+    return once(strip(blank(x)), level_of)
 
 
 def birth_year(x, survey_year: int = vocab.SURVEY_YEAR) -> Column:
     """The one year that a text names; of several the one after "born in", else the last; without any, an age from 18 to 100."""
-    t = blank(x)
-    years = F.regexp_extract_all(t, F.lit(r"(?<!\d)(19\d\d|20\d\d)(?!\d)"), F.lit(1))
-    born = F.nullif(F.regexp_extract(t, r"(?i)born in\s+(19\d\d|20\d\d)", 1), F.lit(""))
-    age = F.regexp_extract(t, r"\d+", 0).try_cast("int")
-    return F.when(F.size(years) == 1, F.get(years, F.lit(0)).try_cast("int")).when(F.size(years) > 1,
-        F.coalesce(born, F.try_element_at(years, F.lit(-1))).try_cast("int")).when(age.between(18, 100), survey_year - age)
+
+    def year_of(r: Column) -> Column:
+        t, years = r["t"], r["years"]
+        born = F.nullif(F.regexp_extract(t, r"(?i)born in\s+(19\d\d|20\d\d)", 1), F.lit(""))
+        from_age = once(F.regexp_extract(t, r"\d+", 0).try_cast("int"), lambda age: F.when(age.between(18, 100), survey_year - age))
+        return F.when(F.size(years) == 1, F.get(years, F.lit(0)).try_cast("int")).when(F.size(years) > 1,
+            F.coalesce(born, F.try_element_at(years, F.lit(-1))).try_cast("int")).otherwise(from_age)
+
+    years = lambda t: F.regexp_extract_all(t, F.lit(r"(?<!\d)(19\d\d|20\d\d)(?!\d)"), F.lit(1))
+    return once(blank(x), lambda t: once(F.struct(t.alias("t"), years(t).alias("years")), year_of))
 
 
 def binary(x) -> Column:
     """1 for yes, 0 for no, of numbers (1, 2, also 0) and words."""
-    t, d = F.lower(strip(blank(x))), number(x)
-    return F.when((d == 1) | t.isin("yes", "true"), 1).when(d.isin(0, 2) | t.isin("no", "false"), 0)
+    both = F.struct(F.lower(strip(blank(x))).alias("t"), number(x).alias("d"))
+    return once(both, lambda r: F.when((r["d"] == 1) | r["t"].isin("yes", "true"), 1).when(r["d"].isin(0, 2) | r["t"].isin("no", "false"), 0))
 
 
 def reverse(x, top: int = 100) -> Column:
@@ -100,24 +114,28 @@ def mean_of(*xs) -> Column:
 
 
 def _mean(values: list[Column]) -> Column:
-    """The mean of doubles that are there, each of them evaluated once."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    more = lambda a, v: F.when(v.isNull(), a).otherwise(F.struct((a["sum"] + v).alias("sum"), (a["n"] + 1).alias("n")))
-    return F.aggregate(F.array(*values), start, more, lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
+    """The mean of doubles that are there.  Built-in sums, which are compiled with all else; a lambda over an array would not be."""
+    if len(values) == 1:
+        return values[0]
+    total, n = (sum(xs[1:], xs[0]) for xs in ([F.coalesce(v, F.lit(0.0)) for v in values], [v.isNotNull().cast("int") for v in values]))
+    return F.when(n > 0, total / n)
 
 
-def composite(groups: list[list]) -> Column:
-    """The mean of the means of groups."""
-    return _mean([_mean([number(x) for x in g]) for g in groups])
+def composite(groups: list[list], value=number) -> Column:
+    """The mean of the means of groups; value gives the number of each of their columns."""
+    return _mean([_mean([value(x) for x in g]) for g in groups])
 
 
 def condition(x) -> Column:
     """The condition of a code name or title, white space squeezed; an error for anything else."""
-    t = F.regexp_replace(strip(blank(x)), r"\s+", " ")
-    out = F.when(t == "", F.lit(None).cast("string"))
-    for name, title in vocab.CODENAMES.items():
-        out = out.when(t == name, title)
-    return out.when(t.isin(vocab.CONDITIONS), t).otherwise(F.raise_error(F.concat(F.lit("unknown condition: "), t)).cast("string"))
+
+    def title_of(t: Column) -> Column:
+        out = F.when(t == "", F.lit(None).cast("string"))
+        for name, title in vocab.CODENAMES.items():
+            out = out.when(t == name, title)
+        return out.when(t.isin(vocab.CONDITIONS), t).otherwise(F.raise_error(F.concat(F.lit("unknown condition: "), t)).cast("string"))
+
+    return once(F.regexp_replace(strip(blank(x)), r"\s+", " "), title_of)
 
 
 def state(x) -> Column:

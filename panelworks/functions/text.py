@@ -15,6 +15,17 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, then) -> Column:
+    """then(x), x made once however often it is used: it is the element of an array."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def in_pieces(x: Column) -> Column:
+    """x, for one column of a wide projection.  Spark compiles that into one method for all columns, which the JVM leaves uncompiled
+    beyond a size; with an element of an array among them it compiles them in pieces."""
+    return once(x, lambda v: v)
+
+
 def blank(x) -> Column:
     """Null as the empty string."""
     return F.coalesce(c(x).cast("string"), F.lit(""))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import recode as R
 from ..functions import vocab
+from ..functions.text import in_pieces
 from .budget import latest_best, status_rank
 from .order import numbered
 
@@ -54,19 +55,25 @@ def raw_export(responses: DataFrame, run_id: str = "run", order: Sequence = ("fi
     return responses.select(*[made.get(c, F.lit(None).cast("string")).alias(c) for c in RAW])
 
 
-def tier1(raw: DataFrame) -> DataFrame:
-    """A raw export as the individual-level table, in the order of conditions.  Unknown codes, levels and conditions are errors."""
+def tier1(raw: DataFrame, ordered: bool = True) -> DataFrame:
+    """A raw export as the individual-level table, in the order of conditions.  Unknown codes, levels and conditions are errors.
+
+    ordered=False for what is counted or averaged next: a sort would make each row twice, once to find the ranges of its tasks."""
     aliases = {"race": {"White/Caucasian": "White / Caucasian", "African-American": "Black / African American", "Hispanic": "Hispanic / Latino", "Asian-American": "Asian / Asian American"}}
-    n = {k: R.number(F.col(k)) for k in vocab.ITEM_KEYS}
-    year = R.birth_year("year_birth")
+    # Numbers and levels are columns before anything is made of them, so each is made once.
+    levels = {m: R.decode(m, vocab.MODERATORS[m], aliases.get(m)) for m in ("gender", "race", "education", "income", "party")}
+    raw = raw.select("profile_id", R.condition("condition").alias("condition"), R.birth_year("year_birth").alias("_year"), *[x.alias(m) for m, x in levels.items()],
+        R.binary("newsletter").alias("_newsletter"), *[R.number(k).alias(k) for k in vocab.ITEM_KEYS])
+    n = {k: F.col(k) for k in vocab.ITEM_KEYS}
     made = {
-        "profile_id": F.col("profile_id").cast("string"), "condition": R.condition("condition"), "age_band": R.age_band(vocab.SURVEY_YEAR - year),
-        **{m: R.decode(m, vocab.MODERATORS[m], aliases.get(m)) for m in ("gender", "race", "education", "income", "party")},
+        "profile_id": in_pieces(F.col("profile_id").cast("string")), "condition": F.col("condition"), "age_band": R.age_band(vocab.SURVEY_YEAR - F.col("_year")),
+        **{m: F.col(m) for m in levels},
         **{new: n[old] for old, new in RENAMES.items()}, **{out: n[k] for out, k in vocab.SINGLES.items()}, "funding_perceptions": R.reverse(n["funding_5"]),
-        **{out: R.composite([[n[k] for k in g] for g in groups]) for out, groups in vocab.COMPOSITES.items()},
-        "donation_ams": R.half_even(n["donation"]).cast("int"), "newsletter_signup": R.binary("newsletter"),
+        **{out: R.composite(groups, F.col) for out, groups in vocab.COMPOSITES.items()},
+        "donation_ams": R.half_even(n["donation"]).cast("int"), "newsletter_signup": F.col("_newsletter"),
     }
-    return in_order(raw.select(*[made[c].alias(c) for c in TIER1]))
+    made = raw.select(*[made[c].alias(c) for c in TIER1])
+    return in_order(made) if ordered else made
 
 
 def in_order(df: DataFrame) -> DataFrame:
@@ -88,13 +95,13 @@ def _levels(spark: SparkSession, name: str, values: Sequence[str]) -> DataFrame:
 
 def condition_means(df: DataFrame, condition: str, outcomes: Sequence[str]) -> DataFrame:
     """``condition, outcome, mean``: means of what is there; not-a-number counts as missing."""
-    means = df.groupBy(condition).agg(*[F.avg(R.number(o)).alias(o) for o in outcomes])
+    means = df.groupBy(condition).agg(*[F.avg(R.number_in(df, o)).alias(o) for o in outcomes])
     return means.unpivot([condition], list(outcomes), "outcome", "mean")
 
 
 def moderator_means(df: DataFrame, condition: str, moderators: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
     """``condition, moderator, moderator_level, outcome, mean`` by grouping sets: one pass for all moderators."""
-    view = df.select(condition, *[F.col(m).cast("string").alias(m) for m in moderators], *[R.number(o).alias(o) for o in outcomes])
+    view = df.select(condition, *[F.col(m).cast("string").alias(m) for m in moderators], *[R.number_in(df, o).alias(o) for o in outcomes])
     # grouping() is 0 for the moderator that a row is grouped by.
     which = F.coalesce(*[F.when(F.grouping(m) == 0, F.lit(m)) for m in moderators])
     sets = [[F.col(condition), F.col(m)] for m in moderators]
@@ -106,8 +113,10 @@ def moderator_means(df: DataFrame, condition: str, moderators: Sequence[str], ou
 
 def effects(means: DataFrame, condition: str, control: str, keys: Sequence[str] = ("outcome",)) -> DataFrame:
     """``condition, outcome, ate``: each mean less the control's."""
-    base = means.where(F.col(condition) == control).select(*keys, F.col("mean").alias("_base"))
-    return means.where(F.col(condition) != control).join(F.broadcast(base), list(keys)).select(condition, *keys, (F.col("mean") - F.col("_base")).alias("ate"))
+    # Each row meets its control by a window, not by a join, which would make all means twice.
+    base = F.collect_list(F.when(F.col(condition) == control, F.struct("mean"))).over(Window.partitionBy(*keys))
+    met = means.dropna(subset=list(keys)).withColumn("_base", base).where(F.col(condition) != control)
+    return met.select(condition, *keys, "mean", F.explode("_base").alias("_base")).select(condition, *keys, (F.col("mean") - F.col("_base.mean")).alias("ate"))
 
 
 def tier2_main(t1: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions import vocab
 from ..operators import tiers, validate
 from ..sources import readers, sinks
@@ -22,7 +23,7 @@ def raw(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
     item = lambda i: F.when((k + i) % 13 != 0, (k * (i + 7) % 101).cast("string"))
     made = {
-        "profile_id": F.concat(F.lit("p"), k.cast("string")), "condition": F.element_at(F.array(*[F.lit(c) for c in _NAMES]), (k % len(_NAMES) + 1).cast("int")),
+        "profile_id": X.in_pieces(F.concat(F.lit("p"), k.cast("string"))), "condition": F.element_at(F.array(*[F.lit(c) for c in _NAMES]), (k % len(_NAMES) + 1).cast("int")),
             "year_birth": F.concat(F.lit("born "), (1930 + k % 70).cast("string")),
         **{m: ((k + j) % len(_M[m]) + 1).cast("string") for j, m in enumerate(_CODED)}, **{key: item(i) for i, key in enumerate(_ITEMS)},
             "donation": (k % 11).cast("string"), "newsletter": (k % 2 + 1).cast("string"),
@@ -73,7 +74,7 @@ _TIER2 = f"""{_T1}, m AS (SELECT condition, {_LONG} FROM (SELECT condition, {_CE
 @query(_TIER2 + "SELECT condition, outcome, round(mean, 9) AS mean FROM main")
 def dense_condition_means(spark, sf_dir):
     """All conditions by all outcomes."""
-    return tiers.tier2_main(tiers.tier1(raw(spark, sf_dir))).withColumn("mean", rounded("mean", 9))
+    return tiers.tier2_main(tiers.tier1(raw(spark, sf_dir), ordered=False)).withColumn("mean", rounded("mean", 9))
 
 
 _MODS = list(_M)
@@ -88,12 +89,12 @@ LEFT JOIN c ON c.condition = main.condition AND c.outcome = main.outcome AND c.m
 """)
 def dense_moderator_means(spark, sf_dir):
     """All conditions, moderator levels and outcomes; an empty cell has its condition's mean."""
-    return tiers.tier2_moderator(tiers.tier1(raw(spark, sf_dir))).withColumn("mean", rounded("mean", 9))
+    return tiers.tier2_moderator(tiers.tier1(raw(spark, sf_dir), ordered=False)).withColumn("mean", rounded("mean", 9))
 
 
 @query(_TIER2 + "SELECT m.condition, m.outcome, round(m.mean - b.mean, 9) AS ate FROM main m JOIN main b ON b.outcome = m.outcome AND b.condition = 'control' WHERE m.condition <> 'control'")
 def dense_effects(spark, sf_dir):
-    return tiers.tier3(tiers.tier2_main(tiers.tier1(raw(spark, sf_dir)))).withColumn("ate", rounded("ate", 9))
+    return tiers.tier3(tiers.tier2_main(tiers.tier1(raw(spark, sf_dir), ordered=False))).withColumn("ate", rounded("ate", 9))
 
 
 def _answer(key: str) -> str:
@@ -144,7 +145,7 @@ _SMALL = "(SELECT count(*) FROM (SELECT condition, count(*) AS n FROM t1 GROUP B
         ("newsletter binary", "true", "FAIL")]))
 def tier1_report(spark, sf_dir):
     """All checks of an individual-level table."""
-    return validate.validate_tier1(tiers.tier1(raw(spark, sf_dir))).frame(spark).select("check", "status")
+    return validate.validate_tier1(tiers.tier1(raw(spark, sf_dir), ordered=False)).frame(spark).select("check", "status")
 
 
 _KNOWN = "[" + ", ".join(f"'{c}'" for c in vocab.CONDITIONS) + "]"
@@ -156,7 +157,7 @@ _KNOWN = "[" + ", ".join(f"'{c}'" for c in vocab.CONDITIONS) + "]"
     ("no repeated cells", "true", "FAIL"), ("all cells", f"cells = {len(vocab.CONDITIONS) * len(_OUTCOMES)}", "FAIL"), ("no missing values", "known = cells", "FAIL"), ("ranges", "true", "FAIL")]))
 def tier2_report(spark, sf_dir):
     """Checks of condition means of those conditions that there are."""
-    means = tiers.condition_means(tiers.tier1(raw(spark, sf_dir)), "condition", _OUTCOMES)
+    means = tiers.condition_means(tiers.tier1(raw(spark, sf_dir), ordered=False), "condition", _OUTCOMES)
     return validate.validate_tier2_main(means).frame(spark).select("check", "status")
 
 
@@ -166,7 +167,7 @@ def tier2_report(spark, sf_dir):
     ("no repeated cells", "cells = 0", "FAIL"), ("all cells", f"cells = {(len(vocab.CONDITIONS) - 1) * len(_OUTCOMES)}", "FAIL"), ("no missing values", "false", "FAIL")]))
 def tier3_report(spark, sf_dir):
     """Checks of effects among which control was left, each cell there twice and one value lost."""
-    main = tiers.tier2_main(tiers.tier1(raw(spark, sf_dir))).withColumnRenamed("mean", "ate")
+    main = tiers.tier2_main(tiers.tier1(raw(spark, sf_dir), ordered=False)).withColumnRenamed("mean", "ate")
     lost = main.withColumn("ate", F.when((F.col("condition") != "Funding") | (F.col("outcome") != "trust_post"), F.col("ate")))
     return validate.validate_tier3(lost.unionByName(lost)).frame(spark).select("check", "status")
 
@@ -208,7 +209,7 @@ n AS (SELECT {_COUNTS.replace("count(DISTINCT condition) AS conditions", f"count
         ("newsletter binary", "other = 0", "FAIL")]))
 def tier1_report_of_faults(spark, sf_dir):
     """The same checks where they fail."""
-    return validate.validate_tier1(_spoiled(tiers.tier1(raw(spark, sf_dir)))).frame(spark).select("check", "status")
+    return validate.validate_tier1(_spoiled(tiers.tier1(raw(spark, sf_dir), ordered=False))).frame(spark).select("check", "status")
 
 
 @query(_TIER2 + f""", b AS (SELECT * FROM (VALUES {sql_values([(o, lo, hi) for o, (lo, hi) in vocab.OUTCOMES.items()])}) b(outcome, lo, hi)),
@@ -223,7 +224,7 @@ n AS (SELECT count(*) FILTER (WHERE NOT {_in("condition", vocab.CONDITIONS)}) AS
         ("ranges", "outside = 0", "FAIL")]))
 def tier2_report_of_faults(spark, sf_dir):
     """Condition means with an unknown outcome, a condition that lacks, one that is there twice, values that lack and values outside their range."""
-    main = tiers.tier2_main(tiers.tier1(raw(spark, sf_dir)))
+    main = tiers.tier2_main(tiers.tier1(raw(spark, sf_dir), ordered=False))
     outcome = F.when((F.col("condition") == "Funding") & (F.col("outcome") == "trust_post"), "odd").otherwise(F.col("outcome"))
     mean = F.when(F.col("outcome") == "belief_post", F.col("mean") + 200).when(F.col("outcome") != "concern_mean", F.col("mean"))
     spoiled = main.select("condition", outcome.alias("outcome"), mean.alias("mean"))
