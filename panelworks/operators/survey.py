@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from itertools import islice
 
 import pandas as pd
 from pyspark import TaskContext
@@ -282,9 +283,13 @@ def dealt(rows: DataFrame, workers: int | None, window: int, *keys: str) -> tupl
     return rows.repartition(tasks, *keys), window if workers is None else max(1, workers // tasks)
 
 
+#: Records that leave a task together: one by one, making a table of each would cost more than what a quick client does.
+_TOGETHER = 128
+
+
 def _batches(records: Iterator[dict], columns: list[str]) -> Iterator[pd.DataFrame]:
-    for r in records:
-        yield pd.DataFrame([{c: r.get(c) for c in columns}], columns=columns, dtype=object)
+    for some in iter(lambda: list(islice(records, _TOGETHER)), []):
+        yield pd.DataFrame([[r.get(c) for c in columns] for r in some], columns=columns, dtype=object)
 
 
 def _asked(rows: DataFrame, schema: str, o: RunOptions, client: Callable[[], object], ask: Callable, tidy: Callable[[], object] | None, log: Work | None = None,
