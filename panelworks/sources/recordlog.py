@@ -42,7 +42,13 @@ class Segment:
         self.local = isinstance(self.fs, pafs.LocalFileSystem)
 
     def append(self, record: dict) -> None:
-        line = (json.dumps(record, ensure_ascii=False, default=str) + "\n").encode()
+        self.extend([record])
+
+    def extend(self, records: Sequence[dict]) -> None:
+        """Appends records that are finished together: they are synced once."""
+        if not records:
+            return
+        line = "".join(json.dumps(r, ensure_ascii=False, default=str) + "\n" for r in records).encode()
         self.written += 1
         if self.local:
             if self.file is None:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from panelworks.functions import recode as R
 from panelworks.functions import text as X
+from panelworks.operators import survey, tiers
+from panelworks.sources import recordlog
 
 
 def plan(df) -> str:
@@ -22,3 +24,26 @@ def test_dates_after_the_year_9999(spark):
     said = [("1700000000", "2023-11-14"), ("253402300799", "9999-12-31"), ("253402300800", "10000-01-01"), ("779300000000", "26665-01-12"), ("1700000000000000", "1700000000"), ("soon", "soon"), (None, "unknown date")]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i int, t string")
     assert [r.d for r in df.orderBy("i").select(X.day("t").alias("d")).collect()] == [d for _, d in said]
+
+
+def test_records_finished_together_are_synced_once(tmp_path, monkeypatch):
+    synced = []
+    monkeypatch.setattr(recordlog.os, "fsync", lambda fd: synced.append(fd))
+    segment = recordlog.Segment(str(tmp_path), "a.jsonl")
+    segment.extend([{"k": i} for i in range(1000)])
+    segment.append({"k": 1000})
+    segment.extend([])
+    segment.close()
+    assert len(synced) == 2 and [r["k"] for r in recordlog.whole_records((tmp_path / "a.jsonl").read_bytes())] == list(range(1001))
+
+
+def test_records_leave_a_task_together():
+    tables = list(survey._batches(iter([{"a": i, "b": {"x": [i]}} for i in range(300)]), ["a", "b", "c"]))
+    assert len(tables) == 3 and [r for t in tables for r in t.to_dict("records")] == [{"a": i, "b": {"x": [i]}, "c": None} for i in range(300)]
+
+
+def test_effects_make_means_once(spark):
+    df = spark.createDataFrame([("control", 10.0), ("control", 20.0), ("Funding", 40.0), ("Funding", None)], "condition string, trust_post double")
+    got = tiers.effects(tiers.condition_means(df, "condition", ["trust_post"]), "condition", "control")
+    assert [tuple(r) for r in got.collect()] == [("Funding", "trust_post", 25.0)]
+    assert "Join" not in plan(got)
