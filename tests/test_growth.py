@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from panelworks.functions import answers as A
 from panelworks.functions import recode as R
 from panelworks.functions import text as X
+from panelworks.functions import vocab
 from panelworks.operators import survey, tiers
-from panelworks.sources import recordlog
+from panelworks.sources import readers, recordlog
 
 
 def plan(df) -> str:
@@ -47,3 +49,43 @@ def test_effects_make_means_once(spark):
     got = tiers.effects(tiers.condition_means(df, "condition", ["trust_post"]), "condition", "control")
     assert [tuple(r) for r in got.collect()] == [("Funding", "trust_post", 25.0)]
     assert "Join" not in plan(got)
+
+
+def people(spark, n):
+    agents = readers.synthetic_agents(spark, n)
+    return agents.select("profile_id", F.struct(*vocab.MODERATORS).alias("demographics"), "assigned_state", F.lit(1).alias("state_case"), "year_birth", F.lit("text").alias("profile_text"))
+
+
+def test_a_survey_reads_its_agents_once(spark, tmp_path):
+    people(spark, 3).write.parquet(str(tmp_path / "p"))
+    some = spark.read.parquet(str(tmp_path / "p"))
+    o = survey.RunOptions(conditions=["control", "Funding"])
+    whole = survey.run_survey(some, survey.DummyClient, o)
+    assert plan(whole).count("parquet") == 1 and "Aggregate" not in plan(whole)
+    few = survey.run_survey(some, survey.DummyClient, o, columns=["condition", "profile_id", "answers"])
+    assert few.columns == ["condition", "profile_id", "answers"]
+    key = lambda df: sorted((r.profile_id, r.condition, sorted(r.answers.items())) for r in df.collect())
+    assert key(few) == key(whole) and len(key(few)) == 6
+
+
+def test_a_client_that_waits_for_nothing_needs_no_threads():
+    import threading
+
+    class Waits(survey.DummyClient):
+        def chat(self, *a):
+            return survey.DummyClient.chat(self, *a)
+
+    marked = lambda client: getattr(client.chat, "at_once", False)
+    assert marked(survey.DummyClient()) and marked(survey.FixedClient("x")) and not marked(Waits())
+    assert set(survey.in_flight(iter(range(3)), lambda _: threading.current_thread(), 1)) == {threading.current_thread()}
+
+
+def test_answers_in_form_are_not_read_line_by_line(monkeypatch):
+    keys = ["trust_post_1", "donation", "newsletter"]
+    block = "**title: {}**\n**explanation: {}**\n**answer: {}**\n**speculation: {}**"
+    texts = ["\n\n".join([block.format("TRUST_POST", " so  it is", "72 ", 30), block.format("DONATION", "", "Don3", "x"), block.format("NEWSLETTER", "word " * 900, "maybe", 101), block.format("TRUST_POST", "", 7, 7)]), ""]
+    fast = [A.parse_answers(t, keys) for t in texts]
+    for odd in (block.format("TRUST_POST", "a: b", 1, 2), block.format("TRUST_POST", "", "", 2), "so " + texts[0], texts[0] + "."):
+        assert A._in_form(odd) is None
+    monkeypatch.setattr(A, "_in_form", lambda t: None)
+    assert [A.parse_answers(t, keys) for t in texts] == fast and fast[0]["items"]["trust_post_1"]["answer"] == "7"
