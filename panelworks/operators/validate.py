@@ -7,6 +7,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,6 +250,11 @@ def validate_metadata(meta: dict, files: Sequence[str] = (), hashes: dict[str, s
 _CHECKS = "array<struct<check:string,status:string,detail:string>>"
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all tasks that the cluster has slots for: a table of few bytes is read by one or two, however long its rows take in Python."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def metadata_reports(deposits: DataFrame) -> DataFrame:
     """validate_metadata() of many deposits: ``id, metadata`` (JSON) and ``files`` (a map of the files that are there to their hashes) ->
     ``id, check, status, detail``.  Metadata that are no JSON object fail that one check."""
@@ -263,11 +269,17 @@ def metadata_reports(deposits: DataFrame) -> DataFrame:
         there = json.loads(files or "{}")
         return validate_metadata(told, list(there), there).rows
 
-    @F.pandas_udf(_CHECKS)
-    def checks(meta: pd.Series, files: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("check", "status", "detail"), x, strict=True)) for x in rows(m, f)] for m, f in zip(meta, files, strict=True)], dtype=object)
+    @F.arrow_udf(_CHECKS)
+    def checks(meta: pa.Array, files: pa.Array) -> pa.Array:
+        told, ends = [], [0]
+        for m, f in zip(meta.to_pylist(), files.to_pylist(), strict=True):
+            told += rows(m, f)
+            ends.append(len(told))
+        fields = [pa.array([x[i] for x in told], pa.string()) for i in range(3)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["check", "status", "detail"]))
 
-    return deposits.select("id", F.explode(checks("metadata", F.to_json("files"))).alias("c")).select("id", "c.*")
+    some = _spread(deposits.select("id", "metadata", F.to_json("files").alias("files")))
+    return some.select("id", F.explode(checks("metadata", "files")).alias("c")).select("id", "c.*")
 
 
 def blank_answer_counts(forms: DataFrame, column: str = "form") -> DataFrame:
@@ -277,7 +289,7 @@ def blank_answer_counts(forms: DataFrame, column: str = "form") -> DataFrame:
     def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: len(blank_answers(t or ""))).astype("int32")
 
-    return forms.withColumn("blank", count(F.col(column)))
+    return _spread(forms).withColumn("blank", count(F.col(column)))
 
 
 def staged(r: Report) -> bool:

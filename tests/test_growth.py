@@ -6,7 +6,7 @@ from panelworks.functions import answers as A
 from panelworks.functions import recode as R
 from panelworks.functions import text as X
 from panelworks.functions import vocab
-from panelworks.operators import survey, tiers
+from panelworks.operators import survey, tiers, validate
 from panelworks.sources import readers, recordlog
 
 
@@ -89,3 +89,15 @@ def test_answers_in_form_are_not_read_line_by_line(monkeypatch):
         assert A._in_form(odd) is None
     monkeypatch.setattr(A, "_in_form", lambda t: None)
     assert [A.parse_answers(t, keys) for t in texts] == fast and fast[0]["items"]["trust_post_1"]["answer"] == "7"
+
+
+def test_reports_are_made_by_all_tasks(spark):
+    """Deposits of a table that one task reads."""
+    df = spark.range(40).select("id", F.when(F.col("id") < 39, '{"team_id": "t"}').alias("metadata"), F.create_map(F.lit("a.csv"), F.lit("ab")).alias("files")).coalesce(1)
+    told = validate.metadata_reports(df)
+    got = told.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1 and {r.detail for r in got if r.id == 39} == {"not one"}
+    assert [(r.check, r.status, r.detail) for r in got if r.id == 3] == validate.validate_metadata({"team_id": "t"}).rows
+    forms = spark.createDataFrame([(i, "- **1 L** - p:\n" if i % 2 else None) for i in range(20)], "i int, form string").coalesce(1)
+    counted = validate.blank_answer_counts(forms).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in counted}) > 1 and all(r.blank == r.i % 2 for r in counted)
