@@ -101,3 +101,13 @@ def test_reports_are_made_by_all_tasks(spark):
     forms = spark.createDataFrame([(i, "- **1 L** - p:\n" if i % 2 else None) for i in range(20)], "i int, form string").coalesce(1)
     counted = validate.blank_answer_counts(forms).withColumn("task", F.spark_partition_id()).collect()
     assert len({r.task for r in counted}) > 1 and all(r.blank == r.i % 2 for r in counted)
+
+
+def test_what_is_sorted_is_made_once(spark):
+    answers = F.create_map(*[x for k in vocab.ITEM_KEYS for x in (F.lit(k), F.lit("50" if k not in vocab.CHOICES else vocab.CHOICES[k][0][0]))])
+    demo = F.struct(*[F.lit(v[0]).alias(m) for m, v in vocab.MODERATORS.items()])
+    r = spark.range(6).select(F.format_string("p%d", 5 - F.col("id")).alias("profile_id"), F.lit("control").alias("condition"), F.lit("control dances").alias("codename"), answers.alias("answers"), demo.alias("demographics"),
+                              F.lit(1990).alias("year_birth"), F.lit(0).alias("first_seen"))
+    t1 = tiers.tier1(tiers.raw_export(r))
+    assert [x.profile_id for x in t1.collect()] == [f"p{i}" for i in range(6)] and t1.columns == tiers.TIER1
+    assert "parquet" in plan(t1) and "regexp_replace" not in plan(t1) and "Join" not in plan(t1)
