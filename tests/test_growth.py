@@ -111,3 +111,21 @@ def test_what_is_sorted_is_made_once(spark):
     t1 = tiers.tier1(tiers.raw_export(r))
     assert [x.profile_id for x in t1.collect()] == [f"p{i}" for i in range(6)] and t1.columns == tiers.TIER1
     assert "parquet" in plan(t1) and "regexp_replace" not in plan(t1) and "Join" not in plan(t1)
+
+
+def test_answers_in_form_are_judged_by_what_was_judged_before(monkeypatch):
+    keys = ["trust_post_1", "donation"]
+    text = "**title: TRUST_POST**\n**explanation: so.**\n**answer: {}**\n**speculation: 30**\n\n**title: DONATION**\n**explanation: so.**\n**answer: Don3**\n**speculation: 300**"
+    want = {n: A.parse_answers(text.format(n), keys) for n in (71, 101)}
+    assert want[71]["items"]["trust_post_1"] == {"answer": "71", "speculation": 30, "explanation": "so.", "ok": True} and want[101]["invalid"] == ["trust_post_1"]
+    for name in ("_judged", "_answer", "_key_of", "whole_number"):
+        monkeypatch.setattr(A, name, None)
+    assert {n: A.parse_answers(text.format(n), keys) for n in want} == want
+
+
+def test_prompts_are_hashed_where_calls_are_kept():
+    person = {"profile_id": "p", "demographics": {m: v[0] for m, v in vocab.MODERATORS.items()}, "profile_text": "text"}
+    for hashed in (True, False):
+        asker = survey.Asker(survey.DummyClient(), person, "control", survey.RunOptions(), hashed=hashed)
+        parse = asker.step(0, "battery", ["p:x", "i:trust_post_1"], ["trust_post_1"], [], [], {})
+        assert parse["items"]["trust_post_1"]["ok"] and bool(asker.calls[0]["prompt_sha256"]) is hashed
