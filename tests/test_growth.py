@@ -129,3 +129,18 @@ def test_prompts_are_hashed_where_calls_are_kept():
         asker = survey.Asker(survey.DummyClient(), person, "control", survey.RunOptions(), hashed=hashed)
         parse = asker.step(0, "battery", ["p:x", "i:trust_post_1"], ["trust_post_1"], [], [], {})
         assert parse["items"]["trust_post_1"]["ok"] and bool(asker.calls[0]["prompt_sha256"]) is hashed
+
+
+def test_what_is_exported_is_narrow_before_the_best_is_picked(spark):
+    answers = F.create_map(*[x for k in vocab.ITEM_KEYS for x in (F.lit(k), F.lit("50" if k not in vocab.CHOICES else vocab.CHOICES[k][1][0]))])
+    demo = F.create_map(*[x for m, v in vocab.MODERATORS.items() for x in (F.lit(m), F.lit(v[-1]))])
+    r = spark.range(8).select(F.format_string("p%d", F.col("id") % 4).alias("profile_id"), F.lit("Funding").alias("condition"), F.lit("phony parrotfish").alias("codename"), answers.alias("answers"), demo.alias("demographics"),
+                              F.when(F.col("id") != 1, 1990).alias("year_birth"), F.col("id").alias("seconds"), F.lit("complete").alias("status"), (F.col("id") % 5).alias("seq"))
+    narrow = tiers.with_export(r)
+    assert "map<" not in narrow.schema.simpleString()
+    best = tiers.usable_responses(narrow)
+    assert [sorted(map(tuple, tiers.raw_export(x).collect()), key=repr) for x in (best, tiers.usable_responses(r))] == 2 * [sorted(map(tuple, tiers.raw_export(best).collect()), key=repr)]
+    got = {x.profile_id: x for x in tiers.raw_export(best).collect()}
+    assert list(tiers.raw_export(best).columns) == tiers.RAW and len(got) == 4
+    assert (got["p0"]["Duration (in seconds)"], got["p1"]["Duration (in seconds)"], got["p1"].donation, got["p1"].newsletter, got["p3"].year_birth) == (4, 1, 1, 2, 1990)
+    assert got["p1"].year_birth == vocab.SURVEY_YEAR - vocab.BAND_AGE["60+"] and sorted(x.ResponseId for x in got.values()) == [f"R_run_{i:06d}" for i in range(4)]
