@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,12 +68,34 @@ def _folded(x) -> Column:
     return F.lower(F.when(some, F.translate(text, odd, "skii")).otherwise(text))
 
 
-def cues(x) -> Column:
+#: A border of words of ASCII letters, digits and underscores; and white space as RE2 has it, inside brackets.
+_ASCII_BORDER, _ASCII_SPACE = "(?:(?<=[a-z0-9_])(?![a-z0-9_])|(?<![a-z0-9_])(?=[a-z0-9_]))", r"\t\n\f\r "
+
+
+def cues(x, ascii_words: bool = False) -> Column:
     """Names of the cues in a text, in their fixed order.  The text is folded and cut into words once; a pattern runs only where
-    a word or sign that it needs is there."""
-    found = lambda t: needles.matches(t, {n: (p, F.rlike(t, F.lit("(?u)" + p.replace("TIL", "til")))) for n, p in vocab.CUES.items()})
+    a word or sign that it needs is there.
+
+    Words are of all letters, as the patterns are meant; ascii_words: of ASCII ones alone, as SQL engines with RE2 read them, so that
+    "no" is a word of "noñiedoja"."""
+    lower = lambda p: p.replace("TIL", "til")
+    if ascii_words:
+        # Of other letters two match s and k, and are no letters at a border; lower case would make a k of one and an i of a third.
+        folded, odd = F.lower(F.translate(blank(x), "\u212a\u0130", "\uffff\u0131")), {"s": "\u017f", "k": "\uffff"}
+        wide = lambda p: re.sub(r"(?<!\\)[sk]", lambda m: f"[{m[0]}{odd[m[0]]}]", p)
+        pattern = lambda p: "(?d)" + wide(lower(p)).replace(r"\b", _ASCII_BORDER).replace(r"\s", _ASCII_SPACE)
+    else:
+        folded, odd, pattern = _folded(x), {}, lambda p: "(?u)" + lower(p)
+
+    def found(t: Column) -> Column:
+        runs = {n: (p, F.rlike(t, F.lit(pattern(p)))) for n, p in vocab.CUES.items()}
+        made = needles.matches(t, runs)
+        for letter in odd.values():
+            made = F.when(F.contains(t, F.lit(letter)), F.array_compact(F.array(*[F.when(run, F.lit(n)) for n, (_, run) in runs.items()]))).otherwise(made)
+        return made
+
     # As the element of an array the folded text is made once for all patterns.
-    return F.get(F.transform(F.array(_folded(x)), found), F.lit(0))
+    return F.get(F.transform(F.array(folded), found), F.lit(0))
 
 
 def quotes(reply, parent, n: int = 5) -> Column:

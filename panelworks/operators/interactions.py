@@ -10,13 +10,13 @@ from ..functions import text as X
 COLUMNS = ["author", "id", "subreddit", "created_utc", "body", "word_count", "parent_author", "parent_body", "matched_cues"]
 
 
-def meaningful(classified: DataFrame, relaxed: DataFrame | None = None, min_words: int = 10) -> DataFrame:
+def meaningful(classified: DataFrame, relaxed: DataFrame | None = None, min_words: int = 10, ascii_words: bool = False) -> DataFrame:
     """Depth-2 replies of enough words with a cue or a quotation.  relaxed (``author[, min_words]``): for those authors a lower floor
-    that needs no cue; such rows are tagged ``relaxed_min_words:N``."""
+    that needs no cue; such rows are tagged ``relaxed_min_words:N``.  ascii_words: as in text.cues."""
     rows = classified.where(F.col("structure_kind") == "reply_depth2").withColumn("word_count", X.word_count("body"))
     if relaxed is None:
         rows = rows.where(F.col("word_count") >= min_words)
-    rows = rows.withColumns({"_cues": X.cues("body"), "_quoted": X.quotes("body", "parent_body")})
+    rows = rows.withColumns({"_cues": X.cues("body", ascii_words), "_quoted": X.quotes("body", "parent_body")})
     rows = rows.withColumn("_cues", F.concat("_cues", F.when(F.col("_quoted"), F.array(F.lit("quotation"))).otherwise(F.array().cast("array<string>"))))
     ok = (F.col("word_count") >= min_words) & (F.size("_cues") > 0)
     if relaxed is not None:
@@ -30,9 +30,9 @@ def meaningful(classified: DataFrame, relaxed: DataFrame | None = None, min_word
     return rows.where(ok).withColumn("matched_cues", F.array_join("_cues", ";")).select(*COLUMNS)
 
 
-def pending_fetch(classified: DataFrame, min_words: int = 10) -> DataFrame:
+def pending_fetch(classified: DataFrame, min_words: int = 10, ascii_words: bool = False) -> DataFrame:
     """Unresolved replies to comments whose own words already qualify: their parents are worth fetching."""
-    rows = classified.where((F.col("structure_kind") == "unresolved") & F.startswith(X.blank("parent_id"), F.lit("t1_"))).withColumn("_cues", X.cues("body"))
+    rows = classified.where((F.col("structure_kind") == "unresolved") & F.startswith(X.blank("parent_id"), F.lit("t1_"))).withColumn("_cues", X.cues("body", ascii_words))
     return rows.where((X.word_count("body") >= min_words) & (F.size("_cues") > 0)).select(
         F.col("id").alias("reply_id"), F.col("author").alias("reply_author"), X.bare_id("parent_id", "1").alias("parent_bare_id"), F.array_join("_cues", ";").alias("matched_cues_own_text_only"))
 

@@ -37,3 +37,13 @@ def test_index_changes_no_result(spark):
     refusal = [F.rlike(X.blank("t"), F.lit("(?iu)" + p)) for p in vocab.REFUSALS]
     got = df.select("t", by_index.alias("a"), plain.alias("b"), X.refuses("t").alias("c"), F.exists(F.array(*refusal), lambda x: x).alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in got) and any(r.c for r in got) and len({tuple(r.a) for r in got}) > 20
+
+
+def test_words_of_ascii_letters(spark):
+    """As RE2 reads the patterns, which the SQL of cue_frequency has as they are; without ascii_words as the patterns are meant."""
+    said = [("la noñiedoja", "disagreement", ""), ("ñyes, touché", "agreement", "concession"), ("touchéx", "concession", ""), ("so\r> it", "", None), ("so\n> it", "quotes_parent", "quotes_parent"),
+            ("YOU\u212a", "second_person", ""), ("lin\u212a", "", "evidence_marker"), ("x\u017fource", "evidence_marker", ""), ("\u017fource", "", "evidence_marker"), ("T\u0130L", "", "concession"), (None, "", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(said)], "i int, t string")
+    got = df.select("i", F.array_join(X.cues("t", ascii_words=True), ";").alias("a"), F.array_join(X.cues("t"), ";").alias("u")).orderBy("i").collect()
+    assert [r.a for r in got] == [a for _, a, _ in said]
+    assert [r.u for r, (_, _, u) in zip(got, said, strict=True) if u is not None] == [u for _, _, u in said if u is not None]
